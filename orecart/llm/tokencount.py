@@ -129,7 +129,8 @@ def token_counts(docs: DataFrame, cache: str, name: str = TOKENIZER, limit: int
     distinct = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     misses = distinct.join(stored.select("digest"), "digest", "left_anti") if stored is not None else distinct
     # Keyed by id and digest, so that a group of copies spreads over all tasks; of equal ids with equal texts one remains.
-    fetched = keyed.join(misses.hint("shuffle_hash"), (keyed["digest"] == misses["digest"]) & keyed["doc_id"].eqNullSafe(misses["first_id"])).select(keyed["digest"], "text")
+    wanted = misses.select(F.col("digest").alias("miss"), "first_id").hint("shuffle_hash")
+    fetched = keyed.join(wanted, (F.col("digest") == F.col("miss")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("digest", "text")
     new = encode_counts(fetched, name).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     new.withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
     stored = spark.read.schema("digest binary, n_tokens long, version string").parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
