@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from orecart.llm import mixing
 from orecart.llm.bpe import op2_byte_bpe
 from orecart.llm.langid import op8_language_id
+from orecart.llm.linededup import op10_line_dedup
 from orecart.llm.media import op7_media_columns
+from orecart.llm.simhash import op6_simhash
 from orecart.llm.tokencount import op5_token_counts
 from orecart.llm.topk import op1_topk_ball_tree
 
 QUERIES = {
     "op1_topk_ball_tree": op1_topk_ball_tree,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_mixing": mixing.op3_mixing,
     "op5_token_counts": op5_token_counts,
+    "op6_simhash": op6_simhash,
     "op7_media_columns": op7_media_columns,
     "op8_language_id": op8_language_id,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
