@@ -97,15 +97,13 @@ class Lines:
             self.bits = np.bitwise_xor.reduceat(_U(1) << (mixed >> _U(58)), self.first) if len(used) else np.zeros(0, _U)
         self.row = first_row + full[doc[used]]
         self.number = number[used]
-        self.span = places, used, stops[doc[used]] if len(used) else stops[:0]
-        self.buf = buf
+        inner = np.append(doc[1:] == doc[:-1], False) if len(doc) else np.zeros(0, bool)
+        ends = np.where(inner, np.append(places[1:], 0) - 1, stops[doc]) if len(doc) else places
+        self.begin, self.end, self.buf = places[used], ends[used], buf
 
     def text(self, k: int) -> bytes:
         """The k-th line's bytes, lower-cased."""
-        places, used, stops = self.span
-        at = used[k]
-        stop = min(places[at + 1] - 1 if at + 1 < len(places) and places[at + 1] <= stops[k] else stops[k], stops[k])
-        return self.buf[places[at] : stop].tobytes()
+        return self.buf[self.begin[k] : self.end[k]].tobytes()
 
 
 def lines_of(column: pa.Array, rank: np.ndarray | None = None, most: int = 4 << 20) -> Iterator[Lines]:
@@ -124,8 +122,13 @@ def least_overlap(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
 _PACK = np.dtype([("token", "<u8"), ("key", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<u4"), ("i", "<u2")])
 
 
-def _prefixes(own: Lines, ids: np.ndarray, seen: set[int], threshold: float) -> np.ndarray:
-    fresh = np.array([k not in seen and not seen.add(k) for k in own.key.tolist()], dtype=bool)
+def _prefixes(own: Lines, ids: np.ndarray, seen: dict[int, tuple[int, int]], threshold: float) -> np.ndarray:
+    """Prefix rows of the lines whose set is new to the task or stands here at an earlier place than seen before."""
+    fresh = np.zeros(len(own.key), bool)
+    for k, key in enumerate(own.key.tolist()):
+        place = int(ids[own.row[k]]), int(own.number[k])
+        if key not in seen or place < seen[key]:
+            fresh[k], seen[key] = True, place
     n = own.n
     size = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
     i = np.arange(len(own.line)) - own.first[own.line]
@@ -150,7 +153,8 @@ def _candidates(rows: np.ndarray, threshold: float) -> tuple[list[np.ndarray], l
         n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
         need = least_overlap(n, m, threshold)
         reach = 1 + np.minimum(n - x["i"] - 1, m - y["i"] - 1)
-        return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (reach >= need) & (np.bitwise_count(x["bits"] ^ y["bits"]) <= n + m - 2 * need)
+        apart = (x["doc"] != y["doc"]) | (x["line"] != y["line"])
+        return apart & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (reach >= need) & (np.bitwise_count(x["bits"] ^ y["bits"]) <= n + m - 2 * need)
 
     pairs = []
     for k in range(1, SMALL_GROUP):
@@ -221,7 +225,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spread = int(max(64, lines.count() // 20_000))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, tuple[int, int]] = {}
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -247,11 +251,12 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         frames = [pd.DataFrame({"word": -1, "by": 0, "bx": 0, "x": p[0].view(np.int64), "y": p[1].view(np.int64), "place": 0}) for p in pairs]
         for word, rows in large:
             block = np.arange(len(rows)) // CELL
+            place = np.cumsum(np.append(0, (rows["doc"][1:] != rows["doc"][:-1]) | (rows["line"][1:] != rows["line"][:-1])))
             for by in range(block[-1] + 1):
                 for bx in range(by + 1):
                     inside = np.flatnonzero((block == by) | (block == bx))
                     key = rows["key"][inside].view(np.int64)
-                    frames.append(pd.DataFrame({"word": word, "by": by, "bx": bx, "x": np.where(block[inside] == bx, 1, 0), "y": key, "place": inside}))
+                    frames.append(pd.DataFrame({"word": word, "by": by, "bx": bx, "x": np.where(block[inside] == bx, 1, 0), "y": key, "place": place[inside]}))
         return pd.concat(frames) if frames else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("word", "by", "bx", "x", "y", "place")})
 
     found = stash(arrow_map(source, send, "part int, rows binary").groupBy("part").applyInPandas(meet, "word long, by int, bx int, x long, y long, place int"))
@@ -275,7 +280,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bit = batch.column(2).to_numpy()
-            yield pa.RecordBatch.from_batches([]) if False else batch.filter(pa.array((keys[bit >> 6] >> (bit & 63)) & 1 == 1)).select([0, 1])
+            yield batch.filter(pa.array((keys[bit >> 6] >> (bit & 63)) & 1 == 1)).select([0, 1])
 
     texts = stash(arrow_map(fetched, only, "key long, words binary", 8192).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words")))
 
@@ -291,16 +296,16 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def check_cell(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place")
         same = bool((group["by"] == group["bx"]).iloc[0])
-        earlier: list[set[bytes]] = [] if same else [set(w.split()) for w, x in zip(group["words"], group["in_x"], strict=True) if x]
+        earlier: list[tuple[int, set[bytes]]] = [] if same else [(p, set(w.split())) for w, x, p in zip(group["words"], group["in_x"], group["place"], strict=True) if x]
         out = []
-        for key, words, in_x in zip(group["key"], group["words"], group["in_x"], strict=True):
+        for key, words, in_x, place in zip(group["key"], group["words"], group["in_x"], group["place"], strict=True):
             if not same and in_x:
                 continue
             own = set(words.split())
-            if any(similar(x, own, threshold) for x in earlier):
+            if any(p < place and similar(x, own, threshold) for p, x in earlier):
                 out.append(key)
             if same:
-                earlier.append(own)
+                earlier.append((place, own))
         return pd.DataFrame({"key": pd.Series(out, dtype="int64")})
 
     celled = members.join(texts, "key").withColumn("cell", F.xxhash64("word", "by", "bx"))
