@@ -7,6 +7,7 @@ from orecart.llm.bpe import op2_byte_bpe
 from orecart.llm.langid import op8_language_id
 from orecart.llm.linededup import op10_line_dedup
 from orecart.llm.media import op7_media_columns
+from orecart.llm.quality import op4_quality
 from orecart.llm.simhash import op6_simhash
 from orecart.llm.tokencount import op5_token_counts
 from orecart.llm.topk import op1_topk_ball_tree
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_topk_ball_tree": op1_topk_ball_tree,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_mixing": mixing.op3_mixing,
+    "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op7_media_columns": op7_media_columns,
