@@ -26,7 +26,7 @@ from orecart.llm.linededup import text_buffer
 
 BUCKETS = 1 << 15
 #: Share of the rows that resampling selects.
-SELECT_SHARE = 0.8
+SELECT_SHARE = 0.85
 _WORD = np.ones(256, dtype=bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -9,6 +9,7 @@ from orecart.llm.linededup import op10_line_dedup
 from orecart.llm.media import op7_media_columns
 from orecart.llm.quality import op4_quality
 from orecart.llm.simhash import op6_simhash
+from orecart.llm.substrings import op9_suffix_dedup
 from orecart.llm.tokencount import op5_token_counts
 from orecart.llm.topk import op1_topk_ball_tree
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_media_columns": op7_media_columns,
     "op8_language_id": op8_language_id,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
