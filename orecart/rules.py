@@ -190,3 +190,20 @@ BENEFIT_SIGNALS = [
     ("distribution/wholesale/retail", r"\bdistribution\b|\bwholesale\b|\bretail\b"),
     ("enterprise", r"\benterprise\b"),
 ]
+
+# Signals of the expert-services profile; case does not matter.
+EXPERT_NON_COMPANY = r"\bdirectory\b|\baggregator\b|\bmarketplace\b|\blisticle\b|\bjob\s*board\b|\breview\s+(?:site|platform|portal)\b|\bnews(?:room)?\b|\bmagazine\b|\bpublication\b|\bblog\b|\bwiki\b|\btutorial\b|\buniversity\b|\bcollege\b|\bacademy\b|\bforum\b|\bclassifieds?\b"
+EXPERT_BUSINESS = [
+    ("B2B SaaS/software", r"\b(?:b2b\s+)?saas\b|\bsoftware\s+(?:company|platform|firm)\b"),
+    ("agency", r"\bagency\b|\bagencies\b"),
+    ("consulting", r"\bconsult(?:ing|ant|ancy)\b"),
+    ("professional services", r"\bprofessional\s+services?\b"),
+    ("coaching", r"\bcoach(?:ing)?\b"),
+    ("IT/software services", r"\bit\s+services?\b|\bsoftware\s+services?\b"),
+    ("recruitment", r"\brecruit(?:ment|ing)\b|\bstaffing\b"),
+    ("marketing services", r"\bmarketing\s+(?:agency|firm|services?)\b"),
+]
+EXPERT_BUYERS = [
+    ("founder-led", r"\bfounder\b|\bco[- ]founder\b|\bceo\b|\bowner\b"),
+    ("expert-led", r"\bconsultant\b|\bcoach\b|\bfractional\b|\badvisor\b"),
+]
