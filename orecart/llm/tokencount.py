@@ -33,7 +33,7 @@ from orecart.llm.pieces import connect, cut
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
-WORDS_HELD = 1_000_000
+WORDS_HELD = 600_000
 
 
 @lru_cache(maxsize=4)
@@ -133,7 +133,10 @@ def token_counts(docs: DataFrame, cache: str, name: str = TOKENIZER, limit: int
     fetched = keyed.join(wanted, (F.col("digest") == F.col("miss")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("digest", "text")
     new = encode_counts(fetched, name).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     new.withColumn("version", F.lit(version)).write.mode("append").parquet(cache)
-    stored = spark.read.schema("digest binary, n_tokens long, version string").parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    stored = spark.read.schema("digest binary, n_tokens long, version string").parquet(cache).where(F.col("version") == version).select("digest", "n_tokens")
+    # Only runs that append at the same time leave a digest twice. Without the aggregate, Spark can split the join's hot digests.
+    if stored.count() != stored.select("digest").distinct().count():
+        stored = stored.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     sized = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"))
     return sized.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
