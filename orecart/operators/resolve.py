@@ -13,7 +13,10 @@ from orecart.functions.names import fuzzy_match, name_key, name_tokens, split_na
 from orecart.operators.dedupe import unique_phones
 
 PERSON = "name string, name_key string, email string, phone string, profile_urls array<string>, source_urls array<string>, page_ids array<bigint>, source_refs array<string>, titles array<string>, role_category string, sources array<string>, company_domain string, confidence double"
-_NONE = F.lit(None).cast("string")
+
+
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _strings(*columns: Column) -> Column:
@@ -32,7 +35,7 @@ def people_from_members(members: DataFrame) -> DataFrame:
     name = F.trim(F.coalesce(F.nullif("name", F.lit("")), "login", F.lit("")))
     refs = F.array_compact(F.array(F.concat(F.lit("github:"), F.col("login")), F.concat(F.lit("github:org:"), F.col("org_login"))))
     empty = F.array().cast("array<bigint>")
-    return members.select("seq", name.alias("name"), name_key(name).alias("name_key"), _NONE.alias("email"), _NONE.alias("phone"), _strings(U.profile_url(link)).alias("profile_urls"), _strings(link).alias("source_urls"), empty.alias("page_ids"), refs.alias("source_refs"), F.array().cast("array<string>").alias("titles"), _NONE.alias("role_category"), F.array(F.lit("github")).alias("sources"), _NONE.alias("company_domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    return members.select("seq", name.alias("name"), name_key(name).alias("name_key"), _none().alias("email"), _none().alias("phone"), _strings(U.profile_url(link)).alias("profile_urls"), _strings(link).alias("source_urls"), empty.alias("page_ids"), refs.alias("source_refs"), F.array().cast("array<string>").alias("titles"), _none().alias("role_category"), F.array(F.lit("github")).alias("sources"), _none().alias("company_domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def people_from_directors(directors: DataFrame) -> DataFrame:
@@ -40,7 +43,7 @@ def people_from_directors(directors: DataFrame) -> DataFrame:
     name = F.trim(F.coalesce("name", F.lit("")))
     refs = F.array_compact(F.array(F.concat(F.lit("mca:din:"), F.col("din")), F.concat(F.lit("mca:cin:"), F.col("cin"))))
     none, empty = F.array().cast("array<string>"), F.array().cast("array<bigint>")
-    return directors.select("seq", name.alias("name"), name_key(name).alias("name_key"), _NONE.alias("email"), _NONE.alias("phone"), none.alias("profile_urls"), none.alias("source_urls"), empty.alias("page_ids"), refs.alias("source_refs"), _strings(F.col("designation")).alias("titles"), _NONE.alias("role_category"), F.array(F.lit("mca")).alias("sources"), _NONE.alias("company_domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    return directors.select("seq", name.alias("name"), name_key(name).alias("name_key"), _none().alias("email"), _none().alias("phone"), none.alias("profile_urls"), none.alias("source_urls"), empty.alias("page_ids"), refs.alias("source_refs"), _strings(F.col("designation")).alias("titles"), _none().alias("role_category"), F.array(F.lit("mca")).alias("sources"), _none().alias("company_domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def compare(a: str, b: str) -> Column:
