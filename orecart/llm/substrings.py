@@ -40,7 +40,7 @@ LENGTH, PIECE = 50, 25
 CELL_BITS, MAP_BITS = 34, 28
 #: Bytes of concatenated contexts sorted at once.
 SORT_BYTES = 192 << 10
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _U = np.uint64
 _POS = _U((1 << 24) - 1)
 
@@ -204,9 +204,9 @@ def covered(docs: DataFrame) -> DataFrame:
                 each = np.unique(((own.anchor >> _U(64 - CELL_BITS)) << _U(20)) | (own.row - (own.row[0] if len(own.row) else 0)).astype(_U))
                 cell, n = np.unique(each >> _U(20), return_counts=True)
                 held.append((cell << _U(1)) | (n > 1).astype(_U))
-            if sum(map(len, held)) > 8_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 held[:] = [merged()]
-                if len(held[0]) > 4_000_000:
+                if len(held[0]) > 1_000_000:
                     yield pack(held.pop())
         yield pack(merged())
 
@@ -237,7 +237,7 @@ def covered(docs: DataFrame) -> DataFrame:
                 take = np.flatnonzero(_hit(bitmap, own.anchor))
                 row = own.row[take]
                 held.append((own.anchor[take], own.form[take], ids[row], ths[row], own.lo[take].astype(np.uint32), own.windows[take].astype(np.uint8)))
-            if sum(len(x[0]) for x in held) > 1_500_000:
+            if sum(len(x[0]) for x in held) > 400_000:
                 yield pack()
         if held:
             yield pack()
@@ -282,7 +282,7 @@ def covered(docs: DataFrame) -> DataFrame:
                     if f not in seen:
                         seen.add(f)
                         held.append((int(own.anchor[k]), f, own.text(k)))
-            if len(held) > 300_000:
+            if len(held) > 100_000:
                 yield pack()
         if held:
             yield pack()
