@@ -43,7 +43,7 @@ def tokens(text: Column, split_hyphen: bool = False, least: int = 3) -> Column:
 
 
 def list_values(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,;\n]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,;\n]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def truncate(text: Column, limit: int = 8000, marker: str = "\n[truncated]") -> Column:

@@ -94,7 +94,7 @@ def robots_sitemaps(text: Column) -> Column:
 
 
 def sitemap_locations(xml: Column) -> Column:
-    return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), lambda x: F.trim(x))
 
 
 def is_sitemap_index(xml: Column) -> Column:
