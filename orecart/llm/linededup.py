@@ -23,7 +23,8 @@ same number; a text that loses all lines becomes empty; extra columns stay; an e
 
 from __future__ import annotations
 
-import hashlib
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,65 +120,85 @@ def least_overlap(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
 
 
-_PACK = np.dtype([("token", "<u8"), ("key", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<u4"), ("i", "<u2")])
+def _planes(x: np.ndarray) -> bytes:
+    """An integer array byte plane by byte plane: the constant high bytes cost nothing once compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-def _prefixes(own: Lines, ids: np.ndarray, seen: dict[int, tuple[int, int]], threshold: float) -> np.ndarray:
-    """Prefix rows of the lines whose set is new to the task or stands here at an earlier place than seen before."""
-    fresh = np.zeros(len(own.key), bool)
-    for k, key in enumerate(own.key.tolist()):
-        place = int(ids[own.row[k]]), int(own.number[k])
-        if key not in seen or place < seen[key]:
-            fresh[k], seen[key] = True, place
+def _unplaned(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+#: Columns of a prefix row: word, set key, parity bitmap, set size, position.
+_PACK = ("<u4", "<u8", "<u8", "<u4", "<u2")
+
+
+def _prefixes(own: Lines, seen: set[int], threshold: float) -> tuple[np.ndarray, ...]:
+    """Prefix rows (word, key, bits, n, position) of the lines whose set is new to the task."""
+    fresh = np.array([k not in seen and not seen.add(k) for k in own.key.tolist()], dtype=bool)
     n = own.n
     size = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
     i = np.arange(len(own.line)) - own.first[own.line]
     take = fresh[own.line] & (i < size[own.line])
     line = own.line[take]
-    out = np.empty(len(line), _PACK)
-    out["token"], out["key"], out["bits"], out["n"] = own.token[take], own.key[line], own.bits[line], np.minimum(n[line], 2**32 - 1)
-    out["i"], out["doc"], out["line"] = np.minimum(i[take], 65535), ids[own.row[line]], own.number[line]
-    return out
-
-
-def _candidates(rows: np.ndarray, threshold: float) -> tuple[list[np.ndarray], list[tuple[int, np.ndarray]]]:
-    """Pairs (earlier key, later key) of words with few lines; members of words with many, in order."""
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["key"], rows["token"]))]
-    rows = rows[np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["key"][1:] != rows["key"][:-1]))] if len(rows) else rows
-    rows = rows[np.lexsort((rows["line"], rows["doc"], rows["token"]))]
-    cut = np.concatenate(([0], np.flatnonzero(rows["token"][1:] != rows["token"][:-1]) + 1, [len(rows)])) if len(rows) else np.zeros(1, np.int64)
-    size = np.repeat(np.diff(cut), np.diff(cut))
-    small = rows[(size > 1) & (size <= SMALL_GROUP)]
-
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
-        need = least_overlap(n, m, threshold)
-        reach = 1 + np.minimum(n - x["i"] - 1, m - y["i"] - 1)
-        apart = (x["doc"] != y["doc"]) | (x["line"] != y["line"])
-        return apart & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (reach >= need) & (np.bitwise_count(x["bits"] ^ y["bits"]) <= n + m - 2 * need)
+    return mix64(own.token[take]), own.key[line], own.bits[line], np.minimum(n[line], 2**32 - 1).astype("<u4"), np.minimum(i[take], 65535).astype("<u2")
+
+
+def _candidates(columns: list[np.ndarray], threshold: float) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Key pairs (2 by n) of words with few lines; for words with many, the keys that have a candidate."""
+    word, key, bits, n, place = columns
+    order = np.lexsort((key, word))
+    word, key, bits, n, place = (x[order] for x in (word, key, bits, n, place))
+    fresh = np.append(True, (word[1:] != word[:-1]) | (key[1:] != key[:-1])) if len(word) else np.zeros(0, bool)
+    word, key, bits, n, place = (x[fresh] for x in (word, key, bits, n, place))
+    count = np.diff(np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word))) if len(word) else np.zeros(0, np.int64)
+    shared = np.repeat(count > 1, count)
+    word, key, bits, n, place = (x[shared] for x in (word, key, bits, n, place))
+    order = np.lexsort((n, word))  # by size, so that the length filter ends a row's comparisons
+    word, key, bits, place = (x[order] for x in (word, key, bits, place))
+    n = n[order].astype(np.int64)
+    count = count[count > 1]
+    end = np.repeat(np.cumsum(count), count)
+    longest = np.floor(n / threshold + 1e-9).astype(np.int64)
+    spare = (1 - threshold) / (1 + threshold)
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        both = n[i] + n[j]
+        good = np.flatnonzero(np.bitwise_count(bits[i] ^ bits[j]) <= spare * both + 1e-9)
+        i, j = i[good], j[good]
+        reach = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
+        return good[reach >= least_overlap(n[i], n[j], threshold)]
 
     pairs = []
+    at = np.flatnonzero(np.repeat(count <= SMALL_GROUP, count))
     for k in range(1, SMALL_GROUP):
-        same = np.flatnonzero(small["token"][k:] == small["token"][:-k]) if len(small) > k else np.zeros(0, np.int64)
-        if not len(same):
+        at = at[(at + k < end[at])]
+        at = at[n[at + k] <= longest[at]]
+        if not len(at):
             break
-        x, y = small[same], small[same + k]
-        good = near(x, y)
-        pairs.append(np.stack((x["key"][good], y["key"][good])))
+        good = at[near(at, at + k)]
+        a, b = key[good], key[good + k]
+        pairs.append(np.stack((np.minimum(a, b), np.maximum(a, b))))
     large = []
-    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        if hi - lo <= SMALL_GROUP:
-            continue
-        group = rows[lo:hi]
-        hit = np.zeros(len(group), bool)
-        for j in range(1, len(group)):
-            good = near(group[:j], group[j])
-            if good.any():
-                hit[j] = True
-                hit[:j] |= good
+    for hi, m in zip(np.cumsum(count)[count > SMALL_GROUP].tolist(), count[count > SMALL_GROUP].tolist(), strict=True):
+        lo, hit = hi - m, np.zeros(m, bool)
+        for a in range(lo, hi, 256):
+            rows = np.arange(a, min(a + 256, hi))
+            last = lo + int(np.searchsorted(n[lo:hi], longest[rows[-1]], "right"))
+            for b in range(a, last, 4096):
+                others = np.arange(b, min(b + 4096, last))
+                close = np.bitwise_count(bits[rows][:, None] ^ bits[others][None, :]) <= spare * (n[rows][:, None] + n[others][None, :]) + 1e-9
+                i, j = np.nonzero(close & (others[None, :] > rows[:, None]))
+                i, j = rows[i], others[j]
+                fit = n[j] <= longest[i]
+                i, j = i[fit], j[fit]
+                good = near(i, j)
+                hit[i[good] - lo] = True
+                hit[j[good] - lo] = True
         if hit.any():
-            large.append((int(group["token"][0]), group[hit]))
-    return pairs, large
+            large.append((int(word[lo]), np.sort(key[lo:hi][hit])))
+    return np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), _U), large
 
 
 def similar(x: set[bytes], y: set[bytes], threshold: float) -> bool:
@@ -224,95 +245,103 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rank = np.minimum(63, np.floor(2 * np.log2(1 + counts))).astype(np.uint8)
     spread = int(max(64, lines.count() // 20_000))
 
+    firsts = stash(lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("place")))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[int, int]] = {}
-        held: list[np.ndarray] = []
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                rows = np.concatenate(held)
-                held.clear()
-                part = (mix64(rows["token"]) % _U(spread)).astype(np.int32)
-                rows, part = rows[np.argsort(part, kind="stable")], np.sort(part)
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
-                if len(part):
-                    yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array([rows[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["part", "rows"])
+            word, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            part = (word % _U(spread)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, columns = part[order], [x[order] for x in ((word >> _U(32)).astype("<u4"), *rest)]
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
+            if len(part):
+                yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array([pickle.dumps([_planes(x[a:b]) for x in columns], 5) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["part", "rows"])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             for own in lines_of(batch.column(2), rank):
-                held.append(_prefixes(own, ids, seen, threshold))
-            if sum(map(len, held)) > 1_500_000:
+                held.append(_prefixes(own, seen, threshold))
+            if sum(len(x[0]) for x in held) > 800_000:
                 yield from flush()
-        yield from flush()
+        if held:
+            yield from flush()
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        pairs, large = _candidates(np.concatenate([np.frombuffer(x, _PACK) for x in group["rows"]]), threshold)
-        frames = [pd.DataFrame({"word": -1, "by": 0, "bx": 0, "x": p[0].view(np.int64), "y": p[1].view(np.int64), "place": 0}) for p in pairs]
-        for word, rows in large:
-            block = np.arange(len(rows)) // CELL
-            place = np.cumsum(np.append(0, (rows["doc"][1:] != rows["doc"][:-1]) | (rows["line"][1:] != rows["line"][:-1])))
+        unpacked = [[_unplaned(x, kind) for x, kind in zip(pickle.loads(p), _PACK, strict=True)] for p in group["rows"]]
+        pairs, large = _candidates([np.concatenate(x) for x in zip(*unpacked, strict=True)], threshold)
+        frames = [pd.DataFrame({"word": -1, "by": 0, "bx": 0, "side": 0, "x": pairs[0].view(np.int64), "y": pairs[1].view(np.int64)})]
+        for word, keys in large:
+            block, keys = np.arange(len(keys)) // CELL, keys.view(np.int64)
             for by in range(block[-1] + 1):
                 for bx in range(by + 1):
                     inside = np.flatnonzero((block == by) | (block == bx))
-                    key = rows["key"][inside].view(np.int64)
-                    frames.append(pd.DataFrame({"word": word, "by": by, "bx": bx, "x": np.where(block[inside] == bx, 1, 0), "y": key, "place": place[inside]}))
-        return pd.concat(frames) if frames else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("word", "by", "bx", "x", "y", "place")})
+                    frames.append(pd.DataFrame({"word": word * 4096 + int(group["part"].iloc[0]), "by": by, "bx": bx, "side": (block[inside] == bx).astype(np.int64), "x": keys[inside], "y": 0}))
+        return pd.concat(frames)
 
-    found = stash(arrow_map(source, send, "part int, rows binary").groupBy("part").applyInPandas(meet, "word long, by int, bx int, x long, y long, place int"))
+    found = stash(arrow_map(source, send, "part int, rows binary").groupBy("part").applyInPandas(meet, "word long, by int, bx int, side int, x long, y long"))
     pairs = found.where("word = -1").select("x", "y").distinct()
-    members = found.where("word <> -1").select("word", "by", "bx", (F.col("x") == 1).alias("in_x"), F.col("y").alias("key"), "place")
-    wanted = stash(pairs.select(F.explode(F.array("x", "y")).alias("key")).union(members.select("key")).distinct())
-    firsts = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("place"))
+    members = found.where("word <> -1").select("word", "by", "bx", "side", F.col("x").alias("key"))
+    wanted = stash(pairs.select(F.explode(F.array("x", "y")).alias("key")).union(members.select("key")).distinct().join(firsts, "key"))
     keys = _bitmap(wanted, "key")
-    homes = _bitmap(wanted.join(firsts, "key").select(F.col("place.id").alias("id")), "id")
+    homes = _bitmap(wanted.select(F.col("place.id").alias("id")), "id")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bit = batch.column(2).to_numpy()
             chosen = batch.filter(pa.array((homes[bit >> 6] >> (bit & 63)) & 1 == 1))
+            ids = chosen.column(0).to_numpy()
             for own in lines_of(chosen.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(own.key.view(np.int64)), pa.array([own.text(k) for k in range(len(own.key))], pa.binary())], ["key", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own.row]), pa.array(own.number.astype(np.int32)), pa.array(own.key.view(np.int64)), pa.array([own.text(k) for k in range(len(own.key))], pa.binary())], ["id", "line", "key", "words"])
 
     homed = source.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("bit"))
-    fetched = arrow_map(homed, fetch, "key long, words binary").withColumn("bit", F.pmod(F.xxhash64("key"), F.lit(BITMAP)))
+    fetched = arrow_map(homed, fetch, "id long, line int, key long, words binary").withColumn("bit", F.pmod(F.xxhash64("key"), F.lit(BITMAP)))
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            yield batch.filter(pa.array((keys[bit >> 6] >> (bit & 63)) & 1 == 1)).select([0, 1])
+            bit = batch.column(4).to_numpy()
+            kept = batch.filter(pa.array((keys[bit >> 6] >> (bit & 63)) & 1 == 1))
+            packed = pa.array([zlib.compress(w, 1) for w in kept.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), packed], ["id", "line", "key", "words"])
+
+    # Only the line at a set's first place is kept: one text per set, without gathering its copies.
+    near = arrow_map(fetched, only, "id long, line int, key long, words binary", 8192)
+    texts = stash(near.join(wanted.select("key", F.col("place.id").alias("id"), F.col("place.line").alias("line")), ["key", "id", "line"]).groupBy("key").agg(F.first("id").alias("id"), F.first("line").alias("line"), F.first("words").alias("words")))
 
-    texts = stash(arrow_map(fetched, only, "key long, words binary", 8192).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("words").alias("words")))
+    def bag(packed: bytes) -> set[bytes]:
+        return set(zlib.decompress(packed).split())
 
     def check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y, a, b = (batch.column(i).to_pylist() for i in range(3))
-            good = [k for k, p, q in zip(y, a, b, strict=True) if similar(set(p.split()), set(q.split()), threshold)]
+            later, a, b = (batch.column(i).to_pylist() for i in range(3))
+            good = [k for k, p, q in zip(later, a, b, strict=True) if similar(bag(p), bag(q), threshold)]
             yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], ["key"])
 
-    both = pairs.join(texts.select(F.col("key").alias("x"), F.col("words").alias("wx")), "x").join(texts.select(F.col("key").alias("y"), F.col("words").alias("wy")), "y").select("y", "wx", "wy")
+    def side(c: str) -> DataFrame:
+        return texts.select(F.col("key").alias(c), F.struct("id", "line").alias(f"at_{c}"), F.col("words").alias(f"w{c}"))
+
+    both = pairs.join(side("x"), "x").join(side("y"), "y").where("at_x <> at_y").select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("later"), "wx", "wy")
     from_pairs = arrow_map(both, check_pairs, "key long", 4096)
 
     def check_cell(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place")
+        """Each line against the earlier lines of the other side (of the same block, if there is one), up to the first match."""
+        group = group.sort_values(["id", "line"])
         same = bool((group["by"] == group["bx"]).iloc[0])
-        earlier: list[tuple[int, set[bytes]]] = [] if same else [(p, set(w.split())) for w, x, p in zip(group["words"], group["in_x"], group["place"], strict=True) if x]
+        earlier: dict[int, list[tuple[tuple[int, int], set[bytes]]]] = {0: [], 1: []}
         out = []
-        for key, words, in_x, place in zip(group["key"], group["words"], group["in_x"], group["place"], strict=True):
-            if not same and in_x:
-                continue
-            own = set(words.split())
-            if any(p < place and similar(x, own, threshold) for p, x in earlier):
+        for key, words, at_side, *place in group[["key", "words", "side", "id", "line"]].itertuples(index=False):
+            own, here = bag(words), tuple(place)
+            if any(p < here and similar(x, own, threshold) for p, x in earlier[at_side if same else 1 - at_side]):
                 out.append(key)
-            if same:
-                earlier.append((place, own))
+            earlier[at_side].append((here, own))
         return pd.DataFrame({"key": pd.Series(out, dtype="int64")})
 
     celled = members.join(texts, "key").withColumn("cell", F.xxhash64("word", "by", "bx"))
     from_cells = celled.groupBy("cell").applyInPandas(check_cell, "key long")
     later = stash(from_pairs.union(from_cells).distinct())
     verdict = firsts.join(later.withColumn("goes", F.lit(True)), "key", "left").select("key", F.col("place"), F.coalesce("goes", F.lit(False)).alias("goes"))
-    # A pair of candidates at one place (rows that repeat an id) has no earlier line: `later` comes from a strict order of places.
     gone = lines.join(verdict, "key").where(F.col("goes") | (F.struct("id", "line") > F.col("place")))
     return gone.groupBy("id", "th").agg(F.collect_set("line").alias("lines"))
 
@@ -327,12 +356,12 @@ def drop_lines(text: str | None, lines: list[int] | None) -> str | None:
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the repeated lines taken out of text, plus n_lines and n_removed."""
     order, digest = keyed(docs)
-    gone = stash(repeated_lines(docs, threshold)).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "lines").hint("shuffle_hash")
+    gone = stash(repeated_lines(docs, threshold)).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines")).hint("shuffle_hash")
     columns = docs.columns
     joined = docs.withColumns({"__a": order, "__b": digest}).join(gone, (F.col("__a") == F.col("__id")) & (F.col("__b") == F.col("__th")), "left")
-    kept = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("lines"), s["i"])), lambda s: s["x"])
-    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"))
+    kept = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__lines"), s["i"])), lambda s: s["x"])
+    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
