@@ -139,9 +139,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """One document of each component: the row with the smallest doc_id; of rows that repeat that id one stays. Rows without an id go only if their component has one with an id."""
     found = near_duplicates(docs, words, distance)
-    kept = stash(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows")))
-    out = docs.join(kept.select("kept_id").hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"])).drop("kept_id")
-    if not kept.where("rows > 1 AND kept_id IS NOT NULL").limit(1).count():
+    kept = stash(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("rows")))
+    out = docs.join(kept.select("__kept").hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__kept"))).drop("__kept")
+    if not kept.where("rows > 1 AND __kept IS NOT NULL").limit(1).count():
         return out
     return out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull()))
 

@@ -141,20 +141,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     packed = asked_rows.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(pack, "dim int, block int, queries binary")
     packed = stash(packed)
     spread = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = spread.join(planted.select("dim", "shard", "tree"), ["dim", "shard"]).select("shard", "block", "tree", "queries")
+    met = spread.join(planted.select("dim", "shard", "tree"), ["dim", "shard"]).select("shard", "dim", "block", "tree", "queries")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kth: dict[int, list[list[tuple[int, int]]]] = {}
+        kth: dict[tuple[int, int], list[list[tuple[int, int]]]] = {}
         for pdf in batches:
-            for shard, block, tree, queries in zip(pdf["shard"], pdf["block"], pdf["tree"], pdf["queries"], strict=True):
+            for shard, dim, block, tree, queries in zip(pdf["shard"], pdf["dim"], pdf["block"], pdf["tree"], pdf["queries"], strict=True):
                 ids, home, rows, best = pickle.loads(queries)
-                best = kth.pop(block, best)
+                best = kth.pop((dim, block), best)
                 away = np.flatnonzero(home != shard)
                 picked = [best[i] for i in away]
                 pickle.loads(tree).search(rows[away], ids[away], picked, k)
                 if len(kth) >= 64:
                     kth.clear()
-                kth[block] = best
+                kth[dim, block] = best
                 out = [(int(ids[i]), y, -x) for i in range(len(ids)) for x, y in best[i]]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
