@@ -52,14 +52,14 @@ def fingerprint(raw: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+    """(doc_id, th, fp): a digest of the text tells rows of one id apart; fp is the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint((t or "").encode(), words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            found = [fingerprint((t or "").encode(), words) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], ["doc_id", "th", "fp"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"), run, "doc_id long, th long, fp long")
 
 
 def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,25 +125,30 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp, component_id for every row."""
+    """doc_id, th, fp, root (the component's least fingerprint), component_id for every row."""
     rows = stash(fingerprints(docs, words))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     edges = stash(links(nodes.select("fp"), distance).where("a <> b").distinct())
     roots = components(edges)
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """One document of each component: the row with the smallest doc_id; of rows that repeat that id one stays. Rows without an id go only if their component has one with an id."""
     found = near_duplicates(docs, words, distance)
-    kept = stash(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("rows")))
-    out = docs.join(kept.select("__kept").hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__kept"))).drop("__kept")
-    if not kept.where("rows > 1 AND __kept IS NOT NULL").limit(1).count():
-        return out
-    return out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull()))
+    first = found.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k"), F.count("*").alias("rows")).select("k.*", "rows")
+    alone = found.where("component_id IS NULL").groupBy("doc_id", "th").agg(F.lit(0).cast("long").alias("rows"))
+    kept = stash(first.union(alone))
+    wanted = kept.select(F.col("doc_id").alias("__kept"), F.col("th").alias("__th")).hint("shuffle_hash")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")) & (F.xxhash64(docs["text"]) == F.col("__th"))
+    out = docs.join(wanted, same).drop("__kept")
+    if not kept.where("rows > 1").limit(1).count():
+        return out.drop("__th")
+    named = out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "__th"])
+    return named.unionByName(out.where(F.col("doc_id").isNull())).drop("__th")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
