@@ -81,7 +81,7 @@ def person_pairs(people: DataFrame, scope: str = "scope") -> DataFrame:
     return pairs.withColumn("verdict", compare("a", "b")).where("verdict <> 'distinct'").select(scope, "a", "b", "verdict")
 
 
-def components(nodes: DataFrame, edges: DataFrame, path: str | None = None) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root): least node reachable. Labels take the least neighbour's label, then that label's label, until none changes."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select("node", F.col("node").alias("root"))

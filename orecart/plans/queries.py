@@ -219,9 +219,6 @@ def harvest(spark, sf_dir):
     return links.harvest(rows)
 
 
-ROBOTS = "User-agent: *\\nSitemap: https://a.test/s{}.xml\\n sitemap: https://a.test/t.xml\\nDisallow: /x"
-
-
 @query("""WITH r AS (SELECT page_id, 'User-agent: *' || chr(10) || 'Sitemap: https://a.test/s' || page_id || '.xml' || chr(10) || ' sitemap: https://a.test/t.xml' || chr(10) || 'Disallow: /x' AS t FROM pages)
 SELECT page_id, unnest(regexp_extract_all(t, '(?im)^[ \\t]*Sitemap:[ \\t]*(\\S+)[ \\t]*$', 1)) AS sitemap FROM r""".replace("\\\\", "\\"))
 def robots_sitemaps(spark, sf_dir):
@@ -306,9 +303,6 @@ def contact_lines(spark, sf_dir):
     return tables.table(spark, sf_dir, "customer").select("c_custkey", F.when(C.is_nav_line(line) | nt.isNull(), "").otherwise(F.concat(nt["name"], F.lit("="), nt["title"])).alias("parsed"))
 
 
-CARD = "<div class='team'><div class='member'><h3>{}</h3><p class='role'>{}</p><a href='mailto:p{}@firm.test'>m</a></div></div><a href='tel:+1 202 555 01{}'>call</a>"
-
-
 def _team_pages(spark, sf_dir):
     k = F.col("c_custkey")
     html = F.concat(F.lit("<title>Team | Firm</title><div class='team-wrap'><div class='member'><h3>"), pick(PEOPLE, k), F.lit("</h3><p class='role'>"), pick(TITLES, k), F.lit("</p><a href='mailto:p"), k % 50, F.lit("@firm.test'>m</a></div></div>"))
