@@ -11,9 +11,11 @@ equal sets have similarity 1. Steps:
    set's size, the word's position and a 64-bit parity bitmap.
 3. Lines that share a prefix word are held against each other by length, by position and by bitmap
    (the Hamming distance of parity bitmaps never exceeds the symmetric difference). Words with few
-   lines give pairs; words with many give memberships in square cells of at most CELL lines a side.
-4. Texts of surviving candidates are fetched and Jaccard is verified on the words themselves. A line
-   of a cell stops at its first match, so families of variants do not expand into pairs.
+   lines give pairs; words with many give a line's first few earlier candidates and memberships in
+   square cells of at most CELL lines a side, so families of variants do not expand into pairs.
+4. Texts of candidates are fetched and Jaccard is verified on the words themselves. Where a line has
+   more candidates than were tried and none of these matched, its word's cells are compared as a
+   whole; a line stops at its first match.
 5. Later occurrences of equal sets and verified later lines are removed from their documents.
 
 Defined cases: a line without words (blank, or of a null text) is never removed; a null id sorts
@@ -40,6 +42,8 @@ CELLS = 1 << 16
 #: Prefix words with at most this many lines give pairs, others memberships in cells.
 SMALL_GROUP = 48
 CELL = 2048
+#: Earlier candidates that are tried before a row's whole cell is.
+FIRST_TRIES = 3
 BITMAP = 1 << 24
 _U = np.uint64
 _LOW36 = _U((1 << 36) - 1)
@@ -130,75 +134,81 @@ def _unplaned(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-#: Columns of a prefix row: word, set key, parity bitmap, set size, position.
-_PACK = ("<u4", "<u8", "<u8", "<u4", "<u2")
+#: Columns of a prefix row: word, set key, parity bitmap, id and line of the set's first place, set size, position.
+_PACK = ("<u4", "<u8", "<u8", "<i8", "<i4", "<u4", "<u2")
 
 
-def _prefixes(own: Lines, seen: set[int], threshold: float) -> tuple[np.ndarray, ...]:
-    """Prefix rows (word, key, bits, n, position) of the lines whose set is new to the task."""
-    fresh = np.array([k not in seen and not seen.add(k) for k in own.key.tolist()], dtype=bool)
+def _prefixes(own: Lines, ids: np.ndarray, seen: dict[int, tuple[int, int]], threshold: float) -> tuple[np.ndarray, ...]:
+    """Prefix rows of the lines whose set is new to the task or stands here at an earlier place than seen before."""
+    fresh = np.zeros(len(own.key), bool)
+    for k, (key, row, line) in enumerate(zip(own.key.tolist(), ids[own.row].tolist(), own.number.tolist(), strict=True)):
+        if key not in seen or (row, line) < seen[key]:
+            fresh[k], seen[key] = True, (row, line)
     n = own.n
     size = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
     i = np.arange(len(own.line)) - own.first[own.line]
     take = fresh[own.line] & (i < size[own.line])
-    line = own.line[take]
-    return mix64(own.token[take]), own.key[line], own.bits[line], np.minimum(n[line], 2**32 - 1).astype("<u4"), np.minimum(i[take], 65535).astype("<u2")
-
-
-def _candidates(columns: list[np.ndarray], threshold: float) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Key pairs (2 by n) of words with few lines; for words with many, the keys that have a candidate."""
-    word, key, bits, n, place = columns
-    order = np.lexsort((key, word))
-    word, key, bits, n, place = (x[order] for x in (word, key, bits, n, place))
-    fresh = np.append(True, (word[1:] != word[:-1]) | (key[1:] != key[:-1])) if len(word) else np.zeros(0, bool)
-    word, key, bits, n, place = (x[fresh] for x in (word, key, bits, n, place))
+    at = own.line[take]
+    return mix64(own.token[take]), own.key[at], own.bits[at], ids[own.row[at]], own.number[at].astype("<i4"), np.minimum(n[at], 2**32 - 1).astype("<u4"), np.minimum(i[take], 65535).astype("<u2")
+
+
+def _candidates(columns: list[np.ndarray], threshold: float, small_group: int = SMALL_GROUP, first_tries: int = FIRST_TRIES) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Pairs of row numbers (2 by n, earlier first), and for words with many lines the rows with a candidate.
+
+    A row of such a word gives pairs with its first first_tries earlier candidates only; the third
+    array marks rows that have more, for the case that none of these matches.
+    """
+    word, key, bits, doc, line, n, position = columns
+    order = np.lexsort((line, doc, key, word))
+    word, key = word[order], key[order]
+    order = order[np.append(True, (word[1:] != word[:-1]) | (key[1:] != key[:-1]))] if len(word) else order
+    order = order[np.lexsort((line[order], doc[order], columns[0][order]))]
+    word = columns[0][order]
     count = np.diff(np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word))) if len(word) else np.zeros(0, np.int64)
-    shared = np.repeat(count > 1, count)
-    word, key, bits, n, place = (x[shared] for x in (word, key, bits, n, place))
-    order = np.lexsort((n, word))  # by size, so that the length filter ends a row's comparisons
-    word, key, bits, place = (x[order] for x in (word, key, bits, place))
-    n = n[order].astype(np.int64)
-    count = count[count > 1]
+    order, count = order[np.repeat(count > 1, count)], count[count > 1]
+    bits, doc, line, n, position = (x[order] for x in (bits, doc, line, n, position))
+    n = n.astype(np.int64)
+    place = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]))) if len(order) else np.zeros(0, np.int64)
     end = np.repeat(np.cumsum(count), count)
-    longest = np.floor(n / threshold + 1e-9).astype(np.int64)
     spare = (1 - threshold) / (1 + threshold)
 
     def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        both = n[i] + n[j]
-        good = np.flatnonzero(np.bitwise_count(bits[i] ^ bits[j]) <= spare * both + 1e-9)
+        good = np.flatnonzero(np.bitwise_count(bits[i] ^ bits[j]) <= spare * (n[i] + n[j]) + 1e-9)
         i, j = i[good], j[good]
-        reach = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
-        return good[reach >= least_overlap(n[i], n[j], threshold)]
-
-    pairs = []
-    at = np.flatnonzero(np.repeat(count <= SMALL_GROUP, count))
-    for k in range(1, SMALL_GROUP):
-        at = at[(at + k < end[at])]
-        at = at[n[at + k] <= longest[at]]
+        reach = 1 + np.minimum(n[i] - position[i] - 1, n[j] - position[j] - 1)
+        fit = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (reach >= least_overlap(n[i], n[j], threshold)) & (place[i] != place[j])
+        return good[fit]
+
+    pairs = [np.zeros((2, 0), np.int64)]
+    at = np.flatnonzero(np.repeat(count <= small_group, count))
+    for k in range(1, small_group):
+        at = at[at + k < end[at]]
         if not len(at):
             break
         good = at[near(at, at + k)]
-        a, b = key[good], key[good + k]
-        pairs.append(np.stack((np.minimum(a, b), np.maximum(a, b))))
+        pairs.append(np.stack((good, good + k)))
     large = []
-    for hi, m in zip(np.cumsum(count)[count > SMALL_GROUP].tolist(), count[count > SMALL_GROUP].tolist(), strict=True):
-        lo, hit = hi - m, np.zeros(m, bool)
-        for a in range(lo, hi, 256):
-            rows = np.arange(a, min(a + 256, hi))
-            last = lo + int(np.searchsorted(n[lo:hi], longest[rows[-1]], "right"))
-            for b in range(a, last, 4096):
-                others = np.arange(b, min(b + 4096, last))
-                close = np.bitwise_count(bits[rows][:, None] ^ bits[others][None, :]) <= spare * (n[rows][:, None] + n[others][None, :]) + 1e-9
-                i, j = np.nonzero(close & (others[None, :] > rows[:, None]))
-                i, j = rows[i], others[j]
-                fit = n[j] <= longest[i]
-                i, j = i[fit], j[fit]
+    for hi, m in zip(np.cumsum(count)[count > small_group].tolist(), count[count > small_group].tolist(), strict=True):
+        lo = hi - m
+        tried, hit = np.zeros(m, np.int64), np.zeros(m, bool)
+        for b in range(lo, hi, 512):  # later rows
+            later = np.arange(b, min(b + 512, hi))
+            for a in range(lo, later[-1] + 1, 2048):  # earlier rows, first places first
+                earlier = np.arange(a, min(a + 2048, later[-1] + 1))
+                j, i = np.nonzero((np.bitwise_count(bits[later][:, None] ^ bits[earlier][None, :]) <= spare * (n[later][:, None] + n[earlier][None, :]) + 1e-9) & (earlier[None, :] < later[:, None]))
+                i, j = earlier[i], later[j]
                 good = near(i, j)
-                hit[i[good] - lo] = True
-                hit[j[good] - lo] = True
-        if hit.any():
-            large.append((int(word[lo]), np.sort(key[lo:hi][hit])))
-    return np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), _U), large
+                i, j = i[good], j[good]
+                if not len(i):
+                    continue
+                hit[i - lo] = hit[j - lo] = True
+                opens = np.flatnonzero(np.append(True, j[1:] != j[:-1]))
+                turn = np.arange(len(j)) - np.repeat(opens, np.diff(np.append(opens, len(j)))) + tried[j - lo]
+                pairs.append(np.stack((i, j))[:, turn < first_tries])
+                tried += np.bincount(j - lo, minlength=m)
+        if (tried > first_tries).any():
+            large.append((int(columns[0][order[lo]]), order[lo:hi][hit], tried[hit] > first_tries))
+    return order[np.concatenate(pairs, axis=1)], large
 
 
 def similar(x: set[bytes], y: set[bytes], threshold: float) -> bool:
@@ -207,9 +217,8 @@ def similar(x: set[bytes], y: set[bytes], threshold: float) -> bool:
 
 
 def _bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of BITMAP bits of hashed values, a table of fixed size; a bit too many only sends a line in vain."""
-    cell = F.pmod(F.xxhash64(column), F.lit(BITMAP))
-    words = values.select(cell.alias("c")).distinct().groupBy(F.expr("shiftright(c, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 AS int))")).alias("v")).collect()
+    """A bitmap of BITMAP bits from bit numbers, a table of fixed size; a bit too many only sends a line in vain."""
+    words = values.select(F.col(column).alias("c")).distinct().groupBy(F.expr("shiftright(c, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 AS int))")).alias("v")).collect()
     out = np.zeros(BITMAP // 64, np.int64)
     for w, v in words:
         out[w] = v
@@ -221,7 +230,7 @@ def keyed(docs: DataFrame) -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)), F.xxhash64("text")
 
 
-def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, small_group: int = SMALL_GROUP, cell: int = CELL) -> DataFrame:
     """(id, th, lines): numbers of the lines to remove, for rows that lose any; id and th as keyed() gives them."""
     order, digest = keyed(docs)
     source = docs.select(order.alias("id"), digest.alias("th"), "text")
@@ -245,10 +254,8 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rank = np.minimum(63, np.floor(2 * np.log2(1 + counts))).astype(np.uint8)
     spread = int(max(64, lines.count() // 20_000))
 
-    firsts = stash(lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("place")))
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, tuple[int, int]] = {}
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -262,8 +269,9 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array([pickle.dumps([_planes(x[a:b]) for x in columns], 5) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["part", "rows"])
 
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             for own in lines_of(batch.column(2), rank):
-                held.append(_prefixes(own, seen, threshold))
+                held.append(_prefixes(own, ids, seen, threshold))
             if sum(len(x[0]) for x in held) > 800_000:
                 yield from flush()
         if held:
@@ -271,44 +279,49 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         unpacked = [[_unplaned(x, kind) for x, kind in zip(pickle.loads(p), _PACK, strict=True)] for p in group["rows"]]
-        pairs, large = _candidates([np.concatenate(x) for x in zip(*unpacked, strict=True)], threshold)
-        frames = [pd.DataFrame({"word": -1, "by": 0, "bx": 0, "side": 0, "x": pairs[0].view(np.int64), "y": pairs[1].view(np.int64)})]
-        for word, keys in large:
-            block, keys = np.arange(len(keys)) // CELL, keys.view(np.int64)
+        columns = [np.concatenate(x) for x in zip(*unpacked, strict=True)]
+        (x, y), large = _candidates(columns, threshold, small_group)
+        key, doc, line = columns[1].view(np.int64), columns[3], columns[4]
+        frames = [pd.DataFrame({"word": -1, "by": 0, "bx": 0, "side": 0, "more": False, "id": doc[x], "line": line[x], "key": key[x], "id2": doc[y], "line2": line[y], "key2": key[y]}).drop_duplicates()]
+        for word, rows, more in large:
+            block = np.arange(len(rows)) // cell
             for by in range(block[-1] + 1):
                 for bx in range(by + 1):
-                    inside = np.flatnonzero((block == by) | (block == bx))
-                    frames.append(pd.DataFrame({"word": word * 4096 + int(group["part"].iloc[0]), "by": by, "bx": bx, "side": (block[inside] == bx).astype(np.int64), "x": keys[inside], "y": 0}))
+                    k = np.flatnonzero((block == by) | (block == bx))
+                    at = rows[k]
+                    frames.append(pd.DataFrame({"word": word * 4096 + int(group["part"].iloc[0]), "by": by, "bx": bx, "side": (block[k] == bx).astype(np.int64), "more": more[k] & (block[k] == by), "id": doc[at], "line": line[at], "key": key[at], "id2": 0, "line2": 0, "key2": 0}))
         return pd.concat(frames)
 
-    found = stash(arrow_map(source, send, "part int, rows binary").groupBy("part").applyInPandas(meet, "word long, by int, bx int, side int, x long, y long"))
-    pairs = found.where("word = -1").select("x", "y").distinct()
-    members = found.where("word <> -1").select("word", "by", "bx", "side", F.col("x").alias("key"))
-    wanted = stash(pairs.select(F.explode(F.array("x", "y")).alias("key")).union(members.select("key")).distinct().join(firsts, "key"))
-    keys = _bitmap(wanted, "key")
-    homes = _bitmap(wanted.select(F.col("place.id").alias("id")), "id")
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column(2).to_numpy()
-            chosen = batch.filter(pa.array((homes[bit >> 6] >> (bit & 63)) & 1 == 1))
-            ids = chosen.column(0).to_numpy()
-            for own in lines_of(chosen.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own.row]), pa.array(own.number.astype(np.int32)), pa.array(own.key.view(np.int64)), pa.array([own.text(k) for k in range(len(own.key))], pa.binary())], ["id", "line", "key", "words"])
-
-    homed = source.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("bit"))
-    fetched = arrow_map(homed, fetch, "id long, line int, key long, words binary").withColumn("bit", F.pmod(F.xxhash64("key"), F.lit(BITMAP)))
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column(4).to_numpy()
-            kept = batch.filter(pa.array((keys[bit >> 6] >> (bit & 63)) & 1 == 1))
-            packed = pa.array([zlib.compress(w, 1) for w in kept.column(3).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), packed], ["id", "line", "key", "words"])
-
-    # Only the line at a set's first place is kept: one text per set, without gathering its copies.
-    near = arrow_map(fetched, only, "id long, line int, key long, words binary", 8192)
-    texts = stash(near.join(wanted.select("key", F.col("place.id").alias("id"), F.col("place.line").alias("line")), ["key", "id", "line"]).groupBy("key").agg(F.first("id").alias("id"), F.first("line").alias("line"), F.first("words").alias("words")))
+    found = stash(arrow_map(source, send, "part int, rows binary").groupBy("part").applyInPandas(meet, "word long, by int, bx int, side int, more boolean, id long, line int, key long, id2 long, line2 int, key2 long"))
+    at = ["id", "line", "key"]
+    second = [F.col(f"{c}2").alias(c) for c in at]
+    pairs = found.where("word = -1").select(*at, "id2", "line2", "key2").distinct()
+    members = found.where("word <> -1").select("word", "by", "bx", "side", "more", *at)
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(id, line, key, words) of wanted places. Bitmaps let only these leave the scan; one text per set, never its copies."""
+        wanted = stash(wanted.distinct())
+        spot = F.pmod(F.xxhash64("id", "line", "key"), F.lit(BITMAP))
+        places, homes = _bitmap(wanted.select(spot.alias("v")), "v"), _bitmap(wanted.select(F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("v")), "v")
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bit = batch.column(2).to_numpy()
+                chosen = batch.filter(pa.array((homes[bit >> 6] >> (bit & 63)) & 1 == 1))
+                ids = chosen.column(0).to_numpy()
+                for own in lines_of(chosen.column(1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own.row]), pa.array(own.number.astype(np.int32)), pa.array(own.key.view(np.int64)), pa.array([own.text(k) for k in range(len(own.key))], pa.binary())], ["id", "line", "key", "words"])
+
+        def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bit = batch.column(4).to_numpy()
+                kept = batch.filter(pa.array((places[bit >> 6] >> (bit & 63)) & 1 == 1))
+                packed = pa.array([zlib.compress(w, 1) for w in kept.column(3).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), packed], ["id", "line", "key", "words"])
+
+        homed = source.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("bit"))
+        fetched = arrow_map(homed, fetch, "id long, line int, key long, words binary").withColumn("bit", spot)
+        return arrow_map(fetched, only, "id long, line int, key long, words binary", 8192).join(wanted, at, "left_semi").groupBy(*at).agg(F.first("words").alias("words"))
 
     def bag(packed: bytes) -> set[bytes]:
         return set(zlib.decompress(packed).split())
@@ -319,11 +332,9 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             good = [k for k, p, q in zip(later, a, b, strict=True) if similar(bag(p), bag(q), threshold)]
             yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], ["key"])
 
-    def side(c: str) -> DataFrame:
-        return texts.select(F.col("key").alias(c), F.struct("id", "line").alias(f"at_{c}"), F.col("words").alias(f"w{c}"))
-
-    both = pairs.join(side("x"), "x").join(side("y"), "y").where("at_x <> at_y").select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("later"), "wx", "wy")
-    from_pairs = arrow_map(both, check_pairs, "key long", 4096)
+    texts = stash(texts_of(pairs.select(*at).union(pairs.select(*second))))
+    both = pairs.join(texts.withColumnRenamed("words", "wx"), at).select(*second, "wx").join(texts, at).select("key", "wx", "words")
+    later = stash(arrow_map(both, check_pairs, "key long", 4096).distinct())
 
     def check_cell(group: pd.DataFrame) -> pd.DataFrame:
         """Each line against the earlier lines of the other side (of the same block, if there is one), up to the first match."""
@@ -331,18 +342,21 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         same = bool((group["by"] == group["bx"]).iloc[0])
         earlier: dict[int, list[tuple[tuple[int, int], set[bytes]]]] = {0: [], 1: []}
         out = []
-        for key, words, at_side, *place in group[["key", "words", "side", "id", "line"]].itertuples(index=False):
-            own, here = bag(words), tuple(place)
+        for key, words, at_side, *spot in group[["key", "words", "side", "id", "line"]].itertuples(index=False):
+            own, here = bag(words), tuple(spot)
             if any(p < here and similar(x, own, threshold) for p, x in earlier[at_side if same else 1 - at_side]):
                 out.append(key)
             earlier[at_side].append((here, own))
         return pd.DataFrame({"key": pd.Series(out, dtype="int64")})
 
-    celled = members.join(texts, "key").withColumn("cell", F.xxhash64("word", "by", "bx"))
-    from_cells = celled.groupBy("cell").applyInPandas(check_cell, "key long")
-    later = stash(from_pairs.union(from_cells).distinct())
-    verdict = firsts.join(later.withColumn("goes", F.lit(True)), "key", "left").select("key", F.col("place"), F.coalesce("goes", F.lit(False)).alias("goes"))
-    gone = lines.join(verdict, "key").where(F.col("goes") | (F.struct("id", "line") > F.col("place")))
+    # Cells run only for words with a line that has more candidates than were tried and no match among those.
+    open_words = stash(members.where("more").join(later, "key", "left_anti").select("word").distinct())
+    if open_words.limit(1).count():
+        open_members = stash(members.drop("more").join(open_words, "word", "left_semi"))
+        celled = open_members.join(stash(texts_of(open_members.select(*at))), at).withColumn("cell", F.xxhash64("word", "by", "bx"))
+        later = stash(later.union(celled.groupBy("cell").applyInPandas(check_cell, "key long")).distinct())
+    firsts = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("place")).join(later.withColumn("goes", F.lit(True)), "key", "left")
+    gone = lines.join(firsts, "key").where(F.col("goes").isNotNull() | (F.struct("id", "line") > F.col("place")))
     return gone.groupBy("id", "th").agg(F.collect_set("line").alias("lines"))
 
 
@@ -353,15 +367,26 @@ def drop_lines(text: str | None, lines: list[int] | None) -> str | None:
     return "\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in gone)
 
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, small_group: int = SMALL_GROUP, cell: int = CELL) -> DataFrame:
     """docs with the repeated lines taken out of text, plus n_lines and n_removed."""
     order, digest = keyed(docs)
-    gone = stash(repeated_lines(docs, threshold)).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines")).hint("shuffle_hash")
-    columns = docs.columns
-    joined = docs.withColumns({"__a": order, "__b": digest}).join(gone, (F.col("__a") == F.col("__id")) & (F.col("__b") == F.col("__th")), "left")
+    gone = stash(repeated_lines(docs, threshold, small_group, cell))
+    homes = _bitmap(gone.select(F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("v")), "v")
+
+    @F.pandas_udf("boolean")
+    def listed(bit: pd.Series) -> pd.Series:
+        b = bit.to_numpy()
+        return pd.Series((homes[b >> 6] >> (b & 63)) & 1 == 1)
+
+    columns, count = docs.columns, F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines")
+    marked = docs.withColumns({"__a": order, "__b": digest, "__loses": listed(F.pmod(F.xxhash64(order), F.lit(BITMAP)))})
+    # Only documents that may lose lines are shuffled; the bitmap misses none.
+    as_is = marked.where(~F.col("__loses")).select(*[F.col(f"`{c}`") for c in columns], count, F.lit(0).cast("long").alias("n_removed"))
+    named = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines")).hint("shuffle_hash")
+    joined = marked.where("__loses").join(named, (F.col("__a") == F.col("__id")) & (F.col("__b") == F.col("__th")), "left")
     kept = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__lines"), s["i"])), lambda s: s["x"])
     text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_removed"))
+    return as_is.union(joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], count, F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_removed")))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -392,12 +392,8 @@ def test_line_dedup_equals_brute_force(spark, docs, empty):
         variants.append(" ".join(v))
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(5000 - i, "\n".join(variants[i * 4 : i * 4 + 4]) + "\n") for i in range(30)] + [(None, variants[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).withColumn("x", F.lit(1)).withColumn("place", F.lit(2))
-    old = linededup.SMALL_GROUP, linededup.CELL
-    linededup.SMALL_GROUP, linededup.CELL = 8, 32
-    try:
-        got = linededup.deduplicate(df).collect()
-    finally:
-        linededup.SMALL_GROUP, linededup.CELL = old
+    got = linededup.deduplicate(df, small_group=6, cell=16).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(r.doc_id, r.text) for r in linededup.deduplicate(df).collect()}
     want = slow_lines(rows)
     for r in got:
         text = dict(rows)[r.doc_id]
