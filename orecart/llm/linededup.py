@@ -321,7 +321,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, small_group: i
 
         homed = source.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("bit"))
         fetched = arrow_map(homed, fetch, "id long, line int, key long, words binary").withColumn("bit", spot)
-        return arrow_map(fetched, only, "id long, line int, key long, words binary", 8192).join(wanted, at, "left_semi").groupBy(*at).agg(F.first("words").alias("words"))
+        return arrow_map(fetched, only, "id long, line int, key long, words binary").join(wanted, at, "left_semi").groupBy(*at).agg(F.first("words").alias("words"))
 
     def bag(packed: bytes) -> set[bytes]:
         return set(zlib.decompress(packed).split())
@@ -334,7 +334,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, small_group: i
 
     texts = stash(texts_of(pairs.select(*at).union(pairs.select(*second))))
     both = pairs.join(texts.withColumnRenamed("words", "wx"), at).select(*second, "wx").join(texts, at).select("key", "wx", "words")
-    later = stash(arrow_map(both, check_pairs, "key long", 4096).distinct())
+    later = stash(arrow_map(both, check_pairs, "key long").distinct())
 
     def check_cell(group: pd.DataFrame) -> pd.DataFrame:
         """Each line against the earlier lines of the other side (of the same block, if there is one), up to the first match."""
