@@ -37,10 +37,10 @@ from orecart.llm.suffix import suffix_array
 
 LENGTH, PIECE = 50, 25
 #: Bits of a cell, by which anchors are counted, and of the bitmap.
-CELL_BITS, MAP_BITS = 34, 28
+CELL_BITS, MAP_BITS = 34, 27
 #: Bytes of concatenated contexts sorted at once.
 SORT_BYTES = 192 << 10
-_SLICE = 1 << 19
+_SLICE = 1 << 18
 _U = np.uint64
 _POS = _U((1 << 24) - 1)
 
@@ -204,9 +204,9 @@ def covered(docs: DataFrame) -> DataFrame:
                 each = np.unique(((own.anchor >> _U(64 - CELL_BITS)) << _U(20)) | (own.row - (own.row[0] if len(own.row) else 0)).astype(_U))
                 cell, n = np.unique(each >> _U(20), return_counts=True)
                 held.append((cell << _U(1)) | (n > 1).astype(_U))
-            if sum(map(len, held)) > 2_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 held[:] = [merged()]
-                if len(held[0]) > 1_000_000:
+                if len(held[0]) > 500_000:
                     yield pack(held.pop())
         yield pack(merged())
 
@@ -221,7 +221,7 @@ def covered(docs: DataFrame) -> DataFrame:
         marked = cell[same | (cells & _U(1) == 1)] >> _U(CELL_BITS - MAP_BITS)
         return pd.DataFrame({"kind": ["bits"], "part": [part], "packed": [_bits(marked, part, parts_log)]})
 
-    repeated = spark.sparkContext.broadcast(_collect_bitmap(arrow_map(source, count, _SCHEMA).groupBy("part").applyInPandas(shared, _SCHEMA)))
+    repeated = spark.sparkContext.broadcast(_collect_bitmap(arrow_map(source, count, _SCHEMA, 128).groupBy("part").applyInPandas(shared, _SCHEMA)))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, held = repeated.value, []
@@ -237,7 +237,7 @@ def covered(docs: DataFrame) -> DataFrame:
                 take = np.flatnonzero(_hit(bitmap, own.anchor))
                 row = own.row[take]
                 held.append((own.anchor[take], own.form[take], ids[row], ths[row], own.lo[take].astype(np.uint32), own.windows[take].astype(np.uint8)))
-            if sum(len(x[0]) for x in held) > 400_000:
+            if sum(len(x[0]) for x in held) > 120_000:
                 yield pack()
         if held:
             yield pack()
@@ -262,7 +262,7 @@ def covered(docs: DataFrame) -> DataFrame:
             out.append(("bits", part, _bits(np.unique(anchor[open_]) >> _U(64 - MAP_BITS), part, parts_log)))
         return pd.DataFrame(out, columns=["kind", "part", "packed"])
 
-    resolved = stash(arrow_map(source, places, _SCHEMA).groupBy("part").applyInPandas(resolve, _SCHEMA))
+    resolved = stash(arrow_map(source, places, _SCHEMA, 128).groupBy("part").applyInPandas(resolve, _SCHEMA))
     several = spark.sparkContext.broadcast(_collect_bitmap(resolved))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +282,7 @@ def covered(docs: DataFrame) -> DataFrame:
                     if f not in seen:
                         seen.add(f)
                         held.append((int(own.anchor[k]), f, own.text(k)))
-            if len(held) > 100_000:
+            if len(held) > 30_000:
                 yield pack()
         if held:
             yield pack()
@@ -328,7 +328,7 @@ def covered(docs: DataFrame) -> DataFrame:
             out.extend(_spans(doc[part][r], th[part][r], lo[part][r] + step[starts], step[ends] - step[starts] + LENGTH, parts))
         return pd.DataFrame(out, columns=["kind", "part", "packed"])
 
-    given = resolved.where("kind = 'place'").union(arrow_map(source, strings, _SCHEMA))
+    given = resolved.where("kind = 'place'").union(arrow_map(source, strings, _SCHEMA, 128))
     sorted_spans = given.groupBy("part").applyInPandas(sort, _SCHEMA)
     spans = resolved.where("kind = 'span'").union(sorted_spans)
 
@@ -381,7 +381,7 @@ def strip(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return arrow_map(joined, cut, schema)
+    return arrow_map(joined, cut, schema, 128)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
