@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orecart import rules
 from orecart.functions.names import is_plausible, split_name
-from orecart.functions.text import ascii_bounds, matches
+from orecart.functions.text import ascii_bounds, let, matches
 
 
 def normalize_email(raw: Column) -> Column:
@@ -69,20 +69,25 @@ def name_title(line: Column) -> Column:
 
 def contact(full_name: Column, title: Column, email: Column, phone: Column, source_url: Column, profile_urls: Column | None = None, page_id: Column | None = None) -> Column:
     """A normalised contact struct."""
-    name = F.when(is_plausible(full_name), F.trim(full_name)).otherwise(F.lit(""))
-    names, mail, tel, job = split_name(name), normalize_email(email), normalize_phone(phone), F.trim(F.coalesce(title, F.lit("")))
-    source = F.coalesce(source_url, F.lit(""))
-    return F.struct(
-        name.alias("full_name"),
-        names["first_name"].alias("first_name"),
-        names["last_name"].alias("last_name"),
-        job.alias("title"),
-        normalize_role(title).alias("role_category"),
-        mail.alias("email"),
-        tel.alias("phone"),
-        (F.array_distinct(F.filter(profile_urls, lambda u: u != "")) if profile_urls is not None else F.array().cast("array<string>")).alias("profile_urls"),
-        source.alias("source_url"),
-        F.filter(F.array(source), lambda u: u != "").alias("source_urls"),
-        (F.array_compact(F.array(page_id.cast("long"))) if page_id is not None else F.array().cast("array<bigint>")).alias("page_ids"),
-        confidence(name, mail, tel, job).alias("confidence"),
-    )
+    given = F.struct(F.when(is_plausible(full_name), F.trim(full_name)).otherwise(F.lit("")).alias("name"), normalize_email(email).alias("mail"), normalize_phone(phone).alias("tel"), F.trim(F.coalesce(title, F.lit(""))).alias("job"), F.coalesce(source_url, F.lit("")).alias("source"))
+    urls = F.array_distinct(F.filter(profile_urls, lambda u: u != "")) if profile_urls is not None else F.array().cast("array<string>")
+    pages = F.array_compact(F.array(page_id.cast("long"))) if page_id is not None else F.array().cast("array<bigint>")
+
+    def fill(v: Column) -> Column:
+        names = split_name(v["name"])
+        return F.struct(
+            v["name"].alias("full_name"),
+            names["first_name"].alias("first_name"),
+            names["last_name"].alias("last_name"),
+            v["job"].alias("title"),
+            normalize_role(v["job"]).alias("role_category"),
+            v["mail"].alias("email"),
+            v["tel"].alias("phone"),
+            urls.alias("profile_urls"),
+            v["source"].alias("source_url"),
+            F.filter(F.array(v["source"]), lambda u: u != "").alias("source_urls"),
+            pages.alias("page_ids"),
+            confidence(v["name"], v["mail"], v["tel"], v["job"]).alias("confidence"),
+        )
+
+    return let(given, fill)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from orecart import rules
-from orecart.functions.text import literals, squeeze
+from orecart.functions.text import let, literals, squeeze
 
 
 def name_key(name: Column) -> Column:
@@ -20,7 +20,10 @@ def name_tokens(name: Column) -> Column:
 
 def is_plausible(raw: Column) -> Column:
     """Whether a fragment reads as a person's name rather than a label, a title, an address or prose."""
-    name = squeeze(raw)
+    return let(squeeze(raw), _is_plausible)
+
+
+def _is_plausible(name: Column) -> Column:
     parts = F.filter(F.split(F.regexp_replace(name, ",", " "), r"\s+"), lambda p: p != "")
     bare = F.transform(parts, lambda p: F.lower(F.regexp_replace(F.regexp_replace(p, "^[\"'’(\\[{]+|[\"'’)\\]}]+$", ""), "[.,]$", "")))
     stop, small = literals(rules.NAME_STOP_WORDS), literals(rules.NAME_PARTICLES + rules.NAME_SUFFIXES)
@@ -43,7 +46,10 @@ def is_plausible(raw: Column) -> Column:
 
 def split_name(full: Column) -> Column:
     """struct(first_name, last_name)."""
-    name = squeeze(full)
+    return let(squeeze(full), _split_name)
+
+
+def _split_name(name: Column) -> Column:
     comma, parts = F.split(name, ","), F.split(name, " ")
     first = F.when(name.contains(","), F.trim(F.coalesce(F.get(comma, F.lit(1)), F.lit("")))).when(F.size(parts) == 1, name).otherwise(F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - 1)), " "))
     last = F.when(name.contains(","), F.trim(comma[0])).when(F.size(parts) == 1, F.lit("")).otherwise(F.element_at(parts, -1))

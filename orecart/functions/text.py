@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(value) with value worked out once, where fn names it many times."""
+    return F.transform(F.array(value), lambda v: fn(v))[0]
+
+
 def ascii_bounds(pattern: str) -> str:
     r"""Java's \b knows all letters; the rules mean the ASCII bound, as RE2 and browsers have it."""
     return pattern.replace(r"\b", r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orecart import rules
 from orecart.functions.company import profile_text
-from orecart.functions.text import ascii_bounds, literals, matches
+from orecart.functions.text import ascii_bounds, let, literals, matches
 
 
 def listed(value: Sequence[str] | str | None) -> list[str]:
@@ -35,7 +35,10 @@ def _joined(prefix: str, terms: Column) -> Column:
 
 
 def product_fit(profile: Column, icp: Mapping) -> Column:
-    text = F.lower(profile_text(profile))
+    return let(F.lower(profile_text(profile)), lambda text: _product_fit(profile, text, icp))
+
+
+def _product_fit(profile: Column, text: Column, icp: Mapping) -> Column:
     phrases = list(dict.fromkeys([*listed(icp.get("company_types") or icp.get("companyTypes")), *listed(icp.get("industries"))]))
     terms = list(dict.fromkeys(t for p in phrases for t in words(p, rules.PLAN_STOP_WORDS) if t not in rules.ICP_STOP_WORDS))
     exact = F.filter(literals(phrases), lambda p: text.contains(F.lower(p)))
@@ -62,7 +65,10 @@ def plan_fit(profile: Column, plan: Mapping | None) -> Column:
     terms = plan_terms(plan)
     if not terms:
         return _verdict("review", "no search plan terms")
-    text = F.lower(profile_text(profile))
+    return let(F.lower(profile_text(profile)), lambda text: _plan_fit(profile, text, plan, terms))
+
+
+def _plan_fit(profile: Column, text: Column, plan: Mapping, terms: list[str]) -> Column:
     content = (F.coalesce(profile["company_description"], F.lit("")) != "") | (F.size(profile["industries"]) > 0) | (F.size(profile["products_services"]) > 0)
     found = F.filter(literals(terms), lambda t: text.contains(t))
     matched = _joined("matches: ", found)
@@ -117,14 +123,19 @@ def buyer_role(profile: Column, icp: Mapping) -> Column:
 def qualify(profile: Column, plan: Mapping | None = None, icp: Mapping | None = None, domain: Column | None = None) -> Column:
     """struct(status, reasons, evidence): stops at the first gate that fails; any review gives review."""
     icp, domain = icp or {}, domain if domain is not None else F.lit("")
-    a, b, c, d = product_fit(profile, icp), plan_fit(profile, plan), geography(profile, icp, plan, domain), buyer_role(profile, icp)
+    gates = F.struct(product_fit(profile, icp).alias("a"), plan_fit(profile, plan).alias("b"), geography(profile, icp, plan, domain).alias("c"), buyer_role(profile, icp).alias("d"))
     merged = lambda status, *vs: F.struct(status.alias("status"), F.flatten(F.array(*[v["reasons"] for v in vs])).alias("reasons"), F.flatten(F.array(*[v["evidence"] for v in vs])).alias("evidence"))
-    review = reduce(lambda x, v: x | (v["status"] == "review"), (b, c, d), a["status"] == "review")
-    return (
-        F.when(a["status"] == "not_qualified", merged(F.lit("not_qualified"), a))
-        .when(b["status"] == "not_qualified", merged(F.lit("not_qualified"), a, b))
-        .otherwise(merged(F.when(review, "review").otherwise("qualified"), a, b, c, d))
-    )
+
+    def close(v: Column) -> Column:
+        a, b, c, d = (v[k] for k in "abcd")
+        review = reduce(lambda x, y: x | (y["status"] == "review"), (b, c, d), a["status"] == "review")
+        return (
+            F.when(a["status"] == "not_qualified", merged(F.lit("not_qualified"), a))
+            .when(b["status"] == "not_qualified", merged(F.lit("not_qualified"), a, b))
+            .otherwise(merged(F.when(review, "review").otherwise("qualified"), a, b, c, d))
+        )
+
+    return let(gates, close)
 
 
 def first_signal(text: Column, signals: Sequence[tuple[str, str]], ignore_case: bool = False) -> Column:

@@ -54,7 +54,7 @@ class Engine:
         own = pages.withColumn("domain", U.registrable(U.hostname(F.col("url"))))
         if run_domains is not None:
             own = own.join(run_domains.select("domain").distinct(), "domain", "left_semi")
-        firms = extract.companies(own)
+        firms = extract.companies(own).checkpoint()
         verdict = qualify.qualify(F.col("payload"), plan, icp, F.col("domain"))
         records = firms.withColumn("verdict", verdict).select("*", F.col("verdict.status").alias("qualification_status"), F.col("verdict.reasons").alias("qualification_reasons")).drop("verdict")
         gated = extract.contact_gate(own, records) if plan else own
