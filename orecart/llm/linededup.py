@@ -173,10 +173,11 @@ def _candidates(columns: list[np.ndarray], threshold: float, small_group: int =
     spare = (1 - threshold) / (1 + threshold)
 
     def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        good = np.flatnonzero(np.bitwise_count(bits[i] ^ bits[j]) <= spare * (n[i] + n[j]) + 1e-9)
-        i, j = i[good], j[good]
+        need = least_overlap(n[i], n[j], threshold)
+        good = np.flatnonzero(np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * need)
+        i, j, need = i[good], j[good], need[good]
         reach = 1 + np.minimum(n[i] - position[i] - 1, n[j] - position[j] - 1)
-        fit = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (reach >= least_overlap(n[i], n[j], threshold)) & (place[i] != place[j])
+        fit = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (reach >= need) & (place[i] != place[j])
         return good[fit]
 
     pairs = [np.zeros((2, 0), np.int64)]
