@@ -81,7 +81,8 @@ class Contexts:
             lo, hi = start[cut], np.append(start[cut[1:] - 1], start[-1])
             anchor, doc = anchor[cut], doc[cut]
             self.at, self.row, self.lo = lo, first_row + doc, lo - at[:-1][doc] + skip
-            self.windows, self.offset, self.anchor = hi - lo + 1, anchor - lo, piece[anchor]
+            # Mixed once more: a least hash is small, and its leading bits would deal out unevenly.
+            self.windows, self.offset, self.anchor = hi - lo + 1, anchor - lo, mix64(piece[anchor] ^ _U(_P))
             self.form = mix64((prefix[hi + LENGTH] - prefix[lo]) * back[lo] + self.offset.astype(_U) * _U(0xC4CEB9FE1A85EC53) + self.windows.astype(_U))
 
     def text(self, k: int) -> bytes:
