@@ -1,4 +1,4 @@
-"""Corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing, byte-level BPE.
+"""Corpus pipeline: language ID, line dedup, near-dedup, mixing, byte-level BPE.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet
 in shared storage and reads it back as the next stage's docs.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orecart.llm import bpe, langid, linededup, mixing, simhash
+from orecart.llm import bpe, langid, linededup, mixing, neardup
 from orecart.llm.common import documents, shared_dir, stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_first(docs.select(*COLUMNS), words=5)
+    """One document of each group stays; texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more link."""
+    return neardup.keep_first(docs.select(*COLUMNS), words=5, threshold=0.8)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, with_ids=True)
 
 
-STAGES = [("language ID", language), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing", mixture), ("byte-level BPE", encode)]
+STAGES = [("language ID", language), ("line dedup", lines), ("near-dedup", near_duplicates), ("mixing", mixture), ("byte-level BPE", encode)]
 
 #: Language ID and near-dedup have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

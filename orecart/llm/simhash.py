@@ -136,9 +136,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     return rows.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component: the row with the smallest doc_id; of rows that repeat that id one stays. Rows without an id go only if their component has one with an id."""
-    found = near_duplicates(docs, words, distance)
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One document of each component of found (doc_id, th, root, component_id): the row with the smallest doc_id; of rows that repeat that id one stays. Rows without an id go only if their component has one with an id."""
     first = found.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k"), F.count("*").alias("rows")).select("k.*", "rows")
     alone = found.where("component_id IS NULL").groupBy("doc_id", "th").agg(F.lit(0).cast("long").alias("rows"))
     kept = stash(first.union(alone))
@@ -151,6 +150,11 @@ def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) ->
     return named.unionByName(out.where(F.col("doc_id").isNull())).drop("__th")
 
 
+def keep_first(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """One document of each component."""
+    return first_rows(docs, near_duplicates(docs, words, distance))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
