@@ -42,11 +42,48 @@ def band(score: Column) -> Column:
     return F.when(score >= rules.ACCEPT, "accepted").when(score >= rules.MINIMUM, "review").otherwise("rejected")
 
 
-def blocks(name: Column, domain: Column) -> Column:
-    """Keys of which a pair that scores must share one: tokens, and 4-grams of the slug and the domain stem for containment."""
-    key, stem = slug(name), slug(domain_stem(domain))
-    grams = lambda s: F.when(F.length(s) >= 4, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - 3)), lambda i: F.substr(s, i, F.lit(4)))).otherwise(F.array(s))
-    return F.filter(F.array_distinct(F.concat(tokens(name, True), grams(key), grams(legal_key(name)), grams(stem))), lambda x: F.coalesce(x, F.lit("")) != "")
+def _windows(s: Column, size: int) -> Column:
+    """Substrings of one length."""
+    return F.when(F.length(s) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - (size - 1))), lambda i: F.substr(s, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def _shared_blocks(name: Column, stem: Column) -> Column:
+    """Tokens, and 4-grams of the keys and the stem for containment of four characters or more."""
+    grams = lambda s: F.when(F.length(s) >= 4, _windows(s, 4)).otherwise(F.array(s))
+    return F.concat(tokens(name, True), grams(slug(name)), grams(legal_key(name)), grams(stem))
+
+
+def _tagged(tag: str, values: Column) -> Column:
+    return F.transform(F.filter(values, lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.concat(F.lit(tag), x))
+
+
+def _short(*values: Column) -> Column:
+    return F.filter(F.array(*values), lambda x: F.length(x).between(1, 3))
+
+
+def company_blocks(name: Column, domain: Column) -> Column:
+    """Keys of which a company shares one with every candidate that scores.
+
+    Short keys meet apart from the others: "k:" candidates' keys of up to 3 characters within a company key of 4 or more,
+    "d:" the company's stem of up to 3 within a candidate key, "r:" names with a key of up to 3 within the written name,
+    "e:" candidates without a key, which every company key of 4 or more contains.
+    """
+    key, legal, stem = slug(name), legal_key(name), slug(domain_stem(domain))
+    text = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    none = F.array().cast("array<string>")
+    grams = F.flatten(F.array(*[F.when(F.length(k) >= 4, _windows(k, size)).otherwise(none) for k in (key, legal) for size in (1, 2, 3)]))
+    said = F.when((F.length(key) < 4) & (F.length(text) >= 4), F.array(F.substr(text, F.lit(1), F.lit(4)))).otherwise(none)
+    empty = F.when(F.length(key) >= 4, F.array(F.lit("e:"))).otherwise(none)
+    return F.array_distinct(F.concat(F.filter(_shared_blocks(name, stem), lambda x: F.coalesce(x, F.lit("")) != ""), _tagged("k:", grams), _tagged("d:", _short(stem)), _tagged("r:", said), empty))
+
+
+def candidate_blocks(name: Column) -> Column:
+    """The counterpart of company_blocks, without "e:"."""
+    key, legal = slug(name), legal_key(name)
+    text = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    grams = F.flatten(F.array(*[_windows(legal, size) for size in (1, 2, 3)]))
+    said = F.filter(_windows(text, 4), lambda x: x.rlike("[^a-z0-9]"))
+    return F.array_distinct(F.concat(F.filter(_shared_blocks(name, F.lit("")), lambda x: F.coalesce(x, F.lit("")) != ""), _tagged("k:", _short(key, legal)), _tagged("d:", grams), _tagged("r:", said)))
 
 
 def best_match(pairs: DataFrame, key: str, score: str, order: str) -> DataFrame:
@@ -67,9 +104,12 @@ def technology_hints(repos: DataFrame, key: str, language: str, topics: str) ->
 def enrich(companies: DataFrame, candidates: DataFrame, score: Column) -> DataFrame:
     """Best candidate per company with its band. Weak matches keep the record for review but carry no people.
 
-    companies: company_id, name, domain; candidates: candidate_id, name, domain. Pairs meet on shared blocks.
+    companies: company_id, name, domain; candidates: candidate_id, name, domain. Pairs meet on shared blocks, which lose no pair that org_score or registry_score (without CIN and description) puts first.
     """
-    left = companies.select("company_id", F.col("name").alias("company_name"), F.col("domain").alias("company_domain"), F.explode(blocks(F.col("name"), F.col("domain"))).alias("block"))
-    right = candidates.select("candidate_id", F.col("name").alias("candidate_name"), F.explode(blocks(F.col("name"), F.lit(""))).alias("block"))
+    left = companies.select("company_id", F.col("name").alias("company_name"), F.col("domain").alias("company_domain"), F.explode(company_blocks(F.col("name"), F.col("domain"))).alias("block"))
+    right = candidates.select("candidate_id", F.col("name").alias("candidate_name"), F.explode(candidate_blocks(F.col("name"))).alias("block"))
+    # Candidates without a key all score alike with a company, so the first of them stands for all.
+    blank = candidates.where(slug(F.col("name")) == "").orderBy("candidate_id").limit(1).select("candidate_id", F.col("name").alias("candidate_name"), F.lit("e:").alias("block"))
+    right = right.union(blank)
     pairs = left.join(right, "block").drop("block").distinct().withColumn("score", score).where(F.col("score") >= rules.MINIMUM)
     return best_match(pairs, "company_id", "score", "candidate_id").withColumn("band", band(F.col("score"))).withColumn("carries_people", F.col("band") == "accepted")

@@ -83,6 +83,20 @@ def test_ld_persons_are_found_at_any_depth():
     assert [p["name"] for p in H.ld_persons(data)] == ["A", "B"]
 
 
+def test_enrich_equals_scoring_every_pair(spark):
+    names = ["Sapient", "SAP", "SAP Private Limited", "ibmindia", "Q", "X SAP", "A.B. & C", "the a.b. & c group", "日本電気株式", "日本電気株式会社", "Acme Solar", "acme", "ab", "Abc", "Tata Steel Limited", "tata", "", "é", None]
+    domains = ["ibm.com", "", "q.in", "acme.com", None]
+    companies = spark.createDataFrame([(i, n, domains[i % 5]) for i, n in enumerate(names * 2)], "company_id long, name string, domain string")
+    for score, kept in ((matching.org_score(F.col("candidate_name"), F.col("candidate_name"), F.lit(""), F.col("company_name"), F.col("company_domain")), names), (matching.registry_score(F.col("candidate_name"), F.lit(""), F.col("company_name"), F.lit(""), F.col("company_domain")), names)):
+        for some in (kept, kept[1:6], ["é", "", "zz"], ["ibmindia"]):
+            candidates = spark.createDataFrame([(i, n, "") for i, n in enumerate(some)], "candidate_id long, name string, domain string")
+            every = companies.selectExpr("company_id", "name AS company_name", "domain AS company_domain").crossJoin(candidates.selectExpr("candidate_id", "name AS candidate_name")).withColumn("score", score).where("score >= 0.6")
+            want = matching.best_match(every, "company_id", "score", "candidate_id")
+            got = matching.enrich(companies, candidates, score)
+            columns = ["company_id", "candidate_id", "score"]
+            assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
 def person(seq, name, **more):
     base = {"seq": seq, "scope": 1, "name": name, "name_key": name.lower(), "email": None, "phone": None, "profile_urls": [], "source_urls": [], "page_ids": [], "source_refs": [], "titles": [], "role_category": None, "sources": ["website"], "company_domain": "a.com", "confidence": 0.5}
     return {**base, **more}
