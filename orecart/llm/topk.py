@@ -8,8 +8,9 @@ shard to shard. A node is opened only if `q.c + |q| r` can still reach the kth s
 
 Defined cases: a null id, a null vector, and a vector with a null or non-finite component take no
 part. Only vectors of one dimension are compared with each other. All rows that repeat an id count
-as the query's own and are no candidates of it. Equal scores go to the smaller id. Fewer than k
-candidates: all are returned. An empty table gives an empty result. Extra columns are ignored.
+as the query's own and are no candidates of it. An id that several rows repeat, with equal or other
+vectors, is one candidate with its highest score; query rows of one id share one result. Equal scores
+go to the smaller id. Fewer than k candidates: all are returned. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,12 +65,13 @@ class BallTree:
 
         build(0, len(ids))
         self.ids, self.rows = ids[order], rows[order]
+        self.repeats = len(np.unique(ids)) < len(ids)
         self.centres, self.radii = np.array(centres), np.array(radii)
         # Products stay exact in doubles below 2**53; else integers are multiplied.
         self.reach = float(np.abs(points).max(initial=0.0))
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, best: list[list[tuple[int, int]]], k: int) -> None:
-        """Merge this tree's rows into best: per query a list of (-score, id), sorted, k at most."""
+        """Merge this tree's rows into best: per query a list of (-score, id), sorted, k distinct ids at most."""
         q = queries.astype(np.float64)
         exact = self.reach * float(np.abs(q).max(initial=0.0)) * max(1, q.shape[1]) < 2**52
         rows = self.rows.astype(np.float64) if exact else self.rows
@@ -97,10 +99,18 @@ class BallTree:
                     take &= scores >= -kept[-1][0]
                 found = np.flatnonzero(take)
                 if len(found) > k:
-                    found = found[np.lexsort((ids[found], -scores[found]))[:k]]
+                    found = found[np.lexsort((ids[found], -scores[found]))]
+                    if self.repeats:
+                        found = found[np.sort(np.unique(ids[found], return_index=True)[1])]
+                    found = found[:k]
                 if len(found):
                     kept.extend((-int(scores[j]), int(ids[j])) for j in found)
                     kept.sort()
+                    if self.repeats:  # the first of an id has its highest score
+                        first: dict[int, int] = {}
+                        for score, vec_id in kept:
+                            first.setdefault(vec_id, score)
+                        kept[:] = [(score, vec_id) for vec_id, score in first.items()]
                     del kept[k:]
 
 
@@ -162,7 +172,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     found = met.mapInPandas(meet, "query_id long, vec_id long, score long")
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_topk_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,24 @@ def test_topk_of_few_and_none(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_of_repeated_ids(spark):
+    rnd = random.Random(9)
+    rows = [(i, [rnd.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(60)]
+    rows += [(70, [9.0] * 4)] * 5 + [(71, [8.0] * 4), (71, [-8.0] * 4), (71, [7.0, 8.0, 8.0, 9.0])] + [(0, [1.0, 1.0, 1.0, 1.0]), rows[10], rows[10]]
+    for shard_rows in (4096, 8):
+        got = defaultdict(list)
+        for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0, shard_rows=shard_rows, block_rows=3).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        for q in (0, 10, 20, 70):
+            best = {}
+            for i, a in rows:
+                if i == q:
+                    for j, b in rows:
+                        if j != q:
+                            best[j] = max(best.get(j, -(10**9)), sum(int(256 * x) * int(256 * y) for x, y in zip(a, b, strict=True)))
+            assert got[q] == sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+
+
 # --- op2 and op5 ---
 
 
