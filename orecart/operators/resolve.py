@@ -66,15 +66,17 @@ def compare(a: str, b: str) -> Column:
 def person_pairs(people: DataFrame, scope: str = "scope") -> DataFrame:
     """(scope, a, b, verdict) of pairs that are the same or for review, a.seq < b.seq.
 
-    Pairs meet on a shared key: mailbox, identifying phone, profile URL, name key, a name token, or a
-    piece of the name key. A key of edit distance d <= len/5 leaves one of d + 1 pieces whole; every
-    window of that length of the other name is a key too, so no fuzzy pair is lost.
+    Pairs meet on a shared key: mailbox, identifying phone, profile URL, name key, a name token, a
+    3-gram of the name key, or the first two characters of a key of 4 or 5. At an edit distance
+    d <= len/5 one of d + 1 pieces of the longer key stays whole: it has 3 characters or more, except
+    where a key of 5 is edited in its last 3; then the first 2 stay. So no fuzzy pair is lost.
     """
     known = people.join(unique_phones(people).withColumn("phone_id", F.col("phone")), "phone", "left")
     person = F.struct("seq", *[c for c in known.columns if c not in ("seq", scope)])
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name_key") - 2)), lambda i: F.concat(F.lit("g:"), F.substr("name_key", i, F.lit(3))))
+    starts = F.when(F.length("name_key").between(4, 5), F.array(F.concat(F.lit("h:"), F.substr("name_key", F.lit(1), F.lit(2))))).otherwise(F.array().cast("array<string>"))
     tagged = lambda tag, arr: F.transform(arr, lambda v: F.concat(F.lit(tag), v))
-    keys = F.array_distinct(F.concat(tagged("e:", F.array_compact(F.array(C.identity_email(F.col("email"))))), tagged("p:", F.array_compact(F.array("phone_id"))), tagged("u:", F.col("profile_urls")), tagged("n:", F.array("name_key")), tagged("t:", name_tokens(F.col("name"))), grams))
+    keys = F.array_distinct(F.concat(tagged("e:", F.array_compact(F.array(C.identity_email(F.col("email"))))), tagged("p:", F.array_compact(F.array("phone_id"))), tagged("u:", F.col("profile_urls")), tagged("n:", F.array("name_key")), tagged("t:", name_tokens(F.col("name"))), grams, starts))
     rows = known.select(scope, person.alias("p"), F.explode(keys).alias("key"))
     a, b = rows.select(scope, "key", F.col("p").alias("a")), rows.select(scope, "key", F.col("p").alias("b"))
     pairs = a.join(b, [scope, "key"]).where("a.seq < b.seq").groupBy(scope, F.col("a.seq").alias("sa"), F.col("b.seq").alias("sb")).agg(F.first("a").alias("a"), F.first("b").alias("b"))

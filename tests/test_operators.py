@@ -110,6 +110,15 @@ def test_people_merge_and_review(spark):
     assert {(r.left_name, r.right_name) for r in review.collect()} == {("Asha Rao", "Asha K Rao")}
 
 
+def test_short_names_with_one_edit_meet(spark):
+    names = ["maria", "mania", "marla", "maia", "xaria", "mariq", "mar", "ab de", "abcde", "abde", "bcde"]
+    people = spark.createDataFrame([person(i, n) for i, n in enumerate(names)], f"seq long, scope int, {resolve.PERSON}")
+    got = {(r.a.seq, r.b.seq) for r in resolve.person_pairs(people).collect()}
+    a, b = people.select(F.col("seq").alias("i"), F.col("name").alias("x")), people.select(F.col("seq").alias("j"), F.col("name").alias("y"))
+    want = {(r.i, r.j) for r in a.crossJoin(b).where("i < j AND levenshtein(x, y) * 5 <= greatest(length(x), length(y))").collect()}
+    assert got == want and (0, 1) in got
+
+
 def test_conflicts_split_a_component(spark):
     rows = [person(1, "Asha Rao", email="a@a.com"), person(2, "Asha Rao"), person(3, "Asha Rao", email="b@a.com")]
     merged, _ = resolve.dedupe_people(spark.createDataFrame(rows, f"seq long, scope int, {resolve.PERSON}"))
