@@ -39,7 +39,7 @@ def records(rows: DataFrame, record_type: str | None = None, limit: int = 10000)
     return out.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
 
-def targets(rows: DataFrame, limit: int = 200) -> DataFrame:
+def targets(rows: DataFrame, limit: int = 10000) -> DataFrame:
     return rows.orderBy("priority", "id").limit(limit)
 
 

@@ -240,3 +240,8 @@ def test_report(spark):
     got = rows.collect()
     assert [r.domain for r in got] == ["b", "a"] and [c.seq for c in got[1].contacts] == [7, 6, 5, 4, 3] and got[0].contacts is None
     assert totals.first().total_contacts == 8
+
+
+def test_targets_take_the_references_default(spark):
+    rows = spark.range(10_050).select("id", (F.col("id") % 3).alias("priority"))
+    assert tables.targets(rows).count() == 10_000
