@@ -267,5 +267,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each component, chosen as simhash.first_rows does."""
-    return first_rows(docs, near_duplicates(docs, words, threshold))
+    """One document of each component, chosen as simhash.first_rows does; a component without any id keeps one row too."""
+    return first_rows(docs, near_duplicates(docs, words, threshold), one_nameless=True)

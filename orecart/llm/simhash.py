@@ -136,16 +136,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     return rows.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One document of each component of found (doc_id, th, root, component_id): the row with the smallest doc_id; of rows that repeat that id one stays. Rows without an id go only if their component has one with an id."""
+def first_rows(docs: DataFrame, found: DataFrame, one_nameless: bool = False) -> DataFrame:
+    """One document of each component of found (doc_id, th, root, component_id): the row with the smallest doc_id; of rows that repeat that id one stays. Rows without an id go only if their component has one with an id; with one_nameless, a component without any id keeps only one row, of the smallest text digest."""
     first = found.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("k"), F.count("*").alias("rows")).select("k.*", "rows")
-    alone = found.where("component_id IS NULL").groupBy("doc_id", "th").agg(F.lit(0).cast("long").alias("rows"))
+    alone = found.where("component_id IS NULL")
+    if one_nameless:
+        alone = alone.groupBy("root").agg(F.lit(None).cast("long").alias("doc_id"), F.min("th").alias("th"), F.count("*").alias("rows")).drop("root")
+    else:
+        alone = alone.groupBy("doc_id", "th").agg(F.lit(0).cast("long").alias("rows"))
     kept = stash(first.union(alone))
     wanted = kept.select(F.col("doc_id").alias("__kept"), F.col("th").alias("__th")).hint("shuffle_hash")
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__kept")) & (F.xxhash64(docs["text"]) == F.col("__th"))
     out = docs.join(wanted, same).drop("__kept")
     if not kept.where("rows > 1").limit(1).count():
         return out.drop("__th")
+    if one_nameless:
+        return out.dropDuplicates(["doc_id", "__th"]).drop("__th")
     named = out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "__th"])
     return named.unionByName(out.where(F.col("doc_id").isNull())).drop("__th")
 

@@ -67,3 +67,11 @@ def test_long_runs_lose_no_link(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.keep_first(empty).count() == 0
+
+
+def test_components_without_an_id_keep_one_row(spark):
+    near = words(random.Random(2), 80, 400)
+    rows = [(None, "z y x w v u"), (None, "z y x w v u"), (None, near), (None, near + " end"), (None, None), (None, " "), (1, "a b c d e"), (None, "a b c d e"), (1, "a b c d e")]
+    kept = [(r.doc_id, r.text) for r in neardup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(i or 0 for i, _ in kept) == [0, 0, 0, 1]
+    assert {t for _, t in kept} - {near, near + " end", None, " "} == {"z y x w v u", "a b c d e"}
