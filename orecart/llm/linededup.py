@@ -2,25 +2,29 @@
 
 A line is the set of its words (ASCII lower case, split at ASCII white space). A line goes if an
 earlier line, in the order of (doc_id, line number), has a Jaccard similarity of THRESHOLD or more;
-equal sets have similarity 1. Steps:
+equal sets have similarity 1. Words are told apart by 64-bit hashes, sets by a 64-bit sum of them.
+Steps:
 
-1. One pass notes every line occurrence with a 64-bit key of its set, and counts words in 65,536
-   hashed cells. The cell counts, a table of fixed size, give the global order of words: rare first.
+1. One pass notes every line with the key of its set and counts words in hashed cells; the cells'
+   rarity classes, a table of fixed size, give the global order of words: rare first.
 2. A second pass sends the prefix of every distinct line, rare words first: the n - ceil(t n) + 1
-   words of which a similar line must share one. Rows travel packed by hash of the word, with the
-   set's size, the word's position and a 64-bit parity bitmap.
-3. Lines that share a prefix word are held against each other by length, by position and by bitmap
-   (the Hamming distance of parity bitmaps never exceeds the symmetric difference). Words with few
-   lines give pairs; words with many give a line's first few earlier candidates and memberships in
-   square cells of at most CELL lines a side, so families of variants do not expand into pairs.
-4. Texts of candidates are fetched and Jaccard is verified on the words themselves. Where a line has
-   more candidates than were tried and none of these matched, its word's cells are compared as a
-   whole; a line stops at its first match.
+   words of which a similar line must share one, with the set's size, the word's position and a
+   64-bit parity bitmap. Rows travel packed by hash of the word; a word that may be very frequent is
+   dealt over several salts by hash of the line.
+3. Rows of a word are sorted by size. A row meets only those longer rows that the length filter and
+   its own position leave in reach, one range of the order; position and bitmap of the other row are
+   tested next (the Hamming distance of parity bitmaps never exceeds the symmetric difference).
+   Every later line gives its TRIES closest earlier candidates.
+4. Jaccard is verified on the candidates' words themselves. Lines without a match that have more
+   candidates, or a salted word, are open: they alone go on, against all rows of their words in
+   every salt, with ever more candidates, until none is open. A family of variants is so closed by
+   its first tries and never expands into pairs.
 5. Later occurrences of equal sets and verified later lines are removed from their documents.
 
 Defined cases: a line without words (blank, or of a null text) is never removed; a null id sorts
 first; rows that repeat an id share its place in the order and do not remove each other's line of the
-same number; a text that loses all lines becomes empty; extra columns stay; an empty table stays empty.
+same number; a text that loses all lines becomes empty; extra columns stay, except that columns named
+n_lines and n_removed are replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,98 +36,158 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orecart.llm.common import arrow_map, documents, mix64, segment_hashes, stash
+from orecart.llm.common import arrow_map, documents, mix64, stash
 
 THRESHOLD = 0.8
-CELLS = 1 << 16
-#: Prefix words with at most this many lines give pairs, others memberships in cells.
-SMALL_GROUP = 48
-CELL = 2048
-#: Earlier candidates that are tried before a row's whole cell is.
-FIRST_TRIES = 3
+#: Candidates of a line and word that are verified first; each further round takes WIDER times as many.
+TRIES, WIDER = 2, 64
+#: Occurrences of a word's cell up to which its lines meet in one place; rows of a part, about.
+SALT_ROWS = 1 << 15
+PART_ROWS = 150_000
 BITMAP = 1 << 24
 _U = np.uint64
-_LOW36 = _U((1 << 36) - 1)
-_LOW42 = _U((1 << 42) - 1)
 _FIRST_ID = -(2**63)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WORD = np.ones(256, dtype=bool)
-_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_SLICE = 1 << 18
+_CLASS = 1.5  # rarity classes to a doubling of the count
+_BELOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], _U)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column (null: empty), without copying."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int32)
     if column.null_count:
         column = column.fill_null("")
     _, offsets, data = column.buffers()
     return np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """ASCII lower case, with eight more bytes at the end."""
+    out = np.zeros(len(data) + 8, np.uint8)
+    np.add(data, ((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5), out=out[: len(data)])
+    return out
+
+
+def word_hashes(padded: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of padded[start:end], eight bytes at a time."""
+    view = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    left = end - start
+    with np.errstate(over="ignore"):
+        h = mix64((view[start] & _BELOW[np.minimum(left, 8)]) + left.astype(_U) * _U(0x9E3779B97F4A7C15))
+        at = np.flatnonzero(left > 8)
+        for k in range(8, 64, 8):
+            if not len(at):
+                break
+            h[at] = mix64((h[at] ^ (view[start[at] + k] & _BELOW[np.minimum(left[at] - k, 8)])) * _U(0xC4CEB9FE1A85EC53) + _U(k))
+            at = at[left[at] > k + 8]
+        if len(at):
+            from xxhash import xxh3_64_intdigest
+
+            h[at] = [xxh3_64_intdigest(padded[a:b].tobytes()) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+    return h
+
+
 class Lines:
-    """Word sets of the lines (with words) of some rows, words in prefix order."""
+    """Word sets of the lines (with words) of some rows, words in prefix order where rank gives cells' classes."""
 
-    def __init__(self, buf: np.ndarray, at: np.ndarray, first_row: int, rank: np.ndarray | None) -> None:
+    def __init__(self, data: np.ndarray, at: np.ndarray, first_row: int, rank: np.ndarray | None) -> None:
         full = np.flatnonzero(np.diff(at))
-        starts, stops = at[:-1][full].astype(np.int64), at[1:][full].astype(np.int64)
-        word = _WORD[buf]
+        starts, stops = at[:-1][full], at[1:][full]
+        buf = lowered(data)
+        low = buf[: len(data)]
+        word = ~((low == 32) | ((low - np.uint8(9)) < 5))
         opens, closes = word.copy(), word.copy()
         opens[1:] &= ~word[:-1]
         opens[starts] |= word[starts]
         closes[:-1] &= ~word[1:]
         closes[stops - 1] |= word[stops - 1]
         a, b = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        breaks = np.flatnonzero(buf == 10) + 1
-        owner = np.searchsorted(starts, breaks - 1, "right") - 1
-        places = np.concatenate((breaks, starts))
-        order = np.argsort(places, kind="stable")
-        places, doc = places[order], np.concatenate((owner, np.arange(len(starts))))[order]
-        begins = np.flatnonzero(order >= len(breaks))
-        number = np.arange(len(places)) - begins[doc] if len(places) else np.zeros(0, np.int64)
-        line = np.searchsorted(places, a, "right") - 1
-        used, line = np.unique(line, return_inverse=True)
-        h = (segment_hashes(buf, a, b) & _LOW36) if len(a) else np.zeros(0, _U)
-        token = h if rank is None else h | (rank[(h >> _U(20)).astype(np.int64)].astype(_U) << _U(36))
-        parts = []
-        for lo in range(0, len(used), 1 << 21):  # 22 bits for the line
-            i, j = np.searchsorted(line, [lo, lo + (1 << 21)])
-            key = np.unique(((line[i:j] - lo).astype(_U) << _U(42)) | token[i:j])
-            parts.append(((key >> _U(42)).astype(np.int64) + lo, key & _LOW42))
-        self.line = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int64)
-        self.token = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, _U)
-        self.first = np.searchsorted(self.line, np.arange(len(used)))
-        self.n = np.diff(np.append(self.first, len(self.line)))
+        breaks = np.flatnonzero(low == 10)
+        before = np.cumsum(np.bincount(np.searchsorted(a, breaks), minlength=len(a) + 1))[: len(a)]
+        doc = np.cumsum(np.bincount(np.searchsorted(a, starts), minlength=len(a) + 1))[: len(a)] - 1
+        change = np.append(True, np.diff(before + doc) != 0)[: len(a)]
+        lead = np.flatnonzero(change)  # a line's first word
+        self.hash = word_hashes(buf, a, b)
+        line, h = self._distinct(np.cumsum(change) - 1, self.hash, rank)
+        self.line, self.token, lines = line, h, len(lead)
+        self.first = np.searchsorted(line, np.arange(lines))
+        self.n = np.diff(np.append(self.first, len(line)))
         with np.errstate(over="ignore"):
-            mixed = mix64((self.token & _LOW36) + _U(1))
-            self.key = (np.add.reduceat(mixed, self.first) if len(used) else np.zeros(0, _U)) ^ self.n.astype(_U)
-            self.bits = np.bitwise_xor.reduceat(_U(1) << (mixed >> _U(58)), self.first) if len(used) else np.zeros(0, _U)
-        self.row = first_row + full[doc[used]]
-        self.number = number[used]
-        inner = np.append(doc[1:] == doc[:-1], False) if len(doc) else np.zeros(0, bool)
-        ends = np.where(inner, np.append(places[1:], 0) - 1, stops[doc]) if len(doc) else places
-        self.begin, self.end, self.buf = places[used], ends[used], buf
-
-    def text(self, k: int) -> bytes:
-        """The k-th line's bytes, lower-cased."""
-        return self.buf[self.begin[k] : self.end[k]].tobytes()
-
-
-def lines_of(column: pa.Array, rank: np.ndarray | None = None, most: int = 4 << 20) -> Iterator[Lines]:
-    data, offsets = text_buffer(column)
+            mixed = mix64(h + _U(1))
+            self.key = (np.add.reduceat(mixed, self.first) if lines else np.zeros(0, _U)) ^ self.n.astype(_U)
+            self.bits = np.bitwise_xor.reduceat(_U(1) << (mixed >> _U(58)), self.first) if lines else np.zeros(0, _U)
+        self.row = first_row + full[doc[lead]]
+        self.number = before[lead] - np.searchsorted(breaks, starts)[doc[lead]]
+
+    @staticmethod
+    def _distinct(line: np.ndarray, h: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words of every line, by line, class and hash."""
+        place = np.zeros(len(h), _U) if rank is None else rank[(h >> _U(64 - _log2(len(rank)))).astype(np.int64)].astype(_U)
+        if len(h) <= _SLICE:  # one sort of packed numbers; where 22 bits of two words of a line are alike, the other way
+            packed = (line.astype(_U) << _U(46)) | (place << _U(40)) | (h >> _U(42) << _U(18)) | np.arange(len(h), dtype=_U)
+            packed.sort()
+            order = (packed & _U((1 << 18) - 1)).astype(np.int64)
+            packed >>= _U(18)
+            sorted_h = h[order]
+            same = packed[1:] == packed[:-1]
+            new = np.append(True, ~same)[: len(h)]
+            if not (same & (sorted_h[1:] != sorted_h[:-1])).any():
+                return line[order][new], sorted_h[new]
+        order = np.lexsort((h, place, line))
+        line, h = line[order], h[order]
+        new = np.append(True, (line[1:] != line[:-1]) | (h[1:] != h[:-1]))[: len(h)]
+        return line[new], h[new]
+
+
+def _log2(size: int) -> int:
+    return size.bit_length() - 1
+
+
+def _slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     lo = 0
     while lo < len(offsets) - 1:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-        yield Lines(_LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1].astype(np.int64) - offsets[lo], lo, rank)
+        yield lo, hi
         lo = hi
 
 
+def lines_of(column: pa.Array, rank: np.ndarray | None = None, most: int = _SLICE) -> Iterator[Lines]:
+    data, offsets = text_buffer(column)
+    for lo, hi in _slices(offsets, most):
+        yield Lines(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1].astype(np.int64) - offsets[lo], lo, rank)
+
+
+def raw_lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, then row, number, start and end of every line of every row."""
+    data, offsets = text_buffer(column)
+    offsets = offsets.astype(np.int64)
+    breaks = np.flatnonzero(data[offsets[0] : offsets[-1]] == 10) + offsets[0]
+    per = np.searchsorted(breaks, offsets[1:]) - np.searchsorted(breaks, offsets[:-1]) + 1
+    row = np.repeat(np.arange(len(per)), per)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+    start = np.empty(len(row), np.int64)
+    start[number == 0] = offsets[:-1]
+    start[number > 0] = breaks + 1
+    end = np.empty(len(row), np.int64)
+    last = np.append(number[1:] == 0, True)[: len(row)]
+    end[last] = offsets[1:]
+    end[~last] = breaks
+    return data, row, number, start, end
+
+
 def least_overlap(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
 
 
+def similar(x: set[bytes], y: set[bytes], threshold: float) -> bool:
+    both = len(x & y)
+    return both >= threshold * (len(x) + len(y) - both) - 1e-9
+
+
 def _planes(x: np.ndarray) -> bytes:
     """An integer array byte plane by byte plane: the constant high bytes cost nothing once compressed."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
@@ -134,87 +198,140 @@ def _unplaned(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-#: Columns of a prefix row: word, set key, parity bitmap, id and line of the set's first place, set size, position.
-_PACK = ("<u4", "<u8", "<u8", "<i8", "<i4", "<u4", "<u2")
+#: A prefix row: word, key's low half, parity bitmap, id and line of the set's place, set size, position, rarity class.
+_PACK = ("<u4", "<u4", "<u8", "<i8", "<i4", "<u4", "<u2", "u1")
 
 
-def _prefixes(own: Lines, ids: np.ndarray, seen: dict[int, tuple[int, int]], threshold: float) -> tuple[np.ndarray, ...]:
-    """Prefix rows of the lines whose set is new to the task or stands here at an earlier place than seen before."""
-    fresh = np.zeros(len(own.key), bool)
-    for k, (key, row, line) in enumerate(zip(own.key.tolist(), ids[own.row].tolist(), own.number.tolist(), strict=True)):
-        if key not in seen or (row, line) < seen[key]:
-            fresh[k], seen[key] = True, (row, line)
-    n = own.n
-    size = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-    i = np.arange(len(own.line)) - own.first[own.line]
-    take = fresh[own.line] & (i < size[own.line])
-    at = own.line[take]
-    return mix64(own.token[take]), own.key[at], own.bits[at], ids[own.row[at]], own.number[at].astype("<i4"), np.minimum(n[at], 2**32 - 1).astype("<u4"), np.minimum(i[take], 65535).astype("<u2")
+def _packed(rows: list[np.ndarray]) -> bytes:
+    return pickle.dumps([_planes(x) for x in rows], 5)
 
 
-def _candidates(columns: list[np.ndarray], threshold: float, small_group: int = SMALL_GROUP, first_tries: int = FIRST_TRIES) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Pairs of row numbers (2 by n, earlier first), and for words with many lines the rows with a candidate.
+def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
+    parts = [[_unplaned(x, kind) for x, kind in zip(pickle.loads(p), _PACK, strict=True)] for p in blobs]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, kind) for kind in _PACK]
 
-    A row of such a word gives pairs with its first first_tries earlier candidates only; the third
-    array marks rows that have more, for the case that none of these matches.
-    """
-    word, key, bits, doc, line, n, position = columns
-    order = np.lexsort((line, doc, key, word))
-    word, key = word[order], key[order]
-    order = order[np.append(True, (word[1:] != word[:-1]) | (key[1:] != key[:-1]))] if len(word) else order
-    order = order[np.lexsort((line[order], doc[order], columns[0][order]))]
-    word = columns[0][order]
-    count = np.diff(np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word))) if len(word) else np.zeros(0, np.int64)
-    order, count = order[np.repeat(count > 1, count)], count[count > 1]
-    bits, doc, line, n, position = (x[order] for x in (bits, doc, line, n, position))
-    n = n.astype(np.int64)
-    place = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1]))) if len(order) else np.zeros(0, np.int64)
-    end = np.repeat(np.cumsum(count), count)
-    spare = (1 - threshold) / (1 + threshold)
-
-    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        need = least_overlap(n[i], n[j], threshold)
-        good = np.flatnonzero(np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * need)
-        i, j, need = i[good], j[good], need[good]
-        reach = 1 + np.minimum(n[i] - position[i] - 1, n[j] - position[j] - 1)
-        fit = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (reach >= need) & (place[i] != place[j])
-        return good[fit]
-
-    pairs = [np.zeros((2, 0), np.int64)]
-    at = np.flatnonzero(np.repeat(count <= small_group, count))
-    for k in range(1, small_group):
-        at = at[at + k < end[at]]
-        if not len(at):
-            break
-        good = at[near(at, at + k)]
-        pairs.append(np.stack((good, good + k)))
-    large = []
-    for hi, m in zip(np.cumsum(count)[count > small_group].tolist(), count[count > small_group].tolist(), strict=True):
-        lo = hi - m
-        tried, hit = np.zeros(m, np.int64), np.zeros(m, bool)
-        for b in range(lo, hi, 512):  # later rows
-            later = np.arange(b, min(b + 512, hi))
-            for a in range(lo, later[-1] + 1, 2048):  # earlier rows, first places first
-                earlier = np.arange(a, min(a + 2048, later[-1] + 1))
-                j, i = np.nonzero((np.bitwise_count(bits[later][:, None] ^ bits[earlier][None, :]) <= spare * (n[later][:, None] + n[earlier][None, :]) + 1e-9) & (earlier[None, :] < later[:, None]))
-                i, j = earlier[i], later[j]
-                good = near(i, j)
-                i, j = i[good], j[good]
-                if not len(i):
-                    continue
-                hit[i - lo] = hit[j - lo] = True
-                opens = np.flatnonzero(np.append(True, j[1:] != j[:-1]))
-                turn = np.arange(len(j)) - np.repeat(opens, np.diff(np.append(opens, len(j)))) + tried[j - lo]
-                pairs.append(np.stack((i, j))[:, turn < first_tries])
-                tried += np.bincount(j - lo, minlength=m)
-        if (tried > first_tries).any():
-            large.append((int(columns[0][order[lo]]), order[lo:hi][hit], tried[hit] > first_tries))
-    return order[np.concatenate(pairs, axis=1)], large
 
+class Join:
+    """What the tasks know of the whole input: threshold, classes of the cells, number of parts."""
 
-def similar(x: set[bytes], y: set[bytes], threshold: float) -> bool:
-    both = len(x & y)
-    return both >= threshold * (len(x) + len(y) - both) - 1e-9
+    def __init__(self, rank: np.ndarray, words: float, threshold: float, salt_rows: int, part_rows: int) -> None:
+        self.rank, self.threshold, self.part_rows = rank, threshold, part_rows
+        self.parts = int(max(64, (1 - threshold) * words / part_rows))
+        limit = max(salt_rows, 64 * words / len(rank))
+        most = np.exp2((np.arange(64) + 1) / _CLASS)
+        self.salts = np.minimum(np.ceil(most / limit), 4096).astype(np.int64)  # by class
+
+    def part(self, word: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mix64(word.astype(_U) + (salt.astype(_U) << _U(32)) + _U(1)) % _U(self.parts)).astype(np.int32)
+
+    def dealt(self, rows: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        """Rows packed by part; a row's own salt comes from its key."""
+        salts = self.salts[rows[7]]
+        yield from by_part(self.part(rows[0], rows[1] % salts), rows)
+
+    def prefixes(self, own: Lines, ids: np.ndarray, fresh: np.ndarray) -> list[np.ndarray]:
+        n = own.n
+        size = n - np.ceil(self.threshold * n - 1e-9).astype(np.int64) + 1
+        i = np.arange(len(own.line)) - own.first[own.line]
+        take = fresh[own.line] & (i < size[own.line])
+        at, h = own.line[take], own.token[take]
+        cls = self.rank[(h >> _U(64 - _log2(len(self.rank)))).astype(np.int64)]
+        return [(mix64(h) >> _U(32)).astype("<u4"), own.key[at].astype("<u4"), own.bits[at], ids[own.row[at]], own.number[at].astype("<i4"), n[at].astype("<u4"), np.minimum(i[take], 65535).astype("<u2"), cls]
+
+
+def by_part(part: np.ndarray, rows: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    order = np.argsort(part, kind="stable")
+    part, rows = part[order], [x[order] for x in rows]
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else np.zeros(1, np.int64)
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield int(part[a]), _packed([x[a:b] for x in rows])
+
+
+def distinct_rows(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Sorted by word and size; a set that was sent from several places keeps its earliest."""
+    word, key, bits, doc, line, n, _, _ = rows
+    order = np.lexsort((line, doc, bits, key, n, word))
+    rows = [x[order] for x in rows]
+    word, key, bits, _, _, n, _, _ = rows
+    new = np.append(True, (word[1:] != word[:-1]) | (n[1:] != n[:-1]) | (key[1:] != key[:-1]) | (bits[1:] != bits[:-1]))[: len(word)]
+    return [x[new] for x in rows]
+
+
+def candidates(base: list[np.ndarray], threshold: float, tries: int, probes: list[np.ndarray] | None = None, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers (later, earlier) of the `tries` closest earlier candidates of every later row, and its number of candidates.
+
+    base is as distinct_rows() gives it. Without probes its rows meet each other; with probes, each
+    of those is a later row and meets the rows of base.
+    """
+    word, _, bits, doc, line, n, position, _ = base
+    n, position = n.astype(np.int64), position.astype(np.int64)
+    place = (word.astype(np.int64) << 31) + np.minimum(n, 2**31 - 1)
+    spare = (1 + threshold) / threshold
+    if probes is None:
+        w2, bits2, doc2, line2, n2, position2 = word, bits, doc, line, n, position
+    else:
+        w2, _, bits2, doc2, line2, n2, position2, _ = probes
+        n2, position2 = n2.astype(np.int64), position2.astype(np.int64)
+    reach = np.minimum(np.floor((n2 - position2) * spare + 1e-9).astype(np.int64) - n2, np.floor(n2 / threshold + 1e-9).astype(np.int64))
+    top = np.searchsorted(place, (w2.astype(np.int64) << 31) + np.minimum(np.maximum(reach, 0), 2**31 - 1), "right")
+    if probes is None:
+        low = np.arange(len(word)) + 1
+    else:
+        low = np.searchsorted(place, (w2.astype(np.int64) << 31) + np.minimum(np.ceil(threshold * n2 - 1e-9).astype(np.int64), 2**31 - 1), "left")
+        own_top = np.searchsorted(place, (w2.astype(np.int64) << 31) + np.minimum(n2, 2**31 - 1), "right")
+        top = np.maximum(top, own_top)
+    width = np.maximum(0, top - low)
+    many = np.zeros(len(n2), np.int64)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def cut() -> None:
+        nonlocal size
+        a, b, h = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((line[b], doc[b], h, a))
+        a, b, h = a[order], b[order], h[order]
+        opens = np.flatnonzero(np.append(True, a[1:] != a[:-1])[: len(a)])
+        turn = np.arange(len(a)) - np.repeat(opens, np.diff(np.append(opens, len(a))))
+        held[:] = [(a[turn < tries], b[turn < tries], h[turn < tries])]
+        size = len(held[0][0])
+
+    ends = np.cumsum(width)
+    done, total = 0, int(ends[-1]) if len(ends) else 0
+    while done < total:
+        stop = min(total, done + block)
+        lo, hi = int(np.searchsorted(ends, done, "right")), int(np.searchsorted(ends, stop, "left"))
+        rows = np.arange(lo, hi + 1)
+        begin = ends[rows] - width[rows]
+        a_ = np.maximum(begin, done)
+        counts = np.minimum(ends[rows], stop) - a_
+        x = np.repeat(rows, counts)
+        y = np.arange(done, stop) - np.repeat(begin, counts) + low[x]
+        done = stop
+        need = least_overlap(n2[x], n[y], threshold)
+        fit = (need <= np.minimum(n2[x] - position2[x], n[y] - position[y])) & (np.minimum(n2[x], n[y]) >= need)
+        x, y, need = x[fit], y[fit], need[fit]
+        far = np.bitwise_count(bits2[x] ^ bits[y]).astype(np.int64)
+        fit = far <= n2[x] + n[y] - 2 * need
+        x, y, far = x[fit], y[fit], far[fit]
+        after = (doc2[x] > doc[y]) | ((doc2[x] == doc[y]) & (line2[x] > line[y]))
+        if probes is None:
+            apart = after | (doc[x] != doc[y]) | (line[x] != line[y])
+            later, earlier = np.where(after, x, y)[apart], np.where(after, y, x)[apart]
+            far = far[apart]
+        else:
+            later, earlier, far = x[after], y[after], far[after]
+        if len(later):
+            many += np.bincount(later, minlength=len(many))
+            held.append((later, earlier, far))
+            size += len(later)
+            if size > block:
+                cut()
+    if not held:
+        none = np.zeros(0, np.int64)
+        return none, none, many
+    cut()
+    return held[0][0], held[0][1], many
 
 
 def _bitmap(values: DataFrame, column: str) -> np.ndarray:
@@ -226,167 +343,269 @@ def _bitmap(values: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def _spot(ids: np.ndarray, line: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix64(mix64(ids.astype(np.int64).view(_U) + _U(1)) + line.astype(_U)) % _U(BITMAP)).astype(np.int64)
+
+
+def _marked(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (bitmap[bit >> 6] >> (bit & 63)) & 1 == 1
+
+
 def keyed(docs: DataFrame) -> tuple[Column, Column]:
     """Order of a row, and a digest that tells rows with one id apart."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)), F.xxhash64("text")
 
 
-def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, small_group: int = SMALL_GROUP, cell: int = CELL) -> DataFrame:
-    """(id, th, lines): numbers of the lines to remove, for rows that lose any; id and th as keyed() gives them."""
-    order, digest = keyed(docs)
-    source = docs.select(order.alias("id"), digest.alias("th"), "text")
+def _noted(source: DataFrame, bits: int) -> DataFrame:
+    """(id, th, line, key) of every line with words; rows with line -1 hold counts of words by cell, packed by slice."""
+    width = 1 << 14
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        names = ["id", "th", "line", "key"]
+        cells, held, size = np.zeros(1 << bits, np.int64), [], 0
+        names = ["id", "th", "line", "key", "cells"]
         for batch in batches:
             ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for own in lines_of(batch.column(2)):
-                cells += np.bincount((own.token >> _U(20)).astype(np.int64), minlength=CELLS)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own.row]), pa.array(ths[own.row]), pa.array(own.number.astype(np.int32)), pa.array(own.key.view(np.int64))], names)
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(at), np.int64)), pa.array(np.full(len(at), -1, np.int32)), pa.array(cells[at])], names)
-
-    noted = stash(arrow_map(source, scan, "id long, th long, line int, key long"))
-    lines = noted.where("line >= 0")
-    counts = np.zeros(CELLS)
-    for cell, n in noted.where("line < 0").groupBy("id").agg(F.sum("key")).collect():
-        counts[cell] = n
-    rank = np.minimum(63, np.floor(2 * np.log2(1 + counts))).astype(np.uint8)
-    spread = int(max(64, lines.count() // 20_000))
+                held.append((own.token >> _U(64 - bits)).astype(np.uint32))
+                size += len(held[-1])
+                if size > 1 << 20:
+                    cells += np.bincount(np.concatenate(held), minlength=1 << bits)
+                    held, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own.row]), pa.array(ths[own.row]), pa.array(own.number.astype(np.int32)), pa.array(own.key.view(np.int64)), pa.nulls(len(own.row), pa.binary())], names)
+        if held:
+            cells += np.bincount(np.concatenate(held), minlength=1 << bits)
+        if cells.any():
+            parts = cells.reshape(-1, width)
+            zero = pa.array(np.zeros(len(parts), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), zero, pa.array(np.full(len(parts), -1, np.int32)), zero, pa.array([zlib.compress(_planes(x), 1) for x in parts], pa.binary())], names)
+
+    return stash(arrow_map(source, scan, "id long, th long, line int, key long, cells binary"))
+
+
+def _classes(noted: DataFrame, bits: int) -> tuple[np.ndarray, float]:
+    """Rarity class of every cell, and the number of words."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(_unplaned(zlib.decompress(x), "<i8") for x in group["cells"])
+        cls = np.minimum(63, np.floor(_CLASS * np.log2(1 + total))).astype(np.uint8)
+        return pd.DataFrame({"id": [int(group["id"].iloc[0])], "words": [int(total.sum())], "cls": [cls.tobytes()]})
+
+    rank, words = np.zeros(1 << bits, np.uint8), 0
+    for at, n, cls in noted.where("line < 0").select("id", "cells").groupBy("id").applyInPandas(add, "id long, words long, cls binary").collect():
+        rank[at << 14 : (at + 1) << 14] = np.frombuffer(cls, np.uint8)
+        words += n
+    return rank, float(words)
+
+
+def _batch(columns: dict[str, pa.Array], schema: pa.Schema, size: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+
+_FOUND = "part int, rows binary, id long, line int, k int, id2 long, line2 int, k2 int, home int"
+
+
+def _places(rows: list[np.ndarray], at: np.ndarray, second: str = "") -> dict[str, np.ndarray]:
+    return {f"id{second}": rows[3][at], f"line{second}": rows[4][at], f"k{second}": rows[1][at].view(np.int32)}
+
+
+def _frame(**columns: object) -> pd.DataFrame:
+    """Rows of _FOUND: a pair has id2, a part's kept rows have rows, an open line has home."""
+    size = max(len(x) for x in columns.values() if hasattr(x, "__len__") and not isinstance(x, bytes))
+    kinds = {"part": "Int32", "id": "Int64", "line": "Int32", "k": "Int32", "id2": "Int64", "line2": "Int32", "k2": "Int32", "home": "Int32"}
+    return pd.DataFrame({name: pd.Series(columns[name] if name in columns else [None] * size, dtype=kind) for name, kind in kinds.items()} | {"rows": pd.Series(columns.get("rows", [None] * size), dtype=object)})[["part", "rows", "id", "line", "k", "id2", "line2", "k2", "home"]]
+
+
+def matched(source: DataFrame, join: Join, tries: int = TRIES) -> DataFrame:
+    """(key) of the sets that have an earlier similar set; source has id, th, text."""
+    at = ["id", "line", "k"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[int, int]] = {}
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []
+        size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            word, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+        def flush() -> pa.RecordBatch:
+            out = list(join.dealt([np.concatenate(x) for x in zip(*held, strict=True)]))
             held.clear()
-            part = (word % _U(spread)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            part, columns = part[order], [x[order] for x in ((word >> _U(32)).astype("<u4"), *rest)]
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
-            if len(part):
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array([pickle.dumps([_planes(x[a:b]) for x in columns], 5) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["part", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "rows"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for own in lines_of(batch.column(2), rank):
-                held.append(_prefixes(own, ids, seen, threshold))
-            if sum(len(x[0]) for x in held) > 800_000:
-                yield from flush()
+            for own in lines_of(batch.column(2), join.rank):
+                fresh = np.zeros(len(own.key), bool)
+                for k, (key, row, line) in enumerate(zip(own.key.tolist(), ids[own.row].tolist(), own.number.tolist(), strict=True)):
+                    if key not in seen or (row, line) < seen[key]:
+                        fresh[k], seen[key] = True, (row, line)
+                if len(seen) > 50_000:  # a set that recurs is sent once in a while, which costs little
+                    seen.clear()
+                held.append(join.prefixes(own, ids, fresh))
+                size += len(held[-1][0])
+                if size > 400_000:
+                    yield flush()
+                    size = 0
         if held:
-            yield from flush()
+            yield flush()
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        unpacked = [[_unplaned(x, kind) for x, kind in zip(pickle.loads(p), _PACK, strict=True)] for p in group["rows"]]
-        columns = [np.concatenate(x) for x in zip(*unpacked, strict=True)]
-        (x, y), large = _candidates(columns, threshold, small_group)
-        key, doc, line = columns[1].view(np.int64), columns[3], columns[4]
-        frames = [pd.DataFrame({"word": -1, "by": 0, "bx": 0, "side": 0, "more": False, "id": doc[x], "line": line[x], "key": key[x], "id2": doc[y], "line2": line[y], "key2": key[y]}).drop_duplicates()]
-        for word, rows, more in large:
-            block = np.arange(len(rows)) // cell
-            for by in range(block[-1] + 1):
-                for bx in range(by + 1):
-                    k = np.flatnonzero((block == by) | (block == bx))
-                    at = rows[k]
-                    frames.append(pd.DataFrame({"word": word * 4096 + int(group["part"].iloc[0]), "by": by, "bx": bx, "side": (block[k] == bx).astype(np.int64), "more": more[k] & (block[k] == by), "id": doc[at], "line": line[at], "key": key[at], "id2": 0, "line2": 0, "key2": 0}))
-        return pd.concat(frames)
-
-    found = stash(arrow_map(source, send, "part int, rows binary").groupBy("part").applyInPandas(meet, "word long, by int, bx int, side int, more boolean, id long, line int, key long, id2 long, line2 int, key2 long"))
-    at = ["id", "line", "key"]
-    second = [F.col(f"{c}2").alias(c) for c in at]
-    pairs = found.where("word = -1").select(*at, "id2", "line2", "key2").distinct()
-    members = found.where("word <> -1").select("word", "by", "bx", "side", "more", *at)
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """(id, line, key, words) of wanted places. Bitmaps let only these leave the scan; one text per set, never its copies."""
-        wanted = stash(wanted.distinct())
-        spot = F.pmod(F.xxhash64("id", "line", "key"), F.lit(BITMAP))
-        places, homes = _bitmap(wanted.select(spot.alias("v")), "v"), _bitmap(wanted.select(F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("v")), "v")
-
-        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bit = batch.column(2).to_numpy()
-                chosen = batch.filter(pa.array((homes[bit >> 6] >> (bit & 63)) & 1 == 1))
-                ids = chosen.column(0).to_numpy()
-                for own in lines_of(chosen.column(1)):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[own.row]), pa.array(own.number.astype(np.int32)), pa.array(own.key.view(np.int64)), pa.array([own.text(k) for k in range(len(own.key))], pa.binary())], ["id", "line", "key", "words"])
-
-        def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bit = batch.column(4).to_numpy()
-                kept = batch.filter(pa.array((places[bit >> 6] >> (bit & 63)) & 1 == 1))
-                packed = pa.array([zlib.compress(w, 1) for w in kept.column(3).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), packed], ["id", "line", "key", "words"])
-
-        homed = source.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("bit"))
-        fetched = arrow_map(homed, fetch, "id long, line int, key long, words binary").withColumn("bit", spot)
-        return arrow_map(fetched, only, "id long, line int, key long, words binary").join(wanted, at, "left_semi").groupBy(*at).agg(F.first("words").alias("words"))
-
-    def bag(packed: bytes) -> set[bytes]:
-        return set(zlib.decompress(packed).split())
-
-    def check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = int(group["part"].iloc[0])
+        base = distinct_rows(_unpacked(list(group["rows"])))
+        x, y, many = candidates(base, join.threshold, tries)
+        frames = [_frame(**_places(base, x), **_places(base, y, "2")).drop_duplicates(ignore_index=True)] if len(x) else []
+        # Rows that may still be needed: of words with a line that has more candidates, and of salted words.
+        salted = join.salts[base[7]] > 1
+        open_ = (many > tries) | salted
+        if open_.any():
+            stays = np.isin(base[0], np.unique(base[0][open_]))
+            frames.append(_frame(part=[part], rows=[_packed([c[stays] for c in base])]))
+            frames.append(_frame(home=np.full(int(open_.sum()), part), **_places(base, open_)).drop_duplicates(ignore_index=True))
+        return pd.concat(frames) if frames else _frame(part=[])
+
+    found = stash(arrow_map(source, send, "part int, rows binary").groupBy("part").applyInPandas(meet, _FOUND))
+    kept = found.where("rows IS NOT NULL").select("part", "rows")
+    pairs = found.where("id2 IS NOT NULL").select(*at, "id2", "line2", "k2").distinct()
+    keys = stash(_verified(source, pairs, join.threshold))
+    open_ = found.where("home IS NOT NULL").select(*at, "home")
+    while True:
+        open_ = stash(open_.join(keys.select(*at), at, "left_anti"))
+        if not open_.limit(1).count():
+            return keys.select("key")
+        tries *= WIDER
+        again = _again(kept, open_, join, tries)
+        pairs = again.where("id2 IS NOT NULL").select(*at, "id2", "line2", "k2").distinct()
+        keys = stash(keys.union(_verified(source, pairs, join.threshold)))
+        open_ = again.where("home IS NOT NULL").select(*at, "home").distinct()
+
+
+def _again(kept: DataFrame, open_: DataFrame, join: Join, tries: int) -> DataFrame:
+    """Open lines against every kept row of their words: _FOUND rows of pairs, and of lines with more candidates than tries."""
+
+    def extract(rows: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        out = {"part": [], "probes": [], "home": []}
+        if len(rows) and len(lines):
+            base, home = _unpacked(list(rows["rows"])), int(rows["part"].iloc[0])
+            wanted = set(zip(lines["id"].tolist(), lines["line"].tolist(), lines["k"].tolist(), strict=True))
+            take = np.array([x in wanted for x in zip(base[3].tolist(), base[4].tolist(), base[1].view(np.int32).tolist(), strict=True)])
+            probe = [x[take] for x in base]
+            times = join.salts[probe[7]]
+            at = np.repeat(np.arange(len(times)), times)
+            salt = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            for part, blob in by_part(join.part(probe[0][at], salt), [x[at] for x in probe]):
+                out["part"].append(part)
+                out["probes"].append(blob)
+                out["home"].append(home)
+        return pd.DataFrame(out).astype({"part": "int32", "home": "int32"})
+
+    def probe(rows: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
+        frames = []
+        if len(rows) and len(probes):
+            base = distinct_rows(_unpacked(list(rows["rows"])))
+            for home, blob in zip(probes["home"].tolist(), probes["probes"].tolist(), strict=True):
+                own = _unpacked([blob])
+                x, y, many = candidates(base, join.threshold, tries, own)
+                if len(x):
+                    frames.append(_frame(**_places(own, x), **_places(base, y, "2")).drop_duplicates(ignore_index=True))
+                more = many > tries
+                if more.any():
+                    frames.append(_frame(home=np.full(int(more.sum()), home), **_places(own, more)).drop_duplicates(ignore_index=True))
+        return pd.concat(frames) if frames else _frame(part=[])
+
+    by = kept.groupBy("part")
+    probes = by.cogroup(open_.withColumnRenamed("home", "part").groupBy("part")).applyInPandas(extract, "part int, probes binary, home int")
+    return stash(by.cogroup(probes.groupBy("part")).applyInPandas(probe, _FOUND))
+
+
+def _verified(source: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, line, k) of the pairs' later lines whose words are similar to the earlier line's. Bitmaps let only wanted lines leave the scan; one text per place."""
+    at = ["id", "line", "k"]
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            later, a, b = (batch.column(i).to_pylist() for i in range(3))
-            good = [k for k, p, q in zip(later, a, b, strict=True) if similar(bag(p), bag(q), threshold)]
-            yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], ["key"])
-
-    texts = stash(texts_of(pairs.select(*at).union(pairs.select(*second))))
-    both = pairs.join(texts.withColumnRenamed("words", "wx"), at).select(*second, "wx").join(texts, at).select("key", "wx", "words")
-    later = stash(arrow_map(both, check_pairs, "key long").distinct())
-
-    def check_cell(group: pd.DataFrame) -> pd.DataFrame:
-        """Each line against the earlier lines of the other side (of the same block, if there is one), up to the first match."""
-        group = group.sort_values(["id", "line"])
-        same = bool((group["by"] == group["bx"]).iloc[0])
-        earlier: dict[int, list[tuple[tuple[int, int], set[bytes]]]] = {0: [], 1: []}
-        out = []
-        for key, words, at_side, *spot in group[["key", "words", "side", "id", "line"]].itertuples(index=False):
-            own, here = bag(words), tuple(spot)
-            if any(p < here and similar(x, own, threshold) for p, x in earlier[at_side if same else 1 - at_side]):
-                out.append(key)
-            earlier[at_side].append((here, own))
-        return pd.DataFrame({"key": pd.Series(out, dtype="int64")})
-
-    # Cells run only for words with a line that has more candidates than were tried and no match among those.
-    open_words = stash(members.where("more").join(later, "key", "left_anti").select("word").distinct())
-    if open_words.limit(1).count():
-        open_members = stash(members.drop("more").join(open_words, "word", "left_semi"))
-        celled = open_members.join(stash(texts_of(open_members.select(*at))), at).withColumn("cell", F.xxhash64("word", "by", "bx"))
-        later = stash(later.union(celled.groupBy("cell").applyInPandas(check_cell, "key long")).distinct())
-    firsts = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("place")).join(later.withColumn("goes", F.lit(True)), "key", "left")
-    gone = lines.join(firsts, "key").where(F.col("goes").isNotNull() | (F.struct("id", "line") > F.col("place")))
-    return gone.groupBy("id", "th").agg(F.collect_set("line").alias("lines"))
+            ids, line = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_spot(ids, line)), pa.array(_spot(ids, np.zeros(len(ids), np.int64)))], [*at, "spot", "homed"])
 
+    pairs = stash(pairs)
+    both = pairs.select(*at).union(pairs.select("id2", "line2", "k2")).distinct()
+    wanted = stash(arrow_map(both, spots, "id long, line int, k int, spot long, homed long"))
+    places, homes = _bitmap(wanted, "spot"), _bitmap(wanted, "homed")
 
-def drop_lines(text: str | None, lines: list[int] | None) -> str | None:
-    if not lines:
-        return text
-    gone = set(lines)
-    return "\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in gone)
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            home = _marked(homes, _spot(ids, np.zeros(len(ids), np.int64)))
+            if not home.any():
+                continue
+            chosen = batch.filter(pa.array(home))
+            ids = chosen.column(0).to_numpy()
+            data, row, number, start, end = raw_lines(chosen.column(1))
+            take = np.flatnonzero((end > start) & _marked(places, _spot(ids[row], number)))
+            row, number = row[take], number[take]
+            raw = [data[a:b].tobytes().lower() for a, b in zip(start[take].tolist(), end[take].tolist(), strict=True)]
+            for own in lines_of(pa.array(raw, pa.binary())):
+                i = own.row
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[i]]), pa.array(number[i].astype(np.int32)), pa.array(own.key.astype(np.uint32).view(np.int32)), pa.array(own.key.view(np.int64)), pa.array([zlib.compress(raw[j], 1) for j in i.tolist()], pa.binary())], [*at, "key", "words"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            good = [similar(set(zlib.decompress(p).split()), set(zlib.decompress(q).split()), threshold) for p, q in zip(a, b, strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_())).select([0, 1, 2, 3])
 
+    texts = arrow_map(source.select("id", "text"), fetch, "id long, line int, k int, key long, words binary")
+    texts = stash(texts.join(wanted.select(*at), at, "left_semi").groupBy(*at).agg(F.first("key").alias("key"), F.first("words").alias("words")))
+    second = texts.select(F.col("id").alias("id2"), F.col("line").alias("line2"), F.col("k").alias("k2"), F.col("words").alias("words2"))
+    joined = pairs.join(texts, at).join(second, ["id2", "line2", "k2"]).select("key", *at, "words", "words2")
+    return arrow_map(joined, check, "key long, id long, line int, k int").distinct()
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, small_group: int = SMALL_GROUP, cell: int = CELL) -> DataFrame:
+
+def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, salt_rows: int = SALT_ROWS, part_rows: int = PART_ROWS, tries: int = TRIES) -> DataFrame:
+    """(id, th, lines): numbers of the lines to remove, for rows that lose any; id and th as keyed() gives them."""
+    order, digest = keyed(docs)
+    source = docs.select(order.alias("id"), digest.alias("th"), "text")
+    bits = 20 + min(4, max(0, (source.rdd.getNumPartitions() // 128).bit_length()))
+    noted = _noted(source, bits)
+    lines = noted.where("line >= 0").select("id", "th", "line", "key")
+    rank, words = _classes(noted, bits)
+    goes = matched(source, Join(rank, words, threshold, salt_rows, part_rows), tries).distinct().withColumn("goes", F.lit(True))
+    firsts = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("place"), F.count("*").alias("times")).join(goes, "key", "left").where("goes OR times > 1")
+    gone = lines.join(firsts, "key").where(F.col("goes").isNotNull() | (F.struct("id", "line") > F.col("place")))
+    return gone.groupBy("id", "th").agg(F.collect_set("line").alias("lines"))
+
+
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, salt_rows: int = SALT_ROWS, part_rows: int = PART_ROWS, tries: int = TRIES) -> DataFrame:
     """docs with the repeated lines taken out of text, plus n_lines and n_removed."""
+    docs = docs.drop("n_lines", "n_removed")
     order, digest = keyed(docs)
-    gone = stash(repeated_lines(docs, threshold, small_group, cell))
-    homes = _bitmap(gone.select(F.pmod(F.xxhash64("id"), F.lit(BITMAP)).alias("v")), "v")
+    gone = stash(repeated_lines(docs, threshold, salt_rows, part_rows, tries))
+
+    def homed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(_spot(ids, np.zeros(len(ids), np.int64)))], ["v"])
+
+    homes = _bitmap(arrow_map(gone.select("id"), homed, "v long"), "v")
 
     @F.pandas_udf("boolean")
-    def listed(bit: pd.Series) -> pd.Series:
-        b = bit.to_numpy()
-        return pd.Series((homes[b >> 6] >> (b & 63)) & 1 == 1)
+    def listed(ids: pd.Series) -> pd.Series:
+        return pd.Series(_marked(homes, _spot(ids.to_numpy(), np.zeros(len(ids), np.int64))))
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series, lines: pd.Series) -> pd.Series:
+        out = []
+        for text, gone in zip(texts, lines, strict=True):
+            if text is not None and gone is not None:
+                goes = set(gone.tolist())
+                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in goes)
+            out.append(text)
+        return pd.Series(out, dtype=object)
 
     columns, count = docs.columns, F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines")
-    marked = docs.withColumns({"__a": order, "__b": digest, "__loses": listed(F.pmod(F.xxhash64(order), F.lit(BITMAP)))})
+    marked = docs.withColumns({"__a": order, "__b": digest, "__loses": listed(order)})
     # Only documents that may lose lines are shuffled; the bitmap misses none.
     as_is = marked.where(~F.col("__loses")).select(*[F.col(f"`{c}`") for c in columns], count, F.lit(0).cast("long").alias("n_removed"))
     named = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines")).hint("shuffle_hash")
     joined = marked.where("__loses").join(named, (F.col("__a") == F.col("__id")) & (F.col("__b") == F.col("__th")), "left")
-    kept = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__lines"), s["i"])), lambda s: s["x"])
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = kept(F.col("text"), F.col("__lines"))
     return as_is.union(joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], count, F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_removed")))
 
 
