@@ -14,11 +14,12 @@ Steps:
 3. Rows of a word are sorted by size. A row meets only those longer rows that the length filter and
    its own position leave in reach, one range of the order; position and bitmap of the other row are
    tested next (the Hamming distance of parity bitmaps never exceeds the symmetric difference).
-   Every later line gives its TRIES closest earlier candidates.
-4. Jaccard is verified on the candidates' words themselves. Lines without a match that have more
-   candidates, or a salted word, are open: they alone go on, against all rows of their words in
-   every salt, with ever more candidates, until none is open. A family of variants is so closed by
-   its first tries and never expands into pairs.
+   Every later line gives its closest earlier candidates of each word.
+4. Jaccard is verified on the candidates' words themselves: first for a line's one closest candidate
+   of all, then for its others. Lines without a match that have still more candidates, or a salted
+   word, are open: they alone go on, against all rows of their words in every salt, with ever more
+   candidates, until none is open. A family of variants is so closed by its first tries and never
+   expands into pairs.
 5. Later occurrences of equal sets and verified later lines are removed from their documents.
 
 Defined cases: a line without words (blank, or of a null text) is never removed; a null id sorts
@@ -42,8 +43,8 @@ from pyspark.sql import functions as F
 from orecart.llm.common import arrow_map, documents, mix64, stash
 
 THRESHOLD = 0.8
-#: Candidates of a line and word that are verified first; each further round takes WIDER times as many.
-TRIES, WIDER = 2, 64
+#: Candidates of a line and word in the first round; each further round takes WIDER times as many.
+TRIES, WIDER = 1, 64
 #: Occurrences of a word's cell up to which its lines meet in one place; rows of a part, about.
 SALT_ROWS = 1 << 15
 PART_ROWS = 150_000
@@ -258,11 +259,11 @@ def distinct_rows(rows: list[np.ndarray]) -> list[np.ndarray]:
     return [x[new] for x in rows]
 
 
-def candidates(base: list[np.ndarray], threshold: float, tries: int, probes: list[np.ndarray] | None = None, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers (later, earlier) of the `tries` closest earlier candidates of every later row, and its number of candidates.
+def candidates(base: list[np.ndarray], threshold: float, tries: int, probes: list[np.ndarray] | None = None, label: np.ndarray | None = None, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers (later, earlier) and distance of the `tries` closest earlier candidates of every later row, and its number of candidates.
 
-    base is as distinct_rows() gives it. Without probes its rows meet each other; with probes, each
-    of those is a later row and meets the rows of base.
+    base is as distinct_rows() gives it. Without probes its rows meet each other, those of one label
+    not; with probes, each of those is a later row and meets the rows of base.
     """
     word, _, bits, doc, line, n, position, _ = base
     n, position = n.astype(np.int64), position.astype(np.int64)
@@ -316,7 +317,7 @@ def candidates(base: list[np.ndarray], threshold: float, tries: int, probes: lis
         x, y, far = x[fit], y[fit], far[fit]
         after = (doc2[x] > doc[y]) | ((doc2[x] == doc[y]) & (line2[x] > line[y]))
         if probes is None:
-            apart = after | (doc[x] != doc[y]) | (line[x] != line[y])
+            apart = (after | (doc[x] != doc[y]) | (line[x] != line[y])) & (True if label is None else label[x] != label[y])
             later, earlier = np.where(after, x, y)[apart], np.where(after, y, x)[apart]
             far = far[apart]
         else:
@@ -329,9 +330,9 @@ def candidates(base: list[np.ndarray], threshold: float, tries: int, probes: lis
                 cut()
     if not held:
         none = np.zeros(0, np.int64)
-        return none, none, many
+        return none, none, none, many
     cut()
-    return held[0][0], held[0][1], many
+    return *held[0], many
 
 
 def _bitmap(values: DataFrame, column: str) -> np.ndarray:
@@ -402,7 +403,7 @@ def _batch(columns: dict[str, pa.Array], schema: pa.Schema, size: int) -> pa.Rec
     return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
 
-_FOUND = "part int, rows binary, id long, line int, k int, id2 long, line2 int, k2 int, home int"
+_FOUND = "part int, rows binary, id long, line int, k int, id2 long, line2 int, k2 int, far int, home int"
 
 
 def _places(rows: list[np.ndarray], at: np.ndarray, second: str = "") -> dict[str, np.ndarray]:
@@ -412,8 +413,8 @@ def _places(rows: list[np.ndarray], at: np.ndarray, second: str = "") -> dict[st
 def _frame(**columns: object) -> pd.DataFrame:
     """Rows of _FOUND: a pair has id2, a part's kept rows have rows, an open line has home."""
     size = max(len(x) for x in columns.values() if hasattr(x, "__len__") and not isinstance(x, bytes))
-    kinds = {"part": "Int32", "id": "Int64", "line": "Int32", "k": "Int32", "id2": "Int64", "line2": "Int32", "k2": "Int32", "home": "Int32"}
-    return pd.DataFrame({name: pd.Series(columns[name] if name in columns else [None] * size, dtype=kind) for name, kind in kinds.items()} | {"rows": pd.Series(columns.get("rows", [None] * size), dtype=object)})[["part", "rows", "id", "line", "k", "id2", "line2", "k2", "home"]]
+    kinds = {"part": "Int32", "id": "Int64", "line": "Int32", "k": "Int32", "id2": "Int64", "line2": "Int32", "k2": "Int32", "far": "Int32", "home": "Int32"}
+    return pd.DataFrame({name: pd.Series(columns[name] if name in columns else [None] * size, dtype=kind) for name, kind in kinds.items()} | {"rows": pd.Series(columns.get("rows", [None] * size), dtype=object)})[["part", "rows", "id", "line", "k", "id2", "line2", "k2", "far", "home"]]
 
 
 def matched(source: DataFrame, join: Join, tries: int = TRIES) -> DataFrame:
@@ -450,8 +451,8 @@ def matched(source: DataFrame, join: Join, tries: int = TRIES) -> DataFrame:
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         part = int(group["part"].iloc[0])
         base = distinct_rows(_unpacked(list(group["rows"])))
-        x, y, many = candidates(base, join.threshold, tries)
-        frames = [_frame(**_places(base, x), **_places(base, y, "2")).drop_duplicates(ignore_index=True)] if len(x) else []
+        x, y, far, many = candidates(base, join.threshold, tries)
+        frames = [_frame(**_places(base, x), **_places(base, y, "2"), far=far).drop_duplicates(ignore_index=True)] if len(x) else []
         # Rows that may still be needed: of words with a line that has more candidates, and of salted words.
         salted = join.salts[base[7]] > 1
         open_ = (many > tries) | salted
@@ -463,18 +464,23 @@ def matched(source: DataFrame, join: Join, tries: int = TRIES) -> DataFrame:
 
     found = stash(arrow_map(source, send, "part int, rows binary").groupBy("part").applyInPandas(meet, _FOUND))
     kept = found.where("rows IS NOT NULL").select("part", "rows")
-    pairs = found.where("id2 IS NOT NULL").select(*at, "id2", "line2", "k2").distinct()
-    keys = stash(_verified(source, pairs, join.threshold))
+    pairs = found.where("id2 IS NOT NULL").select(*at, "id2", "line2", "k2", "far")
+    best = pairs.groupBy(*at).agg(F.min(F.struct("far", "id2", "line2", "k2")).alias("b")).select(*at, "b.id2", "b.line2", "b.k2")
+    keys = stash(_verified(source, best, join.threshold))
+    pairs = pairs.drop("far").join(keys.select(*at), at, "left_anti").join(best, [*at, "id2", "line2", "k2"], "left_anti").distinct()
     open_ = found.where("home IS NOT NULL").select(*at, "home")
     while True:
         open_ = stash(open_.join(keys.select(*at), at, "left_anti"))
-        if not open_.limit(1).count():
-            return keys.select("key")
-        tries *= WIDER
-        again = _again(kept, open_, join, tries)
-        pairs = again.where("id2 IS NOT NULL").select(*at, "id2", "line2", "k2").distinct()
+        last = not open_.limit(1).count()
+        if not last:
+            tries *= WIDER
+            again = _again(kept, open_, join, tries)
+            pairs = pairs.union(again.where("id2 IS NOT NULL").select(*at, "id2", "line2", "k2")).distinct()
+            open_ = again.where("home IS NOT NULL").select(*at, "home").distinct()
         keys = stash(keys.union(_verified(source, pairs, join.threshold)))
-        open_ = again.where("home IS NOT NULL").select(*at, "home").distinct()
+        if last:
+            return keys.select("key")
+        pairs = pairs.limit(0)
 
 
 def _again(kept: DataFrame, open_: DataFrame, join: Join, tries: int) -> DataFrame:
@@ -502,9 +508,9 @@ def _again(kept: DataFrame, open_: DataFrame, join: Join, tries: int) -> DataFra
             base = distinct_rows(_unpacked(list(rows["rows"])))
             for home, blob in zip(probes["home"].tolist(), probes["probes"].tolist(), strict=True):
                 own = _unpacked([blob])
-                x, y, many = candidates(base, join.threshold, tries, own)
+                x, y, far, many = candidates(base, join.threshold, tries, own)
                 if len(x):
-                    frames.append(_frame(**_places(own, x), **_places(base, y, "2")).drop_duplicates(ignore_index=True))
+                    frames.append(_frame(**_places(own, x), **_places(base, y, "2"), far=far).drop_duplicates(ignore_index=True))
                 more = many > tries
                 if more.any():
                     frames.append(_frame(home=np.full(int(more.sum()), home), **_places(own, more)).drop_duplicates(ignore_index=True))
