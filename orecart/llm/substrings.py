@@ -132,7 +132,7 @@ def _bits(marked: np.ndarray, part: int, parts_log: int) -> bytes:
 def _collect_bitmap(rows: DataFrame) -> np.ndarray:
     """2**MAP_BITS bits, whatever the input."""
     out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
-    for part, packed in rows.where("kind = 'bits'").select("part", "packed").toLocalIterator():
+    for part, packed in rows.where("kind = 'bits'").select("part", "packed").collect():
         got = np.frombuffer(zlib.decompress(packed), np.uint8)
         out[part * len(got) : (part + 1) * len(got)] = got
     return out
@@ -152,8 +152,8 @@ def _join_packed(packed: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*(pickle.loads(p) for p in packed), strict=True)]
 
 
-def earliest_by_sorting(texts: list[bytes], windows: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """For the windows of every text, the least `first` of any text that holds the same window."""
+def _runs_by_sorting(texts: list[bytes], windows: np.ndarray) -> np.ndarray:
+    """Numbers of the windows of all texts, equal for equal windows only: places in the order of the suffixes they begin."""
     sizes = np.array([len(t) for t in texts], np.int64)
     base = np.cumsum(sizes + 1) - (sizes + 1)
     symbols = np.zeros(int((sizes + 1).sum()) + LENGTH, np.int64)
@@ -170,19 +170,100 @@ def earliest_by_sorting(texts: list[bytes], windows: np.ndarray, first: np.ndarr
     opens = np.ones(len(place), bool)
     for lo in range(1, len(place), 1 << 15):
         opens[lo : lo + (1 << 15)] = (view[place[lo : lo + (1 << 15)]] != view[place[lo - 1 : lo - 1 + len(place[lo : lo + (1 << 15)])]]).any(axis=1)
-    run = np.cumsum(opens) - 1
-    least = np.minimum.reduceat(first[owner[ordered]], np.flatnonzero(opens)) if len(place) else first[:0]
     out = np.empty(len(place), np.int64)
-    out[ordered] = least[run]
+    out[ordered] = np.cumsum(opens) - 1
+    return out
+
+
+def _least_of_equal(texts: list[bytes], windows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For every window of the texts, the least `first` (given per window) of the windows equal to it."""
+    run = _runs_by_sorting(texts, windows)
+    least = np.full(len(run), np.iinfo(np.int64).max)
+    np.minimum.at(least, run, first)
+    return least[run]
+
+
+def _least_of_copies(windows: np.ndarray, first: np.ndarray, most: int) -> np.ndarray:
+    """The same for rows of LENGTH bytes with one digest: sorted in bounded runs, whose distinct windows meet in the next round."""
+    step = max(2, most // (LENGTH + 1))
+    run, rows = np.empty(len(windows), np.int64), []
+    for lo in range(0, len(windows), step):
+        part = windows[lo : lo + step]
+        own = _runs_by_sorting([x.tobytes() for x in part], np.ones(len(part), np.int64))
+        run[lo : lo + step] = own + len(rows)
+        rows.extend((lo + np.unique(own, return_index=True)[1]).tolist())
+    least = np.full(len(rows), np.iinfo(np.int64).max)
+    np.minimum.at(least, run, first)
+    if len(windows) > step and len(rows) < len(windows):
+        least = _least_of_copies(windows[rows], least, most)
+    return least[run]
+
+
+def earliest_by_sorting(texts: list[bytes], windows: np.ndarray, first: np.ndarray, group: np.ndarray | None = None, most: int = SORT_BYTES) -> list[np.ndarray]:
+    """For the windows of every text, the least `first` of any text that holds the same window.
+
+    Equal windows lie in texts of one group (an anchor). A window whose digest stands once has no
+    equal; only the stretches between a text's first and last window with a repeated digest are sorted.
+    """
+    group = np.zeros(len(texts), np.int64) if group is None else group
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    base = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(texts)), windows)
+    at = base[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    digest = _window_digests(flat)[at]
+    order = np.argsort(digest, kind="stable")
+    same = digest[order][1:] == digest[order][:-1]
+    again = np.zeros(len(owner), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    out = first[owner].copy()
+    marked = np.flatnonzero(again)
+    if len(marked):
+        opens = np.append(True, owner[marked][1:] != owner[marked][:-1])
+        text, lo = owner[marked][opens], marked[opens]
+        hi = marked[np.append(np.flatnonzero(opens)[1:], len(marked)) - 1]
+        width = hi - lo + 1
+        load = np.cumsum(width + LENGTH)
+        change = np.append(True, group[text][1:] != group[text][:-1])
+        heads = np.append(np.flatnonzero(change), len(text))
+        i = 0
+        while i < len(text):  # runs of whole groups of about `most` bytes
+            j = int(heads[max(np.searchsorted(heads, i, "right"), np.searchsorted(heads, np.searchsorted(load, load[i] - width[i] - LENGTH + most), "right") - 1)])
+            took = np.repeat(lo[i:j], width[i:j]) + np.arange(int(width[i:j].sum())) - np.repeat(np.cumsum(width[i:j]) - width[i:j], width[i:j])
+            if load[j - 1] - load[i] <= 2 * most:
+                out[took] = _least_of_equal([flat[at[a] : at[a] + n + LENGTH - 1].tobytes() for a, n in zip(lo[i:j].tolist(), width[i:j].tolist(), strict=True)], width[i:j], first[owner[took]])
+            else:  # one large group: single windows, in runs of whole digests
+                took = took[again[took]]
+                took = took[np.argsort(digest[took], kind="stable")]
+                cut = np.append(np.flatnonzero(np.append(True, digest[took][1:] != digest[took][:-1])), len(took))
+                view = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
+                a = 0
+                while a < len(took):
+                    b = int(cut[max(np.searchsorted(cut, a, "right"), np.searchsorted(cut, a + most // (LENGTH + 1), "right") - 1)])
+                    out[took[a:b]] = _least_of_copies(view[at[took[a:b]]], first[owner[took[a:b]]], most)
+                    a = b
+            i = j
     return np.split(out, np.cumsum(windows)[:-1])
 
 
+def _window_digests(flat: np.ndarray) -> np.ndarray:
+    """64-bit digests of the LENGTH bytes from every place."""
+    with np.errstate(over="ignore"):
+        power, back = np.full(len(flat) + 1, _P, _U), np.full(len(flat) + 1, _P_INV, _U)
+        power[0] = back[0] = 1
+        np.multiply.accumulate(power, out=power)
+        np.multiply.accumulate(back, out=back)
+        prefix = np.zeros(len(flat) + 1, _U)
+        np.cumsum((flat.astype(_U) + _U(1)) * power[:-1], out=prefix[1:])
+        return mix64((prefix[LENGTH:] - prefix[:-LENGTH]) * back[: len(flat) - LENGTH + 1])
+
+
 def covered(docs: DataFrame) -> DataFrame:
     """(id, th, spans): start and stop of the removed runs as packed int64 pairs, for rows that lose bytes."""
     order, digest = keyed(docs)
     source = docs.select(order.alias("id"), digest.alias("th"), "text")
     spark = docs.sparkSession
-    parts_log = max(6, min(14, (2 * max(1, source.rdd.getNumPartitions()) - 1).bit_length()))
+    parts_log = max(6, min(16, (2 * max(1, source.rdd.getNumPartitions()) - 1).bit_length()))
     parts = 1 << parts_log
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +362,8 @@ def covered(docs: DataFrame) -> DataFrame:
                 for k in np.flatnonzero(_hit(bitmap, own.anchor)).tolist():
                     f = int(own.form[k])
                     if f not in seen:
+                        if len(seen) > 200_000:  # a context that recurs is sent again once in a while
+                            seen.clear()
                         seen.add(f)
                         held.append((int(own.anchor[k]), f, own.text(k)))
             if len(held) > 30_000:
@@ -300,17 +383,8 @@ def covered(docs: DataFrame) -> DataFrame:
         of_form = np.repeat(np.arange(len(f)), np.diff(np.append(f, len(form))))
         first, width = np.minimum.reduceat(doc, f), windows[f].astype(np.int64)
         texts = [text[x] for x in form[f].tolist()]
-        # Runs of whole anchors of about SORT_BYTES.
-        load = np.cumsum([len(t) + 1 for t in texts])
         change = np.append(True, anchor[f][1:] != anchor[f][:-1])
-        earliest: list[np.ndarray] = []
-        i = 0
-        while i < len(texts):
-            j = int(np.searchsorted(load, load[i] + SORT_BYTES))
-            while j < len(texts) and not change[j]:
-                j += 1
-            earliest.extend(earliest_by_sorting(texts[i:j], width[i:j], first[i:j]))
-            i = max(j, i + 1)
+        earliest = earliest_by_sorting(texts, width, first, np.cumsum(change))
         flat, base = np.concatenate(earliest), np.cumsum(width) - width
         out = []
         for a in range(0, len(doc), 1 << 18):
