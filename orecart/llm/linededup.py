@@ -9,7 +9,7 @@ Steps:
    rarity classes, a table of fixed size, give the global order of words: rare first.
 2. A second pass sends the prefix of every distinct line, rare words first: the n - ceil(t n) + 1
    words of which a similar line must share one, with the set's size, the word's position and a
-   64-bit parity bitmap. Rows travel packed by hash of the word; a word that may be very frequent is
+   128-bit parity bitmap. Rows travel packed by hash of the word; a word that may be very frequent is
    dealt over several salts by hash of the line.
 3. Rows of a word are sorted by size. A row meets only those longer rows that the length filter and
    its own position leave in reach, one range of the order; position and bitmap of the other row are
@@ -120,7 +120,7 @@ class Lines:
         with np.errstate(over="ignore"):
             mixed = mix64(h + _U(1))
             self.key = (np.add.reduceat(mixed, self.first) if lines else np.zeros(0, _U)) ^ self.n.astype(_U)
-            self.bits = np.bitwise_xor.reduceat(_U(1) << (mixed >> _U(58)), self.first) if lines else np.zeros(0, _U)
+        self.bits, self.bits2 = parity(mixed, self.first)
         self.row = first_row + full[doc[lead]]
         self.number = before[lead] - np.searchsorted(breaks, starts)[doc[lead]]
 
@@ -144,6 +144,15 @@ class Lines:
         return line[new], h[new]
 
 
+def parity(mixed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of a 128-bit map per set of hashes: a bit is 1 where an odd number of them falls."""
+    if not len(first):
+        return np.zeros(0, _U), np.zeros(0, _U)
+    at = mixed >> _U(57)
+    one, low = _U(1) << (at & _U(63)), at < 64
+    return np.bitwise_xor.reduceat(one * low, first), np.bitwise_xor.reduceat(one * ~low, first)
+
+
 def _log2(size: int) -> int:
     return size.bit_length() - 1
 
@@ -199,8 +208,8 @@ def _unplaned(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-#: A prefix row: word, key's low half, parity bitmap, id and line of the set's place, set size, position, rarity class.
-_PACK = ("<u4", "<u4", "<u8", "<i8", "<i4", "<u4", "<u2", "u1")
+#: A prefix row: word, key's low half, parity bitmap, id and line of the set's place, set size, position, rarity class, the bitmap's other half.
+_PACK = ("<u4", "<u4", "<u8", "<i8", "<i4", "<u4", "<u2", "u1", "<u8")
 
 
 def _packed(rows: list[np.ndarray]) -> bytes:
@@ -238,7 +247,7 @@ class Join:
         take = fresh[own.line] & (i < size[own.line])
         at, h = own.line[take], own.token[take]
         cls = self.rank[(h >> _U(64 - _log2(len(self.rank)))).astype(np.int64)]
-        return [(mix64(h) >> _U(32)).astype("<u4"), own.key[at].astype("<u4"), own.bits[at], ids[own.row[at]], own.number[at].astype("<i4"), n[at].astype("<u4"), np.minimum(i[take], 65535).astype("<u2"), cls]
+        return [(mix64(h) >> _U(32)).astype("<u4"), own.key[at].astype("<u4"), own.bits[at], ids[own.row[at]], own.number[at].astype("<i4"), n[at].astype("<u4"), np.minimum(i[take], 65535).astype("<u2"), cls, own.bits2[at]]
 
 
 def by_part(part: np.ndarray, rows: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
@@ -251,10 +260,10 @@ def by_part(part: np.ndarray, rows: list[np.ndarray]) -> Iterator[tuple[int, byt
 
 def distinct_rows(rows: list[np.ndarray]) -> list[np.ndarray]:
     """Sorted by word and size; a set that was sent from several places keeps its earliest."""
-    word, key, bits, doc, line, n, _, _ = rows
+    word, key, bits, doc, line, n = rows[:6]
     order = np.lexsort((line, doc, bits, key, n, word))
     rows = [x[order] for x in rows]
-    word, key, bits, _, _, n, _, _ = rows
+    word, key, bits, _, _, n = rows[:6]
     new = np.append(True, (word[1:] != word[:-1]) | (n[1:] != n[:-1]) | (key[1:] != key[:-1]) | (bits[1:] != bits[:-1]))[: len(word)]
     return [x[new] for x in rows]
 
@@ -265,14 +274,14 @@ def candidates(base: list[np.ndarray], threshold: float, tries: int, probes: lis
     base is as distinct_rows() gives it. Without probes its rows meet each other, those of one label
     not; with probes, each of those is a later row and meets the rows of base.
     """
-    word, _, bits, doc, line, n, position, _ = base
+    word, _, bits, doc, line, n, position, _, wide = base
     n, position = n.astype(np.int64), position.astype(np.int64)
     place = (word.astype(np.int64) << 31) + np.minimum(n, 2**31 - 1)
     spare = (1 + threshold) / threshold
     if probes is None:
-        w2, bits2, doc2, line2, n2, position2 = word, bits, doc, line, n, position
+        w2, bits2, doc2, line2, n2, position2, wide2 = word, bits, doc, line, n, position, wide
     else:
-        w2, _, bits2, doc2, line2, n2, position2, _ = probes
+        w2, _, bits2, doc2, line2, n2, position2, _, wide2 = probes
         n2, position2 = n2.astype(np.int64), position2.astype(np.int64)
     reach = np.minimum(np.floor((n2 - position2) * spare + 1e-9).astype(np.int64) - n2, np.floor(n2 / threshold + 1e-9).astype(np.int64))
     top = np.searchsorted(place, (w2.astype(np.int64) << 31) + np.minimum(np.maximum(reach, 0), 2**31 - 1), "right")
@@ -312,7 +321,7 @@ def candidates(base: list[np.ndarray], threshold: float, tries: int, probes: lis
         need = least_overlap(n2[x], n[y], threshold)
         fit = (need <= np.minimum(n2[x] - position2[x], n[y] - position[y])) & (np.minimum(n2[x], n[y]) >= need)
         x, y, need = x[fit], y[fit], need[fit]
-        far = np.bitwise_count(bits2[x] ^ bits[y]).astype(np.int64)
+        far = np.bitwise_count(bits2[x] ^ bits[y]).astype(np.int64) + np.bitwise_count(wide2[x] ^ wide[y])
         fit = far <= n2[x] + n[y] - 2 * need
         x, y, far = x[fit], y[fit], far[fit]
         after = (doc2[x] > doc[y]) | ((doc2[x] == doc[y]) & (line2[x] > line[y]))
