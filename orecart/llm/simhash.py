@@ -19,7 +19,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orecart.llm.common import arrow_map, documents, stash
@@ -125,15 +125,28 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, th, fp, root (the component's least fingerprint), component_id for every row."""
+    """doc_id, th, fp, root (the component's least label), component_id for every row.
+
+    A fingerprint's label is its least doc_id, so that a component's least label is its id and no
+    table is grouped or joined by component; fingerprints without any id have labels above all ids.
+    """
     rows = stash(fingerprints(docs, words))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    edges = stash(links(nodes.select("fp"), distance).where("a <> b").distinct())
-    roots = components(edges)
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "root", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
+    nodes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).select("fp", label_of(F.col("first_id"), F.col("fp")).alias("label")))
+    edges = links(nodes.select("fp"), distance).where("a <> b").distinct()
+    for end in "ab":
+        edges = edges.join(nodes.withColumnRenamed("fp", end), end).drop(end).withColumnRenamed("label", f"{end}{end}")
+    roots = components(stash(edges.select(F.col("aa").alias("a"), F.col("bb").alias("b"))))
+    named = nodes.join(roots, nodes["label"] == roots["node"], "left").select("fp", F.coalesce("root", "label").alias("root"))
+    return rows.join(named, "fp").select("doc_id", "th", "fp", "root", id_of(F.col("root")).alias("component_id"))
+
+
+def label_of(first_id: Column, key: Column) -> Column:
+    """A number that is first_id, or where that is null one above all ids that depends on key (a long)."""
+    return F.coalesce(first_id.cast("decimal(20,0)"), (key.cast("decimal(20,0)") + F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(20,0)"))
+
+
+def id_of(label: Column) -> Column:
+    return F.when(label < F.lit(str(2**63)).cast("decimal(20,0)"), label.cast("long"))
 
 
 def first_rows(docs: DataFrame, found: DataFrame, one_nameless: bool = False) -> DataFrame:
