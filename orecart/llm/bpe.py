@@ -165,8 +165,7 @@ class Codec:
         if len(flat) and not 0 <= flat.min() <= flat.max() < len(self.tokens):
             raise ValueError("a token id is outside the vocabulary")
         self.con.register("token_rows", pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), n), "p": np.arange(len(flat), dtype=np.int64), "id": flat}))
-        # The connection has one thread: the aggregate takes the rows in the order of the sort below it, which costs a third of a sort within each group.
-        got = self.con.execute("SELECT doc, string_agg(text, '') FROM (SELECT doc, text FROM token_rows JOIN vocabulary USING (id) ORDER BY p) GROUP BY doc").fetchall()
+        got = self.con.execute("SELECT doc, string_agg(text, '' ORDER BY p) FROM token_rows JOIN vocabulary USING (id) GROUP BY doc").fetchall()
         self.con.unregister("token_rows")
         out = [b""] * len(ids)
         for doc, text in got:
