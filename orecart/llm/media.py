@@ -6,7 +6,9 @@ The validated type at offset 0 corrects the declared type; validated hits inside
 embedded media. A blob that no validator accepts keeps type application/octet-stream.
 
 Defined cases: a null text is stored as an empty one; a null blob sniffs as octet-stream with no
-embedded media; equal texts give equal values; repeated rows stay; an empty table gives an empty one.
+embedded media; equal texts give equal values; repeated rows stay; extra columns stay, except that
+columns named media_type, embedded or corrected are replaced; a gzip member that inflates to more
+than INFLATED bytes is not accepted; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -38,6 +40,9 @@ MAGIC = {
     b"%PDF-": "application/pdf",
 }
 PAD, UNIT, RATE = b"\x20", 192, 8000
+#: Bytes to which a gzip member may inflate; it is read piece by piece, and nothing is kept.
+INFLATED = 1 << 28
+_PIECE = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -145,16 +150,27 @@ def _au(b: bytes, at: int) -> int | None:
 
 
 def _gz(b: bytes, at: int) -> int | None:
-    d = zlib.decompressobj(31)
+    d, out = zlib.decompressobj(31), 0
     try:
-        d.decompress(b[at:])
+        for p in range(at, len(b), _PIECE):
+            rest = b[p : p + _PIECE]
+            stop = p + len(rest)
+            while rest:
+                out += len(d.decompress(rest, 1 << 20))
+                if d.eof:
+                    return stop - len(d.unused_data) - at
+                if out > INFLATED:
+                    return None
+                rest = d.unconsumed_tail
     except zlib.error:
-        return None
-    return len(b) - at - len(d.unused_data) if d.eof else None
+        pass
+    return None
 
 
 def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
+    """Up to the last end mark before another file begins: updates are appended after an end mark."""
+    after = b.find(b"%PDF-", at + 5)
+    end = b.rfind(b"%%EOF", at, after if after >= 0 else len(b))
     return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
 
 
@@ -215,19 +231,24 @@ def pack_gzip(data: bytes) -> bytes:
 
 
 def media_columns(blobs: DataFrame, blob_col: str = "blob", declared_col: str | None = None) -> DataFrame:
-    """Adds media_type, corrected (the declared type was wrong) and embedded (offset, length, type) to a table of blobs."""
+    """Adds media_type, embedded (offset, length, type) and, given a declared type, corrected (that was wrong) to a table of blobs."""
     fields = "media_type string, embedded array<struct<offset:long,length:long,type:string>>"
+    stay = [c for c in blobs.columns if c not in {"media_type", "embedded", *(["corrected"] if declared_col else [])}]
+    helpers = {"__blob": F.col(f"`{blob_col}`")} | ({"__said": F.col(f"`{declared_col}`")} if declared_col else {})
+    blobs = blobs.select(*[F.col(f"`{c}`") for c in stay], *[c.alias(k) for k, c in helpers.items()])
     taken = blobs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [sniff(x) for x in batch.column(taken.index(blob_col)).to_pylist()]
+            seen = [sniff(x) for x in batch.column(taken.index("__blob")).to_pylist()]
             inner = pa.array([[{"offset": a, "length": n, "type": t} for a, n, t in y] for _, y in seen], pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in seen], pa.string()), inner], [*taken, "media_type", "embedded"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in blobs.schema.fields] + [fields])
     out = arrow_map(blobs, run, schema, 256)
-    return out.withColumn("corrected", ~F.col(declared_col).eqNullSafe(F.col("media_type"))) if declared_col else out
+    if declared_col:
+        out = out.withColumn("corrected", ~F.col("__said").eqNullSafe(F.col("media_type")))
+    return out.drop(*helpers)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
