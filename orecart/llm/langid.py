@@ -4,12 +4,14 @@ Model: per language the smoothed distribution of hashed byte trigrams of lower-c
 over every training document. A document's trigram counts c are explained by a mixture
 sum_l pi_l p_l; expectation-maximisation estimates pi. The set of languages is then grown in order
 of pi while the log-likelihood gain of the enlarged set exceeds a penalty of PENALTY * log(n) per
-language. The predicted language is the largest proportion within that set.
+language. The proportions are estimated anew within that set; the predicted language is the largest
+of them, its proportion the score. Every estimation runs until no proportion moves by TOLERANCE.
 
 Defined cases: a text that is null or has no letter gets `und` with score 0. Rows without a language
 or id are not learned from where the language is null; a null id counts as an empty string for the
 split. With nothing learned every prediction is `und`. Equal proportions go to the language that
-sorts first. Repeated rows are predicted each; extra columns are ignored; an empty table stays empty.
+sorts first. Repeated rows are predicted each; extra columns stay, except that columns named
+lang_pred, score and lang_set are replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from orecart.llm.common import arrow_map, documents, text_slices
 
 BUCKETS = 1 << 15
-STEPS = 12
+#: Where an estimation ends, and a bound for mixtures whose languages can hardly be told apart.
+TOLERANCE, STEPS = 1e-4, 1000
 PENALTY = 8.0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -66,7 +69,7 @@ def mixture(p: np.ndarray, c: np.ndarray, steps: int = STEPS) -> tuple[np.ndarra
     if p.shape[1] > 1:
         for _ in range(steps):
             new = pi * (p.T @ (c / (p @ pi))) / n
-            done = np.abs(new - pi).max() < 1e-4
+            done = np.abs(new - pi).max() < TOLERANCE
             pi = new
             if done:
                 break
@@ -74,23 +77,24 @@ def mixture(p: np.ndarray, c: np.ndarray, steps: int = STEPS) -> tuple[np.ndarra
 
 
 def infer(raw: bytes, model: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Mixture proportions of one text and the chosen set of languages. model: n-grams by languages."""
+    """The chosen set of languages of one text, and their proportions, largest first. model: n-grams by languages."""
     counts = np.bincount(trigram_buckets(raw), minlength=BUCKETS)
     at = np.flatnonzero(counts)
     p, c = model[at], counts[at].astype(np.float64)
     pi, _ = mixture(p, c)
     order = np.argsort(-pi, kind="stable")
     chosen, penalty = [int(order[0])], PENALTY * np.log(max(2.0, c.sum()))
-    _, best = mixture(p[:, chosen], c)
+    share, best = mixture(p[:, chosen], c)
     for k in order[1:]:
         if pi[k] < 0.02:
             break
-        _, more = mixture(p[:, [*chosen, int(k)]], c)
+        wider, more = mixture(p[:, [*chosen, int(k)]], c)
         if more - best <= penalty:
             break
         chosen.append(int(k))
-        best = more
-    return pi, chosen
+        share, best = wider, more
+    order = sorted(range(len(chosen)), key=lambda i: (-share[i], chosen[i]))
+    return share[order], [chosen[i] for i in order]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -99,7 +103,7 @@ def held_out(doc_id: Column) -> Column:
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns `keep`) with lang_pred, score and lang_set. Only the text is looked at."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "lang_set")]
     model = np.ascontiguousarray(table.T)
     taken = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
 
@@ -112,8 +116,8 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str
                     if not ok or not langs:
                         out.append(("und", 0.0, []))
                         continue
-                    pi, chosen = infer(raw, model)
-                    out.append((langs[chosen[0]], float(min(1.0, pi[chosen[0]])), [langs[k] for k in chosen]))
+                    share, chosen = infer(raw, model)
+                    out.append((langs[chosen[0]], float(min(1.0, share[0])), [langs[k] for k in chosen]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.list_(pa.string()))], [*keep, "lang_pred", "score", "lang_set"])
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
