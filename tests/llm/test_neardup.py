@@ -60,7 +60,7 @@ def test_long_runs_lose_no_link(spark):
         texts += [edited(rnd, base, rnd.randrange(1, 4)) for _ in range(60)]
     want = slow_groups(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, small_run=4, cell=16).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, tries=1, part_rows=200).collect()}
     assert got == want and 4 < len(set(want.values())) < len(texts)
 
 
