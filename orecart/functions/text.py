@@ -38,7 +38,7 @@ def literals(values: Sequence[str]) -> Column:
 def scan_keywords(text: Column, keywords: Sequence[str]) -> Column:
     """The keywords that occur as substrings, in list order."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(literals(keywords), lambda k: lower.contains(k))
+    return F.array_compact(F.array(*[F.when(lower.contains(k), F.lit(k)) for k in keywords])) if keywords else literals(keywords)
 
 
 def tokens(text: Column, split_hyphen: bool = False, least: int = 3) -> Column:

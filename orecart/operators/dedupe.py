@@ -26,8 +26,15 @@ def leadership_count(contacts: DataFrame) -> DataFrame:
     return contacts.agg(F.count("*").alias("contacts"), F.count_if(F.col("role_category").isin(rules.LEADERSHIP_ROLES)).alias("leaders"))
 
 
-def engine_counts(results: DataFrame) -> DataFrame:
-    return results.groupBy(F.coalesce("search_engine", F.lit("unknown")).alias("engine")).agg(F.count("*").alias("results"))
+def engine_counts(results: DataFrame, *by: str) -> DataFrame:
+    """Results per engine (unknown where none is named), within the columns `by`."""
+    engine = F.coalesce(F.nullif("search_engine", F.lit("")), F.lit("unknown"))
+    return results.groupBy(*by, engine.alias("engine")).agg(F.count("*").alias("results"))
+
+
+def diagnose(results: DataFrame) -> DataFrame:
+    """Per query the number of results and the engines that gave them."""
+    return results.groupBy("query").agg(F.count("*").alias("results"), F.array_sort(F.collect_set(F.nullif("engine", F.lit("")))).alias("engines"))
 
 
 def run_stats(decided: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def infer_archetype(url: Column, anchor: Column, title: Column) -> Column:
         options = [lengths]
         for j, word in enumerate(words):
             pattern = ascii_bounds(rf"\b{re.escape(word)}\b")
-            each = {k: c.rlike(pattern) for k, c in where.items()}
+            each = {k: c.contains(word) & c.rlike(pattern) for k, c in where.items()}  # the plain test spares nearly all others
             for k, hit in each.items():
                 hits[k] = hits[k] + hit.cast("int")
             options.append(F.when(each["url"] | each["anchor"] | each["title"], F.struct(F.lit(len(word)).alias("n"), F.lit(-j).alias("order"), F.lit(word).alias("word"))).otherwise(lengths))
@@ -97,10 +97,9 @@ def score(found: Column, depth: Column, segments: Column) -> Column:
 
 def anchors(pages: DataFrame) -> DataFrame:
     """One row per link with an href, in document order: page columns but html, seq, href, anchor_text."""
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("inner"))
     rest = [c for c in pages.columns if c != "html"]
-    out = pages.select(*rest, F.posexplode(pairs).alias("seq", "a"))
-    return out.select(*rest, "seq", F.col("a.href").alias("href"), squeeze(F.regexp_replace("a.inner", "<[^>]*>", "")).alias("anchor_text"))
+    out = pages.select(*rest, F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("seq", "a"))
+    return out.select(*rest, "seq", F.regexp_extract("a", ANCHOR, 1).alias("href"), squeeze(F.regexp_replace(F.regexp_extract("a", ANCHOR, 2), "<[^>]*>", "")).alias("anchor_text"))
 
 
 def page_links(links: DataFrame, limit: int = rules.LINKS_PER_PAGE) -> DataFrame:
@@ -131,13 +130,22 @@ def harvest(links: DataFrame, limit: int = rules.HARVEST_DOMAINS) -> DataFrame:
     full = links.withColumn("norm", U.normalize(U.resolve(F.col("href"), F.col("page_url")))).where("norm IS NOT NULL")
     excluded = "|".join(d.replace(".", r"\.") for d in rules.HARVEST_EXCLUDED)
     external = (F.col("norm.hostname") != U.hostname(F.col("page_url"))) & ~F.col("norm.domain").rlike(rf"(^|\.)({excluded})$") & U.is_public_host(F.col("norm.hostname"))
-    full = full.where(external & ~matches(F.col("norm.normalized_url"), r"\.(?:jpg|jpeg|png|gif|webp|svg|pdf|css|js|zip|woff2?)(?:$|\?)") & ~matches(F.col("norm.normalized_url"), "/login|/signup|/privacy|/terms"))
+    full = full.where(external & ~matches(F.col("norm.normalized_url"), rules.HARVEST_SKIPPED))
     place = F.struct("page_id", "seq")
     per = full.groupBy("source_id", F.col("norm.domain").alias("domain")).agg(F.min(place).alias("at"), F.min_by(F.col("norm.base_url"), place).alias("url"), F.coalesce(F.min_by("anchor_text", F.when(F.col("anchor_text") != "", place)), F.lit("")).alias("title"))
     w = Window.partitionBy("source_id").orderBy("at")
     return per.withColumn("seen", F.row_number().over(w)).where(F.col("seen") <= limit).select("source_id", "domain", "url", "title", "seen")
 
 
+def directory_pages(links: DataFrame, limit: int = rules.HARVEST_PAGES) -> DataFrame:
+    """Further pages of a directory to read: links of its first page to the same host whose path or query hints at a listing, first ones per source."""
+    full = links.withColumn("target", U.resolve(F.col("href"), F.col("page_url"))).withColumn("url", U.normalized(F.col("target"))).where("url IS NOT NULL")
+    full = full.where((U.hostname(F.col("target")) == U.hostname(F.col("page_url"))) & U.is_public_host(U.hostname(F.col("target"))))
+    full = full.where(matches(F.concat(U._part(F.col("target"), 3), U._part(F.col("target"), 4)), rules.HARVEST_INTERNAL) & ~matches(U._part(F.col("target"), 3), rules.HARVEST_SKIPPED))
+    w = Window.partitionBy("source_id").orderBy("page_id", "seq")
+    return full.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit).select("source_id", "url", "nth")
+
+
 def frontier(edges: DataFrame, seeds: DataFrame, max_depth: int = 1) -> DataFrame:
     """(url, depth) reachable from seeds within max_depth steps, each at its least depth; a depth-bounded loop of joins."""
     seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))

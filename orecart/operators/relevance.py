@@ -44,14 +44,18 @@ def representatives(candidates: DataFrame, seq: str = "seq") -> DataFrame:
     return candidates.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def batches(reps: DataFrame, order: str = "seq", size: int = rules.BATCH) -> DataFrame:
-    """Numbered batches of `size` rows in order. Offsets per sorted partition replace one global window."""
-    ranged = reps.repartitionByRange(order).sortWithinPartitions(order)
-    marked = ranged.withColumn("__part", F.spark_partition_id())
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Rows numbered from 0 in order. Offsets per range replace one global window; the ranges are written once, so that both uses see the same."""
+    marked = rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).checkpoint()
     local = marked.withColumn("__rn", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
     counts = marked.groupBy("__part").count()
     before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
-    return local.join(F.broadcast(before), "__part").withColumn("batch", F.floor((F.col("__before") + F.col("__rn") - 1) / size).cast("int")).drop("__part", "__rn", "__before")
+    return local.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__rn") - 1).drop("__part", "__rn", "__before")
+
+
+def batches(reps: DataFrame, order: str = "seq", size: int = rules.BATCH) -> DataFrame:
+    """Numbered batches of `size` rows in order."""
+    return numbered(reps, order, "__n").withColumn("batch", F.floor(F.col("__n") / size).cast("int")).drop("__n")
 
 
 def decide(type_: Column, is_website: Column, matches_plan: Column, missing: Column) -> Column:

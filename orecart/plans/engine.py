@@ -36,9 +36,10 @@ class Engine:
             found = tables.targets_from_results(results.where(F.col("query").isin(queries)))
             flat = dedupe.dedupe_by_domain(found).withColumn("seq", F.concat_ws("-", F.lpad(F.col("priority").cast("string"), 6, "0"), "domain"))
             flat = flat.orderBy("priority", "domain").limit(self.limit).select("seq", "url", "title", "snippet", "priority", "search_engine")
-            if out is not None:
-                flat = flat.join(out.select("url"), "url", "left_anti")
             decided = relevance.rank_candidates(flat, self.provider).checkpoint()
+            if out is not None:  # a domain that was approved before is not approved again
+                known = out.where("status = 'approved'").select("domain", F.lit("approved").alias("status")).distinct()
+                decided = decided.join(known, ["domain", "status"], "left_anti").select(*decided.columns)
             out = decided if out is None else out.unionByName(decided, allowMissingColumns=True)
         return out
 

@@ -16,9 +16,10 @@ from orecart.functions import company as M
 from orecart.functions import contact as C
 from orecart.functions import html as H
 from orecart.functions import names as N
+from orecart.functions import prompts as P
 from orecart.functions import text as T
 from orecart.functions import url as U
-from orecart.operators import dedupe, extract, links, matching, planning, qualify, relevance, resolve, serve
+from orecart.operators import control, dedupe, extract, links, matching, planning, qualify, relevance, resolve, serve
 from orecart.plans import sqltext as S
 from orecart.sources import tables
 from orecart.streaming import targets
@@ -92,11 +93,19 @@ def rank_fail_closed(spark, sf_dir):
     return out.groupBy("domain").agg(F.count("*").alias("urls"), F.min("status").alias("status"), F.min("reason_code").alias("reason_code"))
 
 
-@query(f"""WITH h AS (SELECT page_id, {S.host('url')} AS hostname FROM pages), deny AS (SELECT {S.registrable('hostname')} AS domain FROM h GROUP BY 1 HAVING count(*) % 2 = 0)
-SELECT page_id, hostname FROM h WHERE NOT EXISTS (SELECT 1 FROM deny WHERE h.hostname = deny.domain OR h.hostname LIKE '%.' || deny.domain)""")
+SQL_HOSTS = "h AS (SELECT page_id, 'W' || page_id % 11 || '.Site' || page_id % 7 || '.test' AS hostname FROM pages)"
+
+
+def _hosts(spark, sf_dir):
+    k = F.col("page_id")
+    return _pages(spark, sf_dir).select("page_id", F.concat(F.lit("W"), k % 11, F.lit(".Site"), k % 7, F.lit(".test")).alias("hostname"))
+
+
+@query(f"""WITH {SQL_HOSTS}, l AS (SELECT page_id, lower(hostname) AS hostname FROM h)
+SELECT page_id, hostname FROM l WHERE hostname NOT IN ('w3.site1.test', 'w4.site4.test') AND hostname NOT LIKE '%.site2.test' AND hostname NOT LIKE '%.site5.test'""")
 def blocklist_anti(spark, sf_dir):
-    rows = _pages(spark, sf_dir).select("page_id", U.hostname(F.col("url")).alias("hostname"))
-    deny = rows.groupBy(U.registrable(F.col("hostname")).alias("domain")).count().where("count % 2 = 0")
+    rows = _hosts(spark, sf_dir).withColumn("hostname", F.lower("hostname"))
+    deny = spark.createDataFrame([("site2.test",), ("site5.test",), ("w3.site1.test",), ("w4.site4.test",), ("ite3.test",)], "domain string")
     return relevance.drop_blocked(rows, "hostname", deny).select("page_id", "hostname")
 
 
@@ -329,10 +338,17 @@ def contacts_merged(spark, sf_dir):
     return merged.select("domain", F.size("page_ids").cast("long").alias("pages"), (F.coalesce("title", F.lit("")) != "").alias("titled"))
 
 
-@query("SELECT page_id, length(html) > 0 AS ok FROM pages")
+def _sql_text(x: str) -> str:
+    return rf"trim(regexp_replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_sql_text("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, regexp_extract_all(html, {q(links.ANCHOR)}, 1) AS h, regexp_extract_all(html, {q(links.ANCHOR)}, 2) AS t FROM pages),
+l AS (SELECT page_id, title, list_transform(range(1, len(h) + 1), lambda i: '[' || {_sql_text('t[i]')} || '](' || h[i] || ')') AS l FROM p)
+SELECT page_id, '# ' || title AS heading, array_to_string(list_filter(l, lambda x, i: x NOT LIKE '[](%' AND x NOT LIKE '%]()' AND list_position(l, x) = i), chr(10)) AS links FROM l""")
 def html_markdown(spark, sf_dir):
-    out = H.with_markdown(_pages(spark, sf_dir))
-    return out.select("page_id", (F.length("markdown") > 0).alias("ok"))
+    """Of the Markdown its first line and its links; the blocks between depend on how broken markup nests and are held to expected texts in the tests."""
+    lines = F.split("markdown", "\n")
+    return H.with_markdown(_pages(spark, sf_dir)).select("page_id", F.get(lines, F.lit(0)).alias("heading"), F.array_join(F.filter(lines, lambda x: x.rlike(r"^\[.*\]\(.*\)$")), "\n").alias("links"))
 
 
 @query()
@@ -404,20 +420,24 @@ def dashboard_visible(spark, sf_dir):
     return serve.visible(_records(spark, sf_dir)).select("id", "record_type")
 
 
+def _dashboard(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("event_type").alias("state"), F.col("ts").alias("updated_at"), F.col("event_id").alias("id"))
+    return serve.dashboard(_records(spark, sf_dir), e)
+
+
 @query("SELECT event_type AS state, count(*) AS count FROM events GROUP BY event_type")
 def target_states(spark, sf_dir):
-    return tables.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("state")).agg(F.count("*").alias("count"))
+    return _dashboard(spark, sf_dir)["targets"]
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
 def recent_targets(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").alias("updated_at"), F.col("event_id").alias("id"))
-    return e.orderBy(F.desc("updated_at"), F.desc("id")).limit(100).select("event_id", "user_id", "event_type")
+    return _dashboard(spark, sf_dir)["recent_targets"].select("event_id", "user_id", "event_type")
 
 
-@query("SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+@query("SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10000")
 def scan_records(spark, sf_dir):
-    return tables.records(_records(spark, sf_dir), "company", 50).select("id", "created_at")
+    return tables.records(_records(spark, sf_dir), "company").select("id", "created_at")
 
 
 @query(f"WITH {SQL_RANKED} SELECT o_orderkey AS id, s AS qualification_status FROM r WHERE o_orderpriority = '1-URGENT' AND s = 'review'")
@@ -454,6 +474,22 @@ def evidence_rank(spark, sf_dir):
     return p.select("page_id", s.alias("score")).orderBy(F.desc("score"), "page_id").limit(25)
 
 
+@query(rf"""WITH p AS (SELECT page_id, page_id % 12 AS domain, lower(url || {sql_pick(SLUGS, 'page_id')}) AS u, url || {sql_pick(SLUGS, 'page_id')} AS url, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, html FROM pages),
+s AS (SELECT *, {' + '.join(f"8 * contains(lower(title), '{w}')::INT + 4 * contains(u, '{w}')::INT + contains(lower(html), '{w}')::INT" for w in EVIDENCE_TERMS)} + {' + '.join(f"4 * contains(u, '{x}')::INT" for x in rules.IMPORTANT_PATHS)} AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, page_id) AS n FROM s)
+SELECT domain, string_agg('[EVIDENCE ' || n || ']' || chr(10) || 'URL: ' || url || chr(10) || 'TITLE: ' || title || chr(10) || chr(10) || substr(html, 1, 300), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS evidence, string_agg(page_id::VARCHAR, ',' ORDER BY n) AS page_ids FROM r WHERE n <= 5 GROUP BY domain""")
+def company_evidence(spark, sf_dir):
+    k = F.col("page_id")
+    rows = _pages(spark, sf_dir).select((k % 12).alias("domain"), "page_id", F.concat("url", pick(SLUGS, k)).alias("url"), "html", F.col("html").alias("text"))
+    return P.evidence(rows, EVIDENCE_TERMS, most=300).withColumn("page_ids", F.array_join(F.col("page_ids").cast("array<string>"), ","))
+
+
+@query(f"WITH p AS (SELECT page_id, {sql_pick(SLUGS, 'page_id')} AS u, {sql_pick(HEADS, 'page_id // 3')} AS t FROM pages) SELECT page_id, CASE WHEN {S.page_kind('u', 't')} IN ('team_page', 'careers_page', 'job_posting', 'contact_page') THEN 'contact' ELSE 'company' END AS prompt_key FROM p")
+def prompt_keys(spark, sf_dir):
+    k = F.col("page_id")
+    return _pages(spark, sf_dir).select("page_id", P.prompt_key(links.classify_page(pick(SLUGS, k), pick(HEADS, F.floor(k / 3)))).alias("prompt_key"))
+
+
 # --- Resolution and matching ---------------------------------------------------------------------------------------
 
 
@@ -512,10 +548,19 @@ def tech_hints(spark, sf_dir):
     return out.select("p_brand", F.array_join(F.transform("languages", lambda x: F.concat(x["language"], F.lit(":"), x["repositories"])), ",").alias("languages"), F.array_join("topics", ",").alias("topics"))
 
 
-@query("""SELECT user_id % 10 AS domain, coalesce(json_extract_string(props, '$.none'), 'unknown') AS engine, count(*) AS results FROM events GROUP BY ALL""")
+ENGINES = ["alpha", "beta", "", "gamma"]
+
+
+@query(f"WITH e AS (SELECT user_id % 10 AS domain, {sql_pick(ENGINES, 'event_id')} AS e, event_id FROM events) SELECT domain, CASE WHEN e = '' OR event_id % 9 = 0 THEN 'unknown' ELSE e END AS engine, count(*) AS results FROM e GROUP BY ALL")
 def engine_counts(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("domain"), F.get_json_object("props", "$.none").alias("search_engine"))
-    return e.groupBy("domain").agg(F.count("*").alias("results")).select("domain", F.lit("unknown").alias("engine"), "results")
+    e = tables.table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("domain"), F.when(F.col("event_id") % 9 != 0, pick(ENGINES, F.col("event_id"))).alias("search_engine"))
+    return dedupe.engine_counts(e, "domain")
+
+
+@query(f"WITH e AS (SELECT 'q' || user_id % 20 AS query, {sql_pick(ENGINES, 'event_id')} AS e FROM events) SELECT query, count(*) AS results, array_to_string(list_sort(list_distinct(list(e) FILTER (WHERE e <> ''))), ',') AS engines FROM e GROUP BY query")
+def search_diagnose(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select(F.concat(F.lit("q"), F.col("user_id") % 20).alias("query"), pick(ENGINES, F.col("event_id")).alias("engine"))
+    return dedupe.diagnose(e).withColumn("engines", F.array_join("engines", ","))
 
 
 # --- State ----------------------------------------------------------------------------------------------------------
@@ -548,12 +593,31 @@ def target_machine(spark, sf_dir):
     return targets.machine(_events(spark, sf_dir))
 
 
-@query("""WITH c AS (SELECT user_id AS key, arg_max(event_id, ts::VARCHAR || event_id) AS event_id, max(ts) AS last_at FROM events GROUP BY user_id), n AS (SELECT max(ts) AS now FROM events) SELECT key, last_at FROM c, n WHERE last_at > now - INTERVAL 1 HOUR""")
+SQL_CACHE = "c AS (SELECT 'q' || user_id % 40 || CASE WHEN event_id % 3 = 0 THEN '' ELSE '::' || (event_id % 4 + 1) END AS key, ts, event_id FROM events WHERE event_id % 5 <> 0), n AS (SELECT max(ts) AS now FROM events), f AS (SELECT key, arg_max(event_id, (ts, event_id)) AS event_id FROM c, n GROUP BY key, now HAVING max(ts) > now - INTERVAL 2 DAY)"
+
+
+def _cache(spark, sf_dir):
+    """A search cache; times of every fifth event cannot be read. And the time of reading."""
+    e, k = tables.table(spark, sf_dir, "events"), F.col("event_id")
+    key = F.concat(F.lit("q"), F.col("user_id") % 40, F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("::"), k % 4 + 1)))
+    stamp = F.when(k % 5 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    url = F.concat(F.lit("https://r"), k, F.lit(".test/"))
+    rows = e.select(key.alias("key"), stamp.alias("cached_at"), F.array(F.struct(url.alias("url"), F.lit("t").alias("title"), F.lit("s").alias("snippet"), F.lit("e").alias("engine"))).alias("results"))
+    return rows, F.lit(e.agg(F.max("ts")).first()[0]).cast("timestamp")
+
+
+@query(f"WITH {SQL_CACHE} SELECT key, event_id FROM f")
 def ttl_cache(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "events")
-    now = e.agg(F.max("ts")).first()[0]
-    last = e.groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("last_at"))
-    return last.where(F.col("last_at") > F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL 1 HOUR"))
+    rows, now = _cache(spark, sf_dir)
+    return tables.fresh(rows, now, 2).select("key", F.regexp_extract(F.col("results")[0]["url"], r"r(\d+)\.", 1).cast("long").alias("event_id"))
+
+
+@query(f"WITH {SQL_CACHE}, a AS (SELECT DISTINCT 'q' || user_id % 50 AS query FROM events), g AS (SELECT query, page::INT AS page, query || '::' || page AS key FROM a, range(1, 4) r(page)) SELECT query, page, key, f.event_id IS NOT NULL AS hit, f.event_id FROM g LEFT JOIN f USING (key)")
+def search_calls(spark, sf_dir):
+    rows, now = _cache(spark, sf_dir)
+    asked = tables.table(spark, sf_dir, "events").select(F.concat(F.lit(" q"), F.col("user_id") % 50).alias("query"))
+    out = planning.search_calls(asked, 3, rows, now, 2)
+    return out.select("query", "page", "key", "hit", F.regexp_extract(F.col("results")[0]["url"], r"r(\d+)\.", 1).cast("long").alias("event_id"))
 
 
 @query("SELECT event_id, least(2000 * pow(2, greatest(0, event_id % 8 - 1)), 30000)::BIGINT AS delay_ms, concat_ws('::', nullif(event_type, 'click'), user_id::VARCHAR) AS cache_key FROM events")
@@ -567,16 +631,16 @@ def incremental_parse(spark, sf_dir):
     return tables.unparsed_by_log(_pages(spark, sf_dir), log).select("page_id")
 
 
-@query("SELECT page_id FROM pages WHERE page_id % 3 = 0 OR page_id % 3 = 1 ORDER BY page_id % 50 DESC, page_id DESC LIMIT 40")
+@query("SELECT page_id FROM pages WHERE page_id % 3 = 0 OR page_id % 3 = 1 ORDER BY page_id % 50 DESC, page_id DESC LIMIT 5000")
 def scan_unparsed_pages(spark, sf_dir):
     p = _pages(spark, sf_dir).select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 3 != 0, (F.col("page_id") % 3 - 1).cast("int")).alias("parse_version"), (F.col("page_id") % 50).alias("fetched_at"))
-    return tables.unparsed(p, 1, 40).select(F.col("id").alias("page_id"))
+    return tables.unparsed(p, 1).select(F.col("id").alias("page_id"))
 
 
-@query(f"WITH h AS (SELECT page_id, {S.registrable(S.host('url'))} AS domain FROM pages) SELECT page_id, domain FROM h WHERE lower(domain) NOT IN (SELECT domain FROM h WHERE page_id % 40 = 0)")
+@query(f"WITH {SQL_HOSTS} SELECT page_id, hostname AS domain FROM h WHERE hostname NOT IN ('W1.Site1.test', 'W2.Site2.test', 'W10.Site0.test')")
 def suppressed_anti(spark, sf_dir):
-    h = _pages(spark, sf_dir).select("page_id", U.registrable(U.hostname(F.col("url"))).alias("domain"))
-    return tables.not_suppressed(h, h.where("page_id % 40 = 0").select(F.upper("domain").alias("domain"), F.lit(True).alias("active")))
+    gone = spark.createDataFrame([("w1.SITE1.test", True), ("W2.Site2.test", True), ("w10.site0.test", True), ("w3.site3.test", False)], "domain string, active boolean")
+    return tables.not_suppressed(_hosts(spark, sf_dir).withColumnRenamed("hostname", "domain"), gone).select("page_id", "domain")
 
 
 @query("SELECT s_suppkey AS id, s_name AS source_url FROM supplier WHERE s_nationkey = 3 AND s_acctbal > 0 ORDER BY id")
@@ -596,13 +660,99 @@ def idempotent_jobs(spark, sf_dir):
     return targets.jobs(tables.table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("query"))).select("query", "job_id")
 
 
-PLAN_QUERIES = planning.search_plan("sap users", {"name": "Tool", "company_types": ["Solar EPC", "Pumps"], "location": "India"})["search_queries"]
+REQUESTS = [("sap users", "Tool", ["Solar EPC", "Pumps"], "India"), ("  pump makers ", "", [], ""), ("crm", "Suite", ["A", "B", "C", "D", "E", "F"], ""), ("erp", "", ["Mills", "Mills"], "Pune")]
+SQL_REQUESTS = ", ".join(f"({i}, {q(a.strip())}, {q(n)}, {'[' + ', '.join(q(t) for t in ts) + ']::VARCHAR[]'}, {q(w)})" for i, (a, n, ts, w) in enumerate(REQUESTS))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(x)})" for i, x in enumerate(PLAN_QUERIES)) + ") t(pos, query)")
+@query(f"""WITH r(id, ask, name, types, place) AS (VALUES {SQL_REQUESTS}), n AS (SELECT array_to_string(list_transform([{', '.join(q(d) for d in rules.EXCLUDED_SITES)}], lambda d: '-site:' || d), ' ') AS noise),
+w AS (SELECT id, ask, name, CASE WHEN place = '' THEN '' ELSE '"' || place || '"' END AS place, list_filter(types, lambda t, i: list_position(types, t) = i) AS types, noise FROM r, n),
+l AS (SELECT id, list_concat([ask || ' official website ' || noise, ask || ' company "about us" ' || noise, ask || ' customers company website ' || noise],
+  list_concat(flatten(list_transform(types[1:5], lambda t: ['"' || t || '" ' || place || ' company "about us" ' || noise, '"' || t || '" ' || place || ' official website ' || noise])), CASE WHEN name = '' THEN []::VARCHAR[] ELSE ['"' || name || '" ' || place || ' customers ' || noise] END)) AS qs FROM w)
+SELECT id, (i - 1)::INT AS pos, qs[i] AS query FROM l, range(1, {rules.SEARCH_QUERIES} + 1) t(i) WHERE i <= len(qs)""")
 def search_plan(spark, sf_dir):
-    plan = planning.plan_frame(spark, "sap users", {"name": "Tool", "company_types": ["Solar EPC", "Pumps"], "location": "India"})
-    return plan.select(F.posexplode("search_queries").alias("pos", "query"))
+    plans = [planning.plan_frame(spark, a.strip(), {"name": n, "company_types": ts, "location": w}).withColumn("id", F.lit(i)) for i, (a, n, ts, w) in enumerate(REQUESTS)]
+    out = plans[0]
+    for p in plans[1:]:
+        out = out.union(p)
+    return out.select("id", F.posexplode("search_queries").alias("pos", "query"))
+
+
+# --- Fetching and control -------------------------------------------------------------------------------------------
+
+CONTENT_TYPES = ["text/html; charset=utf-8", "", "application/pdf", "TEXT/PLAIN", "application/xhtml+xml", "image/png"]
+
+
+@query(f"WITH p AS (SELECT page_id, lower({sql_pick(CONTENT_TYPES, 'page_id')}) AS t, strlen(html) AS n FROM pages) SELECT page_id, n AS bytes FROM p WHERE n <= 4000 AND (t = '' OR t LIKE '%text/html%' OR t LIKE '%text/plain%' OR t LIKE '%application/xhtml%')")
+def page_guard(spark, sf_dir):
+    return _pages(spark, sf_dir).where(control.acceptable(pick(CONTENT_TYPES, F.col("page_id")), F.col("html"), 4000)).select("page_id", F.octet_length("html").cast("long").alias("bytes"))
+
+
+LISTED = ["/members/{}", "/page/{}", "/about/{}", "/x?page={}", "https://other.test/members/{}", "/members/{}/logo.png", "/login?p={}", "/suppliers", "/companies/{}#top"]
+
+
+@query(f"""WITH l AS (SELECT page_id, page_id % 3 AS source_id, url AS page_url, replace({sql_pick(LISTED, 'page_id')}, '{{}}', (page_id % 40)::VARCHAR) AS href FROM pages),
+t AS (SELECT *, CASE WHEN href LIKE 'http%' THEN href ELSE lower({S.part('page_url', 1)}) || '://' || lower({S.part('page_url', 2)}) || href END AS target FROM l),
+f AS (SELECT source_id, {S.normalized('target')} AS url, row_number() OVER (PARTITION BY source_id ORDER BY page_id) AS nth FROM t WHERE href NOT LIKE 'http%' AND href NOT LIKE '/about%' AND href NOT LIKE '%.png' AND href NOT LIKE '/login%') SELECT source_id, url, nth::INT AS nth FROM f WHERE nth <= 12""")
+def directory_pages(spark, sf_dir):
+    k = F.col("page_id")
+    rows = _pages(spark, sf_dir).select("page_id", (k % 3).alias("source_id"), k.alias("seq"), F.col("url").alias("page_url"), F.replace(pick(LISTED, k), F.lit("{}"), (k % 40).cast("string")).alias("href"))
+    return links.directory_pages(rows)
+
+
+@query("WITH e AS (SELECT event_id, user_id % 25 AS domain, row_number() OVER (ORDER BY event_id) - 1 AS n, row_number() OVER (PARTITION BY user_id % 25 ORDER BY event_id) - 1 AS d FROM events) SELECT event_id, greatest(n * 60 // 120, d * 2)::BIGINT AS start_s FROM e")
+def fetch_schedule(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 25).alias("domain"), F.col("event_id").alias("seq"))
+    return control.fetch_schedule(e).select("event_id", "start_s")
+
+
+@query("SELECT user_id AS run_id, least(count(*), 50) AS calls, 50::BIGINT AS max_calls FROM events GROUP BY user_id")
+def provider_usage(spark, sf_dir):
+    return control.usage(tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id")), 50)
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 50 AS allowed FROM events")
+def provider_budget(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"))
+    return control.within_budget(e, 50).select("event_id", "allowed")
+
+
+@query("WITH l AS (SELECT CASE WHEN quality = 1 THEN 'approved' ELSE 'blocked' END AS e, CASE WHEN doc_id % 7 = 0 THEN 'review' WHEN quality = 1 OR doc_id % 11 = 0 THEN 'approved' ELSE 'blocked' END AS a FROM labels) SELECT count(*) FILTER (WHERE e = 'blocked' AND a <> 'blocked') AS leaks, count(*) FILTER (WHERE e = a) AS correct, count(*) AS cases, count(*) FILTER (WHERE e = 'approved' AND a = 'approved') / count(*) FILTER (WHERE a = 'approved') AS precision FROM l")
+def eval_metrics(spark, sf_dir):
+    good, k = F.col("quality") == 1, F.col("doc_id")
+    rows = tables.table(spark, sf_dir, "labels").select(F.when(good, "approved").otherwise("blocked").alias("expected"), F.when(k % 7 == 0, "review").when(good | (k % 11 == 0), "approved").otherwise("blocked").alias("actual"))
+    return control.eval_metrics(rows)
+
+
+@query("SELECT event_id, CASE WHEN user_id % 6 <> 0 THEN sha256('k' || user_id) END AS answer FROM events")
+def memo_calls(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 6 != 0, F.concat(F.lit("k"), "user_id")).alias("key"))
+    return control.memoized(e, "key", lambda keys: keys.select("key", T.sha256(F.col("key")).alias("answer"))).select("event_id", "answer")
+
+
+PATCHES = ["state", "attempts", "priority", "last_error"]
+
+
+@query(f"""WITH c AS (SELECT user_id AS url, event_id AS seq, {sql_pick(PATCHES, 'event_id')} AS name, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id::VARCHAR END AS value FROM events WHERE user_id % 3 <> 0), t AS (SELECT DISTINCT user_id AS url FROM events),
+l AS (SELECT url, name, arg_max({{'v': value}}, seq).v AS value FROM c GROUP BY url, name), p AS (SELECT url, count(*) FILTER (WHERE name = 'state') AS ns, any_value(value) FILTER (WHERE name = 'state') AS s, count(*) FILTER (WHERE name = 'attempts') AS na, any_value(value) FILTER (WHERE name = 'attempts') AS a, count(*) FILTER (WHERE name = 'last_error') AS ne, any_value(value) FILTER (WHERE name = 'last_error') AS e FROM l GROUP BY url)
+SELECT url, CASE WHEN ns > 0 THEN s ELSE 'queued' END AS state, CASE WHEN na > 0 THEN a::INT ELSE 0 END AS attempts, CASE WHEN ne > 0 THEN e ELSE 'none' END AS last_error, 5 AS priority FROM t LEFT JOIN p USING (url)""")
+def target_patch(spark, sf_dir):
+    e, k = tables.table(spark, sf_dir, "events"), F.col("event_id")
+    rows = e.select(F.col("user_id").alias("url")).distinct().select("url", F.lit("queued").alias("state"), F.lit(0).alias("attempts"), F.lit("none").alias("last_error"), F.lit(5).alias("priority"))
+    changes = e.where("user_id % 3 <> 0").select(F.col("user_id").alias("url"), k.alias("seq"), pick(PATCHES, k).alias("name"), F.when(k % 9 != 0, k.cast("string")).alias("value"))
+    return targets.patch(rows, changes)
+
+
+SOURCE_EVENTS = ["add", "harvested", "disable", "harvested", "add", "delete", "add", "harvested", "harvested"]
+
+
+@query(f"""WITH e AS (SELECT 'p' || user_id % 5 AS product_id, 'u' || user_id AS source_url, event_id AS seq, {sql_pick(SOURCE_EVENTS, 'event_id')} AS kind, 'n' || event_id AS name, event_id % 100 AS found, CASE WHEN event_id % 4 = 0 THEN 'e' || event_id END AS error FROM events),
+g AS (SELECT product_id, source_url, max(seq) FILTER (WHERE kind = 'delete') AS gone FROM e GROUP BY ALL), l AS (SELECT e.* FROM e JOIN g USING (product_id, source_url) WHERE gone IS NULL OR seq > gone)
+SELECT product_id, source_url, arg_max(name, seq) FILTER (WHERE kind = 'add') AS product_name, arg_max(found, seq) FILTER (WHERE kind = 'harvested') AS last_discovered_count, (arg_max({{'v': CASE WHEN kind = 'harvested' THEN error END}}, seq) FILTER (WHERE kind IN ('add', 'harvested'))).v AS last_error, (arg_max(kind, seq) FILTER (WHERE kind IN ('add', 'disable'))) = 'add' AS enabled FROM l GROUP BY ALL HAVING count(*) FILTER (WHERE kind = 'add') > 0""")
+def product_source_log(spark, sf_dir):
+    e, k = tables.table(spark, sf_dir, "events"), F.col("event_id")
+    kind = pick(SOURCE_EVENTS, k)
+    log = e.select(F.concat(F.lit("p"), F.col("user_id") % 5).alias("product_id"), F.concat(F.lit("u"), "user_id").alias("source_url"), k.alias("seq"), kind.alias("kind"), F.concat(F.lit("n"), k).alias("product_name"), (k % 100).alias("discovered"), F.when((kind == "harvested") & (k % 4 == 0), F.concat(F.lit("e"), k)).alias("error"))
+    return targets.product_sources(log)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

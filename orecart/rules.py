@@ -143,6 +143,23 @@ RELATIONSHIPS = ["uses", "needs", "sells", "offers", "implements", "related_to",
 HARVEST_EXCLUDED = ["linkedin.com", "facebook.com", "instagram.com", "youtube.com", "x.com", "twitter.com", "wikipedia.org", "crunchbase.com", "zoominfo.com", "apollo.io", "g2.com", "capterra.com", "glassdoor.com", "indeed.com", "maps.google.com", "google.com", "play.google.com", "apps.apple.com", "amazon.com", "flipkart.com"]
 HARVEST_INTERNAL = r"/(?:member|members|directory|companies|company|exhibitor|exhibitors|supplier|suppliers|vendor|vendors|listing|listings|profile|profiles|provider|providers)(?:/|$)|/page/\d+|[?&](?:page|p)=\d+"
 HARVEST_PAGES, HARVEST_DOMAINS = 12, 500
+HARVEST_SKIPPED = r"\.(?:jpg|jpeg|png|gif|webp|svg|pdf|css|js|zip|woff2?)(?:$|\?)|/login|/signup|/privacy|/terms"
+
+# Content types of pages, and the largest body.
+PAGE_TYPES = ["text/html", "text/plain", "application/xhtml"]
+PAGE_BYTES = 2 << 20
+
+# Columns of a target that a patch may set.
+TARGET_PATCH = ["state", "attempts", "next_attempt_at", "last_error", "last_loaded_url", "last_status_code", "last_raw_page_id", "completed_at", "failed_at"]
+
+# Search queries by what they need; {noise} is the list of excluded sites.
+QUERY_TEMPLATES = {
+    "query": ["{query} official website {noise}", '{query} company "about us" {noise}', "{query} customers company website {noise}"],
+    "type": ['"{type}" {where} company "about us" {noise}', '"{type}" {where} official website {noise}'],
+    "name": ['"{name}" {where} customers {noise}'],
+}
+QUERY_TYPES = 5
+DORK_TEMPLATES = ['intitle:pricing "{industry}" {where} -site:g2.com -site:capterra.com', 'inurl:careers "{industry}" {where}', '{named} "{industry}" {where} company', '"{industry}" {where} "about us"', '"{industry}" {where} "official website"']
 
 # Noise that search queries exclude.
 EXCLUDED_SITES = ["linkedin.com", "facebook.com", "instagram.com", "clutch.co", "goodfirms.co", "g2.com", "justdial.com", "indiamart.com", "naukri.com", "wellfound.com", "glassdoor.com", "indeed.com", "yourstory.com", "inc42.com", "reddit.com", "medium.com", "quora.com"]

@@ -6,7 +6,7 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orecart.functions import url as U
@@ -58,3 +58,33 @@ def upsert_product_sources(existing: DataFrame, added: DataFrame) -> DataFrame:
     first = [c for c in existing.columns if c not in (*keys, "product_name", "enabled", "last_error")]
     latest = lambda c: F.max_by(c, "__new").alias(c)
     return both.groupBy(*keys).agg(latest("product_name"), latest("enabled"), latest("last_error"), *[F.min_by(c, "__new").alias(c) for c in first])
+
+
+def console_report(rows: DataFrame, most: int = 50) -> str:
+    """A numbered text of report rows (domain, confidence, contacts), best first; `most` bounds what reaches the driver."""
+    lines = []
+    for i, r in enumerate(rows.limit(most).collect(), 1):
+        lines.append(f"{i}. {r['domain']} ({(r['confidence'] or 0) * 100:.0f} %)")
+        for c in r["contacts"] or []:
+            own = c.asDict()
+            lines.append("   - " + ", ".join(str(own[k]) for k in ("full_name", "title", "email", "phone") if own.get(k)))
+    return "\n".join(lines)
+
+
+#: Tables of a deployment, by name.
+TABLES = {
+    "raw_pages": "id bigint, url string, domain string, html string, url_hash string, content_hash string, fetched_at timestamp, parse_version int, domain_bucket int",
+    "raw_records": "id bigint, page_id bigint, record_type string, source_type string, source_ref string, payload string, confidence double, status string, qualification_status string, product_id string, created_at timestamp",
+    "crawl_targets": "url string, domain string, state string, priority int, depth int, attempts int, next_attempt_at timestamp, last_error string, updated_at timestamp",
+    "product_sources": "id bigint, product_id string, product_name string, source_url string, enabled boolean, last_crawled_at timestamp, last_discovered_count bigint, last_error string, created_at timestamp",
+    "crawl_suppressions": "domain string, reason string, active boolean, created_at timestamp",
+}
+
+
+def migrate(spark: SparkSession, database: str) -> list[str]:
+    """Creates what is missing; running it again changes nothing. Names of the tables."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for name, columns in TABLES.items():
+        by = " PARTITIONED BY (domain_bucket)" if name == "raw_pages" else " PARTITIONED BY (record_type)" if name == "raw_records" else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet{by}")
+    return list(TABLES)

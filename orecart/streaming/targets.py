@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orecart import rules
 from orecart.functions.text import backoff_ms
 
 MAX_ATTEMPTS = 3
@@ -38,6 +39,33 @@ def fold_upserts(log: DataFrame, seq: str = "seq") -> DataFrame:
     )
 
 
+def patch(targets: DataFrame, changes: DataFrame, seq: str = "seq") -> DataFrame:
+    """Targets after a log of patches by url: only columns that a patch may set, each with its latest change. changes: url, seq, name, value; a null value clears."""
+    allowed = [c for c in rules.TARGET_PATCH if c in targets.columns]
+    mine = changes.where(F.col("name").isin(allowed))
+    last = lambda c: F.max_by(F.struct("value"), F.when(F.col("name") == c, F.col(seq))).alias(f"__{c}")
+    wide = mine.groupBy("url").agg(*[last(c) for c in allowed])
+    joined = targets.join(wide, "url", "left")
+    kinds = dict(targets.dtypes)
+    return joined.select(*[F.when(F.col(f"__{c}").isNotNull(), F.col(f"__{c}.value").cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in allowed else F.col(c) for c in targets.columns])
+
+
+def product_sources(log: DataFrame, seq: str = "seq") -> DataFrame:
+    """Product sources after a log of add, delete, disable and harvested events. An add makes or re-enables one and clears its error; a delete ends it."""
+    at, key = F.col(seq), ["product_id", "source_url"]
+    last = log.groupBy(*key).agg(F.max(F.when(F.col("kind") == "delete", at)).alias("__gone"))
+    live = log.join(last, key).where(F.col("__gone").isNull() | (at > F.col("__gone")))
+    when = lambda *kinds: F.when(F.col("kind").isin(*kinds), at)
+    out = live.groupBy(*key).agg(
+        F.min(when("add")).alias("added"),
+        F.max_by("product_name", when("add")).alias("product_name"),
+        F.max_by("kind", when("add", "disable")).alias("__switch"),
+        F.max_by("discovered", when("harvested")).alias("last_discovered_count"),
+        F.max_by(F.struct("error"), when("add", "harvested"))["error"].alias("last_error"),
+    )
+    return out.where("added IS NOT NULL").withColumn("enabled", F.col("__switch") == "add").drop("added", "__switch")
+
+
 def step(state: tuple[str, int], kind: str, status: int | None, used: int = 1) -> tuple[str, int]:
     """State and attempts after an event: fetching, done, failed or suppressed."""
     now, attempts = state
