@@ -28,7 +28,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more link."""
+    """One document of each group stays; texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more link.
+
+    The SimHash operator's deletion-variant signatures give the first links, which are verified; an
+    exact set-similarity join gives those of that similarity which no SimHash distance can reach.
+    """
     return neardup.keep_first(docs.select(*COLUMNS), words=5, threshold=0.8)
 
 
@@ -42,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, with_ids=True)
 
 
-STAGES = [("language ID", language), ("line dedup", lines), ("near-dedup", near_duplicates), ("mixing", mixture), ("byte-level BPE", encode)]
+STAGES = [("language ID", language), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing", mixture), ("byte-level BPE", encode)]
 
 #: Language ID and near-dedup have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
