@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_operators import classes, corpus, rows_of, slow_lines
+from tests.llm.test_operators import corpus, rows_of, slow_lines
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -29,10 +29,12 @@ def test_line_stage(spark, docs):
 
 
 def test_near_duplicate_stage(spark, docs):
-    from orecart.llm.simhash import fingerprint
+    """Stages on word shingles link at a Jaccard similarity of 0.8; the four bits are the contract of the op6 query alone."""
+    from tests.llm.test_neardup import slow_groups
 
-    fps = {r.doc_id: fingerprint((r.text or "").encode(), 5) for r in docs.collect()}
-    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(classes(fps).values())
+    rows = sorted(docs.select("doc_id", "text").collect())
+    want = slow_groups([r.text for r in rows])
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {rows[k].doc_id for k in set(want.values())}
 
 
 def test_run_round_trips(spark, docs, tmp_path):
