@@ -44,9 +44,28 @@ def stash(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow with batches small enough for whole texts."""
+    """mapInArrow with batches small enough for whole texts; workers give their memory back between tasks."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator) -> Iterator:
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Return freed memory to the system, which a worker that is used again would keep."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

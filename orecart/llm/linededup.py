@@ -268,7 +268,7 @@ def distinct_rows(rows: list[np.ndarray]) -> list[np.ndarray]:
     return [x[new] for x in rows]
 
 
-def candidates(base: list[np.ndarray], threshold: float, tries: int, probes: list[np.ndarray] | None = None, label: np.ndarray | None = None, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def candidates(base: list[np.ndarray], threshold: float, tries: int, probes: list[np.ndarray] | None = None, label: np.ndarray | None = None, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers (later, earlier) and distance of the `tries` closest earlier candidates of every later row, and its number of candidates.
 
     base is as distinct_rows() gives it. Without probes its rows meet each other, those of one label
@@ -451,7 +451,7 @@ def matched(source: DataFrame, join: Join, tries: int = TRIES) -> DataFrame:
                     seen.clear()
                 held.append(join.prefixes(own, ids, fresh))
                 size += len(held[-1][0])
-                if size > 400_000:
+                if size > 250_000:
                     yield flush()
                     size = 0
         if held:
