@@ -176,10 +176,10 @@ def _runs_by_sorting(texts: list[bytes], windows: np.ndarray) -> np.ndarray:
 
 
 def _least_of_equal(texts: list[bytes], windows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For every window of the texts, the least `first` (given per window) of the windows equal to it."""
+    """For every window of the texts, the least `first` (given per text) of the texts that hold an equal one."""
     run = _runs_by_sorting(texts, windows)
     least = np.full(len(run), np.iinfo(np.int64).max)
-    np.minimum.at(least, run, first)
+    np.minimum.at(least, run, np.repeat(first, windows))
     return least[run]
 
 
@@ -203,7 +203,8 @@ def earliest_by_sorting(texts: list[bytes], windows: np.ndarray, first: np.ndarr
     """For the windows of every text, the least `first` of any text that holds the same window.
 
     Equal windows lie in texts of one group (an anchor). A window whose digest stands once has no
-    equal; only the stretches between a text's first and last window with a repeated digest are sorted.
+    equal; only the stretches between a text's first and last window with a repeated digest are sorted,
+    equal stretches once.
     """
     group = np.zeros(len(texts), np.int64) if group is None else group
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -222,27 +223,39 @@ def earliest_by_sorting(texts: list[bytes], windows: np.ndarray, first: np.ndarr
         opens = np.append(True, owner[marked][1:] != owner[marked][:-1])
         text, lo = owner[marked][opens], marked[opens]
         hi = marked[np.append(np.flatnonzero(opens)[1:], len(marked)) - 1]
-        width = hi - lo + 1
+        # Contexts at the rim of a shared passage differ outside it only: cut to the stretch, most are equal.
+        known: dict[tuple[int, bytes], int] = {}
+        number = np.array([known.setdefault((g, flat[at[a] : at[b] + LENGTH].tobytes()), len(known)) for g, a, b in zip(group[text].tolist(), lo.tolist(), hi.tolist(), strict=True)])
+        own, in_group = [x for _, x in known], np.array([g for g, _ in known])
+        width = np.array([len(x) for x in own]) - LENGTH + 1
+        least = np.full(len(own), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, first[text])
+        found, place = np.empty(int(width.sum()), np.int64), np.cumsum(width) - width
         load = np.cumsum(width + LENGTH)
-        change = np.append(True, group[text][1:] != group[text][:-1])
-        heads = np.append(np.flatnonzero(change), len(text))
+        heads = np.append(np.flatnonzero(np.append(True, in_group[1:] != in_group[:-1])), len(own))
         i = 0
-        while i < len(text):  # runs of whole groups of about `most` bytes
+        while i < len(own):  # runs of whole groups of about `most` bytes
             j = int(heads[max(np.searchsorted(heads, i, "right"), np.searchsorted(heads, np.searchsorted(load, load[i] - width[i] - LENGTH + most), "right") - 1)])
-            took = np.repeat(lo[i:j], width[i:j]) + np.arange(int(width[i:j].sum())) - np.repeat(np.cumsum(width[i:j]) - width[i:j], width[i:j])
+            stretch = slice(int(place[i]), int(place[j - 1] + width[j - 1]))
             if load[j - 1] - load[i] <= 2 * most:
-                out[took] = _least_of_equal([flat[at[a] : at[a] + n + LENGTH - 1].tobytes() for a, n in zip(lo[i:j].tolist(), width[i:j].tolist(), strict=True)], width[i:j], first[owner[took]])
+                found[stretch] = _least_of_equal(own[i:j], width[i:j], least[i:j])
             else:  # one large group: single windows, in runs of whole digests
-                took = took[again[took]]
-                took = took[np.argsort(digest[took], kind="stable")]
-                cut = np.append(np.flatnonzero(np.append(True, digest[took][1:] != digest[took][:-1])), len(took))
-                view = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
+                joined = np.frombuffer(b"".join(own[i:j]), np.uint8)
+                size = width[i:j] + LENGTH - 1
+                spot = np.repeat(np.cumsum(size) - size, width[i:j]) + np.arange(int(width[i:j].sum())) - np.repeat(np.cumsum(width[i:j]) - width[i:j], width[i:j])
+                view, keys, held = np.lib.stride_tricks.sliding_window_view(joined, LENGTH), _window_digests(joined)[spot], np.repeat(least[i:j], width[i:j])
+                rank = np.argsort(keys, kind="stable")
+                cut = np.append(np.flatnonzero(np.append(True, keys[rank][1:] != keys[rank][:-1])), len(rank))
                 a = 0
-                while a < len(took):
+                while a < len(rank):
                     b = int(cut[max(np.searchsorted(cut, a, "right"), np.searchsorted(cut, a + most // (LENGTH + 1), "right") - 1)])
-                    out[took[a:b]] = _least_of_copies(view[at[took[a:b]]], first[owner[took[a:b]]], most)
+                    held[rank[a:b]] = _least_of_copies(view[spot[rank[a:b]]], held[rank[a:b]], most)
                     a = b
+                found[stretch] = held
             i = j
+        n = hi - lo + 1
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(lo, n) + step] = found[np.repeat(place[number], n) + step]
     return np.split(out, np.cumsum(windows)[:-1])
 
 
