@@ -261,7 +261,12 @@ def by_part(part: np.ndarray, rows: list[np.ndarray]) -> Iterator[tuple[int, byt
 def distinct_rows(rows: list[np.ndarray]) -> list[np.ndarray]:
     """Sorted by word and size; a set that was sent from several places keeps its earliest."""
     word, key, bits, doc, line, n = rows[:6]
-    order = np.lexsort((line, doc, bits, key, n, word))
+    place = (word.astype(_U) << _U(32)) | n.astype(_U)
+    order = np.argsort(place)
+    same = place[order][1:] == place[order][:-1]
+    tied = np.flatnonzero(np.append(False, same)[: len(order)] | np.append(same, False)[: len(order)])
+    among = order[tied]  # only rows alike in both need the other columns
+    order[tied] = among[np.lexsort((line[among], doc[among], bits[among], key[among], place[among]))]
     rows = [x[order] for x in rows]
     word, key, bits, _, _, n = rows[:6]
     new = np.append(True, (word[1:] != word[:-1]) | (n[1:] != n[:-1]) | (key[1:] != key[:-1]) | (bits[1:] != bits[:-1]))[: len(word)]
@@ -344,7 +349,7 @@ def candidates(base: list[np.ndarray], threshold: float, tries: int, probes: lis
     return *held[0], many
 
 
-def _bitmap(values: DataFrame, column: str) -> np.ndarray:
+def bitmap(values: DataFrame, column: str) -> np.ndarray:
     """A bitmap of BITMAP bits from bit numbers, a table of fixed size; a bit too many only sends a line in vain."""
     words = values.select(F.col(column).alias("c")).distinct().groupBy(F.expr("shiftright(c, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 AS int))")).alias("v")).collect()
     out = np.zeros(BITMAP // 64, np.int64)
@@ -358,7 +363,7 @@ def _spot(ids: np.ndarray, line: np.ndarray) -> np.ndarray:
         return (mix64(mix64(ids.astype(np.int64).view(_U) + _U(1)) + line.astype(_U)) % _U(BITMAP)).astype(np.int64)
 
 
-def _marked(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+def marked(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> 6] >> (bit & 63)) & 1 == 1
 
 
@@ -542,18 +547,18 @@ def _verified(source: DataFrame, pairs: DataFrame, threshold: float) -> DataFram
     pairs = stash(pairs)
     both = pairs.select(*at).union(pairs.select("id2", "line2", "k2")).distinct()
     wanted = stash(arrow_map(both, spots, "id long, line int, k int, spot long, homed long"))
-    places, homes = _bitmap(wanted, "spot"), _bitmap(wanted, "homed")
+    places, homes = bitmap(wanted, "spot"), bitmap(wanted, "homed")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            home = _marked(homes, _spot(ids, np.zeros(len(ids), np.int64)))
+            home = marked(homes, _spot(ids, np.zeros(len(ids), np.int64)))
             if not home.any():
                 continue
             chosen = batch.filter(pa.array(home))
             ids = chosen.column(0).to_numpy()
             data, row, number, start, end = raw_lines(chosen.column(1))
-            take = np.flatnonzero((end > start) & _marked(places, _spot(ids[row], number)))
+            take = np.flatnonzero((end > start) & marked(places, _spot(ids[row], number)))
             row, number = row[take], number[take]
             raw = [data[a:b].tobytes().lower() for a, b in zip(start[take].tolist(), end[take].tolist(), strict=True)]
             for own in lines_of(pa.array(raw, pa.binary())):
@@ -598,11 +603,11 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, salt_rows: int =
             ids = batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(_spot(ids, np.zeros(len(ids), np.int64)))], ["v"])
 
-    homes = _bitmap(arrow_map(gone.select("id"), homed, "v long"), "v")
+    homes = bitmap(arrow_map(gone.select("id"), homed, "v long"), "v")
 
     @F.pandas_udf("boolean")
     def listed(ids: pd.Series) -> pd.Series:
-        return pd.Series(_marked(homes, _spot(ids.to_numpy(), np.zeros(len(ids), np.int64))))
+        return pd.Series(marked(homes, _spot(ids.to_numpy(), np.zeros(len(ids), np.int64))))
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, lines: pd.Series) -> pd.Series:
@@ -615,11 +620,11 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, salt_rows: int =
         return pd.Series(out, dtype=object)
 
     columns, count = docs.columns, F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines")
-    marked = docs.withColumns({"__a": order, "__b": digest, "__loses": listed(order)})
+    tagged = docs.withColumns({"__a": order, "__b": digest, "__loses": listed(order)})
     # Only documents that may lose lines are shuffled; the bitmap misses none.
-    as_is = marked.where(~F.col("__loses")).select(*[F.col(f"`{c}`") for c in columns], count, F.lit(0).cast("long").alias("n_removed"))
+    as_is = tagged.where(~F.col("__loses")).select(*[F.col(f"`{c}`") for c in columns], count, F.lit(0).cast("long").alias("n_removed"))
     named = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines")).hint("shuffle_hash")
-    joined = marked.where("__loses").join(named, (F.col("__a") == F.col("__id")) & (F.col("__b") == F.col("__th")), "left")
+    joined = tagged.where("__loses").join(named, (F.col("__a") == F.col("__id")) & (F.col("__b") == F.col("__th")), "left")
     text = kept(F.col("text"), F.col("__lines"))
     return as_is.union(joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns], count, F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_removed")))
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from orecart.llm import simhash
 from orecart.llm.common import arrow_map, mix64, stash
 from orecart.llm.components import components
-from orecart.llm.linededup import BITMAP, PART_ROWS, WIDER, Join, _bitmap, _classes, _log2, _marked, _packed, _planes, _slices, _unpacked, candidates, distinct_rows, lowered, parity, text_buffer, word_hashes
+from orecart.llm.linededup import BITMAP, PART_ROWS, WIDER, Join, bitmap, _classes, _log2, marked, _packed, _planes, _slices, _unpacked, candidates, distinct_rows, lowered, parity, text_buffer, word_hashes
 
 WORDS, THRESHOLD, DISTANCE, TRIES = 5, 0.8, 4, 2
 _SLICE = 1 << 18
@@ -131,14 +131,14 @@ def _verified(source: DataFrame, pairs: DataFrame, words: int, threshold: float)
     """Those of (a, b) whose sets are similar. A bitmap lets only wanted sets leave the scan."""
     pairs = stash(pairs.distinct())
     wanted = stash(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
-    places = _bitmap(wanted.select(F.pmod(F.col("key"), F.lit(BITMAP)).alias("v")), "v")
+    places = bitmap(wanted.select(F.pmod(F.col("key"), F.lit(BITMAP)).alias("v")), "v")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for own in sets_of(batch.column(0), words):
                 rows = []
-                for k in np.flatnonzero(_marked(places, own.key.view(np.int64) % BITMAP)).tolist():
+                for k in np.flatnonzero(marked(places, own.key.view(np.int64) % BITMAP)).tolist():
                     if (key := int(own.key[k])) not in seen:
                         seen.add(key)
                         rows.append(k)

@@ -17,12 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orecart.llm.common import arrow_map, documents, segment_hashes, stash
-from orecart.llm.linededup import text_buffer
+from orecart.llm.linededup import BITMAP, bitmap, marked, text_buffer
 
 BUCKETS = 1 << 15
 #: Share of the rows that resampling selects.
@@ -58,21 +59,34 @@ def features(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def fit(docs: DataFrame, target: DataFrame) -> np.ndarray:
-    """Log ratio per bucket. target: one column doc_id. Only the labels are joined to ids, never the texts to each other."""
-    good = docs.select("doc_id", "text").join(target.select("doc_id").distinct().withColumn("__good", F.lit(True)).hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("__good", F.lit(False)).alias("good"))
+def counts(texts: DataFrame) -> DataFrame:
+    """(bucket, n) of all n-grams of a table of texts, added up in the workers first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, BUCKETS), np.int64)
+        table = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            is_good = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, n, row, bucket in features(batch.column(0)):
-                table[0] += np.bincount(bucket, minlength=BUCKETS)
-                table[1] += np.bincount(bucket[is_good[first : first + n][row]], minlength=BUCKETS)
-        at = np.flatnonzero(table[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[0][at]), pa.array(table[1][at])], ["bucket", "raw", "good"])
-
-    rows = arrow_map(good, count, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect()
+            for _, _, _, bucket in features(batch.column(0)):
+                table += np.bincount(bucket, minlength=BUCKETS)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], ["bucket", "n"])
+
+    return arrow_map(texts, count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, target: DataFrame) -> np.ndarray:
+    """Log ratio per bucket. target: one column doc_id. All texts are counted where they lie; a bitmap of the target's ids, of fixed size, lets only texts go on that may be the target's, and a join settles which are."""
+    wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
+    held = bitmap(wanted.select(bit(F.col("doc_id")).alias("v")), "v")
+
+    @F.pandas_udf("boolean")
+    def listed(bits: pd.Series) -> pd.Series:
+        return pd.Series(marked(held, bits.to_numpy()))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    near = rows.where(F.col("doc_id").isNotNull()).where(listed(bit(F.col("doc_id")))).join(wanted.hint("shuffle_hash"), "doc_id").select("text")
+    both = counts(rows.select("text")).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("good")).union(counts(near).select("bucket", F.lit(0).cast("long"), "n"))
+    rows = both.groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect()
     table = np.zeros((2, BUCKETS))
     for bucket, raw, own in rows:
         table[:, bucket] = raw, own
