@@ -24,15 +24,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which the cluster shares; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which the cluster shares. All of an application's go when it ends.
+
+    Where that is unset a local session gets a temporary one; on a cluster it is an error.
+    """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        held = context._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = tempfile.mkdtemp(prefix="orecart-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/orecart-{uuid.uuid4().hex}"
+        context.setCheckpointDir(base)
+    own = f"{base.rstrip('/')}/orecart-{context.applicationId}"
+    if getattr(context, "_orecart_folder", None) != own:
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        context._orecart_folder = own
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def stash(df: DataFrame, path: str | None = None) -> DataFrame:
