@@ -23,6 +23,14 @@ def matches(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     return F.coalesce(text, F.lit("")).rlike(("(?i)" if ignore_case else "") + ascii_bounds(pattern))
 
 
+def guarded(text: Column, literals_: Sequence[str], pattern: str) -> Column:
+    """matches(text, pattern) for lower-case text, tried only where one of the literals that any match holds stands in the text."""
+    some = text.contains(literals_[0])
+    for x in literals_[1:]:
+        some = some | text.contains(x)
+    return some & matches(text, pattern)
+
+
 def any_match(text: Column, patterns: Sequence[str]) -> Column:
     return matches(text, "|".join(f"(?:{p})" for p in patterns))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from orecart import rules
-from orecart.functions.text import any_match, matches
+from orecart.functions.text import any_match, let, matches
 
 PARTS = r"^(?i:(https?))://([^/?#\s]+)([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -40,11 +40,8 @@ def port(url: Column) -> Column:
 
 
 def registrable(host: Column) -> Column:
-    """The host's registrable domain: its last two labels, or three after a two-label suffix; an address stays."""
-    labels = F.split(host, r"\.")
-    two = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)), ".")
-    three = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 2), F.lit(3)), ".")
-    return F.when(host.rlike(r"^\d+(\.\d+){3}$"), host).when(two.isin(rules.TWO_LABEL_SUFFIXES), three).otherwise(two)
+    """The host's registrable domain: its last two labels, or three where those two are a country's generic suffix; an address stays."""
+    return F.when(host.rlike(r"^\d+(\.\d+){3}$"), host).otherwise(F.regexp_extract(host, rules.REGISTRABLE, 0))
 
 
 def is_valid(url: Column) -> Column:
@@ -62,7 +59,13 @@ def normalized(url: Column) -> Column:
 
 def normalize(url: Column) -> Column:
     """struct(normalized_url, base_url, hostname, domain), null if invalid."""
-    return F.when(is_valid(url), F.struct(normalized(url).alias("normalized_url"), base(url).alias("base_url"), hostname(url).alias("hostname"), registrable(hostname(url)).alias("domain")))
+
+    def parts(v: Column) -> Column:
+        start = F.concat(v["scheme"], F.lit("://"), v["host"], v["port"])
+        return let(start, lambda b: F.struct(F.concat(b, path(v["url"]), query(v["url"])).alias("normalized_url"), b.alias("base_url"), v["host"].alias("hostname"), registrable(v["host"]).alias("domain")))
+
+    known = F.struct(url.alias("url"), F.lower(_part(url, 1)).alias("scheme"), hostname(url).alias("host"), port(url).alias("port"))
+    return F.when(is_valid(url), let(known, parts))
 
 
 def domain_key(ref: Column) -> Column:

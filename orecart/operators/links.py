@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orecart import rules
 from orecart.functions import url as U
-from orecart.functions.text import ascii_bounds, matches, squeeze
+from orecart.functions.text import ascii_bounds, let, matches, squeeze
 
 ANCHOR = r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'
 
@@ -56,32 +56,49 @@ def tier_priority(tier_: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in rules.TIER_RANK.items() for x in kv]), tier_)
 
 
-def infer_archetype(url: Column, anchor: Column, title: Column) -> Column:
-    """struct(archetype, tier, url_hits, anchor_hits, title_hits, keyword): the match of highest precedence, then longest keyword, then most hits."""
-    where = {"url": F.lower(U._part(url, 3)), "anchor": F.lower(F.coalesce(anchor, F.lit(""))), "title": F.lower(F.coalesce(title, F.lit("")))}
-    found = []
+#: Every keyword: its archetype's precedence and place, its own place and length.
+_KEYWORD = "precedence int, kind int, place int, n int, word string, pattern string"
+
+
+def _keywords() -> Column:
+    rows = []
     for i, (kind, words) in enumerate(rules.ARCHETYPE_KEYWORDS.items()):
-        hits = {k: F.lit(0) for k in where}
-        lengths = F.struct(F.lit(0).alias("n"), F.lit(0).alias("order"), F.lit("").alias("word"))
-        options = [lengths]
         for j, word in enumerate(words):
-            pattern = ascii_bounds(rf"\b{re.escape(word)}\b")
-            each = {k: c.contains(word) & c.rlike(pattern) for k, c in where.items()}  # the plain test spares nearly all others
-            for k, hit in each.items():
-                hits[k] = hits[k] + hit.cast("int")
-            options.append(F.when(each["url"] | each["anchor"] | each["title"], F.struct(F.lit(len(word)).alias("n"), F.lit(-j).alias("order"), F.lit(word).alias("word"))).otherwise(lengths))
-        best = F.array_max(F.array(*options))
-        found.append(
-            F.when(
-                best["n"] > 0,
-                F.struct(F.lit(rules.PRECEDENCE[kind]).alias("precedence"), best["n"].alias("n"), hits["url"].alias("url_hits"), hits["anchor"].alias("anchor_hits"), F.lit(-i).alias("order"), hits["title"].alias("title_hits"), F.lit(kind).alias("archetype"), best["word"].alias("keyword")),
-            )
-        )
-    best = F.array_max(F.array_compact(F.array(*found)))
-    none = best.isNull()
-    kind = F.when(none, "generic").otherwise(best["archetype"])
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return F.struct(kind.alias("archetype"), tier(kind).alias("tier"), zero(best["url_hits"]).alias("url_hits"), zero(best["anchor_hits"]).alias("anchor_hits"), zero(best["title_hits"]).alias("title_hits"), F.coalesce(best["keyword"], F.lit("")).alias("keyword"))
+            values = (rules.PRECEDENCE[kind], -i, -j, len(word), word, ascii_bounds(rf"\b{re.escape(word)}\b"))
+            rows.append(F.struct(*[F.lit(v).alias(c.split()[0]) for v, c in zip(values, _KEYWORD.split(", "), strict=True)]))
+    return F.array(*rows)
+
+
+def infer_archetype(url: Column, anchor: Column, title: Column) -> Column:
+    """struct(archetype, tier, url_hits, anchor_hits, title_hits, keyword): the match of highest precedence, then longest keyword, then most hits.
+
+    A plain substring test over the keyword table leaves few words for the patterns.
+    """
+    texts = F.struct(F.lower(U._part(url, 3)).alias("url"), F.lower(F.coalesce(anchor, F.lit(""))).alias("anchor"), F.lower(F.coalesce(title, F.lit(""))).alias("title"))
+    return let(texts, _infer)
+
+
+def _infer(texts: Column) -> Column:
+    where = ("url", "anchor", "title")
+    near = F.filter(_keywords(), lambda k: texts["url"].contains(k["word"]) | texts["anchor"].contains(k["word"]) | texts["title"].contains(k["word"]))
+    tested = F.transform(near, lambda k: F.struct(k.alias("k"), *[F.regexp_like(texts[c], k["pattern"]).cast("int").alias(c) for c in where]))
+    hits = F.filter(tested, lambda h: h["url"] + h["anchor"] + h["title"] > 0)
+    total = lambda own, c: F.aggregate(own, F.lit(0), lambda a, h: a + h[c])
+    names = F.array(*[F.lit(kind) for kind in rules.ARCHETYPE_KEYWORDS])
+
+    def summed(hits: Column, kind: Column) -> Column:
+        own = F.filter(hits, lambda h: h["k"]["kind"] == kind)
+        word = F.array_max(F.transform(own, lambda h: F.struct(h["k"]["n"].alias("n"), h["k"]["place"].alias("place"), h["k"]["word"].alias("word"))))
+        return F.struct(own[0]["k"]["precedence"].alias("precedence"), word["n"].alias("n"), total(own, "url").alias("url_hits"), total(own, "anchor").alias("anchor_hits"), kind.alias("kind"), total(own, "title").alias("title_hits"), word["word"].alias("keyword"))
+
+    best = let(hits, lambda found: F.array_max(F.transform(F.array_distinct(F.transform(found, lambda h: h["k"]["kind"])), lambda kind: summed(found, kind))))
+
+    def close(b: Column) -> Column:
+        kind = F.when(b.isNull(), F.lit("generic")).otherwise(F.element_at(names, F.lit(1) - b["kind"]))
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        return F.struct(kind.alias("archetype"), tier(kind).alias("tier"), zero(b["url_hits"]).alias("url_hits"), zero(b["anchor_hits"]).alias("anchor_hits"), zero(b["title_hits"]).alias("title_hits"), F.coalesce(b["keyword"], F.lit("")).alias("keyword"))
+
+    return let(best, close)
 
 
 def reason(found: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orecart import rules
 from orecart.functions.company import profile_text
-from orecart.functions.text import ascii_bounds, let, literals, matches
+from orecart.functions.text import ascii_bounds, guarded, let, literals, matches
 
 
 def listed(value: Sequence[str] | str | None) -> list[str]:
@@ -44,7 +44,7 @@ def _product_fit(profile: Column, text: Column, icp: Mapping) -> Column:
     exact = F.filter(literals(phrases), lambda p: text.contains(F.lower(p)))
     some = F.filter(literals(terms), lambda t: text.contains(t))
     out = F.when(F.coalesce(profile["company_name"], F.lit("")) == "", _verdict("review", "missing company name"))
-    out = out.when(matches(text, rules.NON_COMPANY), _verdict("not_qualified", "not a real operating company", F.lit("non-company signal detected")))
+    out = out.when(guarded(text, rules.NON_COMPANY_STEMS, rules.NON_COMPANY), _verdict("not_qualified", "not a real operating company", F.lit("non-company signal detected")))
     if not phrases:
         return out.otherwise(_verdict("review", "product ICP has no target company types or industries"))
     return (
@@ -116,7 +116,18 @@ def buyer_role(profile: Column, icp: Mapping) -> Column:
         body = re.sub("co-founder", "co[- ]?founder", r"\s+".join(re.escape(w).replace(r"\-", "-") for w in role.lower().split()), flags=re.IGNORECASE)
         return rf"\b{body[:-1]}(?:y|ies)\b" if body.endswith("y") else rf"\b{body}(?:s|es)?\b"
 
-    found = F.array_compact(F.array(*[F.when(matches(text, pattern(r)), F.lit(r)) for r in roles]))
+    def stem(role: str) -> str:
+        """The longest run of letters that every spelling of the role holds."""
+        return max(re.split(r"[^a-z0-9]+", role.lower().removesuffix("y")), key=len)
+
+    def close(text: Column) -> Column:
+        found = F.array_compact(F.array(*[F.when(guarded(text, [stem(r)], pattern(r)), F.lit(r)) for r in roles]))
+        return _roles(found)
+
+    return let(text, close)
+
+
+def _roles(found: Column) -> Column:
     return F.when(F.size(found) > 0, _verdict("qualified", None, _joined("company profile mentions buyer role: ", found))).otherwise(_verdict("review", "target buyer role is not identified on the company profile"))
 
 

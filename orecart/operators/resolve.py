@@ -77,9 +77,10 @@ def person_pairs(people: DataFrame, scope: str = "scope") -> DataFrame:
     starts = F.when(F.length("name_key").between(4, 5), F.array(F.concat(F.lit("h:"), F.substr("name_key", F.lit(1), F.lit(2))))).otherwise(F.array().cast("array<string>"))
     tagged = lambda tag, arr: F.transform(arr, lambda v: F.concat(F.lit(tag), v))
     keys = F.array_distinct(F.concat(tagged("e:", F.array_compact(F.array(C.identity_email(F.col("email"))))), tagged("p:", F.array_compact(F.array("phone_id"))), tagged("u:", F.col("profile_urls")), tagged("n:", F.array("name_key")), tagged("t:", name_tokens(F.col("name"))), grams, starts))
-    rows = known.select(scope, person.alias("p"), F.explode(keys).alias("key"))
-    a, b = rows.select(scope, "key", F.col("p").alias("a")), rows.select(scope, "key", F.col("p").alias("b"))
-    pairs = a.join(b, [scope, "key"]).where("a.seq < b.seq").groupBy(scope, F.col("a.seq").alias("sa"), F.col("b.seq").alias("sb")).agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    rows = known.select(scope, "seq", F.explode(keys).alias("key"))
+    met = rows.withColumnRenamed("seq", "sa").join(rows.withColumnRenamed("seq", "sb"), [scope, "key"]).where("sa < sb").select(scope, "sa", "sb").distinct()
+    a = known.select(scope, F.col("seq").alias("sa"), person.alias("a"))
+    pairs = met.join(a, [scope, "sa"]).join(a.withColumnsRenamed({"sa": "sb", "a": "b"}), [scope, "sb"])
     return pairs.withColumn("verdict", compare("a", "b")).where("verdict <> 'distinct'").select(scope, "a", "b", "verdict")
 
 

@@ -46,8 +46,8 @@ def normalized(x: str) -> str:
 
 def registrable(h: str) -> str:
     two = f"array_to_string(string_split({h}, '.')[-2:], '.')"
-    suffixes = ", ".join(q(s) for s in rules.TWO_LABEL_SUFFIXES)
-    return rf"(CASE WHEN regexp_matches({h}, '^\d+(\.\d+){{3}}$') THEN {h} WHEN {two} IN ({suffixes}) THEN array_to_string(string_split({h}, '.')[-3:], '.') ELSE {two} END)"
+    suffix = q(rf"^({'|'.join(rules.SECOND_LEVELS)})\.[a-z][a-z]$")
+    return rf"(CASE WHEN regexp_matches({h}, '^\d+(\.\d+){{3}}$') THEN {h} WHEN regexp_matches({two}, {suffix}) THEN array_to_string(string_split({h}, '.')[-3:], '.') ELSE {two} END)"
 
 
 def has(x: str, pattern: str, ignore_case: bool = True) -> str:

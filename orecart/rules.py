@@ -5,8 +5,10 @@ from __future__ import annotations
 # Query parameters that normalisation drops.
 TRACKING_PARAMETERS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "msclkid"]
 
-# Public suffixes of two labels that matter here; any other host ends in its last two labels.
-TWO_LABEL_SUFFIXES = ["co.in", "ac.in", "gov.in", "edu.in", "net.in", "org.in", "co.uk", "ac.uk", "gov.uk", "org.uk", "com.au", "edu.au", "net.au", "co.nz", "co.jp", "com.br", "com.sg", "co.za"]
+# Second-level names under which countries register; with a country's two letters they are no domain of their own.
+# A rule in place of the public list of suffixes: any other host ends in its last two labels.
+SECOND_LEVELS = ["ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "or", "org"]
+REGISTRABLE = rf"(?:[^.]+\.(?:{'|'.join(SECOND_LEVELS)})\.[a-z][a-z]|(?:[^.]+\.)?[^.]+)$"
 
 # Domains that are never a prospect, with their subdomains.
 BLOCKED_DOMAINS = [
@@ -130,6 +132,7 @@ NAME_SUFFIXES = ["jr", "sr", "ii", "iii", "iv"]
 
 # Qualification.
 NON_COMPANY = r"\b(directory|aggregator|marketplace|listicle|job board|review site|newsroom|magazine|publication|blog|wiki|tutorial|university|college|academy|forum|classifieds?|conference|event|summit|exhibition|expo)\b"
+NON_COMPANY_STEMS = ["directory", "aggregator", "marketplace", "listicle", "job board", "review site", "newsroom", "magazine", "publication", "blog", "wiki", "tutorial", "university", "college", "academy", "forum", "classified", "conference", "event", "summit", "exhibition", "expo"]
 USAGE_PHRASES = r"\b(?:uses?|using|runs?\s+on|built\s+on|powered\s+by|deployed\s+on|migrated\s+to|adopted|rolled\s+out)\b"
 ICP_STOP_WORDS = ["the", "and", "for", "with", "from", "that", "this", "who", "which", "their", "your", "company", "companies", "business", "businesses", "based", "looking", "target", "customer", "customers"]
 PLAN_STOP_WORDS = ["the", "a", "an", "and", "or", "of", "for", "by", "with", "in", "on", "to", "from", "find", "companies", "company", "that", "use", "using", "uses", "industry"]

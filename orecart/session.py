@@ -34,8 +34,12 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_orecart_shipped", False):
         return
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="orecart-"))  # only where the cluster names no shared folder
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared:
+            context.setCheckpointDir(shared)
+        elif context.master == "local" or context.master.startswith("local["):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="orecart-"))
     fd, path = tempfile.mkstemp(prefix="orecart-", suffix=".zip")
     os.close(fd)
     with zipfile.ZipFile(path, "w") as out:
