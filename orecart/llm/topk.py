@@ -7,10 +7,10 @@ the shard number; a block row carries its kth scores, and the task that handles
 shard to shard. A node is opened only if `q.c + |q| r` can still reach the kth score.
 
 Defined cases: a null id, a null vector, and a vector with a null or non-finite component take no
-part. Only vectors of one dimension are compared with each other. All rows that repeat an id count
-as the query's own and are no candidates of it. An id that several rows repeat, with equal or other
-vectors, is one candidate with its highest score; query rows of one id share one result. Equal scores
-go to the smaller id. Fewer than k candidates: all are returned. An empty table gives an empty result. Extra columns are ignored.
+part. Only vectors of one dimension are compared with each other. Rows count, not ids: rows that
+repeat an id are candidates each, also of one another, and a query row of its own each; only the
+query's own row is no candidate of it. Equal scores go to the smaller id. Fewer than k candidates: all
+are returned. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ def usable(vector: Column) -> Column:
 class BallTree:
     """Arrays of nodes: centre, radius, and either two children or a run of rows."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF_ROWS) -> None:
+    def __init__(self, ids: np.ndarray, marks: np.ndarray, rows: np.ndarray, leaf: int = LEAF_ROWS) -> None:
+        """marks: a number for every row, in all trees."""
         points = rows.astype(np.float64)
         order, self.spans, self.children = np.arange(len(ids)), [], []
         centres, radii = [], []
@@ -64,21 +65,20 @@ class BallTree:
             return node
 
         build(0, len(ids))
-        self.ids, self.rows = ids[order], rows[order]
-        self.repeats = len(np.unique(ids)) < len(ids)
+        self.ids, self.marks, self.rows = ids[order], marks[order], rows[order]
         self.centres, self.radii = np.array(centres), np.array(radii)
         # Products stay exact in doubles below 2**53; else integers are multiplied.
         self.reach = float(np.abs(points).max(initial=0.0))
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, best: list[list[tuple[int, int]]], k: int) -> None:
-        """Merge this tree's rows into best: per query a list of (-score, id), sorted, k distinct ids at most."""
+    def search(self, queries: np.ndarray, query_marks: np.ndarray, best: list[list[tuple[int, int, int]]], k: int) -> None:
+        """Merge this tree's rows into best: per query a list of (-score, id, mark), sorted, k at most."""
         q = queries.astype(np.float64)
         exact = self.reach * float(np.abs(q).max(initial=0.0)) * max(1, q.shape[1]) < 2**52
         rows = self.rows.astype(np.float64) if exact else self.rows
         norm = np.sqrt((q * q).sum(axis=1))
         bound = q @ self.centres.T + norm[:, None] * self.radii[None, :]
         bound += 1e-9 * (np.abs(bound) + norm[:, None] * (self.radii + np.sqrt((self.centres**2).sum(axis=1)))[None, :]) + 1e-6
-        for i, own in enumerate(query_ids):
+        for i, own in enumerate(query_marks):
             kept, limits = best[i], bound[i]
             vector = q[i] if exact else queries[i]
             heap = [(-limits[0], 0)]
@@ -93,24 +93,16 @@ class BallTree:
                     continue
                 lo, hi = self.spans[node]
                 scores = rows[lo:hi] @ vector
-                ids = self.ids[lo:hi]
-                take = ids != own
+                ids, marks = self.ids[lo:hi], self.marks[lo:hi]
+                take = marks != own
                 if len(kept) == k:
                     take &= scores >= -kept[-1][0]
                 found = np.flatnonzero(take)
                 if len(found) > k:
-                    found = found[np.lexsort((ids[found], -scores[found]))]
-                    if self.repeats:
-                        found = found[np.sort(np.unique(ids[found], return_index=True)[1])]
-                    found = found[:k]
+                    found = found[np.lexsort((marks[found], ids[found], -scores[found]))[:k]]
                 if len(found):
-                    kept.extend((-int(scores[j]), int(ids[j])) for j in found)
+                    kept.extend((-int(scores[j]), int(ids[j]), int(marks[j])) for j in found)
                     kept.sort()
-                    if self.repeats:  # the first of an id has its highest score
-                        first: dict[int, int] = {}
-                        for score, vec_id in kept:
-                            first.setdefault(vec_id, score)
-                        kept[:] = [(score, vec_id) for vec_id, score in first.items()]
                     del kept[k:]
 
 
@@ -126,53 +118,53 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     base = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("dim", F.size("v"))
 
     def plant(group: pd.DataFrame) -> pd.DataFrame:
-        ids, rows = group["vec_id"].to_numpy(np.int64), _matrix(group["v"])
-        tree = BallTree(ids, rows)
+        ids, rows, shard = group["vec_id"].to_numpy(np.int64), _matrix(group["v"]), int(group["shard"].iloc[0])
+        marks = (np.int64(shard) << 32) + np.arange(len(ids))  # the table written below keeps them
+        tree = BallTree(ids, marks, rows)
         mine = np.flatnonzero(group["is_query"].to_numpy(bool))
-        best: list[list[tuple[int, int]]] = [[] for _ in mine]
-        tree.search(rows[mine], ids[mine], best, k)
-        return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "dim": [rows.shape[1]], "tree": [pickle.dumps(tree, 5)], "home": [pickle.dumps((ids[mine], rows[mine], best), 5)]})
+        best: list[list[tuple[int, int, int]]] = [[] for _ in mine]
+        tree.search(rows[mine], marks[mine], best, k)
+        return pd.DataFrame({"shard": [shard], "dim": [rows.shape[1]], "tree": [pickle.dumps(tree, 5)], "home": [pickle.dumps((ids[mine], marks[mine], rows[mine], best), 5)]})
 
     planted = stash(base.groupBy("dim", "shard").applyInPandas(plant, "shard int, dim int, tree binary, home binary"))
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for shard, dim, home in zip(pdf["shard"], pdf["dim"], pdf["home"], strict=True):
-                ids, rows, best = pickle.loads(home)
-                yield pd.DataFrame({"dim": dim, "home": shard, "query_id": ids, "one": [pickle.dumps((r, b), 5) for r, b in zip(rows, best, strict=True)]})
+                ids, marks, rows, best = pickle.loads(home)
+                yield pd.DataFrame({"dim": dim, "home": shard, "query_id": ids, "mark": marks, "one": [pickle.dumps((r, b), 5) for r, b in zip(rows, best, strict=True)]})
 
-    asked_rows = planted.select("shard", "dim", "home").mapInPandas(unpack, "dim int, home int, query_id long, one binary")
+    asked_rows = planted.select("shard", "dim", "home").mapInPandas(unpack, "dim int, home int, query_id long, mark long, one binary")
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         ones = [pickle.loads(x) for x in group["one"]]
-        block = (group["query_id"].to_numpy(np.int64), group["home"].to_numpy(np.int64), np.array([r for r, _ in ones]).reshape(len(ones), -1), [b for _, b in ones])
+        block = (group["query_id"].to_numpy(np.int64), group["mark"].to_numpy(np.int64), group["home"].to_numpy(np.int64), np.array([r for r, _ in ones]).reshape(len(ones), -1), [b for _, b in ones])
         return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "block": [int(group["block"].iloc[0])], "queries": [pickle.dumps(block, 5)]})
 
-    packed = asked_rows.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(pack, "dim int, block int, queries binary")
+    packed = asked_rows.withColumn("block", F.pmod(F.xxhash64("mark"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInPandas(pack, "dim int, block int, queries binary")
     packed = stash(packed)
     spread = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     met = spread.join(planted.select("dim", "shard", "tree"), ["dim", "shard"]).select("shard", "dim", "block", "tree", "queries")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kth: dict[tuple[int, int], list[list[tuple[int, int]]]] = {}
+        kth: dict[tuple[int, int], list[list[tuple[int, int, int]]]] = {}
         for pdf in batches:
             for shard, dim, block, tree, queries in zip(pdf["shard"], pdf["dim"], pdf["block"], pdf["tree"], pdf["queries"], strict=True):
-                ids, home, rows, best = pickle.loads(queries)
+                ids, marks, home, rows, best = pickle.loads(queries)
                 best = kth.pop((dim, block), best)
                 away = np.flatnonzero(home != shard)
                 picked = [best[i] for i in away]
-                pickle.loads(tree).search(rows[away], ids[away], picked, k)
+                pickle.loads(tree).search(rows[away], marks[away], picked, k)
                 if len(kth) >= 64:
                     kth.clear()
                 kth[dim, block] = best
-                out = [(int(ids[i]), y, -x) for i in range(len(ids)) for x, y in best[i]]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                out = [(int(ids[i]), int(marks[i]), y, z, -x) for i in range(len(ids)) for x, y, z in best[i]]
+                yield pd.DataFrame(out, columns=["query_id", "query_mark", "vec_id", "mark", "score"])
 
-    asked_rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    found = met.mapInPandas(meet, "query_id long, vec_id long, score long")
+    found = met.mapInPandas(meet, "query_id long, query_mark long, vec_id long, mark long, score long").distinct()
 
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    w = Window.partitionBy("query_mark").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("mark"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_topk_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
