@@ -6,7 +6,8 @@ token), at first one per byte. A recursive query joins neighbouring tokens with
 each word and repeats until no word has a pair left. Words of over LONG bytes contract all disjoint
 places of the minimum rank at once where that cannot change the outcome, so the number of steps
 follows the number of distinct tokens. Decoding joins token rows with the vocabulary and aggregates
-the bytes in order. Encoded words are remembered per worker up to a bound; forgetting costs time only.
+the bytes in order. Encoded words are remembered within a task up to a bound; forgetting costs time only,
+and the database goes with the task, so that an idle worker holds nothing.
 
 Defined cases: a null text counts as empty: no tokens, the digests of zero bytes. Every row is
 encoded, repeated ones too; extra columns are ignored; an empty table gives an empty result. An id
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orecart.llm.common import arrow_map, documents
-from orecart.llm.pieces import connect, cut
+from orecart.llm.pieces import connect, cut, disconnect
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 48
@@ -189,7 +190,7 @@ def encode_decode(docs: DataFrame, name: str = VOCABULARY, with_ids: bool = Fals
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if with_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(name)
+        own = Codec(vocabulary(name))
         for batch in batches:
             doc_ids = batch.column(0)
             for at, texts in chunks(batch.column(1).to_pylist()):
@@ -201,6 +202,7 @@ def encode_decode(docs: DataFrame, name: str = VOCABULARY, with_ids: bool = Fals
                     columns.append(pa.array([x.tolist() for x in ids], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        disconnect(own.con)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema, 2048)

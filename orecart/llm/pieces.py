@@ -42,6 +42,15 @@ def connect(memory: str = "320MB"):
     return duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": tempfile.mkdtemp(prefix="duck-"), "preserve_insertion_order": False})
 
 
+def disconnect(con) -> None:
+    """Close a database of connect() and remove its folder."""
+    import shutil
+
+    (folder,) = con.execute("SELECT current_setting('temp_directory')").fetchone()
+    con.close()
+    shutil.rmtree(folder, ignore_errors=True)
+
+
 def cut(con, rows: list[int], texts: list[str], pattern: str) -> None:
     """Leaves table piece_rows(doc int, pieces varchar[]) for the texts in con."""
     given = pa.table({"doc": pa.array(rows, pa.int32()), "text": pa.array(texts, pa.string())})
