@@ -235,15 +235,16 @@ def robots_sitemaps(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", F.explode(tables.robots_sitemaps(text)).alias("sitemap"))
 
 
-@query("""WITH t AS (SELECT page_id, page_id % 10 AS root FROM pages) SELECT DISTINCT 'https://a.test/p' || page_id AS url, 'a.test' AS domain FROM t WHERE page_id % 7 <> 0""")
+@query("""WITH t AS (SELECT page_id FROM pages) SELECT DISTINCT 'https://a.test/p' || page_id AS url, 'a.test' AS domain FROM t WHERE page_id % 7 <> 0""")
 def sitemap_pages(spark, sf_dir):
-    """Ten leaf sitemaps under one index; every seventh page stands in a foreign domain and is left out."""
+    """Leaf sitemaps of 50 pages under indexes of 50 leaves; every seventh page stands in a foreign domain and is left out."""
     p = _pages(spark, sf_dir)
     loc = F.concat(F.lit("<url><loc> https://"), F.when(F.col("page_id") % 7 == 0, "b.test").otherwise("a.test"), F.lit("/p"), F.col("page_id"), F.lit(" </loc></url>"))
-    leaves = p.groupBy((F.col("page_id") % 10).alias("k")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("xml")).select(F.concat(F.lit("https://a.test/s"), "k", F.lit(".xml")).alias("url"), "xml")
-    index = leaves.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("xml")).select(F.lit("https://a.test/index.xml").alias("url"), "xml")
-    roots = spark.createDataFrame([("https://a.test/index.xml", "a.test")], "url string, domain string")
-    return tables.sitemap_pages(index.union(leaves), roots)
+    leaves = p.groupBy(F.floor(F.col("page_id") / 50).alias("k")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("xml")).select("k", F.concat(F.lit("https://a.test/s"), "k", F.lit(".xml")).alias("url"), "xml")
+    entry_ = F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))
+    index = leaves.groupBy(F.floor(F.col("k") / 50).alias("i")).agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(entry_), ""), F.lit("</sitemapindex>")).alias("xml")).select(F.concat(F.lit("https://a.test/index"), "i", F.lit(".xml")).alias("url"), "xml")
+    roots = index.select("url", F.lit("a.test").alias("domain"))
+    return tables.sitemap_pages(index.union(leaves.select("url", "xml")), roots)
 
 
 # --- Contacts, companies, names ----------------------------------------------------------------------------
