@@ -1,4 +1,4 @@
-"""Shared pieces of the corpus operators: shared storage, Arrow batches, byte-level word spans."""
+"""Shared pieces of the corpus operators: shared storage, Arrow batches, hashing."""
 
 from __future__ import annotations
 
@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of one Arrow batch handed to Python. Whole texts travel in a batch, so it is kept small.
 BATCH_ROWS = 512
 
-_WHITE = np.zeros(256, dtype=bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: Odd multiplier of the rolling polynomial and its inverse modulo 2**64.
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 2**64)
@@ -88,27 +86,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def segment_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[start:end] for every segment, from one prefix sum of a polynomial."""
-    n = len(buf)
-    with np.errstate(over="ignore"):
-        power = np.full(n + 1, _P, dtype=np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:-1], out=prefix[1:])
-        back = np.full(n + 1, _P_INV, dtype=np.uint64)
-        back[0] = 1
-        np.multiply.accumulate(back, out=back)
-        return mix64((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64))
-
-
-def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that are not ASCII white space."""
-    edge = np.diff(np.concatenate(([True], _WHITE[buf], [True])).astype(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-
-
 def text_slices(column, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Texts of an Arrow string column as UTF-8 (null: empty), in runs of at most `most` bytes or one text."""
     at, held, size = 0, [], 0

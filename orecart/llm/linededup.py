@@ -198,12 +198,12 @@ def similar(x: set[bytes], y: set[bytes], threshold: float) -> bool:
     return both >= threshold * (len(x) + len(y) - both) - 1e-9
 
 
-def _planes(x: np.ndarray) -> bytes:
+def planes(x: np.ndarray) -> bytes:
     """An integer array byte plane by byte plane: the constant high bytes cost nothing once compressed."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
 
-def _unplaned(raw: bytes, kind: str) -> np.ndarray:
+def unplaned(raw: bytes, kind: str) -> np.ndarray:
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
@@ -213,11 +213,11 @@ _PACK = ("<u4", "<u4", "<u8", "<i8", "<i4", "<u4", "<u2", "u1", "<u8")
 
 
 def _packed(rows: list[np.ndarray]) -> bytes:
-    return pickle.dumps([_planes(x) for x in rows], 5)
+    return pickle.dumps([planes(x) for x in rows], 5)
 
 
 def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
-    parts = [[_unplaned(x, kind) for x, kind in zip(pickle.loads(p), _PACK, strict=True)] for p in blobs]
+    parts = [[unplaned(x, kind) for x, kind in zip(pickle.loads(p), _PACK, strict=True)] for p in blobs]
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, kind) for kind in _PACK]
 
 
@@ -393,7 +393,7 @@ def _noted(source: DataFrame, bits: int) -> DataFrame:
         if cells.any():
             parts = cells.reshape(-1, width)
             zero = pa.array(np.zeros(len(parts), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), zero, pa.array(np.full(len(parts), -1, np.int32)), zero, pa.array([zlib.compress(_planes(x), 1) for x in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), zero, pa.array(np.full(len(parts), -1, np.int32)), zero, pa.array([zlib.compress(planes(x), 1) for x in parts], pa.binary())], names)
 
     return stash(arrow_map(source, scan, "id long, th long, line int, key long, cells binary"))
 
@@ -402,7 +402,7 @@ def _classes(noted: DataFrame, bits: int) -> tuple[np.ndarray, float]:
     """Rarity class of every cell, and the number of words."""
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(_unplaned(zlib.decompress(x), "<i8") for x in group["cells"])
+        total = sum(unplaned(zlib.decompress(x), "<i8") for x in group["cells"])
         cls = np.minimum(63, np.floor(_CLASS * np.log2(1 + total))).astype(np.uint8)
         return pd.DataFrame({"id": [int(group["id"].iloc[0])], "words": [int(total.sum())], "cls": [cls.tobytes()]})
 

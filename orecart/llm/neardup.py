@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from orecart.llm import simhash
 from orecart.llm.common import arrow_map, mix64, stash
 from orecart.llm.components import components
-from orecart.llm.linededup import BITMAP, PART_ROWS, WIDER, Join, bitmap, _classes, _log2, marked, _packed, _planes, _slices, _unpacked, candidates, distinct_rows, lowered, parity, text_buffer, word_hashes
+from orecart.llm.linededup import BITMAP, PART_ROWS, WIDER, Join, bitmap, _classes, _log2, marked, _packed, planes, _slices, _unpacked, candidates, distinct_rows, lowered, parity, text_buffer, word_hashes
 
 WORDS, THRESHOLD, DISTANCE, TRIES = 5, 0.8, 4, 2
 _SLICE = 1 << 18
@@ -122,7 +122,7 @@ def _noted(source: DataFrame, words: int, bits: int) -> DataFrame:
         if cells.any():
             parts = cells.reshape(-1, 1 << 14)
             zero = pa.array(np.zeros(len(parts), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), zero, pa.array(np.full(len(parts), -1, np.int32)), zero, zero, pa.array([zlib.compress(_planes(x), 1) for x in parts], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), zero, pa.array(np.full(len(parts), -1, np.int32)), zero, zero, pa.array([zlib.compress(planes(x), 1) for x in parts], pa.binary())], names)
 
     return stash(arrow_map(source, note, "id long, th long, line int, key long, fp long, cells binary"))
 

@@ -14,6 +14,7 @@ target document all ratios are 0; extra columns are ignored; an empty table give
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,35 +23,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orecart.llm.common import arrow_map, documents, segment_hashes, stash
-from orecart.llm.linededup import BITMAP, bitmap, marked, text_buffer
+from orecart.llm.common import arrow_map, documents, stash
+from orecart.llm.linededup import BITMAP, bitmap, lowered, marked, planes, text_buffer, unplaned, word_hashes
 
 BUCKETS = 1 << 15
 #: Share of the rows that resampling selects.
 SELECT_SHARE = 0.85
-_WORD = np.ones(256, dtype=bool)
-_WORD[[0x20, *range(0x09, 0x0E)]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_PART = 1 << 12
 
 
-def features(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def features(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of rows: first row, number of rows, and (row, bucket) of every word and word pair."""
     data, offsets = text_buffer(column)
     lo = 0
     while lo < len(offsets) - 1:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-        buf, at = _LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1].astype(np.int64) - offsets[lo]
+        at = offsets[lo : hi + 1].astype(np.int64) - offsets[lo]
+        buf = lowered(data[offsets[lo] : offsets[hi]])
+        low = buf[: at[-1]]
         full = np.flatnonzero(np.diff(at))
-        word = _WORD[buf]
+        word = ~((low == 32) | ((low - np.uint8(9)) < 5))
         opens, closes = word.copy(), word.copy()
         opens[1:] &= ~word[:-1]
         opens[at[:-1][full]] |= word[at[:-1][full]]
         closes[:-1] &= ~word[1:]
         closes[at[1:][full] - 1] |= word[at[1:][full] - 1]
         a, b = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        row = full[np.searchsorted(at[:-1][full], a, "right") - 1] if len(a) else np.zeros(0, np.int64)
-        h = segment_hashes(buf, a, b) if len(a) else np.zeros(0, np.uint64)
+        row = full[np.cumsum(np.bincount(np.searchsorted(a, at[:-1][full]), minlength=len(a) + 1))[: len(a)] - 1] if len(a) else np.zeros(0, np.int64)
+        h = word_hashes(buf, a, b)
         with np.errstate(over="ignore"):
             pair = (h[:-1] * np.uint64(31) + h[1:]) * np.uint64(0x9E3779B97F4A7C15)
         same = row[1:] == row[:-1]
@@ -59,18 +59,26 @@ def features(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def counts(texts: DataFrame) -> DataFrame:
-    """(bucket, n) of all n-grams of a table of texts, added up in the workers first."""
+def counts(texts: DataFrame) -> np.ndarray:
+    """Numbers of all n-grams of a table of texts by bucket. Every task sends its table in a few packed slices, which are added up slice by slice."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for _, _, _, bucket in features(batch.column(0)):
                 table += np.bincount(bucket, minlength=BUCKETS)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at])], ["bucket", "n"])
+        if table.any():
+            parts = table.reshape(-1, _PART)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([zlib.compress(planes(x), 1) for x in parts], pa.binary())], ["slice", "cells"])
 
-    return arrow_map(texts, count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(unplaned(zlib.decompress(x), "<i8") for x in group["cells"])
+        return pd.DataFrame({"slice": [int(group["slice"].iloc[0])], "cells": [total.tobytes()]})
+
+    out = np.zeros(BUCKETS, np.int64)
+    for at, cells in arrow_map(texts, count, "slice int, cells binary").groupBy("slice").applyInPandas(add, "slice int, cells binary").collect():
+        out[at * _PART : (at + 1) * _PART] = np.frombuffer(cells, np.int64)
+    return out
 
 
 def fit(docs: DataFrame, target: DataFrame) -> np.ndarray:
@@ -85,11 +93,7 @@ def fit(docs: DataFrame, target: DataFrame) -> np.ndarray:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     near = rows.where(F.col("doc_id").isNotNull()).where(listed(bit(F.col("doc_id")))).join(wanted.hint("shuffle_hash"), "doc_id").select("text")
-    both = counts(rows.select("text")).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("good")).union(counts(near).select("bucket", F.lit(0).cast("long"), "n"))
-    rows = both.groupBy("bucket").agg(F.sum("raw"), F.sum("good")).collect()
-    table = np.zeros((2, BUCKETS))
-    for bucket, raw, own in rows:
-        table[:, bucket] = raw, own
+    table = np.stack((counts(rows.select("text")), counts(near))).astype(np.float64)
     if not table[1].any():
         return np.zeros(BUCKETS)
     table += 0.5
