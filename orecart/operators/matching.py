@@ -101,16 +101,20 @@ def technology_hints(repos: DataFrame, key: str, language: str, topics: str) ->
     return langs.join(tops, key, "full_outer")
 
 
+def met(companies: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(company_id, candidate_id) that share a block. Ids alone meet; names follow."""
+    left = companies.select("company_id", F.explode(company_blocks(F.col("name"), F.col("domain"))).alias("block"))
+    right = candidates.select("candidate_id", F.explode(candidate_blocks(F.col("name"))).alias("block"))
+    # Candidates without a key all score alike with a company, so the first of them stands for all.
+    blank = candidates.where(slug(F.col("name")) == "").orderBy("candidate_id").limit(1).select("candidate_id", F.lit("e:").alias("block"))
+    return left.join(right.union(blank), "block").select("company_id", "candidate_id").distinct()
+
+
 def enrich(companies: DataFrame, candidates: DataFrame, score: Column) -> DataFrame:
     """Best candidate per company with its band. Weak matches keep the record for review but carry no people.
 
     companies: company_id, name, domain; candidates: candidate_id, name, domain. Pairs meet on shared blocks, which lose no pair that org_score or registry_score (without CIN and description) puts first.
     """
-    left = companies.select("company_id", F.explode(company_blocks(F.col("name"), F.col("domain"))).alias("block"))
-    right = candidates.select("candidate_id", F.explode(candidate_blocks(F.col("name"))).alias("block"))
-    # Candidates without a key all score alike with a company, so the first of them stands for all.
-    blank = candidates.where(slug(F.col("name")) == "").orderBy("candidate_id").limit(1).select("candidate_id", F.lit("e:").alias("block"))
-    met = left.join(right.union(blank), "block").select("company_id", "candidate_id").distinct()  # ids alone meet; names follow
     named = companies.select("company_id", F.col("name").alias("company_name"), F.col("domain").alias("company_domain"))
-    pairs = met.join(named, "company_id").join(candidates.select("candidate_id", F.col("name").alias("candidate_name")), "candidate_id").withColumn("score", score).where(F.col("score") >= rules.MINIMUM)
+    pairs = met(companies, candidates).join(named, "company_id").join(candidates.select("candidate_id", F.col("name").alias("candidate_name")), "candidate_id").withColumn("score", score).where(F.col("score") >= rules.MINIMUM)
     return best_match(pairs, "company_id", "score", "candidate_id").withColumn("band", band(F.col("score"))).withColumn("carries_people", F.col("band") == "accepted")

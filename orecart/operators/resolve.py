@@ -29,21 +29,21 @@ def people_from_contacts(contacts: DataFrame) -> DataFrame:
     return contacts.select("seq", name.alias("name"), name_key(name).alias("name_key"), C.normalize_email(F.col("email")).alias("email"), C.normalize_phone(F.col("phone")).alias("phone"), F.transform("profile_urls", U.profile_url).alias("profile_urls"), urls.alias("source_urls"), "page_ids", urls.alias("source_refs"), _strings(F.col("title")).alias("titles"), "role_category", F.array(F.lit("website")).alias("sources"), F.nullif(U.hostname(F.get(urls, F.lit(0))), F.lit("")).alias("company_domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
-def people_from_members(members: DataFrame) -> DataFrame:
-    """members: seq, login, name, html_url, org_login, confidence."""
+def people_from_members(members: DataFrame, *keep: str) -> DataFrame:
+    """members: seq, login, name, html_url, org_login, confidence; the columns `keep` stay."""
     link = F.coalesce(F.nullif("html_url", F.lit("")), F.concat(F.lit("https://github.com/"), F.col("login")))
     name = F.trim(F.coalesce(F.nullif("name", F.lit("")), "login", F.lit("")))
     refs = F.array_compact(F.array(F.concat(F.lit("github:"), F.col("login")), F.concat(F.lit("github:org:"), F.col("org_login"))))
     empty = F.array().cast("array<bigint>")
-    return members.select("seq", name.alias("name"), name_key(name).alias("name_key"), _none().alias("email"), _none().alias("phone"), _strings(U.profile_url(link)).alias("profile_urls"), _strings(link).alias("source_urls"), empty.alias("page_ids"), refs.alias("source_refs"), F.array().cast("array<string>").alias("titles"), _none().alias("role_category"), F.array(F.lit("github")).alias("sources"), _none().alias("company_domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    return members.select(*keep, "seq", name.alias("name"), name_key(name).alias("name_key"), _none().alias("email"), _none().alias("phone"), _strings(U.profile_url(link)).alias("profile_urls"), _strings(link).alias("source_urls"), empty.alias("page_ids"), refs.alias("source_refs"), F.array().cast("array<string>").alias("titles"), _none().alias("role_category"), F.array(F.lit("github")).alias("sources"), _none().alias("company_domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
-def people_from_directors(directors: DataFrame) -> DataFrame:
-    """directors: seq, din, name, designation, cin, confidence."""
+def people_from_directors(directors: DataFrame, *keep: str) -> DataFrame:
+    """directors: seq, din, name, designation, cin, confidence; the columns `keep` stay."""
     name = F.trim(F.coalesce("name", F.lit("")))
     refs = F.array_compact(F.array(F.concat(F.lit("mca:din:"), F.col("din")), F.concat(F.lit("mca:cin:"), F.col("cin"))))
     none, empty = F.array().cast("array<string>"), F.array().cast("array<bigint>")
-    return directors.select("seq", name.alias("name"), name_key(name).alias("name_key"), _none().alias("email"), _none().alias("phone"), none.alias("profile_urls"), none.alias("source_urls"), empty.alias("page_ids"), refs.alias("source_refs"), _strings(F.col("designation")).alias("titles"), _none().alias("role_category"), F.array(F.lit("mca")).alias("sources"), _none().alias("company_domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    return directors.select(*keep, "seq", name.alias("name"), name_key(name).alias("name_key"), _none().alias("email"), _none().alias("phone"), none.alias("profile_urls"), none.alias("source_urls"), empty.alias("page_ids"), refs.alias("source_refs"), _strings(F.col("designation")).alias("titles"), _none().alias("role_category"), F.array(F.lit("mca")).alias("sources"), _none().alias("company_domain"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def compare(a: str, b: str) -> Column:

@@ -19,7 +19,7 @@ from orecart.functions import names as N
 from orecart.functions import prompts as P
 from orecart.functions import text as T
 from orecart.functions import url as U
-from orecart.operators import control, dedupe, extract, links, matching, planning, qualify, relevance, resolve, serve
+from orecart.operators import control, dedupe, enrichment, extract, links, matching, planning, qualify, relevance, resolve, serve
 from orecart.plans import sqltext as S
 from orecart.sources import tables
 from orecart.streaming import targets
@@ -534,6 +534,37 @@ def registry_match(spark, sf_dir):
     return matching.enrich(_companies(spark, sf_dir), _entries(spark, sf_dir), score).select("company_id", "candidate_id", "score", "band", "carries_people")
 
 
+def _sql_registry(cand: str, same: str) -> str:
+    key, other, stem = S.legal_key("name"), S.legal_key(cand), S.slug("regexp_replace(domain, '[.][a-z]{2,}$', '')")
+    shared = f"len(list_filter({S.tokens('name')}, lambda t: list_contains({S.tokens(cand)}, t)))"
+    return f"greatest(CASE WHEN {same} THEN 95 ELSE 0 END, CASE WHEN {key} <> '' AND {key} = {other} THEN 90 WHEN length({key}) >= 4 AND {other} <> '' AND (contains({key}, {other}) OR contains({other}, {key})) THEN 70 ELSE 0 END, CASE WHEN {stem} <> '' AND contains({other}, {stem}) THEN 70 ELSE 0 END, CASE WHEN len({S.tokens('name')}) > 0 AND {shared} >= least(2, len({S.tokens('name')})) THEN 50 + {shared} * 10 ELSE 0 END) / 100.0"
+
+
+SQL_DETAIL = "CASE WHEN candidate_id % 3 = 0 THEN cand || ' Holdings' ELSE cand END"
+
+
+@query(f"""WITH {SQL_PAIRS}, n AS (SELECT *, CASE WHEN company_id % 5 = 0 THEN 'N' || (company_id + 1) WHEN company_id % 11 = 0 THEN 'N0' END AS cin FROM c), d AS (SELECT 'N' || candidate_id AS did, candidate_id, cand, {SQL_DETAIL} AS detail FROM s),
+a AS (SELECT company_id, did AS entity_id, detail AS entity_name, CASE WHEN did IS NULL THEN 0 ELSE {_sql_registry('detail', 'true')} END AS confidence, CASE WHEN did IS NULL THEN 'number not found' ELSE 'number' END AS reason FROM n LEFT JOIN d ON cin = did WHERE cin IS NOT NULL),
+p AS (SELECT company_id, name, domain, did, cand, detail, {_sql_registry('cand', 'false')} AS first FROM n, d WHERE cin IS NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY first DESC, did) AS rn FROM p WHERE first >= 0.6),
+b AS (SELECT n.company_id, did AS entity_id, CASE WHEN first >= 0.8 THEN detail ELSE cand END AS entity_name, CASE WHEN first IS NULL THEN 0 WHEN first < 0.8 THEN first ELSE {_sql_registry('detail', 'false').replace('name', 'n.name').replace('domain', 'n.domain')} END AS confidence, CASE WHEN first IS NULL THEN 'no match' WHEN first < 0.8 THEN 'weak match' ELSE 'name' END AS reason FROM n LEFT JOIN r ON n.company_id = r.company_id AND rn = 1 WHERE cin IS NULL),
+e AS (SELECT *, (reason = 'name' OR (reason = 'number' AND confidence >= 0.8)) AS accepted FROM (FROM a UNION ALL FROM b)),
+o AS (SELECT 'N' || (c_custkey % 60 + 1) AS cin, string_agg(c_name, ',' ORDER BY c_custkey) AS people FROM customer WHERE c_custkey % 7 = 0 GROUP BY 1)
+SELECT company_id, entity_id, entity_name, confidence::DOUBLE AS confidence, CASE WHEN accepted THEN 'pending' ELSE 'review' END AS status, reason, CASE WHEN accepted THEN people END AS people FROM e LEFT JOIN o ON entity_id = cin""")
+def registry_enrich(spark, sf_dir):
+    """Registry records with details and directors; some companies come with a number, and one of those is unknown."""
+    k = F.col("company_id")
+    firms = _companies(spark, sf_dir).withColumn("cin", F.when(k % 5 == 0, F.concat(F.lit("N"), k + 1)).when(k % 11 == 0, "N0"))
+    entries = _entries(spark, sf_dir)
+    number = F.concat(F.lit("N"), "candidate_id").alias("cin")
+    details = entries.select(number, F.when(F.col("candidate_id") % 3 == 0, F.concat("name", F.lit(" Holdings"))).otherwise(F.col("name")).alias("name"))
+    found = enrichment.registry(firms, entries.select(number, "name"), details)
+    c = F.col("c_custkey")
+    listed = tables.table(spark, sf_dir, "customer").where(c % 7 == 0).select(F.concat(F.lit("N"), c % 60 + 1).alias("cin"), c.alias("seq"), c.cast("string").alias("din"), F.col("c_name").alias("name"), F.lit("Director").alias("designation"))
+    people = enrichment.directors(found, listed).groupBy(F.col("scope").alias("company_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda x: x["name"]), ",").alias("people"))
+    return found.join(people, "company_id", "left").select("company_id", "entity_id", "entity_name", "confidence", "status", "reason", "people")
+
+
 @query(f"""WITH {SQL_PAIRS}, k AS (SELECT company_id, candidate_id, {S.slug('cand')} AS l, {S.slug('name')} AS a, {S.slug("regexp_replace(domain, '[.][a-z]{2,}$', '')")} AS stem, lower(name) AS nm, lower(cand) AS disp, len(list_filter({S.tokens('name')}, lambda t: list_contains({S.tokens(S.slug('cand'))}, t))) AS o, len({S.tokens('name')}) AS n FROM c, s),
 p AS (SELECT company_id, candidate_id, greatest(CASE WHEN (a <> '' AND l = a) OR (stem <> '' AND l = stem) THEN 95 ELSE 0 END, CASE WHEN length(a) >= 4 AND (contains(l, a) OR contains(a, l)) THEN 70 ELSE 0 END, CASE WHEN length(nm) >= 4 AND contains(disp, nm) THEN 60 ELSE 0 END, CASE WHEN n > 0 AND o >= least(2, n) THEN 50 + o * 10 ELSE 0 END) / 100.0 AS score FROM k),
 r AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY score DESC, candidate_id) AS rn FROM p WHERE score >= 0.6) SELECT company_id, candidate_id, score::DOUBLE AS score, CASE WHEN score >= 0.8 THEN 'accepted' ELSE 'review' END AS band FROM r WHERE rn = 1""")
