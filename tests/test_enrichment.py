@@ -40,3 +40,19 @@ def test_registry_statuses_and_merged_people(spark):
     merged, review = resolve.dedupe_people(people.unionByName(site))
     (one,) = merged.collect()
     assert one.sources == ["website", "mca"] and one.titles == ["Director"] and one.email == "jo@acmepumps.com" and review.count() == 0
+
+
+def test_person_pairs_equal_all_pairs_of_short_names(spark):
+    import random
+
+    from orecart.functions.names import fuzzy_match, name_key
+
+    rnd = random.Random(13)
+    names = {"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 13))) + rnd.choice(["", " a", " bo", " cab"]) for _ in range(170)}
+    none = F.lit(None).cast("string")
+    n = spark.createDataFrame([(i, x) for i, x in enumerate(sorted(names))], "seq long, name string")
+    people = n.select("seq", "name", name_key(F.col("name")).alias("name_key"), none.alias("email"), none.alias("phone"), F.array().cast("array<string>").alias("profile_urls"), none.alias("company_domain"), F.lit(1).alias("scope"))
+    got = {(r.a.seq, r.b.seq) for r in resolve.person_pairs(people).collect()}
+    a, b = n.select(F.col("seq").alias("x"), F.col("name").alias("p")), n.select(F.col("seq").alias("y"), F.col("name").alias("q"))
+    every = a.crossJoin(b).where("x < y").where((name_key(F.col("p")) == name_key(F.col("q"))) | fuzzy_match(F.col("p"), F.col("q")))
+    assert got == {(r.x, r.y) for r in every.collect()} and len(got) > 50
