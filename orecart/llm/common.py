@@ -53,16 +53,44 @@ def stash(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow with batches small enough for whole texts; workers give their memory back between tasks."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """mapInArrow whose function gets batches of `rows` rows; workers give their memory back between tasks.
+
+    Whole texts travel in a batch, so one bound, the same for all plans, stands in place of the session's
+    default; a bound that the caller has set stays.
+    """
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
 
     def run(batches: Iterator) -> Iterator:
-        yield from fn(batches)
+        yield from fn(regrouped(batches, rows))
         release()
 
     return df.mapInArrow(run, schema)
 
 
+def regrouped(batches: Iterator, rows: int) -> Iterator:
+    """The same rows in batches of `rows` rows, the last one smaller."""
+    import pyarrow as pa
+
+    held, n = [], 0
+
+    def joined():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        while len(batch):
+            part = batch.slice(0, rows - n)
+            held.append(part)
+            n += len(part)
+            batch = batch.slice(len(part))
+            if n == rows:
+                yield joined()
+                held, n = [], 0
+    if held:
+        yield joined()
+
+
 def release() -> None:
     """Return freed memory to the system, which a worker that is used again would keep."""
     import ctypes

@@ -221,7 +221,7 @@ def links(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, dis
                 ids[own.row] = own.key.view(np.int64)
                 held.append(join.prefixes(own, ids, fresh))
                 size += len(held[-1][0])
-                if size > 400_000:
+                if size > 200_000:
                     yield flush()
                     size = 0
         if held:

@@ -214,3 +214,20 @@ def test_gzip_that_inflates_without_end_is_refused(monkeypatch):
     assert media.sniff(media.pack_gzip(b"a" * (8 << 20)))[0] == "application/octet-stream"
     pdf = b"%PDF-1.4 a startxref 1 %%EOF\nb startxref 2 %%EOF"
     assert media.sniff(pdf + b"\n")[0] == "application/pdf" and media.carve(b"x" + pdf + b" end") == [pdf]
+
+
+def test_batches_are_cut_and_joined_and_the_session_keeps_its_bound(spark):
+    from orecart.llm.common import arrow_map, regrouped
+
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(range(a, b)), pa.array([None if i % 3 == 0 else str(i) for i in range(a, b)])], ["a", "b"])
+    for rows in (1, 4, 7, 100):
+        out = list(regrouped(iter([batch(0, 5), batch(5, 5), batch(5, 6), batch(6, 20)]), rows))
+        assert [x for o in out for x in o.column(0).to_pylist()] == list(range(20)) and [len(o) for o in out[:-1]] == [rows] * (len(out) - 1)
+        assert [x for o in out for x in o.column(1).to_pylist()] == batch(0, 20).column(1).to_pylist()
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "77")
+        assert arrow_map(spark.range(200), lambda bs: bs, "id long", 50).count() == 200 and spark.conf.get(name) == "77"
+    finally:
+        spark.conf.set(name, before)
