@@ -588,9 +588,11 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, salt_rows: int
     rank, words = _classes(noted, bits)
     goes = matched(source, Join(rank, words, threshold, salt_rows, part_rows), tries).distinct().withColumn("goes", F.lit(True))
     # Most sets stand once and stay: only lines of the others are sorted by place.
-    again = lines.groupBy("key").count().where("count > 1").select("key").join(goes, "key", "full_outer")
+    # The aggregates are written, so that the joins shuffle both sides and a hot line's rows can be split.
+    again = stash(lines.groupBy("key").count().where("count > 1").select("key").join(goes, "key", "full_outer"))
     some = stash(lines.join(again.hint("shuffle_hash"), "key"))
     firsts = some.where("goes IS NULL").groupBy("key").agg(F.min(F.struct("id", "line")).alias("place"))
+    firsts = stash(firsts)
     later = some.where("goes IS NULL").join(firsts.hint("shuffle_hash"), "key").where(F.struct("id", "line") > F.col("place"))
     gone = some.where("goes").select("id", "th", "line").union(later.select("id", "th", "line"))
     return gone.groupBy("id", "th").agg(F.collect_set("line").alias("lines"))
