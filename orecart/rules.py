@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Query parameters that normalisation drops.
 TRACKING_PARAMETERS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "msclkid"]
 
@@ -31,6 +33,7 @@ LISTICLE_TITLES = [
     r"\b\d+\s+(?:agencies|firms|vendors|providers|tools|platforms|software|solutions)\b",
     r"\b(?:leading|largest|biggest)\s+(?:companies|agencies|firms|vendors|providers)\b",
 ]
+# URLs of result lists, files, pagination, and system pages.
 SEARCH_RESULT_URLS = [r"/search/?", r"/(search|results|find)/?", r"/s\?"]
 ASSET_EXTENSIONS = "jpg|jpeg|png|gif|webp|svg|ico|avif|bmp|tif|tiff|css|js|map|json|xml|woff2?|ttf|eot|otf|mp3|mp4|webm|ogg|zip|rar|7z|gz|tar|bz2|pdf|docx?|xlsx?|pptx?|ppt|epub|csv"
 CANDIDATE_EXTENSIONS = ASSET_EXTENSIONS + "|exe|dmg|apk"
@@ -58,6 +61,7 @@ ARCHETYPE_KEYWORDS = {
     "legal": ["legal", "disclaimer", "gdpr", "compliance"],
     "archives": ["archive", "archives"],
 }
+# Tiers, their order and scores, precedence of archetypes, bonuses, penalties, limits.
 TIERS = {"high": ["about", "team", "leadership", "founders", "contact", "careers"], "medium": ["pricing", "blog", "press", "product"], "low": ["privacy", "terms", "cookie", "login", "legal", "archives"]}
 TIER_RANK = {"high": 1, "medium": 2, "low": 3, "generic": 4}
 TIER_SCORE = {"high": 100, "medium": 60, "low": 10, "generic": 5}
@@ -77,6 +81,7 @@ PAGE_RULES = [
     ("press_release", [r"/(press|press-releases?|media|newsroom)/", r"/(press|press-releases?|media|newsroom)/?$"], [r"\b(press release|for immediate release|media contact|newsroom)\b"]),
     ("blog_post", [r"/(blog|articles?|news|insights?|post)/[^/?]+"], [r"\b(published on|posted on|by [a-z0-9 ]+ \||author:)\b"]),
 ]
+# Page kinds with contacts, and those where people are looked for.
 CONTACT_ARCHETYPES = ["team_page", "careers_page", "job_posting", "contact_page"]
 CONTACT_SOURCES = ["team_page", "contact_page", "about_page", "blog_post", "press_release"]
 
@@ -106,6 +111,7 @@ ROLE_RULES = [
     ("operations_leader", r"\bcoo\b|chief operating|\boperations\b|\bpeople\b|human resources|\bhr\b|\bfinance\b|cfo\b|chief financial|\blegal\b|\bcounsel\b|customer success|\bsupport\b|\boffice\b|\badministration\b"),
     ("executive", r"\bpresident\b|vice president|\bvp\b|chief|director|managing director|chair|board|\bpartner\b|\bprincipal\b|general manager|head of|\bexecutive\b|\bsvp\b|\bevp\b|\bsme\b|\bleader\b"),
 ]
+# Roles that count as leadership; labels of navigation lines.
 LEADERSHIP_ROLES = ["founder", "cofounder", "ceo", "technology_leader", "marketing_leader", "revenue_leader", "sales_leader", "operations_leader", "executive"]
 NAV_LINE = "home|about|about us|contact|contact us|team|our team|careers|jobs|services|products|solutions|pricing|menu|news|blog|privacy|terms|faq|faqs|login|sign in|sign up|register|support|help|next|previous|back|read more|learn more|view all|follow us"
 
@@ -132,7 +138,8 @@ NAME_SUFFIXES = ["jr", "sr", "ii", "iii", "iv"]
 
 # Qualification.
 NON_COMPANY = r"\b(directory|aggregator|marketplace|listicle|job board|review site|newsroom|magazine|publication|blog|wiki|tutorial|university|college|academy|forum|classifieds?|conference|event|summit|exhibition|expo)\b"
-NON_COMPANY_STEMS = ["directory", "aggregator", "marketplace", "listicle", "job board", "review site", "newsroom", "magazine", "publication", "blog", "wiki", "tutorial", "university", "college", "academy", "forum", "classified", "conference", "event", "summit", "exhibition", "expo"]
+#: What every match of NON_COMPANY holds.
+NON_COMPANY_STEMS = [re.sub(r".\?$", "", x) for x in re.search(r"\((.*)\)", NON_COMPANY).group(1).split("|")]
 USAGE_PHRASES = r"\b(?:uses?|using|runs?\s+on|built\s+on|powered\s+by|deployed\s+on|migrated\s+to|adopted|rolled\s+out)\b"
 ICP_STOP_WORDS = ["the", "and", "for", "with", "from", "that", "this", "who", "which", "their", "your", "company", "companies", "business", "businesses", "based", "looking", "target", "customer", "customers"]
 PLAN_STOP_WORDS = ["the", "a", "an", "and", "or", "of", "for", "by", "with", "in", "on", "to", "from", "find", "companies", "company", "that", "use", "using", "uses", "industry"]
@@ -167,6 +174,7 @@ DORK_TEMPLATES = ['intitle:pricing "{industry}" {where} -site:g2.com -site:capte
 # Noise that search queries exclude.
 EXCLUDED_SITES = ["linkedin.com", "facebook.com", "instagram.com", "clutch.co", "goodfirms.co", "g2.com", "justdial.com", "indiamart.com", "naukri.com", "wellfound.com", "glassdoor.com", "indeed.com", "yourstory.com", "inc42.com", "reddit.com", "medium.com", "quora.com"]
 
+# Confidence bounds of the tiers, of promotion and of matches; sizes of a batch and of a plan.
 TIER1, TIER2, PROMOTE, CONTACT_TIER1 = 0.8, 0.75, 0.6, 0.8
 ACCEPT, MINIMUM = 0.8, 0.6
 BATCH, SEARCH_QUERIES = 25, 8
