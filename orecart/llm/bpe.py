@@ -6,8 +6,8 @@ token), at first one per byte. A recursive query joins neighbouring tokens with
 each word and repeats until no word has a pair left. Words of over LONG bytes contract all disjoint
 places of the minimum rank at once where that cannot change the outcome, so the number of steps
 follows the number of distinct tokens. Decoding joins token rows with the vocabulary and aggregates
-the bytes in order. Encoded words are remembered within a task up to a bound; forgetting costs time only,
-and the database goes with the task, so that an idle worker holds nothing.
+the bytes in order. Encoded words are remembered per worker up to a bound; forgetting costs time only.
+The database goes with its task, so that an idle worker holds the words alone.
 
 Defined cases: a null text counts as empty: no tokens, the digests of zero bytes. Every row is
 encoded, repeated ones too; extra columns are ignored; an empty table gives an empty result. An id
@@ -31,9 +31,9 @@ from orecart.llm.pieces import connect, cut, disconnect
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 48
-WORDS_HELD = 400_000
-WORDS_AT_ONCE = 40_000
-CHUNK = 2 << 20
+WORDS_HELD = 800_000
+WORDS_AT_ONCE = 80_000
+CHUNK = 4 << 20
 
 # A row knows its right neighbour's position and token; -1 stands for none.
 _SHORT_STEP = """
@@ -96,11 +96,29 @@ def codec(name: str) -> Codec:
     return Codec(vocabulary(name))
 
 
+class Words:
+    """Words known so far: slot by word, and for slot k the ids pool[ends[k]:ends[k + 1]]."""
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+
+@lru_cache(maxsize=2)
+def known(name: str) -> Words:
+    """The words of a vocabulary that this worker has encoded."""
+    return Words()
+
+
 class Codec:
-    def __init__(self, tokens: list[bytes]) -> None:
+    def __init__(self, tokens: list[bytes], words: Words | None = None) -> None:
+        self.words = words or Words()
         import public_tokenizers
 
-        self.pattern, self.tokens, self.con = public_tokenizers.PATTERN, tokens, connect("160MB")
+        self.pattern, self.tokens, self.con = public_tokenizers.PATTERN, tokens, connect("240MB")
         rank = {t: i for i, t in enumerate(tokens) if t}
         self.of_byte = np.array([rank[bytes([b])] for b in range(256)], dtype=np.int32)
         rows = [(rank[t[:i]], rank[t[i:]], n) for t, n in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank]
@@ -113,12 +131,6 @@ class Codec:
         self.con.register("given_vocabulary", pa.table({"id": pa.array(range(len(tokens)), pa.int32()), "text": pa.array([t.decode("latin-1") for t in tokens])}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given_vocabulary")
         self.con.unregister("given_vocabulary")
-        self.forget()
-
-    def forget(self) -> None:
-        """Words known so far: slot by word, and for slot k the ids pool[ends[k]:ends[k + 1]]."""
-        self.slot: dict[str, int] = {}
-        self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def learn(self, words: list[str]) -> None:
         """Encode new words by the recursive queries and append their ids to the pool."""
@@ -137,10 +149,10 @@ class Codec:
                 self.con.unregister("start_rows")
                 w, p, t = (got.column(c).to_numpy() for c in "wpt")
                 order = np.argsort((w.astype(np.int64) << 32) | p)
-                at = len(self.slot)
-                self.slot.update(zip(own, range(at, at + len(own)), strict=True))
-                self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.bincount(w, minlength=len(own))))
-                self.pool = np.append(self.pool, t[order])
+                held, at = self.words, len(self.words.slot)
+                held.slot.update(zip(own, range(at, at + len(own)), strict=True))
+                held.ends = np.append(held.ends, held.ends[-1] + np.cumsum(np.bincount(w, minlength=len(own))))
+                held.pool = np.append(held.pool, t[order])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of every text, without special tokens."""
@@ -149,13 +161,14 @@ class Codec:
         lists = rows.column("pieces").combine_chunks()
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.slot) + len(words) > WORDS_HELD:
-            self.forget()
-        self.learn([x for x in words if x not in self.slot])
-        slots = np.array([self.slot[x] for x in words], dtype=np.int64)[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
-        start, n = self.ends[slots], self.ends[slots + 1] - self.ends[slots]
+        held = self.words
+        if len(held.slot) + len(words) > WORDS_HELD:
+            held.forget()
+        self.learn([x for x in words if x not in held.slot])
+        slots = np.array([held.slot[x] for x in words], dtype=np.int64)[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
+        start, n = held.ends[slots], held.ends[slots + 1] - held.ends[slots]
         stop = np.concatenate(([0], np.cumsum(n)))
-        flat = self.pool[np.arange(stop[-1]) + np.repeat(start - stop[:-1], n)]
+        flat = held.pool[np.arange(stop[-1]) + np.repeat(start - stop[:-1], n)]
         at = stop[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
@@ -190,7 +203,7 @@ def encode_decode(docs: DataFrame, name: str = VOCABULARY, with_ids: bool = Fals
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if with_ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Codec(vocabulary(name))
+        own = Codec(vocabulary(name), known(name))
         for batch in batches:
             doc_ids = batch.column(0)
             for at, texts in chunks(batch.column(1).to_pylist()):
@@ -205,7 +218,7 @@ def encode_decode(docs: DataFrame, name: str = VOCABULARY, with_ids: bool = Fals
         disconnect(own.con)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema, 2048)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
