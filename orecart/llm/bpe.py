@@ -31,9 +31,9 @@ from orecart.llm.pieces import connect, cut, disconnect
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 48
-WORDS_HELD = 800_000
-WORDS_AT_ONCE = 80_000
-CHUNK = 4 << 20
+WORDS_HELD = 600_000
+WORDS_AT_ONCE = 40_000
+CHUNK = 2 << 20
 
 # A row knows its right neighbour's position and token; -1 stands for none.
 _SHORT_STEP = """
@@ -118,7 +118,7 @@ class Codec:
         self.words = words or Words()
         import public_tokenizers
 
-        self.pattern, self.tokens, self.con = public_tokenizers.PATTERN, tokens, connect("240MB")
+        self.pattern, self.tokens, self.con = public_tokenizers.PATTERN, tokens, connect("160MB")
         rank = {t: i for i, t in enumerate(tokens) if t}
         self.of_byte = np.array([rank[bytes([b])] for b in range(256)], dtype=np.int32)
         rows = [(rank[t[:i]], rank[t[i:]], n) for t, n in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank]
@@ -218,7 +218,7 @@ def encode_decode(docs: DataFrame, name: str = VOCABULARY, with_ids: bool = Fals
         disconnect(own.con)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema, 2048)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema, 1024)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
