@@ -480,7 +480,9 @@ def matched(source: DataFrame, join: Join, tries: int = TRIES) -> DataFrame:
     kept = found.where("rows IS NOT NULL").select("part", "rows")
     pairs = found.where("id2 IS NOT NULL").select(*at, "id2", "line2", "k2", "far")
     best = pairs.groupBy(*at).agg(F.min(F.struct("far", "id2", "line2", "k2")).alias("b")).select(*at, "b.id2", "b.line2", "b.k2")
-    keys = stash(_verified(source, best, join.threshold))
+    best = stash(best)
+    texts = _texts(source, _ends(pairs))  # of all candidates at once: nearly all belong to a best pair anyway
+    keys = stash(_verified(best, texts, join.threshold))
     pairs = pairs.drop("far").join(keys.select(*at), at, "left_anti").join(best, [*at, "id2", "line2", "k2"], "left_anti").distinct()
     open_ = found.where("home IS NOT NULL").select(*at, "home")
     while True:
@@ -489,9 +491,13 @@ def matched(source: DataFrame, join: Join, tries: int = TRIES) -> DataFrame:
         if not last:
             tries *= WIDER
             again = _again(kept, open_, join, tries)
-            pairs = pairs.union(again.where("id2 IS NOT NULL").select(*at, "id2", "line2", "k2")).distinct()
+            more = again.where("id2 IS NOT NULL").select(*at, "id2", "line2", "k2")
+            missing = stash(_ends(more).join(texts.select(*at), at, "left_anti"))
+            if missing.limit(1).count():
+                texts = texts.union(_texts(source, missing))
+            pairs = pairs.union(more).distinct()
             open_ = again.where("home IS NOT NULL").select(*at, "home").distinct()
-        keys = stash(keys.union(_verified(source, pairs, join.threshold)))
+        keys = stash(keys.union(_verified(pairs, texts, join.threshold)))
         if last:
             return keys.select("key")
         pairs = pairs.limit(0)
@@ -535,8 +541,13 @@ def _again(kept: DataFrame, open_: DataFrame, join: Join, tries: int) -> DataFra
     return stash(by.cogroup(probes.groupBy("part")).applyInPandas(probe, _FOUND))
 
 
-def _verified(source: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(key, id, line, k) of the pairs' later lines whose words are similar to the earlier line's. Bitmaps let only wanted lines leave the scan; one text per place."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(id, line, k) of the lines of pairs."""
+    return pairs.select("id", "line", "k").union(pairs.select("id2", "line2", "k2")).distinct()
+
+
+def _texts(source: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, line, k, key, words) of lines. Bitmaps let only wanted lines leave the scan; one text per place."""
     at = ["id", "line", "k"]
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -544,9 +555,7 @@ def _verified(source: DataFrame, pairs: DataFrame, threshold: float) -> DataFram
             ids, line = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_spot(ids, line)), pa.array(_spot(ids, np.zeros(len(ids), np.int64)))], [*at, "spot", "homed"])
 
-    pairs = stash(pairs)
-    both = pairs.select(*at).union(pairs.select("id2", "line2", "k2")).distinct()
-    wanted = stash(arrow_map(both, spots, "id long, line int, k int, spot long, homed long"))
+    wanted = stash(arrow_map(places, spots, "id long, line int, k int, spot long, homed long"))
     places, homes = bitmap(wanted, "spot"), bitmap(wanted, "homed")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -565,14 +574,20 @@ def _verified(source: DataFrame, pairs: DataFrame, threshold: float) -> DataFram
                 i = own.row
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row[i]]), pa.array(number[i].astype(np.int32)), pa.array(own.key.astype(np.uint32).view(np.int32)), pa.array(own.key.view(np.int64)), pa.array([zlib.compress(raw[j], 1) for j in i.tolist()], pa.binary())], [*at, "key", "words"])
 
+    texts = arrow_map(source.select("id", "text"), fetch, "id long, line int, k int, key long, words binary")
+    return stash(texts.join(wanted.select(*at), at, "left_semi").groupBy(*at).agg(F.first("key").alias("key"), F.first("words").alias("words")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, line, k) of the pairs' later lines whose words are similar to the earlier line's."""
+    at = ["id", "line", "k"]
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             good = [similar(set(zlib.decompress(p).split()), set(zlib.decompress(q).split()), threshold) for p, q in zip(a, b, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1, 2, 3])
 
-    texts = arrow_map(source.select("id", "text"), fetch, "id long, line int, k int, key long, words binary")
-    texts = stash(texts.join(wanted.select(*at), at, "left_semi").groupBy(*at).agg(F.first("key").alias("key"), F.first("words").alias("words")))
     second = texts.select(F.col("id").alias("id2"), F.col("line").alias("line2"), F.col("k").alias("k2"), F.col("words").alias("words2"))
     joined = pairs.join(texts, at).join(second, ["id2", "line2", "k2"]).select("key", *at, "words", "words2")
     return arrow_map(joined, check, "key long, id long, line int, k int").distinct()
