@@ -12,7 +12,7 @@ TRACKING_PARAMETERS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "
 SECOND_LEVELS = ["ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "or", "org"]
 REGISTRABLE = rf"(?:[^.]+\.(?:{'|'.join(SECOND_LEVELS)})\.[a-z][a-z]|(?:[^.]+\.)?[^.]+)$"
 
-# Domains that are never a prospect, with their subdomains.
+# Domains that are never a customer, with their subdomains.
 BLOCKED_DOMAINS = [
     "linkedin.com", "facebook.com", "justdial.com", "indiamart.com", "tradeindia.com", "sulekha.com", "tracxn.com", "zaubacorp.com", "tofler.in",
     "clutch.co", "goodfirms.co", "g2.com", "capterra.com", "getapp.com", "yourstory.com", "inc42.com", "indiatimes.com", "rediff.com",
