@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from orecart.llm import mixing
+from orecart.llm import convrepair, mixing
+from orecart.llm.alignment import op13_token_alignment
 from orecart.llm.bpe import op2_byte_bpe
+from orecart.llm.fingerprint import op11_document_fingerprints
 from orecart.llm.langid import op8_language_id
 from orecart.llm.linededup import op10_line_dedup
 from orecart.llm.media import op7_media_columns
@@ -24,6 +26,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_conversation_repair": convrepair.op12_conversation_repair,
+    "op13_token_alignment": op13_token_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op12_conversation_repair": convrepair.ORACLE_SQL}
