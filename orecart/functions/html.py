@@ -5,8 +5,10 @@ These are the engine's only Python row code; everything after the extraction is
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -64,30 +66,41 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
+        self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag: str) -> None:
-        for x in (self.at, *self.at.parents()):
-            if x.tag == tag and x.parent is not None:
+        x = self.at if self.open[tag] else None
+        while x is not None and x.parent is not None:
+            self.open[x.tag] -= 1
+            if x.tag == tag:
                 self.at = x.parent
                 return
+            x = x.parent
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Marked sections are comments, whatever their keyword."""
+        return self.parse_bogus_comment(i, 0)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
 
 
 def parse(html: str | None) -> Node:
+    """The page's tree; where the parser gives up, the tree up to there."""
     builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
+    with contextlib.suppress(AssertionError, ValueError, RecursionError):
+        builder.feed(html or "")
+        builder.close()
     return builder.root
 
 
@@ -134,6 +147,22 @@ def company_parts(html: str | None) -> dict:
     }
 
 
+def structured(text: str | None) -> object:
+    """JSON of a script element; None where it cannot be read or nests too deep."""
+    try:
+        return json.loads(text or "")
+    except (ValueError, RecursionError):
+        return None
+
+
+def _string(value: object) -> str:
+    return value if isinstance(value, str) else ""
+
+
+def _strings(value: object) -> list[str]:
+    return [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, str) and x]
+
+
 def ld_persons(data: object) -> Iterator[dict]:
     todo = [data]
     while todo:
@@ -162,15 +191,15 @@ def _card(el: Node) -> dict:
 
 
 def contact_parts(html: str | None) -> list[dict]:
-    """Person candidates in order: structured data, leaf cards, mail and phone links outside cards, byline. Names are checked later, as Columns."""
+    """Person candidates in order: structured data, leaf cards, mail and phone links outside cards, byline. Names are checked later, as Columns.
+
+    Of structured data only strings count: other values are as good as absent, a list of URLs gives its strings.
+    """
     nodes, out = list(parse(html).walk()), []
     for n in nodes:
         if n.tag == "script" and n.attrs.get("type") == "application/ld+json":
-            try:
-                data = json.loads(n.text())
-            except ValueError:
-                continue
-            out += [{"full_name": p.get("name"), "title": p.get("jobTitle"), "email": p.get("email"), "phone": p.get("telephone"), "profile_urls": [p["url"]] if p.get("url") else []} for p in ld_persons(data)]
+            people = ld_persons(structured(n.text()))
+            out += [{"full_name": _string(p.get("name")), "title": _string(p.get("jobTitle")), "email": _string(p.get("email")), "phone": _string(p.get("telephone")), "profile_urls": _strings(p.get("url"))} for p in people]
     out += [_card(n) for n in nodes if _is_card(n) and not any(_is_card(x) for x in n.walk())]
     for n in nodes:
         href = n.attrs.get("href", "")
@@ -193,7 +222,7 @@ def contact_parts(html: str | None) -> list[dict]:
             name, _, title = (x.strip() for x in text.partition(","))
             out.append({"full_name": name, "title": title if _HINT.search(title) else "", "email": "", "phone": "", "profile_urls": []})
             break
-    return [{**p, **{k: str(p.get(k) or "") for k in ("full_name", "title", "email", "phone")}} for p in out]
+    return out
 
 
 _COMPANY = "site_name string, title string, description string, body string, emails array<string>, phones array<string>"
@@ -227,13 +256,7 @@ def contacts_udf():
 def ld_persons_udf():
     @pandas_udf("array<string>")
     def run(data: pd.Series) -> pd.Series:
-        def names(x: str | None) -> list[str]:
-            try:
-                return [str(p.get("name") or "") for p in ld_persons(json.loads(x or ""))]
-            except ValueError:
-                return []
-
-        return data.map(names)
+        return data.map(lambda x: [_string(p.get("name")) for p in ld_persons(structured(x))])
 
     return run
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,9 +42,23 @@ def port(url: Column) -> Column:
     return F.when(standard, F.lit("")).otherwise(given)
 
 
-def registrable(host: Column) -> Column:
-    """The host's registrable domain: its last two labels, or three where those two are a country's generic suffix; an address stays."""
-    return F.when(host.rlike(r"^\d+(\.\d+){3}$"), host).otherwise(F.regexp_extract(host, rules.REGISTRABLE, 0))
+def suffix_patterns(suffixes: Sequence[str]) -> tuple[str, str]:
+    """Of a short list of public-suffix rules: a pattern of the suffixes, and one that finds a host's suffix with one label more."""
+    back = "|".join(re.escape(x[1:]) for x in suffixes if x.startswith("!")) or "(?!)"
+    below = [rf"(?!(?:{back})$)[^.]+{re.escape(x[1:])}" for x in suffixes if x.startswith("*.")]
+    ends = "|".join([*below, *(re.escape(x) for x in suffixes if x[0] not in "!*")]) or "(?!)"
+    # The leftmost place from which the rest matches has the longest suffix; what an exception names is a domain by itself.
+    return rf"^(?:{ends})$", rf"(?:^|(?<=\.))(?:(?:{back})|[^.]+\.(?:{ends}|[^.]+))$"
+
+
+def registrable(host: Column, suffixes: Sequence[str] = rules.SUFFIX_RULES) -> Column:
+    """The host's registrable domain by a short list of public-suffix rules; addresses, suffixes and single labels stay as they are.
+
+    For whole lists there is operators.domains, which joins.
+    """
+    suffix, domain = suffix_patterns(suffixes)
+    found = F.regexp_extract(host, domain, 0)
+    return F.when(host.rlike(r"^\d+(\.\d+){3}$|^\[|:") | host.rlike(suffix) | (found == ""), host).otherwise(found)
 
 
 def is_valid(url: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orecart import rules
 from orecart.functions import url as U
-from orecart.operators import dedupe, extract, links, planning, qualify, relevance, serve
+from orecart.operators import dedupe, extract, fulltext, links, planning, qualify, relevance, serve
 from orecart.sources import tables
 
 
@@ -72,5 +72,16 @@ class Engine:
         rows = rows.withColumn("ref", F.col("source_ref")).withColumn("body", F.col("payload"))
         return serve.search_index(rows, serve.search_terms(text), U.domain_key(F.col("source_ref")), F.coalesce("product_id", F.lit("")), [F.desc("created_at"), F.desc("id")], limit).drop("ref", "body")
 
+    def index(self, records: DataFrame, path: str) -> fulltext.Index:
+        """Add the company records' reference and payload to the full-text index at path."""
+        rows = records.where("record_type = 'company'").withColumn("payload", F.col("payload").cast("string"))
+        return fulltext.Index(self.spark, path).add(fulltext.postings(rows, "id", {"source_ref": "A", "payload": "B"}))
+
+    def search_indexed(self, index: fulltext.Index, records: DataFrame, text: str, product: str | None = None, limit: int = 50) -> DataFrame:
+        """The best record of each domain and product by rank in a stored index, which is read for the asked terms alone."""
+        rows = records.where("record_type = 'company'")
+        rows = rows.where(F.col("product_id") == product) if product else rows
+        return fulltext.search(index, rows, serve.search_terms(text), "id", [U.domain_key(F.col("source_ref")), F.coalesce("product_id", F.lit(""))], [F.desc("created_at"), F.desc("id")], limit)
+
     def dashboard(self, records: DataFrame, targets: DataFrame) -> dict[str, DataFrame]:
         return serve.dashboard(records, targets)

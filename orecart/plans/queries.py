@@ -19,8 +19,9 @@ from orecart.functions import names as N
 from orecart.functions import prompts as P
 from orecart.functions import text as T
 from orecart.functions import url as U
-from orecart.operators import control, dedupe, enrichment, extract, links, matching, planning, qualify, relevance, resolve, serve
+from orecart.operators import control, dedupe, domains, enrichment, extract, fulltext, links, matching, planning, qualify, relevance, resolve, serve
 from orecart.plans import sqltext as S
+from orecart.session import shared_folder
 from orecart.sources import tables
 from orecart.streaming import targets
 
@@ -359,6 +360,24 @@ def company_extract(spark, sf_dir):
     return out.select("page_id", "archetype", "tier", "confidence", "status", F.col("payload.company_name").alias("company_name"))
 
 
+SUFFIX_CASES = ["com", "firm.in", "in", "co.uk", "sch.uk", "me.uk", "co.de", "ck", "www.ck", "co.ck", "zz"]
+SUFFIX_TABLE = [*rules.SUFFIX_RULES, "com", "in", "uk", "de", "ck"]
+
+
+@query(f"""WITH r(rule) AS (VALUES {', '.join(f'({q(x)})' for x in SUFFIX_TABLE)}), h AS (SELECT (CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN 'n' || c_custkey % 40 || '.' ELSE 'w' || c_custkey % 3 || '.n' || c_custkey % 40 || '.' END) || {sql_pick(SUFFIX_CASES, 'c_custkey % 13')} AS host FROM customer),
+l AS (SELECT DISTINCT host, string_split(host, '.') AS labels FROM h), e AS (SELECT host, labels, unnest(range(1, len(labels) + 1)) AS n FROM l),
+m AS (SELECT host, any_value(labels) AS labels, coalesce(max(n - 1) FILTER ('!' || array_to_string(labels[-n:], '.') IN (SELECT rule FROM r)), max(n) FILTER (array_to_string(labels[-n:], '.') IN (SELECT rule FROM r) OR '*.' || array_to_string(labels[-n:][2:], '.') IN (SELECT rule FROM r)), 1) AS n FROM e GROUP BY host),
+d AS (SELECT host, array_to_string(labels[-(n + 1):], '.') AS domain FROM m)
+SELECT domain, count(*) AS rows, count(DISTINCT host) AS hosts, min(host) AS first_host FROM h JOIN d USING (host) GROUP BY domain""")
+def domain_groups(spark, sf_dir):
+    """Rows grouped by company domain under a table of suffix rules."""
+    table = spark.createDataFrame([(x,) for x in SUFFIX_TABLE], "rule string")
+    k = F.col("c_custkey")
+    before = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.concat(F.lit("n"), k % 40, F.lit("."))).otherwise(F.concat(F.lit("w"), k % 3, F.lit(".n"), k % 40, F.lit(".")))
+    rows = tables.table(spark, sf_dir, "customer").select(F.concat(before, pick(SUFFIX_CASES, k % 13)).alias("host"))
+    return domains.with_domain(rows, F.col("host"), table).groupBy("domain").agg(F.count("*").alias("rows"), F.count_distinct("host").alias("hosts"), F.min("host").alias("first_host"))
+
+
 # --- Qualification ------------------------------------------------------------------------------------------
 
 ICP = {"company_types": ["oring thest", "tion"], "industries": ["wissen"], "buyer_roles": ["ceo", "Co-Founder"], "location": "Ander"}
@@ -464,6 +483,42 @@ def search_index(spark, sf_dir):
     return serve.search_index(rows, serve.search_terms("The of AND"), F.col("source"), F.col("lang"), [F.desc("doc_id")]).select("doc_id", "source", F.col("relevance").cast("long").alias("relevance"))
 
 
+SQL_PLACES = r"""w AS (SELECT doc_id, source, lang, list_filter(regexp_split_to_array(lower(coalesce(source, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS a, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS b FROM documents),
+k AS (SELECT doc_id, source, lang, unnest(list_concat(a, b)) AS t, generate_subscripts(list_concat(a, b), 1) AS n, len(a) AS na FROM w),
+p AS (SELECT doc_id, source, lang, t, least(n, 16383) AS p, max(CASE WHEN n <= na THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) AS w FROM k GROUP BY ALL),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY p) AS j FROM p QUALIFY j <= 256)"""
+SQL_DISTANCE = "CASE WHEN abs(x.p - y.p) > 100 THEN 1e-30 ELSE 1.0 / (1.005 + 0.05 * exp(abs(x.p - y.p) / 1.5 - 2)) END"
+
+
+def _sql_together(terms: list[str]) -> str:
+    own = "(" + ", ".join(q(t) for t in terms) + ")"
+    return f"""(SELECT c.doc_id, any_value(c.source) AS source, any_value(c.lang) AS lang, coalesce(1 - exp((SELECT sum(ln(1 - sqrt(x.w * y.w * {SQL_DISTANCE}))) FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.t < y.t AND x.p <> y.p WHERE x.doc_id = c.doc_id AND x.t IN {own} AND y.t IN {own})), 1e-20) AS rank
+  FROM e c WHERE c.t IN {own} GROUP BY c.doc_id HAVING count(DISTINCT c.t) = {len(terms)})"""
+
+
+def _index(spark, sf_dir) -> fulltext.Index:
+    """An index of source (A) and text (B) of all documents, built for the query."""
+    docs = tables.table(spark, sf_dir, "documents")
+    return fulltext.Index(spark, shared_folder(spark), 32).add(fulltext.postings(docs, "doc_id", {"source": "A", "text": "B"}))
+
+
+@query(f"""WITH {SQL_PLACES}, s AS (SELECT doc_id, 'the' AS terms, (max(w) + sum(w / (j * j)) - max(w) / (arg_min(j, (-w, j)) * arg_min(j, (-w, j)))) / 1.64493406685 AS rank FROM e WHERE t = 'the' GROUP BY doc_id)
+SELECT doc_id, terms, round(rank, 6) AS rank FROM (SELECT * FROM s UNION ALL SELECT doc_id, 'the of' AS terms, rank FROM {_sql_together(['the', 'of'])} UNION ALL SELECT doc_id, 'web the and' AS terms, rank FROM {_sql_together(['web', 'the', 'and'])})""")
+def fulltext_rank(spark, sf_dir):
+    """Ranks of every document that holds all of one, two and three terms, from the stored index."""
+    index = _index(spark, sf_dir)
+    found = [index.ranked(t.split()).select(F.col("key").alias("doc_id"), F.lit(t).alias("terms"), F.round("rank", 6).alias("rank")) for t in ("the", "the of", "web the and")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(f"""WITH {SQL_PLACES}, h AS (SELECT doc_id, source, lang, round(rank, 6) AS relevance FROM {_sql_together(['the', 'of', 'and'])}), r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY relevance DESC, doc_id DESC) AS rn FROM h)
+SELECT doc_id, source, lang, relevance FROM r WHERE rn = 1 ORDER BY relevance DESC, doc_id DESC LIMIT 50""")
+def fulltext_search(spark, sf_dir):
+    """The dashboard's search: best of each source and language, by rank, then the newest."""
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return fulltext.search(_index(spark, sf_dir), docs, serve.search_terms("The of AND"), "doc_id", ["source", "lang"], [F.desc("doc_id")])
+
+
 EVIDENCE_TERMS = ["the", "tion", "erand", "der"]
 
 

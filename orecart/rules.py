@@ -7,10 +7,36 @@ import re
 # Query parameters that normalisation drops.
 TRACKING_PARAMETERS = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "msclkid"]
 
-# Second-level names under which countries register; with a country's two letters they are no domain of their own.
-# A rule in place of the public list of suffixes: any other host ends in its last two labels.
+# Second-level names of a plain rule: with any country's two letters they are no domain of their own.
 SECOND_LEVELS = ["ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "or", "org"]
-REGISTRABLE = rf"(?:[^.]+\.(?:{'|'.join(SECOND_LEVELS)})\.[a-z][a-z]|(?:[^.]+\.)?[^.]+)$"
+
+# Public suffixes below the countries that discovery runs meet most, as the public list has them. A host elsewhere
+# ends in its last label; a whole list comes in as a table (operators/domains.py).
+COUNTRY_SUFFIXES = {
+    "in": ["ac", "co", "edu", "firm", "gen", "gov", "ind", "mil", "net", "nic", "org", "res"],
+    "uk": ["ac", "co", "gov", "ltd", "me", "net", "nhs", "org", "plc", "police", "*.sch"],
+    "au": ["asn", "com", "edu", "gov", "id", "net", "org"],
+    "nz": ["ac", "co", "cri", "geek", "gen", "govt", "health", "iwi", "kiwi", "maori", "mil", "net", "org", "parliament", "school"],
+    "za": ["ac", "agric", "alt", "co", "edu", "gov", "law", "mil", "net", "ngo", "nom", "org", "school", "web"],
+    "jp": ["ac", "ad", "co", "ed", "go", "gr", "lg", "ne", "or"],
+    "kr": ["ac", "co", "go", "ne", "or", "pe", "re"],
+    "br": ["com", "edu", "gov", "net", "org"],
+    "cn": ["ac", "com", "edu", "gov", "mil", "net", "org"],
+    "tw": ["club", "com", "ebiz", "edu", "game", "gov", "idv", "mil", "net", "org"],
+    "hk": ["com", "edu", "gov", "idv", "net", "org"],
+    "sg": ["com", "edu", "gov", "net", "org"],
+    "my": ["com", "edu", "gov", "mil", "name", "net", "org"],
+    "id": ["ac", "biz", "co", "go", "mil", "my", "net", "or", "sch", "web"],
+    "th": ["ac", "co", "go", "in", "mi", "net", "or"],
+    "il": ["ac", "co", "gov", "idf", "k12", "muni", "net", "org"],
+    "tr": ["com", "edu", "gov", "net", "org"],
+    "mx": ["com", "edu", "gob", "net", "org"],
+    "ar": ["com", "edu", "gob", "gov", "int", "mil", "net", "org", "tur"],
+    "pk": ["com", "edu", "gov", "net", "org"],
+    "ke": ["ac", "co", "go", "info", "me", "mobi", "ne", "or", "sc"],
+    "ng": ["com", "edu", "gov", "i", "mil", "mobi", "name", "net", "org", "sch"],
+}
+SUFFIX_RULES = [*(f"{'*.' if x.startswith('*.') else ''}{x.removeprefix('*.')}.{c}" for c, own in COUNTRY_SUFFIXES.items() for x in own), "*.bd", "*.np", "*.kh", "*.mm", "*.ck", "!www.ck"]
 
 # Domains that are never a customer, with their subdomains.
 BLOCKED_DOMAINS = [

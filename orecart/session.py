@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,6 +30,23 @@ def session(app: str = "orecart", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below the folder that spark.checkpoint.dir names, or below the checkpoint folder of a session without that setting."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = context._jsc.sc().getCheckpointDir()
+        if not held.isDefined():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        base = held.get()
+    own = f"{base.rstrip('/')}/orecart-tables-{context.applicationId}"
+    if getattr(context, "_orecart_tables", None) != own:
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        context._orecart_tables = own
+    return f"{own}/{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package's sources to Python workers once per application, through the driver's file server."""
     context = spark.sparkContext
