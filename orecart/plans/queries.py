@@ -22,8 +22,8 @@ from orecart.functions import url as U
 from orecart.operators import control, dedupe, domains, enrichment, extract, fulltext, links, matching, planning, qualify, relevance, resolve, serve
 from orecart.plans import sqltext as S
 from orecart.session import shared_folder
-from orecart.sources import tables
-from orecart.streaming import targets
+from orecart.sources import state, tables
+from orecart.streaming import crawl, targets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -218,6 +218,30 @@ def frontier_bfs(spark, sf_dir):
     return links.frontier(step(7, 3).union(step(13, 5)), pages.where("page_id < 5").select(F.col("page_id").alias("url")), 3)
 
 
+SITE_PARTS = ["a", "private", "b", "private/9"]
+
+
+def _sql_level(level: int, before: str) -> str:
+    used = f"(SELECT count(*) FROM {before} b WHERE b.d = x.d)"
+    return f"""m{level} AS (SELECT t.i, t.d, t.url, min(t.i % 5) AS pr FROM v{level - 1} s JOIN p t ON t.d = s.d AND t.i IN (s.i + 1, s.i + 3, s.i + 7, s.i * 2) WHERE s.status = 200 AND s.depth = {level - 1} AND t.ok AND t.i NOT IN (SELECT i FROM {before}) GROUP BY ALL),
+v{level} AS (SELECT * FROM v{level - 1} UNION ALL SELECT p.*, {level} AS depth FROM p JOIN (SELECT x.i FROM m{level} x QUALIFY row_number() OVER (PARTITION BY x.d ORDER BY x.pr, x.url) + {used} <= 8) k ON k.i = p.i)"""
+
+
+@query(f"""WITH p AS (SELECT page_id AS i, 'd' || page_id // 40 || '.test' AS d, 'https://d' || page_id // 40 || '.test/' || {sql_pick(SITE_PARTS, 'page_id')} || '/' || page_id AS url, CASE WHEN page_id % 11 = 0 THEN 500 WHEN page_id % 13 = 0 THEN 403 ELSE 200 END AS status, NOT (page_id // 40 % 2 = 0 AND page_id % 4 = 1) AS ok FROM pages),
+v0 AS (SELECT *, 0 AS depth FROM p WHERE i % 40 < 3 AND ok QUALIFY row_number() OVER (PARTITION BY d ORDER BY i, url) <= 8), {_sql_level(1, 'v0')}, {_sql_level(2, 'v1')}
+SELECT d AS domain, url, depth, CASE WHEN status = 200 THEN 'done' ELSE 'blocked' END AS state, CASE status WHEN 200 THEN 0 WHEN 403 THEN 1 ELSE 3 END AS attempts FROM v2""")
+def site_crawl(spark, sf_dir):
+    """A crawl to depth 2 over sites of forty pages each, eight pages a site, half of them with robots rules."""
+    i = F.col("page_id")
+    site = F.concat(F.lit("d"), F.floor(i / 40), F.lit(".test"))
+    own = _pages(spark, sf_dir).select("page_id", site.alias("domain"), F.concat(F.lit("https://"), site, F.lit("/"), pick(SITE_PARTS, i), F.lit("/"), i).alias("url"), F.when(i % 11 == 0, 500).when(i % 13 == 0, 403).otherwise(200).alias("status")).checkpoint()
+    ends = own.select("page_id", F.col("url").alias("src"), F.explode(F.array(i + 1, i + 3, i + 7, i * 2)).alias("to"))
+    links_ = ends.drop("page_id").join(own.select(F.col("page_id").alias("to"), "url", "domain"), "to").select("src", "url", "domain", (F.col("to") % 5).alias("priority"))
+    files = own.where(F.floor(i / 40) % 2 == 0).select("domain", F.lit("User-agent: *\nDisallow: /private\nAllow: /private/9/\n").alias("text")).distinct()
+    seeds = own.where(i % 40 < 3).select("domain", "url", F.col("page_id").alias("priority"))
+    return crawl.crawl(own, links_, seeds, crawl.robots_rules(files), max_depth=2)
+
+
 HARVESTED = ["https://firm-{}.test/a", "https://www.firm-{}.test/", "https://linkedin.com/in/{}", "/members/{}", "http://10.0.0.1/{}", "https://deep.firm-{}.test/x.pdf"]
 
 
@@ -364,7 +388,7 @@ SUFFIX_CASES = ["com", "firm.in", "in", "co.uk", "sch.uk", "me.uk", "co.de", "ck
 SUFFIX_TABLE = [*rules.SUFFIX_RULES, "com", "in", "uk", "de", "ck"]
 
 
-@query(f"""WITH r(rule) AS (VALUES {', '.join(f'({q(x)})' for x in SUFFIX_TABLE)}), h AS (SELECT (CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN 'n' || c_custkey % 40 || '.' ELSE 'w' || c_custkey % 3 || '.n' || c_custkey % 40 || '.' END) || {sql_pick(SUFFIX_CASES, 'c_custkey % 13')} AS host FROM customer),
+@query(f"""WITH r(rule) AS (VALUES {', '.join(f'({q(x)})' for x in SUFFIX_TABLE)}), h AS (SELECT (CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 1 THEN 'n' || page_id // 300 || '.' ELSE 'w' || page_id % 3 || '.n' || page_id // 300 || '.' END) || {sql_pick(SUFFIX_CASES, 'page_id % 13')} AS host FROM pages),
 l AS (SELECT DISTINCT host, string_split(host, '.') AS labels FROM h), e AS (SELECT host, labels, unnest(range(1, len(labels) + 1)) AS n FROM l),
 m AS (SELECT host, any_value(labels) AS labels, coalesce(max(n - 1) FILTER ('!' || array_to_string(labels[-n:], '.') IN (SELECT rule FROM r)), max(n) FILTER (array_to_string(labels[-n:], '.') IN (SELECT rule FROM r) OR '*.' || array_to_string(labels[-n:][2:], '.') IN (SELECT rule FROM r)), 1) AS n FROM e GROUP BY host),
 d AS (SELECT host, array_to_string(labels[-(n + 1):], '.') AS domain FROM m)
@@ -372,9 +396,9 @@ SELECT domain, count(*) AS rows, count(DISTINCT host) AS hosts, min(host) AS fir
 def domain_groups(spark, sf_dir):
     """Rows grouped by company domain under a table of suffix rules."""
     table = spark.createDataFrame([(x,) for x in SUFFIX_TABLE], "rule string")
-    k = F.col("c_custkey")
-    before = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.concat(F.lit("n"), k % 40, F.lit("."))).otherwise(F.concat(F.lit("w"), k % 3, F.lit(".n"), k % 40, F.lit(".")))
-    rows = tables.table(spark, sf_dir, "customer").select(F.concat(before, pick(SUFFIX_CASES, k % 13)).alias("host"))
+    k = F.col("page_id")
+    before = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.concat(F.lit("n"), F.floor(k / 300), F.lit("."))).otherwise(F.concat(F.lit("w"), k % 3, F.lit(".n"), F.floor(k / 300), F.lit(".")))
+    rows = _pages(spark, sf_dir).select(F.concat(before, pick(SUFFIX_CASES, k % 13)).alias("host"))
     return domains.with_domain(rows, F.col("host"), table).groupBy("domain").agg(F.count("*").alias("rows"), F.count_distinct("host").alias("hosts"), F.min("host").alias("first_host"))
 
 
@@ -665,6 +689,24 @@ def upsert_fold(spark, sf_dir):
     return out.select("url", "priority", "depth", "priority_score", "occurrences", F.array_join("matched_queries", ",").alias("matched_queries"), "domain", "discovered_by", "title", "base_url", "state", "attempts")
 
 
+@query("""WITH l AS (SELECT 'u' || page_id // 5 AS url, page_id AS i, page_id % 3 AS c FROM pages), g AS (SELECT unnest([2, 5]) AS version),
+f AS (SELECT version, url, min(i % 9) AS priority, sum(i % 3 + 1)::BIGINT AS occurrences, arg_max('t' || i, (c, i)) FILTER (WHERE i % 4 <> 0) AS title, arg_min('s' || i % 7, (c, i)) AS state FROM l, g WHERE version = 5 OR c = 0 GROUP BY ALL),
+p AS (SELECT url, max(i) AS i FROM l WHERE i % 6 = 0 GROUP BY url)
+SELECT version, f.url, priority, occurrences, title, CASE WHEN p.i IS NULL THEN f.state ELSE 'done' || p.i END AS state FROM f LEFT JOIN p USING (url)""")
+def target_versions(spark, sf_dir):
+    """Two named versions of the stored targets: after an upsert and a patch, and after more upserts around a compaction."""
+    k, none = F.col("page_id"), F.lit(None).cast("string")
+    log = _pages(spark, sf_dir).select(F.concat(F.lit("u"), F.floor(k / 5)).alias("url"), k.alias("seq"), (k % 9).alias("priority"), F.lit(0).alias("depth"), F.lit(0.0).alias("priority_score"), (k % 3 + 1).alias("occurrences"), F.array().cast("array<string>").alias("matched_queries"), *[F.lit("x").alias(c) for c in ("domain", "source_type", "discovered_by", "archetype")], F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("t"), k)).alias("title"), *[none.alias(c) for c in ("anchor_text", "base_url", "parent_url", "priority_reason", "product_id", "product_name")], F.concat(F.lit("s"), k % 7).alias("state"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("next_attempt_at"))
+    stored = state.Targets(spark, shared_folder(spark))
+    stored.upsert(log.where("seq % 3 = 0"))
+    stored.patch(log.where("seq % 6 = 0").select("url", "seq", F.lit("state").alias("name"), F.concat(F.lit("done"), "seq").alias("value")))
+    stored.upsert(log.where("seq % 3 = 1"))
+    stored.compact()
+    stored.upsert(log.where("seq % 3 = 2"))
+    at = lambda v: stored.read(v).select(F.lit(v).alias("version"), "url", "priority", "occurrences", "title", "state")
+    return at(2).unionByName(at(5))
+
+
 KINDS = ["fetching", "failed", "done", "failed", "failed", "suppressed", "failed"]
 
 
