@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orecart import rules
@@ -11,6 +15,7 @@ from orecart.functions import contact as C
 from orecart.functions import url as U
 from orecart.functions.names import fuzzy_match, name_key, name_tokens, split_name
 from orecart.operators.dedupe import unique_phones
+from orecart.operators.relevance import numbered
 
 PERSON = "name string, name_key string, email string, phone string, profile_urls array<string>, source_urls array<string>, page_ids array<bigint>, source_refs array<string>, titles array<string>, role_category string, sources array<string>, company_domain string, confidence double"
 
@@ -71,7 +76,14 @@ def person_pairs(people: DataFrame, scope: str = "scope") -> DataFrame:
     d <= len/5 one of d + 1 pieces of the longer key stays whole: it has 3 characters or more, except
     where a key of 5 is edited in its last 3; then the first 2 stay. So no fuzzy pair is lost.
     """
-    known = people.join(unique_phones(people).withColumn("phone_id", F.col("phone")), "phone", "left")
+    return _pairs(_with_phone_id(people), scope)
+
+
+def _with_phone_id(people: DataFrame) -> DataFrame:
+    return people.join(unique_phones(people).withColumn("phone_id", F.col("phone")), "phone", "left")
+
+
+def _pairs(known: DataFrame, scope: str) -> DataFrame:
     person = F.struct("seq", *[c for c in known.columns if c not in ("seq", scope)])
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name_key") - 2)), lambda i: F.concat(F.lit("g:"), F.substr("name_key", i, F.lit(3))))
     starts = F.when(F.length("name_key").between(4, 5), F.array(F.concat(F.lit("h:"), F.substr("name_key", F.lit(1), F.lit(2))))).otherwise(F.array().cast("array<string>"))
@@ -98,27 +110,48 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def split_conflicts(members: DataFrame, distinct_pairs: DataFrame) -> DataFrame:
+def split_conflicts(members: DataFrame, friends: DataFrame) -> DataFrame:
     """(root, node, part): members in order, each put into the first part that holds no one distinct from it.
 
-    members: root, node; distinct_pairs: root, a, b (a < b) known to be distinct within a component.
+    members: root, node; friends: root, a, b (a < b), the pairs that are not distinct. All other pairs of a component are, and are
+    never listed: a part holds no foe of a member if the member's friends are all of it. A component streams through one task in
+    node order, which keeps a part number for each node and a size for each part.
     """
-    bad = distinct_pairs.groupBy("root", F.col("b").alias("node")).agg(F.collect_set("a").alias("foes"))
-    rows = members.join(bad, ["root", "node"], "left")
-
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        parts: list[set] = []
-        out = []
-        for node, foes in group.sort_values("node")[["node", "foes"]].itertuples(index=False):
-            foe = set(foes) if foes is not None else set()
-            k = next((i for i, p in enumerate(parts) if not p & foe), len(parts))
-            if k == len(parts):
-                parts.append(set())
-            parts[k].add(node)
-            out.append((group["root"].iloc[0], node, k))
-        return pd.DataFrame(out, columns=["root", "node", "part"])
-
-    return rows.groupBy("root").applyInPandas(place, "root long, node long, part int")
+    rows = members.join(friends.withColumnsRenamed({"b": "node", "a": "friend"}), ["root", "node"], "left").select("root", "node", "friend")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, parts, sizes = None, {}, []
+        node, known = None, Counter()
+
+        def place() -> tuple[int, int, int]:
+            part = min((p for p, n in known.items() if n == sizes[p]), default=len(sizes))
+            if part == len(sizes):
+                sizes.append(0)
+            sizes[part] += 1
+            parts[node] = part
+            return root, node, part
+
+        for batch in batches:
+            out = []
+            for r, n, friend in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (r, n) != (root, node):
+                    if node is not None:
+                        out.append(place())
+                    if r != root:
+                        parts, sizes = {}, []
+                    root, node, known = r, n, Counter()
+                if friend is not None:
+                    known[parts[friend]] += 1
+            yield _placed(out)
+        if node is not None:
+            yield _placed([place()])
+
+    return rows.repartition("root").sortWithinPartitions("root", "node", "friend").mapInArrow(run, "root long, node long, part int")
+
+
+def _placed(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["root", "node", "part"])
 
 
 def merge_people(grouped: DataFrame, key: list[str]) -> DataFrame:
@@ -132,52 +165,82 @@ def merge_people(grouped: DataFrame, key: list[str]) -> DataFrame:
 
 
 def dedupe_people(people: DataFrame, scope: str = "scope") -> tuple[DataFrame, DataFrame]:
-    """(merged people, review pairs). people: the columns of PERSON with seq and a scope of one company."""
-    pairs = person_pairs(people, scope).checkpoint()
-    same = pairs.where("verdict = 'same'").select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
-    roots = components(people.select(F.col("seq").alias("node")), same)
-    known = people.join(unique_phones(people).withColumn("phone_id", F.col("phone")), "phone", "left").withColumnRenamed("seq", "node").join(roots, "node").withColumn("seq", F.col("node"))
-    sizes = roots.groupBy("root").count().where("count > 2").select("root")
-    large = known.join(sizes, "root", "left_semi").select("root", F.struct(*[c for c in known.columns if c != "root"]).alias("p"))
-    clashes = large.select("root", F.col("p").alias("a")).join(large.select("root", F.col("p").alias("b")), "root").where("a.seq < b.seq").withColumn("verdict", compare("a", "b")).where("verdict = 'distinct'").select("root", F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
-    parts = split_conflicts(roots, clashes)
-    merged = merge_people(people.withColumnRenamed("seq", "node").join(parts, "node").withColumn("seq", F.col("node")), ["root", "part"])
+    """(merged people, review pairs). people: the columns of PERSON with seq and a scope of one company.
+
+    People of one scope with equal identifiers, name and company domain compare alike with everyone and are the same if any of these is set, so
+    the first of them stands for all in the comparison; review pairs are pairs of such first ones.
+    """
+    known = _with_phone_id(people)
+    alike = {"__e": C.identity_email(F.col("email")), "__u": F.array_sort(F.array_distinct(F.coalesce("profile_urls", F.array().cast("array<string>")))), "__d": F.coalesce("company_domain", F.lit("")), "__s": F.col(scope)}
+    some = F.col("__e").isNotNull() | F.col("phone_id").isNotNull() | (F.size("__u") > 0) | (F.coalesce("name_key", F.lit("")) != "")
+    marked = known.withColumns(alike).withColumn("__own", F.when(~some, F.col("seq")))
+    by = ["__s", "__e", "phone_id", "__u", "__d", "name_key", "name", "__own"]
+    stands = marked.groupBy(*by).agg(F.min("seq").alias("rep"))
+    same_as = reduce(lambda a, b: a & b, [marked[c].eqNullSafe(stands[c]) for c in by])
+    reps = marked.join(stands, same_as).select(F.col("seq").alias("node"), "rep").checkpoint()
+    firsts = known.join(reps.where("node = rep").select(F.col("node").alias("seq")), "seq", "left_semi")
+    pairs = _pairs(firsts, scope).checkpoint()
+    ids = pairs.select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"), "verdict")
+    roots = components(firsts.select(F.col("seq").alias("node")), ids.where("verdict = 'same'").select("a", "b")).checkpoint()
+    large = roots.groupBy("root").count().where("count > 2").select("root")
+    friends = ids.select("a", "b").join(roots.withColumnRenamed("node", "a"), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("to")), "b").where("root = to").select("root", "a", "b")
+    split = split_conflicts(roots.join(large, "root", "left_semi").select("root", "node"), friends.join(large, "root", "left_semi").select("root", "a", "b"))
+    parts = roots.join(split, ["root", "node"], "left").select("root", F.col("node").alias("rep"), F.coalesce("part", F.lit(0)).alias("part"))
+    merged = merge_people(people.withColumnRenamed("seq", "node").join(reps.join(parts, "rep").drop("rep"), "node").withColumn("seq", F.col("node")), ["root", "part"])
     return merged, pairs.where("verdict = 'review'").select(F.lit("fuzzy-name").alias("reason"), F.col("a.name").alias("left_name"), F.col("b.name").alias("right_name"))
 
 
 CONTACT = "domain string, full_name string, first_name string, last_name string, title string, role_category string, email string, phone string, profile_urls array<string>, source_url string, source_urls array<string>, page_ids array<bigint>"
 
 
-def merge_contact_rows(rows: list[dict], best: int) -> dict:
-    """One contact from a group in order: the best row's values, gaps filled by the first that has them, lists united."""
-    out = dict(rows[best])
-    for c in ("full_name", "first_name", "last_name", "title", "role_category", "email", "phone"):
-        out[c] = out[c] or next((r[c] for r in rows if r[c]), out[c])
-    for c in ("profile_urls", "source_urls", "page_ids"):
-        out[c] = list(dict.fromkeys(v for r in rows for v in (r[c] if r[c] is not None else [])))
-    return out
+#: Contacts of a key are chained within blocks of so many numbers first, so that a key that very many share is no single window.
+BLOCK = 65_536
+
+
+def first_owners(keyed: DataFrame) -> DataFrame:
+    """(n, owner): contacts in order of n, each joining the group of the least owner among earlier contacts that share a key; without any it starts one.
+
+    keyed: scope, key, n. Owners are what descends from a contact, over keys to earlier ones, as far as it goes; a key's contacts are
+    chained one to the one before, which reaches them all. Labels take the least label of the contact before in any key, then that label's label, until none changes.
+    """
+    rows = keyed.select("scope", "key", "n").distinct().withColumn("block", F.floor(F.col("n") / BLOCK)).checkpoint()
+    inside = rows.withColumn("prev", F.lag("n").over(Window.partitionBy("scope", "key", "block").orderBy("n")))
+    ends = rows.groupBy("scope", "key", "block").agg(F.min("n").alias("n"), F.max("n").alias("last"))
+    across = ends.withColumn("prev", F.lag("last").over(Window.partitionBy("scope", "key").orderBy("block"))).select("n", "prev")
+    edges = inside.select("n", "prev").unionByName(across).where("prev IS NOT NULL").distinct().checkpoint()
+    labels = rows.select("n").distinct().withColumn("owner", F.col("n"))
+    while True:
+        near = edges.join(labels.withColumnsRenamed({"n": "prev", "owner": "found"}), "prev").groupBy("n").agg(F.min("found").alias("near"))
+        low = labels.join(near, "n", "left").select("n", F.col("owner").alias("was"), F.least("owner", "near").alias("low"))
+        hop = labels.select(F.col("n").alias("low"), F.col("owner").alias("hop"))
+        moved = low.join(hop, "low").select("n", "was", F.least("low", "hop").alias("owner")).checkpoint()
+        labels = moved.select("n", "owner")
+        if not moved.where("was <> owner").limit(1).count():
+            return labels
 
 
 def dedupe_contacts(contacts: DataFrame) -> DataFrame:
     """First fit within a company: a contact joins the first group that has its mailbox, phone, name or a profile URL; groups never fuse.
 
-    Each group keeps its four key sets, so a contact costs a few look-ups and not a scan of members.
+    Of a group stay the best row's values (most confident, then named, then first), gaps filled by the first row that has them, and
+    the lists' distinct values in order. A null list is empty; contacts without any key stay alone.
     """
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        owner: dict[tuple[str, object], int] = {}
-        groups: list[list[dict]] = []
-        for row in group.sort_values("seq").to_dict("records"):
-            keys = [("e", row["email"]), ("p", row["phone"]), ("n", (row["full_name"] or "").lower()), *[("u", u) for u in (row["profile_urls"] if row["profile_urls"] is not None else [])]]
-            keys = [k for k in keys if k[1]]
-            k = min((owner[x] for x in keys if x in owner), default=len(groups))
-            if k == len(groups):
-                groups.append([])
-            groups[k].append(row)
-            for x in keys:  # the first group that holds a key is the one later contacts find
-                owner[x] = min(owner.get(x, k), k)
-        merged = [merge_contact_rows(g, max(range(len(g)), key=lambda i: (g[i]["confidence"] or 0, bool(g[i]["full_name"]), -i))) for g in groups]
-        return pd.DataFrame([{c.split()[0]: m.get(c.split()[0]) for c in CONTACT.split(", ")} for m in merged])
-
-    out = contacts.groupBy("domain").applyInPandas(fit, CONTACT)
-    return out.withColumn("confidence", C.confidence(F.col("full_name"), F.col("email"), F.col("phone"), F.col("title")))
+    own = numbered(contacts, "seq", "n").withColumn("n", F.col("n").cast("long")).checkpoint()
+    tagged = lambda tag, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(tag), c))
+    urls = F.transform(F.coalesce("profile_urls", F.array().cast("array<string>")), lambda u: tagged("u:", u))
+    keys = F.array_compact(F.concat(F.array(tagged("e:", F.col("email")), tagged("p:", F.col("phone")), tagged("n:", F.lower("full_name"))), urls))
+    owners = first_owners(own.select(F.col("domain").alias("scope"), F.explode(keys).alias("key"), "n"))
+    grouped = own.join(owners, "n", "left").withColumn("owner", F.coalesce("owner", "n"))
+    values = ["full_name", "first_name", "last_name", "title", "role_category", "email", "phone"]
+    lists = {"profile_urls": "string", "source_urls": "string", "page_ids": "long"}
+    set_ = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    best = F.max_by(F.struct(*values, "source_url"), F.struct(F.coalesce("confidence", F.lit(0.0)), set_("full_name"), -F.col("n"))).alias("best")
+    one = grouped.groupBy("owner").agg(F.first("domain").alias("domain"), best, *[F.min_by(c, F.when(set_(c), F.col("n"))).alias(c) for c in values])
+    each = [grouped.select("owner", F.lit(c).alias("list"), "n", F.posexplode(F.col(c).cast("array<string>")).alias("pos", "value")) for c in lists]
+    seen = reduce(lambda a, b: a.unionByName(b), each).groupBy("owner", "list", "value").agg(F.min(F.struct("n", "pos")).alias("at"))
+    in_order = lambda c, kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == c, F.struct("at", "value")))), lambda x: x["value"].cast(kind)).alias(c)
+    united = seen.groupBy("owner").agg(*[in_order(c, kind) for c, kind in lists.items()])
+    rows = one.join(united, "owner", "left")
+    filled = [F.coalesce(F.when(F.col(f"best.{c}") != "", F.col(f"best.{c}")), F.col(c), F.col(f"best.{c}")).alias(c) for c in values]
+    out = rows.select("domain", *filled, F.col("best.source_url").alias("source_url"), *[F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c) for c, kind in lists.items()])
+    return out.select(*[x.split()[0] for x in CONTACT.split(", ")]).withColumn("confidence", C.confidence(F.col("full_name"), F.col("email"), F.col("phone"), F.col("title")))
