@@ -1,7 +1,7 @@
 """Full-text search over a positional, weighted inverted index.
 
-A posting is (term, key, positions): where the term stands in a record, each place with the weight of
-its field. Fields follow one another, so a later field's positions go on behind the earlier ones. The
+A posting is (term, key, places): where the term stands in a record, each place a number that holds the
+position and the class of its field. Fields follow one another, so a later field's positions go on behind the earlier ones. The
 index lies in folders by the term's hash, sorted by term within a file, and a search reads the folders
 of its terms alone. A record matches if it holds all terms. Its rank is, for one term, the sum of its
 weights over the squares of their numbers, the largest counted first; for more terms, one minus the
@@ -16,9 +16,12 @@ as the ranking that this one equals does: both bear on the rank only, all words
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +31,8 @@ LAST, MOST = 16_383, 256
 #: Sum of 1 / n**2, to which a single term's rank is related.
 SQUARES = 1.64493406685
 FAR, FAR_SHARE, NONE = 100, 1e-30, 1e-20
-POSTING = "term string, key long, places array<struct<pos:int,weight:double>>"
+AT_ONCE = 256
+POSTING = "term string, key long, places array<int>"
 
 
 def words(text: Column) -> Column:
@@ -38,22 +42,44 @@ def words(text: Column) -> Column:
 def postings(rows: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
     """term, key, places of every row. fields: column -> weight class, in their order; keys must differ.
 
-    Rows are dealt by key before they are cut into words, so words are grouped without a shuffle of their own.
+    A row's words are grouped where the row is read, so nothing is shuffled.
     """
-    own = rows.select(F.col(key).cast("long").alias("key"), *[words(F.col(c)).alias(f"__{i}") for i, c in enumerate(fields)]).repartition("key")
-    before, parts = F.lit(0), []
-    for i, letter in enumerate(fields.values()):
-        parts.append(_placed(F.col(f"__{i}"), F.least(before, F.lit(LAST)), WEIGHTS[letter]))
-        before = before + F.size(F.col(f"__{i}"))
-    each = own.select("key", F.explode(F.concat(*parts)).alias("x")).select("key", "x.term", F.struct("x.pos", "x.less").alias("place"))
+    kinds = [list(WEIGHTS).index(letter) for letter in fields.values()]
+    own = rows.select(F.col(key).cast("long").alias("key"), *[words(F.col(c)).alias(f"words_{i}") for i, c in enumerate(fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), AT_ONCE):
+                yield _grouped(batch.slice(at, AT_ONCE), kinds)
+
+    return own.mapInArrow(run, POSTING)
+
+
+def _grouped(batch: pa.RecordBatch, kinds: Sequence[int]) -> pa.RecordBatch:
+    """Postings of a few records: four times a word's position, plus the number of its class, in lists by record and term."""
+    before, terms, row, place = np.zeros(len(batch), np.int64), [], [], []
+    for i, kind in enumerate(kinds):
+        own = batch.column(i + 1)
+        sizes = np.diff(own.offsets.to_numpy())
+        at = np.repeat(np.arange(len(batch)), sizes)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        terms.append(own.flatten())
+        row.append(at)
+        place.append(np.minimum(nth + np.minimum(before, LAST)[at], LAST) * 4 + kind)
+        before += sizes
+    coded = pa.concat_arrays(terms).dictionary_encode()
+    code, row, place = coded.indices.to_numpy(), np.concatenate(row), np.concatenate(place)
+    order = np.lexsort((place, code, row))
+    code, row, place = code[order], row[order], place[order]
+    new = np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (code[1:] != code[:-1])))
     # Of words that share the last position the heaviest counts.
-    sorted_ = each.groupBy("key", "term").agg(F.sort_array(F.collect_list("place")).alias("s"))
-    once = F.filter("s", lambda x, i: (i == 0) | (x["pos"] != F.get(F.col("s"), i - 1)["pos"]))
-    return sorted_.select("term", "key", F.transform(F.slice(once, 1, MOST), lambda x: F.struct(x["pos"].alias("pos"), (-x["less"]).alias("weight"))).alias("places"))
-
-
-def _placed(own: Column, before: Column, weight: float) -> Column:
-    return F.transform(own, lambda t, n: F.struct(t.alias("term"), F.least(n + 1 + before, F.lit(LAST)).alias("pos"), F.lit(-weight).alias("less")))
+    kept = new | np.concatenate((np.ones(min(1, len(row)), bool), place[1:] >> 2 != place[:-1] >> 2))
+    code, row, place, new = code[kept], row[kept], place[kept], new[kept]
+    start = np.flatnonzero(new)
+    sizes = np.diff(np.append(start, len(new)))
+    first = np.arange(len(new)) - np.repeat(start, sizes) < MOST
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.minimum(sizes, MOST)))), pa.int32()), pa.array(place[first], pa.int32()))
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[start])), batch.column(0).take(pa.array(row[start])), lists], ["term", "key", "places"])
 
 
 def folder(term: Column, folders: int) -> Column:
@@ -91,31 +117,34 @@ class Index:
 
 
 def rank(places: Sequence[Column]) -> Column:
-    return _single(places[0]) if len(places) == 1 else _together(places)
+    """The rank of a record from its places of each term."""
 
+    @F.pandas_udf("double")
+    def of(*columns: pd.Series) -> pd.Series:
+        return pd.Series([_single(*own) if len(own) == 1 else _together(own) for own in zip(*columns, strict=True)], dtype="float64")
 
-def _single(places: Column) -> Column:
-    """The heaviest place counts whole, the others by the squares of their numbers."""
-    heaviest = F.array_max(F.transform(places, lambda x: x["weight"]))
-    at = F.array_position(F.transform(places, lambda x: x["weight"]), heaviest)
-    numbered = F.transform(places, lambda x, i: x["weight"] / ((i + 1) * (i + 1)))
-    return (F.aggregate(numbered, F.lit(0.0), lambda a, x: a + x) + heaviest - heaviest / (at * at)) / SQUARES
+    return of(*places)
 
 
-def _together(places: Sequence[Column]) -> Column:
-    # Damping of the distances up to FAR, worked out once.
-    damp = F.array(*[F.lit(1.0 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))) for d in range(1, FAR + 1)])
+_WEIGHT = np.array(list(WEIGHTS.values()))
+#: Square root of the damping of each distance; none at distance 0, which takes no part, and the last one for all beyond.
+_SHARE = np.sqrt(np.array([0.0, *(1.0 / (1.005 + 0.05 * math.exp(d / 1.5 - 2)) for d in range(1, FAR + 1)), FAR_SHARE]))
 
-    def rest(x: Column, y: Column) -> Column:
-        d = F.abs(x["pos"] - y["pos"])
-        share = F.when(d > FAR, F.lit(FAR_SHARE)).otherwise(F.element_at(damp, F.greatest(d, F.lit(1))))
-        return F.when(d == 0, F.lit(1.0)).otherwise(1.0 - F.sqrt(x["weight"] * y["weight"] * share))
 
-    def pair(xs: Column, ys: Column) -> Column:
-        return F.aggregate(xs, F.lit(1.0), lambda a, x: F.aggregate(ys, a, lambda b, y: b * rest(x, y)))
-
-    left = reduce(lambda a, b: a * b, [pair(places[k], places[i]) for k in range(len(places)) for i in range(k)])
-    return F.when(left == 1.0, F.lit(NONE)).otherwise(1.0 - left)
+def _single(places: np.ndarray) -> float:
+    """The heaviest place counts whole, the others by the squares of their numbers."""
+    w = _WEIGHT[places & 3]
+    at = int(w.argmax())
+    return float(((w / np.arange(1, len(w) + 1) ** 2).sum() + w[at] - w[at] / (at + 1) ** 2) / SQUARES)
+
+
+def _together(terms: Sequence[np.ndarray]) -> float:
+    left = 1.0
+    for k, x in enumerate(terms):
+        for y in terms[:k]:
+            share = _SHARE[np.minimum(np.abs((x >> 2)[:, None] - (y >> 2)[None, :]), FAR + 1)]
+            left *= float(np.prod(1.0 - np.sqrt(_WEIGHT[x & 3])[:, None] * np.sqrt(_WEIGHT[y & 3])[None, :] * share))
+    return NONE if left == 1.0 else 1.0 - left
 
 
 def search(index: Index, records: DataFrame, terms: Sequence[str], key: str, group: Sequence[Column], order: Sequence[Column], limit: int = 50, digits: int = 6) -> DataFrame:
