@@ -31,8 +31,9 @@ LAST, MOST = 16_383, 256
 #: Sum of 1 / n**2, to which a single term's rank is related.
 SQUARES = 1.64493406685
 FAR, FAR_SHARE, NONE = 100, 1e-30, 1e-20
-AT_ONCE = 256
-POSTING = "term string, key long, places array<int>"
+#: Records whose postings of one term share a row.
+AT_ONCE = 2048
+POSTING = "term string, keys array<long>, places array<array<int>>"
 
 
 def words(text: Column) -> Column:
@@ -40,9 +41,9 @@ def words(text: Column) -> Column:
 
 
 def postings(rows: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
-    """term, key, places of every row. fields: column -> weight class, in their order; keys must differ.
+    """term, keys, places of all rows. fields: column -> weight class, in their order; keys must differ.
 
-    A row's words are grouped where the row is read, so nothing is shuffled.
+    A row's words are grouped where the row is read, so nothing is shuffled; the postings of a term in up to AT_ONCE rows lie together.
     """
     kinds = [list(WEIGHTS).index(letter) for letter in fields.values()]
     own = rows.select(F.col(key).cast("long").alias("key"), *[words(F.col(c)).alias(f"words_{i}") for i, c in enumerate(fields)])
@@ -56,7 +57,7 @@ def postings(rows: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
 
 
 def _grouped(batch: pa.RecordBatch, kinds: Sequence[int]) -> pa.RecordBatch:
-    """Postings of a few records: four times a word's position, plus the number of its class, in lists by record and term."""
+    """Postings of some records: four times a word's position, plus the number of its class, in lists by term and record."""
     before, terms, row, place = np.zeros(len(batch), np.int64), [], [], []
     for i, kind in enumerate(kinds):
         own = batch.column(i + 1)
@@ -69,7 +70,7 @@ def _grouped(batch: pa.RecordBatch, kinds: Sequence[int]) -> pa.RecordBatch:
         before += sizes
     coded = pa.concat_arrays(terms).dictionary_encode()
     code, row, place = coded.indices.to_numpy(), np.concatenate(row), np.concatenate(place)
-    order = np.lexsort((place, code, row))
+    order = np.lexsort((place, row, code))
     code, row, place = code[order], row[order], place[order]
     new = np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (code[1:] != code[:-1])))
     # Of words that share the last position the heaviest counts.
@@ -78,8 +79,15 @@ def _grouped(batch: pa.RecordBatch, kinds: Sequence[int]) -> pa.RecordBatch:
     start = np.flatnonzero(new)
     sizes = np.diff(np.append(start, len(new)))
     first = np.arange(len(new)) - np.repeat(start, sizes) < MOST
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.minimum(sizes, MOST)))), pa.int32()), pa.array(place[first], pa.int32()))
-    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[start])), batch.column(0).take(pa.array(row[start])), lists], ["term", "key", "places"])
+    lists = pa.ListArray.from_arrays(_offsets(np.minimum(sizes, MOST)), pa.array(place[first], pa.int32()))
+    code, row = code[start], row[start]
+    terms, counts = np.unique(code, return_counts=True)
+    keys = batch.column(0).take(pa.array(row))
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(terms)), pa.ListArray.from_arrays(_offsets(counts), keys), pa.ListArray.from_arrays(_offsets(counts), lists)], ["term", "keys", "places"])
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
 
 
 def folder(term: Column, folders: int) -> Column:
@@ -94,14 +102,14 @@ class Index:
 
     def add(self, found: DataFrame) -> Index:
         """Append postings of records that the index does not hold yet."""
-        placed = found.withColumn("folder", folder(F.col("term"), self.folders)).repartition("folder", F.pmod(F.xxhash64("key"), F.lit(self.splits)))
+        placed = found.withColumn("folder", folder(F.col("term"), self.folders)).repartition("folder", F.pmod(F.xxhash64(F.get("keys", F.lit(0))), F.lit(self.splits)))
         placed.sortWithinPartitions("folder", "term").write.mode("append").partitionBy("folder").parquet(self.path)
         return self
 
     def postings(self, terms: Sequence[str]) -> DataFrame:
-        """The terms' postings; other terms' folders are not read."""
+        """term, key, places of the terms; other terms' folders are not read."""
         stored = self.spark.read.schema(f"{POSTING}, folder int").parquet(self.path)
-        return stored.where(F.col("folder").isin([folder(F.lit(t), self.folders) for t in terms]) & F.col("term").isin(list(terms))).drop("folder")
+        return stored.where(F.col("folder").isin([folder(F.lit(t), self.folders) for t in terms]) & F.col("term").isin(list(terms))).select("term", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("term", F.col("x.keys").alias("key"), "x.places")
 
     def ranked(self, terms: Sequence[str]) -> DataFrame:
         """key, rank of the records that hold all terms. The rarest term's records come first, so that a common term's need no shuffle where few remain."""
