@@ -1,7 +1,7 @@
 """Full-text search over a positional, weighted inverted index.
 
-A posting is (term, key, places): where the term stands in a record, each place a number that holds the
-position and the class of its field. Fields follow one another, so a later field's positions go on behind the earlier ones. The
+A posting is a term, a record's key and places: where the term stands in the record, each place a number
+of 16 bits that holds the position and the class of its field. Fields follow one another, so a later field's positions go on behind the earlier ones. The
 index lies in folders by the term's hash, sorted by term within a file, and a search reads the folders
 of its terms alone. A record matches if it holds all terms. Its rank is, for one term, the sum of its
 weights over the squares of their numbers, the largest counted first; for more terms, one minus the
@@ -33,7 +33,8 @@ SQUARES = 1.64493406685
 FAR, FAR_SHARE, NONE = 100, 1e-30, 1e-20
 #: Records whose postings of one term share a row.
 AT_ONCE = 2048
-POSTING = "term string, keys array<long>, places array<array<int>>"
+POSTING = "term string, first long, steps binary, wide boolean, sizes binary, places binary"
+PLACES = "term string, key long, places array<int>"
 
 
 def words(text: Column) -> Column:
@@ -41,12 +42,13 @@ def words(text: Column) -> Column:
 
 
 def postings(rows: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
-    """term, keys, places of all rows. fields: column -> weight class, in their order; keys must differ.
+    """Postings of all rows. fields: column -> weight class, in their order; keys must differ, rows of a null key are left out.
 
-    A row's words are grouped where the row is read, so nothing is shuffled; the postings of a term in up to AT_ONCE rows lie together.
+    A row's words are grouped where the row is read, so nothing is shuffled; the postings of a term in up to AT_ONCE rows lie together,
+    as steps from key to key, numbers of places, and places of 16 bits.
     """
     kinds = [list(WEIGHTS).index(letter) for letter in fields.values()]
-    own = rows.select(F.col(key).cast("long").alias("key"), *[words(F.col(c)).alias(f"words_{i}") for i, c in enumerate(fields)])
+    own = rows.select(F.col(key).cast("long").alias("key"), *[words(F.col(c)).alias(f"words_{i}") for i, c in enumerate(fields)]).where("key IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,25 +71,40 @@ def _grouped(batch: pa.RecordBatch, kinds: Sequence[int]) -> pa.RecordBatch:
         place.append(np.minimum(nth + np.minimum(before, LAST)[at], LAST) * 4 + kind)
         before += sizes
     coded = pa.concat_arrays(terms).dictionary_encode()
-    code, row, place = coded.indices.to_numpy(), np.concatenate(row), np.concatenate(place)
-    order = np.lexsort((place, row, code))
-    code, row, place = code[order], row[order], place[order]
-    new = np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (code[1:] != code[:-1])))
+    code, key, place = coded.indices.to_numpy(), batch.column(0).to_numpy()[np.concatenate(row)], np.concatenate(place)
+    order = np.lexsort((place, key, code))
+    code, key, place = code[order], key[order], place[order]
+    new = np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (code[1:] != code[:-1])))
     # Of words that share the last position the heaviest counts.
-    kept = new | np.concatenate((np.ones(min(1, len(row)), bool), place[1:] >> 2 != place[:-1] >> 2))
-    code, row, place, new = code[kept], row[kept], place[kept], new[kept]
+    kept = new | np.concatenate((np.ones(min(1, len(key)), bool), place[1:] >> 2 != place[:-1] >> 2))
+    code, key, place, new = code[kept], key[kept], place[kept], new[kept]
     start = np.flatnonzero(new)
     sizes = np.diff(np.append(start, len(new)))
     first = np.arange(len(new)) - np.repeat(start, sizes) < MOST
-    lists = pa.ListArray.from_arrays(_offsets(np.minimum(sizes, MOST)), pa.array(place[first], pa.int32()))
-    code, row = code[start], row[start]
-    terms, counts = np.unique(code, return_counts=True)
-    keys = batch.column(0).take(pa.array(row))
-    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(terms)), pa.ListArray.from_arrays(_offsets(counts), keys), pa.ListArray.from_arrays(_offsets(counts), lists)], ["term", "keys", "places"])
+    sizes = np.minimum(sizes, MOST)
+    code, key = code[start], key[start]
+    terms, at, counts = np.unique(code, return_index=True, return_counts=True)
+    steps = np.diff(key, prepend=0)
+    steps[at] = 0
+    wide = bool(((steps < 0) | (steps >= 1 << 16)).any())  # a step over half the numbers' range wraps, and wraps back
+    ends = np.cumsum(np.append(0, sizes))[np.append(at, len(key))]
+    columns = [coded.dictionary.take(pa.array(terms)), pa.array(key[at]), _bytes(steps.astype("<i8" if wide else "<u2"), np.append(at, len(key))), pa.array(np.full(len(at), wide)), _bytes((sizes - 1).astype(np.uint8), np.append(at, len(key))), _bytes(place[first].astype("<u2"), ends)]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in POSTING.split(", ")])
 
 
-def _offsets(sizes: np.ndarray) -> pa.Array:
-    return pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+def _bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values: the numbers from each of ends to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, key, places of stored postings."""
+    for batch in batches:
+        for term, first, steps, wide, sizes, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys = first + np.cumsum(np.frombuffer(steps, "<i8" if wide else "<u2").astype(np.int64))
+            ends = np.append(0, np.cumsum(np.frombuffer(sizes, np.uint8).astype(np.int32) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(places, "<u2").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([term] * len(keys), pa.string()), pa.array(keys), lists], ["term", "key", "places"])
 
 
 def folder(term: Column, folders: int) -> Column:
@@ -102,14 +119,18 @@ class Index:
 
     def add(self, found: DataFrame) -> Index:
         """Append postings of records that the index does not hold yet."""
-        placed = found.withColumn("folder", folder(F.col("term"), self.folders)).repartition("folder", F.pmod(F.xxhash64(F.get("keys", F.lit(0))), F.lit(self.splits)))
+        placed = found.withColumn("folder", folder(F.col("term"), self.folders)).repartition("folder", F.pmod(F.xxhash64("first"), F.lit(self.splits)))
         placed.sortWithinPartitions("folder", "term").write.mode("append").partitionBy("folder").parquet(self.path)
         return self
 
+    def stored(self, terms: Sequence[str]) -> DataFrame:
+        """The terms' rows as they are stored; other terms' folders are not read."""
+        rows = self.spark.read.schema(f"{POSTING}, folder int").parquet(self.path)
+        return rows.where(F.col("folder").isin([folder(F.lit(t), self.folders) for t in terms]) & F.col("term").isin(list(terms))).drop("folder")
+
     def postings(self, terms: Sequence[str]) -> DataFrame:
-        """term, key, places of the terms; other terms' folders are not read."""
-        stored = self.spark.read.schema(f"{POSTING}, folder int").parquet(self.path)
-        return stored.where(F.col("folder").isin([folder(F.lit(t), self.folders) for t in terms]) & F.col("term").isin(list(terms))).select("term", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("term", F.col("x.keys").alias("key"), "x.places")
+        """term, key, places of the terms."""
+        return self.stored(terms).mapInArrow(_opened, PLACES)
 
     def ranked(self, terms: Sequence[str]) -> DataFrame:
         """key, rank of the records that hold all terms. The rarest term's records come first, so that a common term's need no shuffle where few remain."""

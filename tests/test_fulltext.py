@@ -73,10 +73,10 @@ def test_two_adjacent_words_have_the_published_rank(spark):
 
 def test_a_search_reads_its_terms_folders_only(built):
     index, _, _ = built
-    plan = index.postings(["alpha", "beta"])._jdf.queryExecution().executedPlan().toString()
+    plan = index.stored(["alpha", "beta"])._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[.*folder#\d+ IN \(\d", plan) or re.search(r"PartitionFilters: \[.*folder#\d+ = \d", plan)
     assert "PushedFilters: [In(term" in plan
-    files = index.postings(["alpha"]).select(F.input_file_name().alias("f")).distinct().collect()
+    files = index.stored(["alpha"]).select(F.input_file_name().alias("f")).distinct().collect()
     assert len({re.search(r"folder=(\d+)", r.f)[1] for r in files}) == 1
 
 
@@ -94,3 +94,10 @@ def test_search_keeps_the_best_of_a_group(built):
 def test_an_empty_table(spark):
     none = spark.createDataFrame([], "id long, body string")
     assert T.postings(none, "id", {"body": "B"}).count() == 0
+
+
+def test_keys_far_apart_and_null(spark):
+    df = spark.createDataFrame([(-(1 << 62), "a b"), (5, "b a"), (1 << 61, "a"), (None, "a")], "id long, body string").coalesce(1)
+    index = T.Index(spark, shared_folder(spark), 2, 1).add(T.postings(df, "id", {"body": "B"}))
+    assert {r.key for r in index.ranked(["a"]).collect()} == {-(1 << 62), 5, 1 << 61}
+    assert {r.key for r in index.ranked(["a", "b"]).collect()} == {-(1 << 62), 5}
