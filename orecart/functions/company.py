@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from orecart import rules
-from orecart.functions.text import ascii_bounds, scan_keywords
+from orecart.functions.text import ascii_bounds, literals, scan_keywords
 
 
 def slug(value: Column) -> Column:
@@ -22,16 +22,22 @@ def title_tail(title: Column) -> Column:
     return F.element_at(F.split(F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+", " ")), "\\s+\\|\\s+|\\s+[–—-]\\s+"), -1)
 
 
-def payload(name: Column, description: Column, text: Column, role_emails: Column | None = None, phones: Column | None = None) -> Column:
+#: All words that a payload's lists are made of.
+TERMS = list(dict.fromkeys([*rules.TECH_KEYWORDS, *rules.PRODUCT_KEYWORDS, *rules.INDUSTRY_KEYWORDS]))
+
+
+def payload(name: Column, description: Column, text: Column | None, role_emails: Column | None = None, phones: Column | None = None, terms: Column | None = None) -> Column:
+    """Company payload; terms, where given, are those of TERMS that occur, and the text is not read."""
     none = F.array().cast("array<string>")
-    signals = F.transform(scan_keywords(text, rules.TECH_KEYWORDS), lambda t: F.struct(t.alias("technology"), F.lit("mentions").alias("relationship"), none.alias("evidence_ids"), F.lit("").alias("explanation")))
+    scan = lambda words: scan_keywords(text, words) if terms is None else F.filter(literals(words), lambda w: F.array_contains(terms, w))
+    signals = F.transform(scan(rules.TECH_KEYWORDS), lambda t: F.struct(t.alias("technology"), F.lit("mentions").alias("relationship"), none.alias("evidence_ids"), F.lit("").alias("explanation")))
     return F.struct(
         F.trim(F.coalesce(name, F.lit(""))).alias("company_name"),
         F.lit("").alias("legal_name"),
         F.lit("").alias("country"),
         F.lit("").alias("headquarters"),
-        scan_keywords(text, rules.INDUSTRY_KEYWORDS).alias("industries"),
-        scan_keywords(text, rules.PRODUCT_KEYWORDS).alias("products_services"),
+        scan(rules.INDUSTRY_KEYWORDS).alias("industries"),
+        scan(rules.PRODUCT_KEYWORDS).alias("products_services"),
         signals.alias("technology_signals"),
         F.trim(F.coalesce(description, F.lit(""))).alias("company_description"),
         F.array_distinct(role_emails if role_emails is not None else none).alias("role_emails"),

@@ -9,13 +9,13 @@ import contextlib
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import pandas_udf, udtf
 
 from orecart import rules
 
@@ -34,15 +34,18 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
-    def text(self) -> str:
-        out, todo = [], [self]
+    def strings(self) -> Iterator[str]:
+        """Pieces of text below this one, in document order."""
+        todo = [self]
         while todo:
             x = todo.pop()
             if isinstance(x, str):
-                out.append(x)
+                yield x
             else:
                 todo.extend(reversed(x.children))
-        return "".join(out)
+
+    def text(self) -> str:
+        return "".join(self.strings())
 
     def walk(self) -> Iterator[Node]:
         """Elements below this one, in document order."""
@@ -112,27 +115,82 @@ def first(nodes: Iterator[Node], default: str = "") -> str:
     return next((clean(n.text()) for n in nodes), default)
 
 
-def to_markdown(html: str | None) -> str:
-    """Title, headings, text blocks and links as lines; equal lines once."""
-    root = parse(html)
-    hidden = {"script", "style", "noscript", "iframe", "svg", "form"}
+HIDDEN = {"script", "style", "noscript", "iframe", "svg", "form"}
+BLOCK = {"p", "li", "blockquote", "td", "th"}
+HEADING = {f"h{i}" for i in range(1, 7)}
+
+
+def visible(root: Node) -> list[Node]:
+    """The tree's elements in order, after what Markdown does not show has been cut out of it."""
     todo = [root]
     while todo:
         x = todo.pop()
-        x.children = [c for c in x.children if isinstance(c, str) or c.tag not in hidden]
+        x.children = [c for c in x.children if isinstance(c, str) or c.tag not in HIDDEN]
         todo.extend(c for c in x.children if isinstance(c, Node))
-    nodes, lines = list(root.walk()), []
+    return list(root.walk())
+
+
+def to_markdown(html: str | None) -> str:
+    """Title, headings, text blocks and links as lines; equal lines once."""
+    nodes, lines = visible(parse(html)), []
     if title := first(n for n in nodes if n.tag == "title"):
         lines.append(f"# {title}")
-    lines += [f"{'#' * int(n.tag[1])} {t}" for n in nodes if re.fullmatch("h[1-6]", n.tag) and (t := clean(n.text()))]
-    lines += [t for n in nodes if n.tag in ("p", "li", "blockquote", "td", "th") and len(t := clean(n.text())) > 2]
+    lines += [f"{'#' * int(n.tag[1])} {t}" for n in nodes if n.tag in HEADING and (t := clean(n.text()))]
+    lines += [t for n in nodes if n.tag in BLOCK and len(t := clean(n.text())) > 2]
     lines += [f"[{t}]({n.attrs['href']})" for n in nodes if n.tag == "a" and n.attrs.get("href") and (t := clean(n.text()))]
     return "\n".join(dict.fromkeys(lines))
 
 
-def company_parts(html: str | None) -> dict:
-    """Raw fields from which the company payload is built."""
-    nodes = list((root := parse(html)).walk())
+def terms_in(text: str, terms: Sequence[str]) -> list[str]:
+    """The terms (lower case) that occur in the text."""
+    low = text.lower()
+    return [t for t in terms if t in low]
+
+
+def _outermost(nodes: Iterable[Node], tags: set[str]) -> Iterator[Node]:
+    """The elements of these tags that stand in no other of them."""
+    inside: set[int] = set()
+    for n in nodes:
+        if n.parent is not None and id(n.parent) in inside:
+            inside.add(id(n))
+        elif n.tag in tags:
+            inside.add(id(n))
+            yield n
+
+
+def markdown_fields(nodes: list[Node], terms: Sequence[str]) -> dict:
+    """What the company rules read of a page's Markdown, without its lines being put together: the first top heading, the first text line (the first of 30
+    characters, else the first), the terms that occur.
+
+    Text within a block stands in the outer block's line too, so terms are looked for once in each outermost block: broken markup that nests
+    every block in the one before costs no square.
+    """
+    lines = [(n, mark) for n in nodes if n.tag in BLOCK and (mark := next((y[0] for x in n.strings() if (y := x.strip())), ""))]
+    heading = first(n for n in nodes if n.tag == "title") or next((t for n in nodes if n.tag == "h1" and (t := clean(n.text()))), "")
+    heading = heading or next((t[2:] for n, mark in lines if mark == "#" and (t := clean(n.text())).startswith("# ")), "")
+    some = text = ""
+    for n, mark in lines:
+        if mark not in "#[" and len(t := clean(n.text())) > 2:
+            some = some or t
+            if len(t) >= 30:
+                text = t
+                break
+    blocks = [t for n in _outermost(nodes, BLOCK) if len(t := clean(n.text())) > 2]
+    parts = [heading, *blocks, *(clean(n.text()) for n in _outermost(nodes, HEADING))]
+    links = [n for n in nodes if n.tag == "a" and n.attrs.get("href") and any(x.strip() for x in n.strings())]
+    parts += [n.attrs["href"] for n in links] + [clean(n.text()) for n in _outermost(links, {"a"})]
+    return {"md_heading": heading, "md_text": text or some, "md_terms": terms_in("\n".join(parts), terms)}
+
+
+def page_fields(html: str | None, terms: Sequence[str] = ()) -> dict:
+    """Both company tiers' fields from one parse of the page."""
+    root = parse(html)
+    return company_parts(root, terms) | markdown_fields(visible(root), terms)
+
+
+def company_parts(html: str | Node | None, terms: Sequence[str] = ()) -> dict:
+    """Raw fields from which the company payload is built, of a page or its tree."""
+    nodes = list((root := html if isinstance(html, Node) else parse(html)).walk())
     meta = {(n.attrs.get("property") or n.attrs.get("name") or "").lower(): n.attrs.get("content") for n in reversed(nodes) if n.tag == "meta"}
     mails = [n.attrs["href"][7:] for n in nodes if n.tag == "a" and n.attrs.get("href", "").lower().startswith("mailto:")]
     phones = [n.attrs["href"][4:] for n in nodes if n.tag == "a" and n.attrs.get("href", "").lower().startswith("tel:")]
@@ -141,7 +199,7 @@ def company_parts(html: str | None) -> dict:
         "site_name": clean(meta.get("og:site_name")) or clean(meta.get("application-name")),
         "title": first(n for n in nodes if n.tag == "title"),
         "description": clean(meta.get("description")) or clean(meta.get("og:description")) or first(n for n in nodes if n.tag == "p"),
-        "body": body.text(),
+        "terms": terms_in(body.text(), terms),
         "emails": [clean(m) for m in mails],
         "phones": phones,
     }
@@ -225,7 +283,7 @@ def contact_parts(html: str | None) -> list[dict]:
     return out
 
 
-_COMPANY = "site_name string, title string, description string, body string, emails array<string>, phones array<string>"
+_COMPANY = "site_name string, title string, description string, terms array<string>, emails array<string>, phones array<string>, md_heading string, md_text string, md_terms array<string>"
 _CONTACTS = "array<struct<full_name:string,title:string,email:string,phone:string,profile_urls:array<string>>>"
 
 
@@ -237,10 +295,13 @@ def markdown_udf():
     return run
 
 
-def company_udf():
+def page_udf(terms: Sequence[str]):
+    """page_fields of every page; neither its body nor its Markdown leaves the worker."""
+    columns = [x.split()[0] for x in _COMPANY.split(", ")]
+
     @pandas_udf(_COMPANY)
     def run(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([company_parts(h) for h in html], columns=["site_name", "title", "description", "body", "emails", "phones"])
+        return pd.DataFrame([page_fields(h, terms) for h in html], columns=columns)
 
     return run
 
@@ -253,6 +314,20 @@ def contacts_udf():
     return run
 
 
+@udtf(returnType=_CONTACTS[len("array<struct<") : -2])
+class ExtractContacts:
+    """Person candidates of a page as rows, for SQL: SELECT ... FROM pages, LATERAL extract_contacts(html)."""
+
+    def eval(self, html: str | None) -> Iterator[tuple]:
+        for p in contact_parts(html):
+            yield p["full_name"], p["title"], p["email"], p["phone"], p["profile_urls"]
+
+
+def register(spark: SparkSession) -> None:
+    """Make extract_contacts known to the session's SQL."""
+    spark.udtf.register("extract_contacts", ExtractContacts)
+
+
 def ld_persons_udf():
     @pandas_udf("array<string>")
     def run(data: pd.Series) -> pd.Series:

@@ -12,6 +12,7 @@ from orecart.functions import company as M
 from orecart.functions import contact as C
 from orecart.functions import html as H
 from orecart.functions import url as U
+from orecart.functions.text import let
 from orecart.operators import links as L
 from orecart.operators.resolve import dedupe_contacts
 
@@ -21,18 +22,21 @@ def classify(pages: DataFrame) -> DataFrame:
     return pages.withColumn("archetype", kind).withColumn("record_type", L.record_type(F.col("archetype")))
 
 
-def company_from_dom(pages: DataFrame) -> DataFrame:
-    """Tier 1: payload and confidence from the page's tree."""
-    dom = pages.withColumn("dom", H.company_udf()(F.col("html")))
-    name = F.coalesce(F.nullif("dom.site_name", F.lit("")), F.nullif(M.title_tail(F.col("dom.title")), F.lit("")), U.domain_stem(F.col("url")))
-    mails = F.transform(F.filter("dom.emails", C.is_role_email), F.lower)
-    phones = F.array_compact(F.transform("dom.phones", C.normalize_phone))
-    out = dom.withColumn("payload", M.payload(name, F.col("dom.description"), F.col("dom.body"), mails, phones)).drop("dom")
-    return out.withColumn("confidence", M.confidence(F.col("payload")))
+def _tier1(d: Column, url: Column) -> Column:
+    """Payload of a page's tree."""
+    name = F.coalesce(F.nullif(d["site_name"], F.lit("")), F.nullif(M.title_tail(d["title"]), F.lit("")), U.domain_stem(url))
+    mails = F.transform(F.filter(d["emails"], C.is_role_email), F.lower)
+    phones = F.array_compact(F.transform(d["phones"], C.normalize_phone))
+    return M.payload(name, d["description"], None, mails, phones, terms=d["terms"])
+
+
+def _tier2(d: Column, url: Column) -> Column:
+    """Payload of the fields that a page's Markdown has."""
+    return M.payload(F.coalesce(F.nullif(M.title_tail(d["md_heading"]), F.lit("")), U.domain_stem(url)), d["md_text"], None, terms=d["md_terms"])
 
 
 def company_from_markdown(pages: DataFrame) -> DataFrame:
-    """Tier 2: payload and confidence from Markdown lines."""
+    """Tier 2 from Markdown of another source: payload and confidence from its lines."""
     md = F.col("markdown")
     heading = F.regexp_extract(md, r"(?m)^#\s+(.+)$", 1)
     lines = F.filter(F.split(md, "\n"), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("["))
@@ -42,22 +46,34 @@ def company_from_markdown(pages: DataFrame) -> DataFrame:
     return out.withColumn("confidence", M.confidence(F.col("payload")))
 
 
+def _better(first: Column, second: Column) -> Column:
+    """struct(payload, confidence, tier) of two structs of payload and confidence; the second counts only if it is surer."""
+    of = lambda x, tier: F.struct(x["payload"].alias("payload"), x["confidence"].alias("confidence"), F.lit(tier).alias("tier"))
+    return F.when((first["confidence"] < rules.TIER1) & (second["confidence"] > first["confidence"]), of(second, "markdown")).otherwise(of(first, "deterministic"))
+
+
 def companies(pages: DataFrame, markdown: Callable[[DataFrame], DataFrame] | None = None, provider: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Company records of company pages. Tier 2 runs only on pages below its bound, tier 3 (a provider that returns payload and confidence) only below the next.
+    """Company records of company pages. Tier 2 counts only on pages below its bound, tier 3 (a provider that returns payload and confidence) only below the next.
 
-    The classified pages are split, so each tier's Python sees its own pages only.
+    Each page is parsed once for both tiers. Where a callback gives the Markdown or the provider's answer, pages are split first, so that it sees its own alone.
     """
-    kept = classify(pages).where("record_type = 'company'")
-    one = company_from_dom(kept).withColumn("tier", F.lit("deterministic")).checkpoint()
-    done, rest = one.where(F.col("confidence") >= rules.TIER1), one.where(F.col("confidence") < rules.TIER1)
-    two = company_from_markdown((markdown or H.with_markdown)(rest.withColumnsRenamed({"payload": "first_payload", "confidence": "first_confidence"})))
-    better = F.col("confidence") > F.col("first_confidence")
-    picked = two.select(*pages.columns, "archetype", "record_type", F.when(better, F.col("payload")).otherwise(F.col("first_payload")).alias("payload"), F.greatest("confidence", "first_confidence").alias("confidence"), F.when(better, "markdown").otherwise("deterministic").alias("tier"))
+    sure = lambda p: let(p, lambda v: F.struct(v.alias("payload"), M.confidence(v).alias("confidence")))
+    kept = classify(pages).where("record_type = 'company'").withColumn("__d", H.page_udf(M.TERMS)(F.col("html")))
+    names = [*pages.columns, "archetype", "record_type"]
+    one = sure(_tier1(F.col("__d"), F.col("url")))
+    if markdown is None:
+        rows = kept.select(*names, _better(one, sure(_tier2(F.col("__d"), F.col("url")))).alias("__r")).select(*names, "__r.*")
+    else:
+        first = kept.select(*names, one.alias("__1")).checkpoint()
+        low = F.col("__1.confidence") < rules.TIER1
+        two = company_from_markdown(markdown(first.where(low)))
+        picked = two.select(*names, _better(F.col("__1"), F.struct("payload", "confidence")).alias("__r")).select(*names, "__r.*")
+        rows = first.where(~low).select(*names, "__1.*", F.lit("deterministic").alias("tier")).unionByName(picked)
     if provider is not None:
-        picked = picked.checkpoint()
-        low = provider(picked.where(F.col("confidence") < rules.TIER2)).withColumn("tier", F.lit("llm"))
-        picked = picked.where(F.col("confidence") >= rules.TIER2).unionByName(low)
-    return done.unionByName(picked).withColumn("status", C.status(F.col("confidence"))).drop("html")
+        rows = rows.checkpoint()
+        asked = provider(rows.where(F.col("confidence") < rules.TIER2)).withColumn("tier", F.lit("llm"))
+        rows = rows.where(F.col("confidence") >= rules.TIER2).unionByName(asked)
+    return rows.withColumn("status", C.status(F.col("confidence"))).drop("html")
 
 
 def contacts_from_dom(pages: DataFrame) -> DataFrame:

@@ -24,17 +24,20 @@ def first_heading(html: Column) -> Column:
 
 def classify_page(url: Column, text: Column) -> Column:
     """The page rule with the highest score: 2 per url pattern, 1 per text pattern; the earlier rule wins ties; homepage if none."""
-    lower_url, lower_text = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
-    scored = []
-    for i, (kind, urls, texts) in enumerate(rules.PAGE_RULES):
-        score = F.lit(0)
-        for p in urls:
-            score = score + F.when(matches(lower_url, p), 2).otherwise(0)
-        for p in texts:
-            score = score + F.when(matches(lower_text, p), 1).otherwise(0)
-        scored.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(kind).alias("kind")))
-    best = F.array_max(F.array(*scored))
-    return F.when(best["score"] > 0, best["kind"]).otherwise("homepage")
+
+    def best(v: Column) -> Column:
+        scored = []
+        for i, (kind, urls, texts) in enumerate(rules.PAGE_RULES):
+            score = F.lit(0)
+            for p in urls:
+                score = score + F.when(matches(v["url"], p), 2).otherwise(0)
+            for p in texts:
+                score = score + F.when(matches(v["text"], p), 1).otherwise(0)
+            scored.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(kind).alias("kind")))
+        return let(F.array_max(F.array(*scored)), lambda x: F.when(x["score"] > 0, x["kind"]).otherwise("homepage"))
+
+    # Named by every rule: without let, a filter searches the whole page for its title and heading once a rule.
+    return let(F.struct(F.lower(F.coalesce(url, F.lit(""))).alias("url"), F.lower(F.coalesce(text, F.lit(""))).alias("text")), best)
 
 
 def record_type(kind: Column) -> Column:
