@@ -6,6 +6,8 @@ the same way in both forms.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,7 +21,7 @@ from orecart.functions import names as N
 from orecart.functions import prompts as P
 from orecart.functions import text as T
 from orecart.functions import url as U
-from orecart.operators import control, dedupe, domains, enrichment, extract, fulltext, links, matching, planning, qualify, relevance, resolve, serve
+from orecart.operators import control, dedupe, domains, enrichment, extract, fulltext, links, matching, planning, provider, qualify, relevance, resolve, serve
 from orecart.plans import sqltext as S
 from orecart.session import shared_folder
 from orecart.sources import state, tables
@@ -564,6 +566,28 @@ def company_evidence(spark, sf_dir):
     return P.evidence(rows, EVIDENCE_TERMS, most=300).withColumn("page_ids", F.array_join(F.col("page_ids").cast("array<string>"), ","))
 
 
+@query(rf"""WITH p AS (SELECT page_id, page_id // 20 AS domain, lower(url || {sql_pick(SLUGS, 'page_id')}) AS u, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, lower(html) AS x FROM pages),
+s AS (SELECT *, {' + '.join(f"8 * contains(lower(title), '{w}')::INT + 4 * contains(u, '{w}')::INT + contains(x, '{w}')::INT" for w in EVIDENCE_TERMS)} + {' + '.join(f"4 * contains(u, '{y}')::INT" for y in rules.IMPORTANT_PATHS)} AS score FROM p),
+r AS (SELECT domain, title, row_number() OVER (PARTITION BY domain ORDER BY score DESC, page_id) AS n, least(5, count(*) OVER (PARTITION BY domain)) AS most FROM s),
+e AS (SELECT *, 't' || n AS tech, (['uses', 'mentions', 'likes'])[length(title) % 3 + 1] AS rel FROM r WHERE n <= 5),
+v AS (SELECT *, CASE WHEN rel = 'likes' THEN 'unknown relationship' WHEN n + 1 > most THEN 'evidence not sent' END AS reason FROM e)
+SELECT domain, max(title) FILTER (n = 1) AS company_name, coalesce(string_agg(tech || ' ' || rel || ' ' || n || '+' || (n + 1), ', ' ORDER BY n) FILTER (reason IS NULL), '') AS signals, coalesce(string_agg(tech || ': ' || reason, ', ' ORDER BY n) FILTER (reason IS NOT NULL), '') AS rejected FROM v GROUP BY domain""")
+def provider_companies(spark, sf_dir):
+    """Companies as a provider answers on whole pages of evidence, signals checked against what was sent. The provider is a function of the prompt: it names
+    each evidence's technology by its number, quotes the next one beside it, and knows one relationship that does not exist."""
+
+    def call(prompt: str) -> str:
+        parts = re.findall(r"^\[EVIDENCE (\d+)\]\nURL: .*\nTITLE: (.*)$", prompt, re.MULTILINE)
+        signals = [{"technology": f"t{n}", "relationship": ["uses", "mentions", "likes"][len(t) % 3], "evidence_ids": [n, str(int(n) + 1)], "explanation": t} for n, t in parts]
+        return json.dumps({"company_name": parts[0][1], "technology_signals": signals})
+
+    k = F.col("page_id")
+    rows = _pages(spark, sf_dir).select(F.floor(k / 20).alias("domain"), "page_id", F.concat("url", pick(SLUGS, k)).alias("url"), "html", F.col("html").alias("text"))
+    found = provider.companies(rows, EVIDENCE_TERMS, call, most=None, length=None)
+    signals = F.transform("company.technology_signals", lambda s: F.concat_ws(" ", s["technology"], s["relationship"], F.array_join(s["evidence_ids"], "+")))
+    return found.select("domain", F.col("company.company_name").alias("company_name"), F.array_join(signals, ", ").alias("signals"), F.array_join(F.transform("rejected_signals", lambda s: F.concat_ws(": ", s["technology"], s["reason"])), ", ").alias("rejected"))
+
+
 @query(f"WITH p AS (SELECT page_id, {sql_pick(SLUGS, 'page_id')} AS u, {sql_pick(HEADS, 'page_id // 3')} AS t FROM pages) SELECT page_id, CASE WHEN {S.page_kind('u', 't')} IN ('team_page', 'careers_page', 'job_posting', 'contact_page') THEN 'contact' ELSE 'company' END AS prompt_key FROM p")
 def prompt_keys(spark, sf_dir):
     k = F.col("page_id")
