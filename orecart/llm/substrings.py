@@ -2,9 +2,10 @@
 
 Every 50-byte window names an anchor, its 25-byte piece of least hash (the leftmost of equals), so
 equal windows have equal anchors at equal offsets. Neighbouring windows of a document that share an
-anchor form one context. Anchors of one document only cannot remove anything; a pass over compressed
-anchor cells finds the others, and a bitmap of fixed size (false positives cost time only) picks
-their contexts in the next pass. Equal contexts are collapsed, by a 64-bit digest, to one string with
+anchor form one context. Of equal texts the first alone is searched; its later copies go whole. Anchors
+of one document only cannot remove anything; a pass over compressed anchor cells finds the others, and
+a bitmap (false positives cost time only) picks their contexts in the next pass. Cells and bitmap grow
+with the bytes of different texts, the bitmap up to 2**29 bits. Equal contexts are collapsed, by a 64-bit digest, to one string with
 its earliest document. Where an anchor has one string, the earliest document of the string is that
 of each of its windows. Where it has several, the strings of a shard are concatenated and sorted by
 linear grouping construction (see suffix.py); windows that begin equally stand side by side in the
@@ -20,6 +21,7 @@ only do not count; extra columns are ignored; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import pickle
 import zlib
@@ -36,8 +38,10 @@ from orecart.llm.linededup import keyed, text_buffer
 from orecart.llm.suffix import suffix_array
 
 LENGTH, PIECE = 50, 25
-#: Bits of a cell, by which anchors are counted, and of the bitmap.
-CELL_BITS, MAP_BITS = 34, 27
+#: Bits of a cell, by which anchors are counted, and of the bitmap, for GROWTH bytes of different texts; each doubling adds a bit.
+CELL_BITS, MAP_BITS, GROWTH = 34, 27, 1 << 30
+#: Most bits of a cell and of the bitmap; bits of the bitmap of first texts, and of its parts.
+MOST_CELL_BITS, MOST_MAP_BITS, TEXT_BITS, TEXT_PARTS = 40, 29, 27, 6
 #: Bytes of concatenated contexts sorted at once.
 SORT_BYTES = 192 << 10
 _SLICE = 1 << 18
@@ -121,17 +125,17 @@ def _rows(parts: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
 _SCHEMA = "kind string, part int, packed binary"
 
 
-def _bits(marked: np.ndarray, part: int, parts_log: int) -> bytes:
+def _bits(marked: np.ndarray, part: int, parts_log: int, map_bits: int) -> bytes:
     """A part's slice of the bitmap: the leading bits of an anchor tell both."""
-    width = 1 << (MAP_BITS - parts_log)
+    width = 1 << (map_bits - parts_log)
     flags = np.zeros(width, bool)
     flags[(marked - part * width).astype(np.int64)] = True
     return zlib.compress(np.packbits(flags).tobytes(), 1)
 
 
-def _collect_bitmap(rows: DataFrame) -> np.ndarray:
-    """2**MAP_BITS bits, whatever the input."""
-    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+def _collect_bitmap(rows: DataFrame, map_bits: int) -> np.ndarray:
+    """2**map_bits bits."""
+    out = np.zeros((1 << map_bits) // 8, np.uint8)
     for part, packed in rows.where("kind = 'bits'").select("part", "packed").collect():
         got = np.frombuffer(zlib.decompress(packed), np.uint8)
         out[part * len(got) : (part + 1) * len(got)] = got
@@ -139,13 +143,38 @@ def _collect_bitmap(rows: DataFrame) -> np.ndarray:
 
 
 def _hit(bitmap: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    bit = (anchor >> _U(64 - MAP_BITS)).astype(np.int64)
+    bit = (anchor >> _U(64 - (len(bitmap).bit_length() + 2))).astype(np.int64)
     return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
 
 
+def _forget(spark: SparkSession) -> None:
+    """Let the files of finished shuffles go: Spark deletes them once the driver's JVM has collected what names them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def first_texts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Slices of a bitmap over `own` of the first row of every text, on shared storage, and the bytes of different texts."""
+    groups = docs.groupBy("th", "n").agg(F.min("id").alias("id")).select(F.xxhash64("id", "th", "n").alias("own"), F.col("n").cast("long").alias("n"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy().view(_U)
+            yield _rows([("own", p, x) for p, x in _by_part((own >> _U(64 - TEXT_PARTS)).astype(np.int64), [own, batch.column(1).to_numpy()])])
+
+    def mark(group: pd.DataFrame) -> pd.DataFrame:
+        part = int(group["part"].iloc[0])
+        own, n = _join_packed(list(group["packed"]))
+        bits = _bits(own >> _U(64 - TEXT_BITS), part, TEXT_PARTS, TEXT_BITS)
+        return pd.DataFrame({"kind": ["bits", "bytes"], "part": [part, part], "packed": [bits, str(int(n.sum())).encode()]})
+
+    rows = stash(arrow_map(groups, pack, _SCHEMA, 1 << 16).groupBy("part").applyInPandas(mark, _SCHEMA), shared_dir(docs.sparkSession))
+    return rows, sum(int(x.packed) for x in rows.where("kind = 'bytes'").collect())
+
+
 def _spans(doc: np.ndarray, th: np.ndarray, lo: np.ndarray, size: np.ndarray, parts: int) -> list[tuple[str, int, bytes]]:
     part = (mix64(doc.view(_U) ^ mix64(th.view(_U))) % _U(parts)).astype(np.int64)
-    return [("span", p, x) for p, x in _by_part(part, [doc, th, lo.astype(np.int64), size.astype(np.int32)])]
+    return [("span", p, x) for p, x in _by_part(part, [doc, th, lo.astype(np.uint32), size.astype(np.int32)])]
 
 
 def _join_packed(packed: list[bytes]) -> list[np.ndarray]:
@@ -274,11 +303,20 @@ def _window_digests(flat: np.ndarray) -> np.ndarray:
 def covered(docs: DataFrame) -> DataFrame:
     """(id, th, spans): start and stop of the removed runs as packed int64 pairs, for rows that lose bytes."""
     order, digest = keyed(docs)
-    source = docs.select(order.alias("id"), digest.alias("th"), "text")
     spark = docs.sparkSession
-    parts_log = max(6, min(16, (2 * max(1, source.rdd.getNumPartitions()) - 1).bit_length()))
+    named = docs.select(order.alias("id"), digest.alias("th"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), "text")
+    source = named.select("id", "th", "text", F.xxhash64("id", "th", "n").alias("own"))
+    marked_texts, size = first_texts(named)
+    texts = spark.sparkContext.broadcast(_collect_bitmap(marked_texts, TEXT_BITS))
+    doublings = max(0, (size - 1) // GROWTH).bit_length()
+    cell_bits, map_bits = min(MOST_CELL_BITS, CELL_BITS + doublings), min(MOST_MAP_BITS, MAP_BITS + doublings)
+    parts_log = max(6, min(16, max(2 * max(1, source.rdd.getNumPartitions()) - 1, size >> 24).bit_length()))
     parts = 1 << parts_log
 
+    def firsts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Without rows whose text stands in an earlier one; a few copies may stay."""
+        return batch.filter(pa.array(_hit(texts.value, batch.column(3).to_numpy().view(_U))))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -290,13 +328,13 @@ def covered(docs: DataFrame) -> DataFrame:
             return (cell[opens] << _U(1)) | many
 
         def pack(cells: np.ndarray) -> pa.RecordBatch:
-            part = (cells >> _U(1 + CELL_BITS - parts_log)).astype(np.int64)
+            part = (cells >> _U(1 + cell_bits - parts_log)).astype(np.int64)
             cut = np.searchsorted(part, np.arange(parts + 1))
             return _rows([("cells", p, zlib.compress(np.diff(cells[a:b], prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])
 
         for batch in batches:
-            for own in contexts_of(batch.column(2)):
-                each = np.unique(((own.anchor >> _U(64 - CELL_BITS)) << _U(20)) | (own.row - (own.row[0] if len(own.row) else 0)).astype(_U))
+            for own in contexts_of(firsts(batch).column(2)):
+                each = np.unique(((own.anchor >> _U(64 - cell_bits)) << _U(20)) | (own.row - (own.row[0] if len(own.row) else 0)).astype(_U))
                 cell, n = np.unique(each >> _U(20), return_counts=True)
                 held.append((cell << _U(1)) | (n > 1).astype(_U))
             if sum(map(len, held)) > 1_000_000:
@@ -313,33 +351,52 @@ def covered(docs: DataFrame) -> DataFrame:
         cells = np.sort(np.concatenate(cells))
         cell = cells >> _U(1)
         same = np.append(cell[1:] == cell[:-1], False)
-        marked = cell[same | (cells & _U(1) == 1)] >> _U(CELL_BITS - MAP_BITS)
-        return pd.DataFrame({"kind": ["bits"], "part": [part], "packed": [_bits(marked, part, parts_log)]})
+        marked = cell[same | (cells & _U(1) == 1)] >> _U(cell_bits - map_bits)
+        return pd.DataFrame({"kind": ["bits"], "part": [part], "packed": [_bits(marked, part, parts_log, map_bits)]})
 
-    repeated = spark.sparkContext.broadcast(_collect_bitmap(arrow_map(source, count, _SCHEMA, 128).groupBy("part").applyInPandas(shared, _SCHEMA)))
+    repeated = spark.sparkContext.broadcast(_collect_bitmap(arrow_map(source, count, _SCHEMA, 128).groupBy("part").applyInPandas(shared, _SCHEMA), map_bits))
+    _forget(spark)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, held = repeated.value, []
+        bitmap, held, copies, n_copies = repeated.value, [], [], 0
 
         def pack() -> pa.RecordBatch:
             arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
             return _rows([("place", p, x) for p, x in _by_part((arrays[0] >> _U(64 - parts_log)).astype(np.int64), arrays)])
 
+        def whole() -> pa.RecordBatch:
+            doc, th, n = (np.concatenate(x) for x in zip(*copies, strict=True))
+            copies.clear()
+            return _rows(_spans(doc, th, np.zeros(len(doc), np.int64), n, parts))
+
         for batch in batches:
+            n = np.diff(text_buffer(batch.column(2))[1])
+            gone = ~_hit(texts.value, batch.column(3).to_numpy().view(_U)) & (n >= LENGTH)
+            if gone.any():
+                copies.append((batch.column(0).to_numpy()[gone], batch.column(1).to_numpy()[gone], n[gone]))
+                n_copies += int(gone.sum())
+                if n_copies > 200_000:
+                    yield whole()
+                    n_copies = 0
+            batch = firsts(batch)
             ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for own in contexts_of(batch.column(2)):
                 take = np.flatnonzero(_hit(bitmap, own.anchor))
                 row = own.row[take]
                 held.append((own.anchor[take], own.form[take], ids[row], ths[row], own.lo[take].astype(np.uint32), own.windows[take].astype(np.uint8)))
-            if sum(len(x[0]) for x in held) > 120_000:
+            if sum(len(x[0]) for x in held) > max(120_000, min(1 << 20, 256 << parts_log)):
                 yield pack()
         if held:
             yield pack()
+        if copies:
+            yield whole()
 
     def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        part = int(group["part"].iloc[0])
-        arrays = _join_packed(list(group["packed"]))
+        part, whole = int(group["part"].iloc[0]), group[group["kind"] == "span"]
+        if len(whole) == len(group):
+            return whole
+        arrays = _join_packed(list(group.loc[group["kind"] == "place", "packed"]))
         rank = np.lexsort((arrays[1], arrays[0]))
         anchor, form, doc, th, lo, windows = (x[rank] for x in arrays)
         opens = np.append(True, anchor[1:] != anchor[:-1])
@@ -354,11 +411,14 @@ def covered(docs: DataFrame) -> DataFrame:
         open_ = several & (forms > 1)
         if open_.any():
             out.append(("place", part, pickle.dumps([x[open_] for x in (anchor, form, doc, th, lo, windows)], 5)))
-            out.append(("bits", part, _bits(np.unique(anchor[open_]) >> _U(64 - MAP_BITS), part, parts_log)))
+            out.append(("bits", part, _bits(np.unique(anchor[open_]) >> _U(64 - map_bits), part, parts_log, map_bits)))
+        out.extend(whole.itertuples(index=False, name=None))
         return pd.DataFrame(out, columns=["kind", "part", "packed"])
 
     resolved = stash(arrow_map(source, places, _SCHEMA, 128).groupBy("part").applyInPandas(resolve, _SCHEMA))
-    several = spark.sparkContext.broadcast(_collect_bitmap(resolved))
+    repeated.unpersist()
+    _forget(spark)
+    several = spark.sparkContext.broadcast(_collect_bitmap(resolved, map_bits))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen, held, size = several.value, set(), [], 0
@@ -371,7 +431,7 @@ def covered(docs: DataFrame) -> DataFrame:
             return _rows([("string", p, pickle.dumps(x, 5)) for p, x in by.items()])
 
         for batch in batches:
-            for own in contexts_of(batch.column(2)):
+            for own in contexts_of(firsts(batch).column(2)):
                 for k in np.flatnonzero(_hit(bitmap, own.anchor)).tolist():
                     f = int(own.form[k])
                     if f not in seen:
@@ -422,6 +482,7 @@ def covered(docs: DataFrame) -> DataFrame:
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         doc, th, lo, size = _join_packed(list(group["packed"]))
+        lo = lo.astype(np.int64)
         rank = np.lexsort((lo, th, doc))
         doc, th, lo, size = doc[rank], th[rank], lo[rank], size[rank]
         opens = np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]))
@@ -443,6 +504,7 @@ def strip(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes)."""
     order, digest = keyed(docs)
     gone = stash(covered(docs), shared_dir(docs.sparkSession)).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "spans").hint("shuffle_hash")
+    _forget(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", order.alias("__a"), digest.alias("__b"))
     joined = rows.join(gone, (F.col("__a") == F.col("__id")) & (F.col("__b") == F.col("__th")), "left").select("doc_id", "text", "spans")
 
